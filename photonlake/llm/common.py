@@ -64,7 +64,7 @@ class AtomicFile:
         self.fs, self.final = filesystem(uri)
         self.fs.create_dir(self.final.rpartition("/")[0], recursive=True)
         self.partial = f"{self.final}.{uuid.uuid4().hex}.partial"
-        self.stream = self.fs.open_output_stream(self.partial)
+        self.stream = self.fs.open_output_stream(self.partial, compression=None)
         self.size = 0
 
     def write(self, data: bytes) -> None:

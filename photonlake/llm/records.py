@@ -275,7 +275,7 @@ def read_records(spark: SparkSession, root: str) -> DataFrame:
             for f in batch.to_pylist():
                 start, seen = f["start"], 0
                 where, path = filesystem(f"{root}/part-{f['file_no']:06d}.rec")
-                with where.open_input_stream(path) as stream:
+                with where.open_input_stream(path, compression=None) as stream:
                     for found in read_frames(stream):
                         n = np.array([len(x) for _, x in found], np.int64)
                         yield pa.RecordBatch.from_pydict(
