@@ -1,7 +1,7 @@
 """The subpackage's queries and the SQL of those that SQL expresses."""
 
-from . import mixing, quality, records, sharding, warc
+from . import decontamination, mixing, quality, records, sharding, warc
 
-MODULES = (sharding, mixing, records, quality, warc)
+MODULES = (sharding, decontamination, mixing, records, quality, warc)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
