@@ -9,8 +9,11 @@ least 80 times their union. The join is exact up to 64-bit hashes of shingles, a
    n - ceil(0.8 n) + k shingles of either. Light sets, those of up to `boundary` shingles, enumerate the pairs (k = 2)
    of these as keys; heavy sets give each of them (k = 1) to its inverted list. Light sets within reach of a heavy one
    are in the lists too. The boundary is the one with the lowest cost by the histogram of sizes.
-3. In a list, every document is compared with the list's first one and with the one before it, in order of size. A
-   list of near copies thus takes as many comparisons as it has documents, and they fall in one component.
+   A posting has the shingle's position in its set. Sets whose first common shingle (or second, for pairs) stands at
+   i and j share at most what is left from there, so they are compared under that key only if this can suffice.
+3. In a list, every document is compared with the list's first one and with the one before it, in order of position:
+   first come those with the fewest rare shingles, which are nearest to what the list's documents have in common. A
+   list of near copies thus takes as many comparisons as it has documents, and they fall in few components.
 4. What step 3 leaves open are documents of one list that are in different components. Lists whose documents are all
    in one component are done; from the others, the pairs across components are compared too.
 5. Components come from the links by star contractions.
@@ -23,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace
@@ -182,57 +185,68 @@ def choose_boundary(sizes: dict[int, int], rows_a_list: float) -> int:
     return best[1]
 
 
-def keys_of(s: np.ndarray, level: np.ndarray, boundary: int) -> np.ndarray:
-    """The keys under which a set is listed."""
+def keys_of(s: np.ndarray, level: np.ndarray, boundary: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys under which a set is listed, and how many of its shingles are rarer than what a key stands for.
+
+    For a pair that is the number before its second shingle, less one: at most size - position shingles can then be
+    common to two sets, for pairs as for single shingles.
+    """
     n = len(s)
     p = n - least_overlap(n) + 1
     order = (level[s >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
-    keys = []
+    q = min(n, p + 1)
+    first = np.argpartition(order, q - 1)[:q] if q < n else np.arange(n)
+    first = s[first[np.argsort(order[first], kind="stable")]]
+    keys, places = [], []
     if n <= boundary:
         if n == 1:
             keys.append(_mixed(s + _M[2]))
+            places.append(np.zeros(1, np.int64))
         else:
-            first = np.sort(s[np.argsort(order, kind="stable")[: p + 1]])
             i, j = np.triu_indices(len(first), 1)
-            keys.append(_mixed(first[i] * _M[0] + first[j] * _M[1]))
+            low, high = np.minimum(first[i], first[j]), np.maximum(first[i], first[j])
+            keys.append(_mixed(low * _M[0] + high * _M[1]))
+            places.append(j - 1)
     if n > boundary or n * PART >= boundary * WHOLE:
-        keys.append(s[np.argpartition(order, p - 1)[:p]] if p < n else s)
-    return np.concatenate(keys)
+        keys.append(first[:p])
+        places.append(np.arange(p))
+    return np.concatenate(keys), np.concatenate(places)
 
 
 def postings(documents: DataFrame, representatives: np.ndarray, level: np.ndarray, boundary: int) -> DataFrame:
-    """key, doc, n of every representative."""
+    """key, doc and at of every representative; at is position * 2 ** 32 + size, so that it sorts by position."""
     shared = documents.sparkSession.sparkContext.broadcast((representatives, level))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, levels = shared.value
         for batch in batches:
-            keys, ids, sizes, seen = [], [], [], 0
+            keys, at, ids, seen = [], [], [], 0
             for d, s in _texts(passing(batch, bitmap)):
                 if len(s):
-                    keys.append(keys_of(s, levels, boundary))
+                    own, places = keys_of(s, levels, boundary)
+                    keys.append(own)
+                    at.append((places.astype(np.int64) << 32) + len(s))
                     ids.append(d)
-                    sizes.append(len(s))
-                    seen += len(keys[-1])
+                    seen += len(own)
                 if seen > 200_000:
-                    yield _posted(keys, ids, sizes)
-                    keys, ids, sizes, seen = [], [], [], 0
+                    yield _posted(keys, at, ids)
+                    keys, at, ids, seen = [], [], [], 0
             if seen:
-                yield _posted(keys, ids, sizes)
+                yield _posted(keys, at, ids)
 
-    return with_bit(documents).mapInArrow(post, "key long, doc long, n int")
+    return with_bit(documents).mapInArrow(post, "key long, doc long, at long")
 
 
-def _posted(keys: list[np.ndarray], ids: list[int], sizes: list[int]) -> pa.RecordBatch:
-    times = [len(k) for k in keys]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), times)), pa.array(np.repeat(np.array(sizes, np.int32), times))], names=["key", "doc", "n"]
-    )
+def _posted(keys: list[np.ndarray], at: list[np.ndarray], ids: list[int]) -> pa.RecordBatch:
+    docs = np.repeat(np.array(ids, np.int64), [len(k) for k in keys])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(docs), pa.array(np.concatenate(at))], names=["key", "doc", "at"])
 
 
-def _near(a: str, b: str):
-    """Sizes that a link allows."""
-    return (PART * F.col(a) >= WHOLE * F.col(b)) & (PART * F.col(b) >= WHOLE * F.col(a))
+def may_link(a: Column, b: Column) -> Column:
+    """Whether two postings of one key allow a link: by the sizes, and by what is left from the positions on."""
+    m, n = a.bitwiseAND(0xFFFFFFFF), b.bitwiseAND(0xFFFFFFFF)
+    left = F.least(m - F.shiftright(a, 32), n - F.shiftright(b, 32))
+    return (PART * m >= WHOLE * n) & (PART * n >= WHOLE * m) & ((PART + WHOLE) * left >= WHOLE * (m + n))
 
 
 def verified(documents: DataFrame, pairs: DataFrame, work: Workspace, name: str) -> DataFrame:
@@ -288,15 +302,14 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     boundary = choose_boundary(sizes, float(np.median(np.exp2(level[level > 0] / 8.0))) if level.any() else 0.0)
 
     listed = postings(documents, bitmap_of(classes, "rep"), level, boundary)
-    by_size = Window.partitionBy("key").orderBy("n", "doc")
-    row = F.struct("doc", "n")
+    in_order, row = Window.partitionBy("key").orderBy("at", "doc"), F.struct("doc", "at")
     grouped = listed.select(
-        "key", "doc", "n", F.first(row).over(by_size).alias("first"), F.lag(row).over(by_size).alias("prev"), F.count(F.lit(1)).over(Window.partitionBy("key")).alias("rows")
+        "key", "doc", "at", F.first(row).over(in_order).alias("first"), F.lag(row).over(in_order).alias("prev"), F.count(F.lit(1)).over(Window.partitionBy("key")).alias("rows")
     ).where("rows > 1")
     grouped = work.stage(grouped, "lists")
-    near = (F.col("doc") != F.col("other.doc")) & (PART * F.col("other.n") >= WHOLE * F.col("n"))
     pairs = work.stage(
-        grouped.where("prev IS NOT NULL").select("doc", "n", F.explode(F.array_distinct(F.array("first", "prev"))).alias("other")).where(near)
+        grouped.where("prev IS NOT NULL").select("doc", "at", F.explode(F.array_distinct(F.array("first", "prev"))).alias("other"))
+        .where((F.col("doc") != F.col("other.doc")) & may_link(F.col("at"), F.col("other.at")))
         .select(F.least("doc", "other.doc").alias("a"), F.greatest("doc", "other.doc").alias("b")).distinct(),
         "pairs",
     )
@@ -305,12 +318,13 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
     # lists with documents of several components
     comp = F.coalesce("component", "doc")
-    labelled = grouped.where("rows > 2").select("key", "doc", "n").join(joined.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", comp.alias("comp"))
+    labelled = grouped.where("rows > 2").select("key", "doc", "at").join(joined.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "at", comp.alias("comp"))
     labelled = work.stage(labelled, "labelled")
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
     open_ = labelled.join(mixed, "key")
-    a, b = open_.select("key", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")), open_.select("key", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    rest = a.join(b, "key").where(F.col("ca") < F.col("cb")).where(_near("na", "nb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    a, b = open_.select("key", F.col("doc").alias("a"), F.col("at").alias("at_a"), F.col("comp").alias("comp_a")), open_.select("key", F.col("doc").alias("b"), F.col("at").alias("at_b"), F.col("comp").alias("comp_b"))
+    across = (F.col("comp_a") < F.col("comp_b")) & may_link(F.col("at_a"), F.col("at_b"))
+    rest = a.join(b, "key").where(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = work.stage(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
     more = verified(documents, rest, work, "second")
     final = components(found.union(more), work, "final")
