@@ -1,7 +1,7 @@
 """The subpackage's queries and the SQL of those that SQL expresses."""
 
-from . import decontamination, jaccard, mixing, quality, records, sharding, toxicity, warc
+from . import decontamination, html, jaccard, mixing, quality, records, sharding, toxicity, warc
 
-MODULES = (sharding, jaccard, toxicity, decontamination, mixing, records, quality, warc)
+MODULES = (sharding, html, jaccard, toxicity, decontamination, mixing, records, quality, warc)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
