@@ -90,13 +90,8 @@ def matched(documents: DataFrame, kept: list[int], windows: list[int], short: di
     return documents.select("doc_id", let(item_words(F.col("text")), everything).alias("x")).select("doc_id", "x.n_words", "x.found")
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, most_in_plan: int = MOST_IN_PLAN) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of all documents.
-
-    Null texts and texts without words have no words and hits; items without words are never found; repeated documents
-    have a row each, repeated items with equal item_id count once; with an empty benchmark nothing is hit; an empty
-    table gives no rows; further columns are ignored.
-    """
+def _found(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, most_in_plan: int = MOST_IN_PLAN) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n_words, found and row of all documents, and the benchmark's windows."""
     work = Workspace(documents.sparkSession, "winnow")
     grams = work.stage(benchmark_windows(benchmark.select("item_id", "text"), window), "windows")
     item = benchmark.select(item_words(F.col("text")).alias("w")).where(F.size("w") >= window)
@@ -109,7 +104,17 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
         for r in hashed.collect():
             by_length.setdefault(r.n, []).append(r.h)
         found = matched(documents, [r.h for r in kept.collect()], by_length.pop(window, []), by_length, window, k)
-    found = work.stage(found.withColumn("row", F.monotonically_increasing_id()), "found")
+    return work.stage(found.withColumn("row", F.monotonically_increasing_id()), "found"), grams
+
+
+def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, most_in_plan: int = MOST_IN_PLAN) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of all documents.
+
+    Null texts and texts without words have no words and hits; items without words are never found; repeated documents
+    have a row each, repeated items with equal item_id count once; with an empty benchmark nothing is hit; an empty
+    table gives no rows; further columns are ignored.
+    """
+    found, grams = _found(documents, benchmark, window, k, most_in_plan)
     each = found.where(F.size("found") > 0).select("row", F.inline("found"))
     real = each.join(grams, ["n", "gram"])
     hit = real.groupBy("row").agg(
@@ -126,6 +131,19 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     )
 
 
+def clean_documents(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The documents, in all their columns, that no benchmark window occurs in.
+
+    Hit documents leave by an anti-join on their doc_ids, of which there are few; rows with a null doc_id are known by
+    the hash of their text.
+    """
+    work = Workspace(documents.sparkSession, "decontaminated")
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(F.col("text"), F.lit("")))))
+    found = contamination(documents.select(key.alias("doc_id"), "text"), benchmark, window)
+    bad = work.stage(found.where("contaminated").select(F.col("doc_id").alias("__key")).distinct(), "hit")
+    return documents.withColumn("__key", key).join(bad, "__key", "left_anti").select(*documents.columns)
+
+
 def _matched_by_join(documents: DataFrame, kept: DataFrame, hashed: DataFrame, work: Workspace, window: int, k: int) -> DataFrame:
     """As matched(), with the benchmark's hashes in tables; only documents with a hit give all their stretches."""
     base = work.stage(documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", item_words(F.col("text")).alias("w")), "words")
