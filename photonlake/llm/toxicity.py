@@ -6,15 +6,15 @@ labelled. Training fits the weights to document labels through the noisy-or; the
 where a document offends.
 
 Features are words and their character n-grams with word bounds. Those kept occur in several toxic documents and
-several times as often there as elsewhere, by counts over the training documents. The model is fitted on the driver
-on a sample of MAX_TRAIN_DOCS labelled documents at most (expected; the sample is drawn by a hash of doc_id), and scoring
-is a narrow pass over whole texts.
+several times as often there as elsewhere, by counts over the training documents. The model is fitted on a sample of
+about MAX_TRAIN_DOCS labelled documents, drawn by a hash of doc_id, and scoring is a narrow pass over whole texts.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -91,29 +91,51 @@ class Model:
         return [x for x in each if x[1] >= least]
 
 
-def select_features(docs: list[list[set[str]]], labels: np.ndarray) -> dict[str, int]:
+class Instances:
+    """Sentences as numbers of words: `word` and the `sentence` of each entry, and the `doc` of each sentence."""
+
+    def __init__(self, texts: Iterable[str | None]):
+        number: dict[str, int] = {}
+        word, sentence, doc, k = array("i"), array("i"), array("i"), -1
+        for k, t in enumerate(texts):
+            for s in BETWEEN.split(t or ""):
+                if own := words(s):
+                    word.extend(sorted(number.setdefault(w, len(number)) for w in own))
+                    sentence.extend([len(doc)] * len(own))
+                    doc.append(k)
+        self.n_docs, self.words = k + 1, list(number)
+        self.word, self.sentence, self.doc = (np.frombuffer(x, np.int32) if x else np.zeros(0, np.int32) for x in (word, sentence, doc))
+
+    def words_of_docs(self) -> list[np.ndarray]:
+        """The numbers of the distinct words of each document."""
+        ends = np.searchsorted(self.doc[self.sentence], np.arange(self.n_docs + 1))
+        return [np.unique(self.word[a:b]) for a, b in zip(ends, ends[1:])]
+
+
+def select_features(data: Instances, labels: np.ndarray) -> dict[str, int]:
     """Numbers for the features that mark toxic documents, by the documents of either label that have them."""
     n1, n0 = int(labels.sum()), int(len(labels) - labels.sum())
     if not n1 or not n0:
         return {}
     least = max(LEAST_DOCS, LEAST_SHARE * n1)
+    docs = data.words_of_docs()
     toxic: Counter[str] = Counter()
     for doc, y in zip(docs, labels):
         if y:
-            toxic.update(set().union(*map(features, set().union(*doc))))
+            toxic.update(set().union(*(features(data.words[w]) for w in doc)))
     candidates = {f: i for i, f in enumerate(sorted(f for f, a in toxic.items() if a >= least))}
+    seen = np.array([toxic[f] for f in candidates])
+    del toxic
     clean, known = np.zeros(len(candidates)), {}
     for doc, y in zip(docs, labels):
-        if not y and doc:
-            own = []
-            for w in set().union(*doc):
+        if not y and len(doc):
+            for w in doc:
                 if w not in known:
-                    known[w] = np.array([candidates[f] for f in features(w) if f in candidates], np.int32)
-                own.append(known[w])
-            clean[np.unique(np.concatenate(own))] += 1
+                    known[w] = np.array([candidates[f] for f in features(data.words[w]) if f in candidates], np.int32)
+            clean[np.unique(np.concatenate([known[w] for w in doc]))] += 1
     out = {}
     for f, i in candidates.items():
-        a, c = toxic[f], clean[i]
+        a, c = seen[i], clean[i]
         lift = (a + 0.1) / (n1 + 0.2) * (n0 + 0.2) / (c + 0.1)
         z = (a / n1 - c / n0) / math.sqrt((a + c + 1) / (n1 + n0) / n1)
         if lift > LEAST_LIFT and z > LEAST_Z:
@@ -127,23 +149,15 @@ def fit(texts: Iterable[str | None], labels: Iterable[int]) -> Model:
     The loss is the mean negative log-likelihood of the labels under the noisy-or, with a small decay of the weights.
     """
     y = np.array(list(labels), dtype=np.int64)
-    docs = [[w for s in BETWEEN.split(t or "") if (w := words(s))] for t in texts]
-    number = select_features(docs, y)
-    known: dict[str, list[int]] = {}
-    active, sentence_doc, at, n = [], [], [], 0
-    for k, doc in enumerate(docs):
-        for ws in doc:
-            own: list[int] = []
-            for w in sorted(ws):
-                if w not in known:
-                    known[w] = [number[f] for f in features(w) if f in number]
-                own += known[w]
-            if own:
-                active += own
-                at += [n] * len(own)
-                sentence_doc.append(k)
-                n += 1
-    feature, at, sentence_doc = np.array(active, np.int64), np.array(at, np.int64), np.array(sentence_doc, np.int64)
+    data = Instances(texts)
+    number = select_features(data, y)
+    own = [[number[f] for f in features(w) if f in number] for w in data.words]
+    n_own = np.array([len(x) for x in own], np.int64)
+    used = n_own[data.word] > 0
+    word, given = data.word[used], data.sentence[used]
+    feature = np.array([f for w in word for f in own[w]], np.int64)
+    kept, at = np.unique(np.repeat(given, n_own[word]), return_inverse=True)
+    sentence_doc, n = data.doc[kept], len(kept)
     bare = np.setdiff1d(np.arange(len(y)), sentence_doc)
     leak = min(0.25, (y[bare].sum() + 0.5) / (len(bare) + 1) if len(y) else 0.0)
     if not n:
@@ -167,8 +181,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(True))
 
 
-def training_rows(documents: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_DOCS) -> list:
-    """About `most` labelled documents that are not held out, or all of them if fewer, in order of doc_id and text.
+def training_rows(documents: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_DOCS) -> DataFrame:
+    """doc_id, text, toxic of about `most` labelled documents that are not held out, or of all of them if fewer.
 
     The labels are sampled by a hash first and are then few enough to broadcast.
     """
@@ -176,13 +190,23 @@ def training_rows(documents: DataFrame, labels: DataFrame, most: int = MAX_TRAIN
     n = own.count()
     if n > most:
         own = own.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("train")), F.lit(1_000_000)) < int(1_000_000 * most / n))
-    rows = documents.select("doc_id", "text").join(F.broadcast(own), "doc_id").collect()
-    return sorted(rows, key=lambda r: (r.doc_id, r.text or ""))
+    return documents.select("doc_id", "text").join(F.broadcast(own), "doc_id")
 
 
 def train(documents: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_DOCS) -> Model:
-    rows = training_rows(documents, labels, most)
-    return fit((r.text for r in rows), (int(r.toxic != 0) for r in rows))
+    """The model, fitted by one task, which the bound of the sample keeps small; only its weights come to the driver."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))), key=lambda r: (r[0], r[1] or ""))
+        model = fit((r[1] for r in rows), (int(r[2] != 0) for r in rows))
+        names = [*model.weights, None, None]
+        yield pa.RecordBatch.from_pydict({"feature": pa.array(names, pa.string()), "weight": [*model.weights.values(), model.bias, model.leak], "place": list(range(len(names)))})
+
+    rows = training_rows(documents, labels, most).repartition(1).mapInArrow(task, "feature string, weight double, place long").collect()
+    if not rows:
+        return Model({}, 0.0, 0.0)
+    rows.sort(key=lambda r: r.place)
+    return Model({r.feature: r.weight for r in rows[:-2]}, rows[-2].weight, rows[-1].weight)
 
 
 def scored(documents: DataFrame, model: Model) -> DataFrame:
