@@ -15,7 +15,7 @@ that wants shuffled records seeks by it; a whole read needs it only to check its
 from __future__ import annotations
 
 import io
-import itertools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -162,38 +162,60 @@ def read_frames(stream, chunk_bytes: int = 1 << 22) -> Iterator[list[tuple]]:
 
 
 class Pieces(dict):
-    """Ids of pretokenized pieces. The pieces of a byte-level BPE are encoded apart from each other, so a text's ids
-    are those of its pieces in turn; a piece met before costs a look-up."""
+    """Ids, as bytes, of what stands between two spaces, each with the space before it.
 
-    MOST = 600_000
+    A byte-level BPE is cut before a space that other than white space follows, and where white space begins. So a text
+    is cut at its spaces, and its ids are those of its pieces in turn, unless a space has white space before it and white
+    space or the end after it; such runs are cut elsewhere, and those texts are encoded as they are.
+    """
+
+    MOST, LONGEST = 600_000, 64
+    RUNS = re.compile(r"\s (?!\S)")
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         super().__init__()
-        import public_tokenizers
-
         self.tokenizer = Tokenizer.from_file(path)
-        self.cut = regex.compile(public_tokenizers.PATTERN).findall
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
+        self.kind = np.dtype("<u4") if self.wide else np.dtype("<u2")
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def words(self, words: list[str], together: int = 2000) -> dict[str, bytes]:
+        """The ids of words with a space before each, many words to a text; a token with that space begins each word."""
+        out, alone = {}, [w for w in words if w.split() != [w]]
+        plain = [w for w in words if w.split() == [w]]
+        parts = [plain[k : k + together] for k in range(0, len(plain), together)]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([" " + " ".join(p) for p in parts], add_special_tokens=False)):
+            ids = np.array(e.ids, self.kind)
+            starts = np.flatnonzero(self.opens[ids])
+            if len(starts) != len(part):
+                alone += part
+                continue
+            data, at = ids.tobytes(), [*(starts * ids.itemsize).tolist(), ids.nbytes]
+            out.update((w, data[a:z]) for w, a, z in zip(part, at, at[1:]))
+        out.update(zip(alone, self.whole([" " + w for w in alone])))
+        return out
 
     def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
         if len(self) > self.MOST:
             self.clear()
-        cut = [None if any(s in t for s in self.special) else self.cut(t) for t in texts]
-        new = [p for p in set(itertools.chain.from_iterable(c for c in cut if c)) if p not in self]
-        for at in range(0, len(new), 50_000):
-            part = new[at : at + 50_000]
-            self.update(zip(part, (tuple(e.ids) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
-        kind = np.uint32 if self.wide else np.uint16
-        tail = (end,)
-        return [
-            np.array([*self.tokenizer.encode(t, add_special_tokens=False).ids, end], kind) if c is None
-            else np.fromiter(itertools.chain(itertools.chain.from_iterable(map(self.__getitem__, c)), tail), kind)
-            for t, c in zip(texts, cut)
-        ]
+        cut = [None if self.RUNS.search(t) or any(s in t for s in self.special) else t.split(" ") for t in texts]
+        new = list(set().union(*(c[1:] for c in cut if c)) - self.keys())
+        self.update(self.words(new))
+        heads = iter(self.whole([t if c is None else c[0] for t, c in zip(texts, cut)]))
+        tail = np.array([end], self.kind).tobytes()
+        out = [np.frombuffer(b"".join((next(heads), *(map(self.__getitem__, c[1:]) if c else ()), tail)), self.kind) for c in cut]
+        for x in new:
+            if len(x) > self.LONGEST:
+                del self[x]
+        return out
 
 
 _PIECES: dict[str, Pieces] = {}
