@@ -8,57 +8,72 @@ from pyspark.sql import functions as F
 from .registry import ENUMS
 
 
-def hexes(content: Column, at: int, n: int) -> Column:
-    """n bytes from position `at` (from 0), in hexadecimal digits."""
-    return F.hex(F.substring(content, at + 1, n))
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once a row; a plain reuse would repeat its expression in each place."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _number(digits: Column, big: Column, n: int) -> Column:
+    """The number that 2 n hexadecimal digits stand for; null if there are fewer."""
+    swapped = F.concat(*[F.substring(digits, 2 * k + 1, 2) for k in range(n - 1, -1, -1)])
+    return F.when(F.length(digits) == 2 * n, F.conv(F.when(big, digits).otherwise(swapped), 16, 10).cast("long"))
 
 
 def unsigned(value: Column, order: Column, at: Column | int = 0, n: int = 2) -> Column:
     """The unsigned number in n bytes from `at`, in the byte order II or MM; null if they are not there."""
     part = value.substr(F.lit(at) + 1, F.lit(n))
-    big = F.conv(F.hex(part), 16, 10).cast("long")
-    digits = F.hex(part)
-    swapped = F.concat(*[F.substring(digits, 2 * k + 1, 2) for k in range(n - 1, -1, -1)])
-    return F.when(F.octet_length(part) == n, F.when(order == "MM", big).otherwise(F.conv(swapped, 16, 10).cast("long")))
+    return let(F.hex(part), lambda digits: _number(digits, order == "MM", n))
 
 
 def signed(value: Column, order: Column, at: Column | int = 0, n: int = 4) -> Column:
-    u = unsigned(value, order, at, n)
-    return F.when(u >= 1 << 8 * n - 1, u - (1 << 8 * n)).otherwise(u)
+    return let(unsigned(value, order, at, n), lambda u: F.when(u >= 1 << 8 * n - 1, u - (1 << 8 * n)).otherwise(u))
+
+
+#: Bytes of a TIFF file that tell its kind, and the most entries of its first directory.
+SNIFFED, MOST_SNIFFED = 1034, 512
+
+
+def _tiff_kind(h: Column) -> Column:
+    """DNG if the first directory has a DNGVersion, else what the Make says; h: hexadecimal digits of the file's head."""
+    big = h.startswith("4D4D")
+
+    def at(place: Column | int, n: int) -> Column:
+        return _number(h.substr(F.lit(place) * 2 + 1, F.lit(2 * n)), big, n)
+
+    def kind(start: Column) -> Column:
+        def of(n: Column) -> Column:
+            places = F.when(n.between(1, MOST_SNIFFED), F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: start + 2 + i * 12)).otherwise(F.array().cast("array<bigint>"))
+            tags = F.transform(places, lambda e: F.struct(at(e, 2).alias("tag"), at(e + 4, 4).alias("count"), at(e + 8, 4).alias("offset"), e.alias("at")))
+            return let(tags, told)
+
+        return let(F.coalesce(at(start, 2), F.lit(0).cast("long")), of)
+
+    def told(tags: Column) -> Column:
+        make = F.get(F.filter(tags, lambda e: e["tag"] == 0x010F), F.lit(0))
+        name = let(make, lambda m: F.regexp_replace(F.unhex(h.substr(F.when(m["count"] <= 4, m["at"] + 8).otherwise(m["offset"]).cast("int") * 2 + 1, F.least(m["count"], F.lit(SNIFFED)).cast("int") * 2)).cast("string"), "[\\x00 ]+$", ""))
+        by_make = let(name, lambda x: F.when(x.isin("NIKON CORPORATION", "Nikon"), "NEF").when(x == "SONY", "ARW").otherwise("TIFF"))
+        return F.when(F.exists(tags, lambda e: e["tag"] == 0xC612), "DNG").otherwise(by_make)
+
+    return let(F.coalesce(at(4, 4), F.lit(0).cast("long")), kind)
 
 
 def image_format(content: Column) -> Column:
-    """The container by its first bytes, never by its name; TIFF files are refined by IFD0. Unknown is null.
+    """The container by its first bytes, never by its name; TIFF files are refined by IFD0. Unknown is null."""
 
-    Of TIFF files, one whose first directory has a DNGVersion is DNG; otherwise the Make decides.
-    """
-    brand = F.substring(content, 9, 4).cast("string")
-    little, big = hexes(content, 0, 4) == "49492A00", hexes(content, 0, 4) == "4D4D002A"
-    order = F.when(big, "MM").otherwise("II")
-    head = F.substring(content, 1, 1034)
-    start = unsigned(head, order, 4, 4)
-    n = F.coalesce(unsigned(head, order, start, 2), F.lit(0))
-    entries = F.when(n.between(1, 512), F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(unsigned(head, order, start + 2 + i * 12, 2).alias("tag"), (start + 2 + i * 12).alias("at")))).otherwise(
-        F.array().cast("array<struct<tag:bigint,at:bigint>>")
-    )
-    make = F.get(F.filter(entries, lambda e: e["tag"] == 0x010F), F.lit(0))["at"]
-    count = unsigned(head, order, make + 4, 4)
-    where = F.when(count <= 4, make + 8).otherwise(unsigned(head, order, make + 8, 4))
-    name = F.regexp_replace(head.substr(where + 1, F.least(count, F.lit(1034))).cast("string"), "[\\x00 ]+$", "")
-    tiff = (
-        F.when(F.exists(entries, lambda e: e["tag"] == 0xC612), "DNG")
-        .when(name.isin("NIKON CORPORATION", "Nikon"), "NEF").when(name == "SONY", "ARW").otherwise("TIFF")
-    )
-    return (
-        F.when(hexes(content, 0, 2) == "FFD8", "JPEG")
-        .when(hexes(content, 0, 8) == "89504E470D0A1A0A", "PNG")
-        .when((F.substring(content, 1, 4).cast("string") == "RIFF") & (brand == "WEBP"), "WebP")
-        .when(F.substring(content, 5, 4).cast("string") == "ftyp", F.when(F.trim(brand) == "crx", "CR3").when(brand.rlike("^(avi|av0)"), "AVIF").otherwise("HEIF"))
-        .when(little & (hexes(content, 8, 2) == "4352"), "CR2")
-        .when(hexes(content, 0, 4) == "4949524F", "ORF")
-        .when(hexes(content, 0, 4) == "49495500", "RW2")
-        .when(little | big, tiff)
-    )
+    def known(h: Column) -> Column:
+        iso = F.substring(h, 17, 8)
+        return (
+            F.when(h.startswith("FFD8"), "JPEG")
+            .when(h.startswith("89504E470D0A1A0A"), "PNG")
+            .when(h.startswith("52494646") & (iso == "57454250"), "WebP")
+            .when(F.substring(h, 9, 8) == "66747970", F.when(iso == "63727820", "CR3").when(iso.rlike("^(617669|617630)"), "AVIF").otherwise("HEIF"))
+            .when(h.startswith("49492A00") & (F.substring(h, 17, 4) == "4352"), "CR2")
+            .when(h.startswith("4949524F"), "ORF")
+            .when(h.startswith("49495500"), "RW2")
+            .when(h.startswith("49492A00") | h.startswith("4D4D002A"), _tiff_kind(h))
+        )
+
+    return let(F.hex(F.substring(content, 1, SNIFFED)), known)
 
 
 def ascii_value(value: Column, kind: Column) -> Column:
@@ -73,13 +88,13 @@ def short_value(value: Column, kind: Column, order: Column) -> Column:
 
 def rational(value: Column, kind: Column, order: Column, i: int = 0) -> Column:
     """num and den of the i-th rational; null for another type or too few bytes."""
-    num, den = unsigned(value, order, 8 * i, 4), unsigned(value, order, 8 * i + 4, 4)
-    return F.when(kind.isin(5, 10) & den.isNotNull(), F.struct(num.alias("num"), den.alias("den")))
+    both = F.struct(unsigned(value, order, 8 * i, 4).alias("num"), unsigned(value, order, 8 * i + 4, 4).alias("den"))
+    return let(both, lambda r: F.when(kind.isin(5, 10) & r["den"].isNotNull(), r))
 
 
 def quotient(r: Column) -> Column:
     """num / den, null where den is 0."""
-    return F.when(r["den"] != 0, r["num"].cast("double") / r["den"].cast("double"))
+    return let(r, lambda x: F.when(x["den"] != 0, x["num"].cast("double") / x["den"].cast("double")))
 
 
 def degrees(parts: list[Column], ref: Column, most: int, strict: bool = False) -> Column:
@@ -89,8 +104,7 @@ def degrees(parts: list[Column], ref: Column, most: int, strict: bool = False) -
     """
     own = [quotient(p) if strict else F.coalesce(quotient(p), F.lit(0.0)) for p in parts]
     at = own[0] + own[1] / 60 + own[2] / 3600
-    at = F.when(F.upper(ref).isin("S", "W"), -at).otherwise(at)
-    return F.when(F.abs(at) <= most, at)
+    return let(at, lambda x: F.when(F.abs(x) <= most, F.when(F.upper(ref).isin("S", "W"), -x).otherwise(x)))
 
 
 def xmp_degrees(text: Column, most: int) -> Column:
@@ -139,4 +153,4 @@ def flash_fired(number: Column) -> Column:
 
 def exposure_text(r: Column) -> Column:
     """1/den for a unit numerator, else num/den; null where den is 0."""
-    return F.when(r["den"] != 0, F.concat(r["num"].cast("string"), F.lit("/"), r["den"].cast("string")))
+    return let(r, lambda x: F.when(x["den"] != 0, F.concat(x["num"].cast("string"), F.lit("/"), x["den"].cast("string"))))

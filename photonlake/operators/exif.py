@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.registry import tags
 from ..sources.containers import directory
 
-ENTRIES = "path string, ifd string, chain_idx int, tag int, type int, count long, value binary, byte_order string"
 #: Tags that point to a further directory.
 POINTERS = {0x8769: "exif", 0x8825: "gps", 0xA005: "interop"}
 
@@ -39,19 +37,9 @@ def directories(b: bytes) -> Iterator[tuple[str, int, int, int, int, bytes, str]
             open_.append((name, k + 1, after))
 
 
-def exif_entries(payloads: DataFrame) -> DataFrame:
-    """A row for each entry of EXIF payloads (path, kind, payload); a CR3 second block counts as the exif directory."""
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = pa.schema([("path", pa.string()), ("ifd", pa.string()), ("chain_idx", pa.int32()), ("tag", pa.int32()), ("type", pa.int32()), ("count", pa.int64()), ("value", pa.binary()), ("byte_order", pa.string())])
-        for batch in batches:
-            rows = []
-            for path, kind, payload in zip(*(batch.column(c) for c in ("path", "kind", "payload"))):
-                second = kind.as_py() == "exif_ifd"
-                rows += [(path.as_py(), "exif" if second and e[0] == "ifd0" else e[0], *e[1:]) for e in directories(payload.as_py())]
-            yield pa.RecordBatch.from_pylist([dict(zip(fields.names, r)) for r in rows], fields)
-
-    return payloads.where("kind IN ('exif', 'exif_ifd')").select("path", "kind", "payload").mapInArrow(parse, ENTRIES)
+def exif_entries(facts: DataFrame) -> DataFrame:
+    """A row for each entry of the EXIF directories of images."""
+    return facts.where("kind = 'exif'").select("path", F.col("space").alias("ifd"), F.col("pos").alias("chain_idx"), F.col("item").alias("tag"), "type", "count", "value", F.col("coding").alias("byte_order"))
 
 
 def named(entries: DataFrame) -> DataFrame:

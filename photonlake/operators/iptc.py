@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOST_VALUE, MOST_BLOCK = 1 << 20, 256 << 20
-DATASETS = "path string, pos int, record int, dataset int, value binary, is_utf8 boolean"
 UTF8 = b"\x1b%G"
 
 
@@ -31,20 +29,9 @@ def datasets_of(b: bytes) -> Iterator[tuple[int, int, bytes]]:
         at += head + size
 
 
-def iptc_datasets(payloads: DataFrame) -> DataFrame:
-    """A row for each dataset of IPTC payloads in order; is_utf8 is the block's own."""
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = pa.schema([("path", pa.string()), ("pos", pa.int32()), ("record", pa.int32()), ("dataset", pa.int32()), ("value", pa.binary()), ("is_utf8", pa.bool_())])
-        for batch in batches:
-            rows = []
-            for path, payload in zip(batch.column("path"), batch.column("payload")):
-                own = list(datasets_of(payload.as_py()))
-                utf8 = any(r == 1 and d == 90 and v == UTF8 for r, d, v in own)
-                rows += [{"path": path.as_py(), "pos": k, "record": r, "dataset": d, "value": v, "is_utf8": utf8} for k, (r, d, v) in enumerate(own)]
-            yield pa.RecordBatch.from_pylist(rows, fields)
-
-    return payloads.where("kind = 'iptc'").select("path", "payload").mapInArrow(parse, DATASETS)
+def iptc_datasets(facts: DataFrame) -> DataFrame:
+    """A row for each dataset of the IPTC blocks of images in order; is_utf8 is the block's own."""
+    return facts.where("kind = 'iptc'").select("path", "pos", F.col("space").cast("int").alias("record"), F.col("item").alias("dataset"), "value", (F.col("coding") == "UTF-8").alias("is_utf8"))
 
 
 def iptc_text(value: Column, is_utf8: Column) -> Column:

@@ -1,7 +1,7 @@
 """One record an image: fields resolved by the priority of their sources.
 
-The entries, datasets and properties of an image are pivoted by a grouped aggregation each, so that only the tags
-that fields need are kept; the three are joined on the path. Parsing is narrow, the grouping moves decoded values alone.
+One narrow pass turns images into facts, and one grouped aggregation pivots those that fields need. Image bytes never
+move; the grouping shuffles decoded values alone.
 """
 
 from __future__ import annotations
@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import image as I
 from ..functions.registry import NAMESPACES
-from ..sources.images import payloads, segments
-from .exif import exif_entries
-from .iptc import iptc_datasets, iptc_text
-from .xmp import xmp_properties
+from ..sources.images import kept_errors
+from .facts import facts
+from .iptc import iptc_text
 
 #: Directory and tag of the fields that are read.
 EXIF_FIELDS = {
@@ -26,31 +25,34 @@ EXIF_FIELDS = {
 }
 
 
-def exif_record(entries: DataFrame) -> DataFrame:
-    """path and a struct (value, type, count, byte_order) for each field; of repeated tags the last counts."""
-    own = F.struct("value", "type", "count", "byte_order")
-    return entries.where("chain_idx = 0").groupBy("path").agg(*[F.last(F.when((F.col("ifd") == d) & (F.col("tag") == t), own), ignorenulls=True).alias(n) for n, (d, t) in EXIF_FIELDS.items()])
-
-
-def iptc_record(datasets: DataFrame) -> DataFrame:
-    text = iptc_text(F.col("value"), F.col("is_utf8"))
-
-    def first(dataset: int) -> Column:
-        return F.min_by(text, F.when((F.col("record") == 2) & (F.col("dataset") == dataset), F.col("pos")))
-
-    words = F.array_sort(F.collect_list(F.when((F.col("record") == 2) & (F.col("dataset") == 25), F.struct("pos", text.alias("text")))))
-    return datasets.groupBy("path").agg(first(120).alias("i_caption"), first(116).alias("i_copyright"), first(80).alias("i_creator"), F.transform(words, lambda w: w["text"]).alias("i_keywords"))
+#: The properties that are read.
+XMP_FIELDS = {
+    "x_model": ("tiff", "Model"), "x_make": ("tiff", "Make"), "x_tool": ("xmp", "CreatorTool"), "x_lens": ("aux", "Lens"), "x_rights": ("dc", "rights"), "x_description": ("dc", "description"),
+    "x_creator": ("dc", "creator"), "x_subject": ("dc", "subject"), "x_lat": ("exif", "GPSLatitude"), "x_lon": ("exif", "GPSLongitude"), "x_original": ("exif", "DateTimeOriginal"),
+}
 
 
-def xmp_record(properties: DataFrame) -> DataFrame:
-    def of(prefix: str, local: str) -> Column:
-        return F.max(F.when((F.col("ns") == NAMESPACES[prefix]) & (F.col("local") == local), F.col("value")))
+def pivoted(rows: DataFrame) -> DataFrame:
+    """A row for each path with a column for each field; of repeated entries and datasets the first counts.
 
-    wanted = {
-        "x_model": ("tiff", "Model"), "x_make": ("tiff", "Make"), "x_tool": ("xmp", "CreatorTool"), "x_lens": ("aux", "Lens"), "x_rights": ("dc", "rights"), "x_description": ("dc", "description"),
-        "x_creator": ("dc", "creator"), "x_subject": ("dc", "subject"), "x_lat": ("exif", "GPSLatitude"), "x_lon": ("exif", "GPSLongitude"), "x_original": ("exif", "DateTimeOriginal"),
-    }
-    return properties.groupBy("path").agg(*[of(*k).alias(n) for n, k in wanted.items()])
+    The fact's field is found by one look-up each, so that facts that no field needs drop out before the shuffle.
+    """
+    kind, space, item = F.col("kind"), F.col("space"), F.col("item")
+    key = F.when((kind == "exif") & (F.col("pos") == 0), F.concat_ws(":", space, item)).when(kind == "xmp", F.concat_ws(":", space, "name")).when((kind == "iptc") & (space == "2"), F.concat_ws(":", F.lit("iptc"), item)).when(kind == "head", "head")
+    names = {f"{d}:{t}": n for n, (d, t) in EXIF_FIELDS.items()} | {f"{NAMESPACES[p]}:{local}": n for n, (p, local) in XMP_FIELDS.items()}
+    names |= {"iptc:120": "i_caption", "iptc:116": "i_copyright", "iptc:80": "i_creator", "iptc:25": "i_keywords", "head": "head"}
+    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    own = rows.withColumn("field", F.try_element_at(table, key)).where("field IS NOT NULL")
+
+    def of(field: str, value: Column) -> Column:
+        return F.min_by(value, F.when(F.col("field") == field, F.col("at"))).alias(field)
+
+    entry, text, utf8 = F.struct("value", "type", "count", F.col("coding").alias("byte_order")), iptc_text(F.col("value"), F.col("coding") == "UTF-8"), F.col("value").cast("string")
+    words = F.array_sort(F.collect_list(F.when(F.col("field") == "i_keywords", F.struct("at", text.alias("text")))))
+    return own.groupBy("path").agg(
+        F.max("format").alias("format"), F.max("error").alias("error"), *[of(n, entry) for n in EXIF_FIELDS], *[of(n, utf8) for n in XMP_FIELDS],
+        *[of(n, text) for n in ("i_caption", "i_copyright", "i_creator")], F.transform(words, lambda w: w["text"]).alias("i_keywords"),
+    )
 
 
 def _text(c: str) -> Column:
@@ -66,8 +68,9 @@ def _rational(c: str, i: int = 0) -> Column:
 
 
 def _size(c: str) -> Column:
-    n = F.when(F.col(c)["type"] == 3, I.unsigned(F.col(c)["value"], F.col(c)["byte_order"], 0, 2)).when(F.col(c)["type"] == 4, I.unsigned(F.col(c)["value"], F.col(c)["byte_order"], 0, 4))
-    return F.when(n > 0, n)
+    entry = F.col(c)
+    n = F.when(entry["type"] == 3, I.unsigned(entry["value"], entry["byte_order"], 0, 2)).when(entry["type"] == 4, I.unsigned(entry["value"], entry["byte_order"], 0, 4))
+    return I.let(n, lambda x: F.when(x > 0, x))
 
 
 def _place(c: str, most: int, strict: bool) -> Column:
@@ -80,29 +83,30 @@ def _place(c: str, most: int, strict: bool) -> Column:
 def flat_metadata(images: DataFrame, components: tuple[str, ...] = ("exif", "iptc", "xmp"), strict_gps: bool = False, mode: str = "PERMISSIVE") -> DataFrame:
     """A row for each image (path, content): format, error and the fields, null where no source has them.
 
-    Without components their segments are neither copied out nor parsed.
+    Components left out are not parsed. Rows with one path are one image; null and empty contents, unknown formats and
+    damaged files have an error and no fields; an empty table gives no rows; further columns are ignored.
     """
-    found = segments(images, components, mode)
-    parts = payloads(found)
-    heads = found.groupBy("path").agg(F.max("format").alias("format"), F.max("error").alias("error"))
-    all_ = with_absent(images, heads)
-    joined = all_.join(exif_record(exif_entries(parts)), "path", "left").join(iptc_record(iptc_datasets(parts)), "path", "left").join(xmp_record(xmp_properties(parts)), "path", "left")
-    lat, lon = _place("lat", 90, strict_gps), _place("lon", 180, strict_gps)
-    x_lat, x_lon = I.xmp_degrees(F.col("x_lat"), 90), I.xmp_degrees(F.col("x_lon"), 180)
-    both, x_both = lat.isNotNull() & lon.isNotNull(), x_lat.isNotNull() & x_lon.isNotNull()
+    xmp_place = F.struct(I.xmp_degrees(F.col("x_lat"), 90).alias("lat"), I.xmp_degrees(F.col("x_lon"), 180).alias("lon"))
+    exif_place = F.struct(_place("lat", 90, strict_gps).alias("lat"), _place("lon", 180, strict_gps).alias("lon"))
+
+    def whole(place: Column) -> Column:
+        return I.let(place, lambda p: F.when(p["lat"].isNotNull() & p["lon"].isNotNull(), p))
+
+    size = I.let(F.struct(_size("width").alias("w"), _size("height").alias("h")), lambda x: F.when(x["w"].isNotNull() & x["h"].isNotNull(), x))
+    joined = pivoted(facts(images, components)).withColumns({"place": F.coalesce(whole(exif_place), whole(xmp_place)), "size": size})
     below = F.substring(F.col("alt_ref")["value"], 1, 1) == F.lit(b"\x01")
     high = I.quotient(_rational("alt"))
     captured = F.coalesce(I.exif_time(_text("original"), _text("offset")), I.xmp_time(F.col("x_original")))
-    return joined.select(
+    records = joined.select(
         "path", "format", "error",
         F.coalesce(_text("make"), F.nullif("x_make", F.lit(""))).alias("make"),
         F.coalesce(_text("model"), F.nullif("x_model", F.lit("")), F.nullif("x_tool", F.lit(""))).alias("model"),
         F.coalesce(_text("lens"), F.nullif("x_lens", F.lit(""))).alias("lens"),
         F.coalesce(_text("software"), F.nullif("x_tool", F.lit(""))).alias("software"),
-        F.when(_size("height").isNotNull(), _size("width")).alias("width"), F.when(_size("width").isNotNull(), _size("height")).alias("height"),
+        F.col("size.w").alias("width"), F.col("size.h").alias("height"),
         captured.alias("captured_at"), I.exif_time(_text("date_time")).alias("date_time"),
-        F.when(both, lat).when(x_both, x_lat).alias("latitude"), F.when(both, lon).when(x_both, x_lon).alias("longitude"),
-        F.when(below, -high).otherwise(high).alias("altitude"),
+        F.col("place.lat").alias("latitude"), F.col("place.lon").alias("longitude"),
+        I.let(high, lambda x: F.when(below, -x).otherwise(x)).alias("altitude"),
         I.exposure_text(_rational("exposure")).alias("exposure_time"), I.quotient(_rational("f_number")).alias("f_number"), _short("iso").alias("iso"), I.quotient(_rational("focal")).alias("focal_length_mm"),
         _short("orientation").alias("orientation"), _short("white").alias("white_balance"), _short("flash").alias("flash"), _short("mode").alias("exposure_mode"), _short("color").alias("color_space"),
         _short("metering").alias("metering_mode"), I.quotient(_rational("distance")).alias("subject_distance"), I.quotient(_rational("zoom")).alias("digital_zoom_ratio"),
@@ -112,11 +116,7 @@ def flat_metadata(images: DataFrame, components: tuple[str, ...] = ("exif", "ipt
         F.coalesce(I.first_of(F.col("x_creator")), F.nullif("i_creator", F.lit("")), _text("artist")).alias("creator"),
         F.coalesce(I.items_of(F.col("x_subject")), F.when(F.size("i_keywords") > 0, F.col("i_keywords"))).alias("keywords"),
     )
-
-
-def with_absent(images: DataFrame, heads: DataFrame) -> DataFrame:
-    """Every image with its format and error, those without any segment too."""
-    return images.select("path", I.image_format(F.col("content")).alias("__format")).join(heads, "path", "left").select("path", F.coalesce("__format", "format").alias("format"), "error")
+    return kept_errors(records, mode)
 
 
 def as_json(records: DataFrame) -> DataFrame:

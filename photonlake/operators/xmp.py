@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from xml.parsers import expat
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.registry import NAMESPACES
 
-PROPERTIES = "path string, ns string, local string, value string"
 RDF = NAMESPACES["rdf"]
 MOST_DEPTH = 100
 SEPARATOR = "\u001e"
@@ -95,13 +93,6 @@ def properties(b: bytes) -> dict[tuple[str, str], str]:
     return reader.found
 
 
-def xmp_properties(payloads: DataFrame) -> DataFrame:
-    """A row for each property of XMP payloads."""
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = pa.schema([(n, pa.string()) for n in ("path", "ns", "local", "value")])
-        for batch in batches:
-            rows = [{"path": p.as_py(), "ns": n, "local": k, "value": v} for p, x in zip(batch.column("path"), batch.column("payload")) for (n, k), v in properties(x.as_py()).items()]
-            yield pa.RecordBatch.from_pylist(rows, fields)
-
-    return payloads.where("kind = 'xmp'").select("path", "payload").mapInArrow(parse, PROPERTIES)
+def xmp_properties(facts: DataFrame) -> DataFrame:
+    """A row for each property of the XMP packets of images."""
+    return facts.where("kind = 'xmp'").select("path", F.col("space").alias("ns"), F.col("name").alias("local"), F.col("value").cast("string").alias("value"))

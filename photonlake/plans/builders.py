@@ -89,6 +89,11 @@ def iptc(*datasets: tuple[int, int, Column]) -> Column:
     return join(*[join(raw("1C"), number(r, 1), number(d, 1), number(F.octet_length(v), 2), v) for r, d, v in datasets])
 
 
+def _or_nothing(part: Column) -> Column:
+    """A part whose content is null is left out."""
+    return F.coalesce(part, raw(""))
+
+
 def jpeg(exif_: Column | None = None, xmp_: Column | None = None, iptc_: Column | None = None) -> Column:
     parts = [raw("FFD8")]
     if exif_ is not None:
@@ -99,7 +104,7 @@ def jpeg(exif_: Column | None = None, xmp_: Column | None = None, iptc_: Column
         pad = F.when(F.octet_length(iptc_) % 2 == 1, raw("00")).otherwise(raw(""))
         block = join(text(F.lit("8BIM")), raw("04040000"), number(F.octet_length(iptc_), 4), iptc_, pad)
         parts.append(join(raw("FFED"), number(F.octet_length(block) + 16, 2), text(F.lit("Photoshop 3.0")), raw("00"), block))
-    return join(*parts, raw("FFDA0002FFD9"))
+    return join(*[_or_nothing(p) for p in parts], raw("FFDA0002FFD9"))
 
 
 def chunk(kind: str, data: Column) -> Column:
@@ -113,7 +118,7 @@ def png(exif_: Column | None = None, xmp_: Column | None = None) -> Column:
         parts.append(chunk("eXIf", exif_))
     if xmp_ is not None:
         parts.append(chunk("iTXt", join(text(F.lit("XML:com.adobe.xmp")), raw("0000000000"), xmp_)))
-    return join(*parts, chunk("IEND", raw("")))
+    return join(*[_or_nothing(p) for p in parts], chunk("IEND", raw("")))
 
 
 def _little(n: Column) -> Column:
@@ -128,5 +133,5 @@ def webp(exif_: Column | None = None, xmp_: Column | None = None) -> Column:
     body = [text(F.lit("WEBP")), part("VP8X", raw("0C000000000000000000"))]
     body += [part("EXIF", exif_)] if exif_ is not None else []
     body += [part("XMP ", xmp_)] if xmp_ is not None else []
-    whole = join(*body)
+    whole = join(*[_or_nothing(p) for p in body])
     return join(text(F.lit("RIFF")), _little(F.octet_length(whole)), whole)

@@ -1,12 +1,13 @@
 """Where the metadata of one image stands: a small walker for each container family.
 
-A walker yields (kind, payload, group, offset). Kinds: exif, iptc, xmp, and xmp_part for a chunk of an XMP packet that
-JPEG spreads over segments (group names the packet, offset the chunk's place). Reading no more than this is left to
-Python; types, names, joins and priorities are Spark's.
+A walker yields (kind, payload); of payloads of one kind the last counts. Kinds: exif, exif_ifd (the directory that CR3
+keeps apart), iptc and xmp. Reading no more than this is left to Python; types, names, grouping and priorities are
+Spark's.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -19,7 +20,7 @@ CANON = bytes.fromhex("85c0b687820f11e08111f4ce462b6a48")
 MOST_INFLATED = 64 << 20
 MOST_ITEM = 256 << 20
 
-Found = Iterator[tuple[str, bytes, str | None, int]]
+Found = Iterator[tuple[str, bytes]]
 
 
 class Damaged(ValueError):
@@ -56,18 +57,31 @@ def resource_iptc(b: bytes) -> bytes | None:
     return out
 
 
+def spliced(main: bytes, more: bytes) -> bytes:
+    """An XMP packet with the descriptions of its extension put before the end of its RDF."""
+    inner, cut = re.search(rb"<rdf:RDF[^>]*>(.*)</rdf:RDF>", more, re.S), main.rfind(b"</rdf:RDF>")
+    return main[:cut] + inner[1] + main[cut:] if inner and cut >= 0 else main
+
+
 def jpeg(b: bytes) -> Found:
+    packet, chunks = None, {}
     for marker, a, z in jpeg_segments(b):
         part = b[a:z]
         if marker == 0xE1 and part.startswith(b"Exif\0\0"):
-            yield "exif", part[6:], None, a
+            yield "exif", part[6:]
         elif marker == 0xE1 and part.startswith(XMP_URI):
-            yield "xmp", part[len(XMP_URI) :], None, a
+            packet = part[len(XMP_URI) :]
         elif marker == 0xE1 and part.startswith(XMP_MORE_URI) and len(part) >= len(XMP_MORE_URI) + 40:
             head = part[len(XMP_MORE_URI) :]
-            yield "xmp_part", head[40:], head[:32].decode("latin-1"), int.from_bytes(head[36:40], "big")
+            chunks.setdefault((head[:32], int.from_bytes(head[32:36], "big")), {})[int.from_bytes(head[36:40], "big")] = head[40:]
         elif marker == 0xED and part.startswith(b"Photoshop 3.0\0") and (own := resource_iptc(part[14:])) is not None:
-            yield "iptc", own, None, a
+            yield "iptc", own
+    if packet is not None:
+        for (name, size), own in chunks.items():
+            more = b"".join(own[k] for k in sorted(own))
+            if len(more) == size and name in packet:
+                packet = spliced(packet, more)
+        yield "xmp", packet
 
 
 def png_chunks(b: bytes) -> Iterator[tuple[bytes, int, int]]:
@@ -96,7 +110,7 @@ def png(b: bytes) -> Found:
     for kind, a, z in png_chunks(b):
         part = b[a:z]
         if kind == b"eXIf":
-            yield "exif", part, None, a
+            yield "exif", part
         elif kind in (b"iTXt", b"tEXt", b"zTXt") and part.startswith(PNG_XMP + b"\0"):
             rest = part[len(PNG_XMP) + 1 :]
             if kind == b"iTXt" and len(rest) >= 2:
@@ -108,7 +122,7 @@ def png(b: bytes) -> Found:
             elif kind == b"zTXt" and not legacy:
                 legacy = inflated(rest[1:])
     if packet or legacy:
-        yield "xmp", packet or legacy, None, 0
+        yield "xmp", packet or legacy
 
 
 def webp(b: bytes) -> Found:
@@ -119,7 +133,7 @@ def webp(b: bytes) -> Found:
             raise Damaged("a chunk is cut off")
         if kind in (b"EXIF", b"XMP "):
             part = b[at + 8 : at + 8 + size]
-            yield ("exif", part.removeprefix(b"Exif\0\0"), None, at) if kind == b"EXIF" else ("xmp", part, None, at)
+            yield ("exif", part.removeprefix(b"Exif\0\0")) if kind == b"EXIF" else ("xmp", part)
         at += 8 + size + (size & 1)
 
 
@@ -145,8 +159,9 @@ def find_box(b: bytes, at: int, end: int, *path: bytes) -> tuple[int, int] | Non
     return None
 
 
-def item_places(b: bytes, a: int, z: int) -> dict[int, tuple[int, int]]:
-    """Offset and length of each item of an iloc box; of several extents the last counts."""
+def item_places(b: bytes, a: int, z: int) -> dict[int, tuple[int, int, int, int, int, int]]:
+    """Offset and length of each item of an iloc box, then where its extent stands, the widths of both fields, and the
+    base; of several extents the last counts."""
     if z - a < 8:
         return {}
     version, sizes, more = b[a], b[a + 4], b[a + 5]
@@ -166,7 +181,7 @@ def item_places(b: bytes, a: int, z: int) -> dict[int, tuple[int, int]]:
             if at + index + o + n > z:
                 return out
             at += index
-            out[item] = (start + int.from_bytes(b[at : at + o], "big"), int.from_bytes(b[at + o : at + o + n], "big"))
+            out[item] = (start + int.from_bytes(b[at : at + o], "big"), int.from_bytes(b[at + o : at + o + n], "big"), at, o, n, start)
             at += o + n
     return out
 
@@ -184,8 +199,11 @@ def item_kinds(b: bytes, a: int, z: int) -> dict[int, tuple[bytes, bytes]]:
     return out
 
 
-def heif(b: bytes) -> Found:
-    meta = find_box(b, 0, len(b), b"meta") or find_box(b, 0, len(b), b"moov", b"meta") or find_box(b, 0, len(b), b"moov", b"udta", b"meta") or find_box(b, 0, len(b), b"moov", b"trak", b"meta")
+def heif_items(b: bytes) -> Iterator[tuple[str, tuple[int, int, int, int, int, int]]]:
+    """Kind and place of the Exif and XMP items, the lowest item last; items of several extents, of no bytes and beyond
+    the limit are left out."""
+    paths = ((b"meta",), (b"moov", b"meta"), (b"moov", b"udta", b"meta"), (b"moov", b"trak", b"meta"))
+    meta = next(filter(None, (find_box(b, 0, len(b), *p) for p in paths)), None)
     if not meta:
         return
     a, z = meta[0] + 4, meta[1]
@@ -194,15 +212,21 @@ def heif(b: bytes) -> Found:
         return
     where = item_places(b, *places)
     for item, (kind, content) in sorted(item_kinds(b, *info).items(), reverse=True):
-        at, size = where.get(item, (0, 0))
-        if not size or size > MOST_ITEM:
-            continue
-        if kind == b"Exif" and at + size <= len(b) and size > 4:
-            yield "exif", b[at + 4 + int.from_bytes(b[at : at + 4], "big") : at + size].removeprefix(b"Exif\0\0"), None, at
-        elif kind == b"mime" and content == b"application/rdf+xml":
+        if item in where and 0 < where[item][1] <= MOST_ITEM:
+            if kind == b"Exif":
+                yield "exif", where[item]
+            elif kind == b"mime" and content == b"application/rdf+xml":
+                yield "xmp", where[item]
+
+
+def heif(b: bytes) -> Found:
+    for kind, (at, size, *_) in heif_items(b):
+        if kind == "exif" and at + size <= len(b) and size > 4:
+            yield kind, b[at + 4 + int.from_bytes(b[at : at + 4], "big") : at + size].removeprefix(b"Exif\0\0")
+        elif kind == "xmp":
             if at + size > len(b):
                 raise Damaged("the XMP item is cut off")
-            yield "xmp", b[at : at + size], None, at
+            yield kind, b[at : at + size]
 
 
 def cr3(b: bytes) -> Found:
@@ -212,11 +236,11 @@ def cr3(b: bytes) -> Found:
     inside = next(((s + 16, e) for kind, s, e in boxes(b, *moov) if kind == b"uuid" and b[s : s + 16] == CANON), moov)
     for kind, s, e in boxes(b, *inside):
         if kind == b"CMT1":
-            yield "exif", b[s:e], None, s
+            yield "exif", b[s:e]
         elif kind == b"CMT2":
-            yield "exif_ifd", b[s:e], None, s
+            yield "exif_ifd", b[s:e]
         elif kind == b"XMP ":
-            yield "xmp", b[s:e], None, s
+            yield "xmp", b[s:e]
 
 
 def tiff(b: bytes) -> Found:
@@ -224,11 +248,11 @@ def tiff(b: bytes) -> Found:
     b = patched(b)
     if len(b) < 8 or b[:2] not in (b"II", b"MM"):
         raise Damaged("no TIFF header")
-    yield "exif", b, None, 0
+    yield "exif", b
     own = {0x83BB: "iptc", 0x02BC: "xmp"}
     for tag, _, _, value in directory(b, "little" if b[:2] == b"II" else "big", int.from_bytes(b[4:8], "little" if b[:2] == b"II" else "big"))[0]:
         if tag in own and value:
-            yield own[tag], value, None, 0
+            yield own[tag], value
 
 
 def patched(b: bytes) -> bytes:

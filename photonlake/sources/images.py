@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.image import image_format
 from .containers import WALKERS, Damaged
 
-SEGMENTS = "path string, format string, kind string, payload binary, part_of string, at long, error string"
+SEGMENTS = "path string, format string, raw_exif binary, raw_iptc binary, raw_xmp binary, error string"
 EXTENSIONS = ("jpg", "jpeg", "png", "webp", "tif", "tiff", "heic", "heif", "avif", "cr2", "cr3", "nef", "arw", "dng", "orf", "rw2")
 
 
@@ -27,47 +27,40 @@ def with_format(images: DataFrame) -> DataFrame:
     return images.withColumn("format", image_format(F.col("content")))
 
 
+def kept_errors(rows: DataFrame, mode: str) -> DataFrame:
+    """PERMISSIVE keeps images with an error, DROPMALFORMED drops them, FAILFAST raises on the first."""
+    if mode == "FAILFAST":
+        return rows.where(F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.lit("image "), F.col("path"), F.lit(": "), F.col("error"))).cast("boolean")).otherwise(F.lit(True)))
+    return rows.where("error IS NULL") if mode == "DROPMALFORMED" else rows
+
+
+def opened(content: bytes | None, kind: str | None) -> tuple[dict[str, bytes], str | None]:
+    """An image's payloads by kind, and what is wrong with it."""
+    if kind is None:
+        return {}, f"UnsupportedFormat: {content[:12].hex()}" if content else "EmptyInput"
+    found: dict[str, bytes] = {}
+    try:
+        for name, payload in WALKERS[kind](content):
+            found[name] = payload
+    except Damaged as e:
+        return found if kind == "HEIF" else {}, f"Corrupt: {e}"
+    return found, None
+
+
 def segments(images: DataFrame, components: tuple[str, ...] = ("exif", "iptc", "xmp"), mode: str = "PERMISSIVE") -> DataFrame:
-    """A row for each metadata segment of images with path and content, and one with an error for a damaged image.
+    """path, format, raw_exif, raw_iptc, raw_xmp, error of images with path and content; a narrow pass.
 
-    Of segments of one kind the last of an image counts; chunks of an XMP packet come as xmp_part. Unknown formats are
-    errors. mode: PERMISSIVE keeps error rows, DROPMALFORMED drops them, FAILFAST raises. Components that are not asked
-    for are not copied out of the images.
+    Components that are not asked for are null and not copied out of the images. Null and empty contents, unknown
+    formats and damaged files have an error; an empty table gives no rows; further columns are ignored.
     """
-    wanted = set(components) | ({"xmp_part"} if "xmp" in components else set()) | ({"exif_ifd"} if "exif" in components else set())
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = pa.schema([(n, pa.string()) for n in ("path", "format", "kind")] + [("payload", pa.binary()), ("part_of", pa.string()), ("at", pa.int64()), ("error", pa.string())])
+        fields = pa.schema([("path", pa.string()), ("format", pa.string()), *((f"raw_{c}", pa.binary()) for c in ("exif", "iptc", "xmp")), ("error", pa.string())])
         for batch in batches:
             rows = []
             for path, content, kind in zip(*(batch.column(c) for c in ("path", "content", "format"))):
-                path, kind = path.as_py(), kind.as_py()
-                if kind is None:
-                    rows.append((path, None, None, None, None, None, "UnsupportedFormat" if content.as_py() else "EmptyInput"))
-                    continue
-                try:
-                    rows += [(path, kind, k, bytes(p), g, at, None) for k, p, g, at in WALKERS[kind](content.as_py()) if k in wanted]
-                except Damaged as e:
-                    if mode == "FAILFAST":
-                        raise
-                    rows.append((path, kind, None, None, None, None, f"Corrupt: {e}"))
-            yield pa.RecordBatch.from_pylist([dict(zip(fields.names, r)) for r in rows], fields)
-
-    known = with_format(images.select("path", "content"))
-    out = known.mapInArrow(walk, SEGMENTS)
-    return out.where("error IS NULL") if mode == "DROPMALFORMED" else out
-
-
-def payloads(found: DataFrame) -> DataFrame:
-    """path, format, kind, payload: the last segment of each kind, and chunked XMP put together.
-
-    Chunks of a packet are sorted by their place and their descriptions are put before the end of the main packet's RDF.
-    """
-    whole = found.where("kind IN ('exif', 'exif_ifd', 'iptc', 'xmp')").groupBy("path", "format", "kind").agg(F.max_by("payload", "at").alias("payload"))
-    chunks = found.where("kind = 'xmp_part'").groupBy("path", "part_of").agg(F.array_sort(F.collect_list(F.struct("at", "payload"))).alias("chunks"))
-    text = F.array_join(F.transform("chunks", lambda c: c["payload"].cast("string")), "")
-    inner = F.regexp_extract(text, r"(?s)<rdf:RDF[^>]*>(.*)</rdf:RDF>", 1)
-    more = chunks.select("path", F.lit("xmp").alias("kind"), inner.alias("more")).groupBy("path", "kind").agg(F.array_join(F.collect_list("more"), "").alias("more"))
-    main = F.col("payload").cast("string")
-    spliced = F.when(F.col("more").isNotNull() & main.contains("</rdf:RDF>"), F.concat(F.substring_index(main, "</rdf:RDF>", 1), F.col("more"), F.lit("</rdf:RDF>"), F.substring_index(main, "</rdf:RDF>", -1)).cast("binary"))
-    return whole.join(more, ["path", "kind"], "left").select("path", "format", "kind", F.coalesce(spliced, "payload").alias("payload"))
+                found, error = opened(content.as_py(), kind.as_py())
+                rows.append((path.as_py(), kind.as_py(), *(found.get(c) if c in components else None for c in ("exif", "iptc", "xmp")), error))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(fields)], schema=fields)
+
+    return kept_errors(with_format(images.select("path", "content")).mapInArrow(walk, SEGMENTS), mode)
