@@ -39,7 +39,7 @@ SKETCH_BITS = 22
 SEGMENTS = 64
 BITMAP_BITS = 26
 MOST_LIGHT = 64
-MOST_CACHED = 400_000
+MOST_CACHED = 120_000
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 

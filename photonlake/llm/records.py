@@ -169,7 +169,7 @@ class Pieces(dict):
     space or the end after it; such runs are cut elsewhere, and those texts are encoded as they are.
     """
 
-    MOST, LONGEST = 600_000, 64
+    MOST, LONGEST = 900_000, 64
     RUNS = re.compile(r"\s (?!\S)")
 
     def __init__(self, path: str):
@@ -189,8 +189,9 @@ class Pieces(dict):
 
     def words(self, words: list[str], together: int = 2000) -> dict[str, bytes]:
         """The ids of words with a space before each, many words to a text; a token with that space begins each word."""
-        out, alone = {}, [w for w in words if w.split() != [w]]
-        plain = [w for w in words if w.split() == [w]]
+        out, alone, plain = {}, [], []
+        for w in words:
+            (plain if w and not w[0].isspace() and not w[-1].isspace() else alone).append(w)
         parts = [plain[k : k + together] for k in range(0, len(plain), together)]
         for part, e in zip(parts, self.tokenizer.encode_batch_fast([" " + " ".join(p) for p in parts], add_special_tokens=False)):
             ids = np.array(e.ids, self.kind)

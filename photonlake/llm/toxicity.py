@@ -30,7 +30,7 @@ THRESHOLD = 0.3
 LENGTHS = (3, 4, 5, 6, 7)
 LEAST_DOCS, LEAST_SHARE, LEAST_LIFT, LEAST_Z = 3, 0.01, 3.0, 5.0
 EPOCHS, RATE, DECAY = 150, 0.05, 1e-2
-MOST_CACHED = 500_000
+MOST_CACHED = 150_000
 
 WORD = re.compile(r"[^\W\d_]+")
 BETWEEN = re.compile(r"[.!?\n]+")
