@@ -169,7 +169,7 @@ class Pieces(dict):
     space or the end after it; such runs are cut elsewhere, and those texts are encoded as they are.
     """
 
-    MOST, LONGEST = 900_000, 64
+    MOST, LONGEST = 1_200_000, 64
     RUNS = re.compile(r"\s (?!\S)")
 
     def __init__(self, path: str):
@@ -208,7 +208,7 @@ class Pieces(dict):
         if len(self) > self.MOST:
             self.clear()
         cut = [None if self.RUNS.search(t) or any(s in t for s in self.special) else t.split(" ") for t in texts]
-        new = list(set().union(*(c[1:] for c in cut if c)) - self.keys())
+        new = [w for w in set().union(*(c[1:] for c in cut if c)) if w not in self]
         self.update(self.words(new))
         heads = iter(self.whole([t if c is None else c[0] for t, c in zip(texts, cut)]))
         tail = np.array([end], self.kind).tobytes()
