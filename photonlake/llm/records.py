@@ -208,11 +208,11 @@ class Pieces(dict):
         if len(self) > self.MOST:
             self.clear()
         cut = [None if self.RUNS.search(t) or any(s in t for s in self.special) else t.split(" ") for t in texts]
-        new = [w for w in set().union(*(c[1:] for c in cut if c)) if w not in self]
+        heads = self.whole([t if c is None else c.pop(0) for t, c in zip(texts, cut)])
+        new = [w for w in set().union(*filter(None, cut)) if w not in self]
         self.update(self.words(new))
-        heads = iter(self.whole([t if c is None else c[0] for t, c in zip(texts, cut)]))
         tail = np.array([end], self.kind).tobytes()
-        out = [np.frombuffer(b"".join((next(heads), *(map(self.__getitem__, c[1:]) if c else ()), tail)), self.kind) for c in cut]
+        out = [np.frombuffer(b"".join((head, *map(self.__getitem__, c or ()), tail)), self.kind) for head, c in zip(heads, cut)]
         for x in new:
             if len(x) > self.LONGEST:
                 del self[x]
@@ -233,7 +233,7 @@ def pieces(path: str) -> Pieces:
 
 
 #: Texts that are encoded and framed together.
-GROUP_BYTES = 1 << 21
+GROUP_BYTES = 1 << 22
 
 
 def _groups(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
