@@ -1,14 +1,14 @@
-"""Main text of pages: markup decides where it can, a suffix array of each host decides for the rest.
+"""Main text of pages: markup and a suffix array of each host decide together.
 
-One pass reads every page's markup into blocks. What stands in menus, footers, adverts and the like is dropped, and the
-blocks of an article (or of a main element) are the page's text. Pages that mark no article keep all blocks that are
-left, as candidates. Their token streams, host by host, go through a suffix array, dealt out by the first RUN tokens
-of its suffixes: suffixes that begin with the same RUN tokens are neighbours in the array, so such a bucket is a stretch
-of it with common prefixes of RUN tokens or more. A bucket that has suffixes of two distinct pages marks a repeated
+Every pass reads pages' markup into blocks. What stands in menus, footers, adverts and the like is dropped, and the
+blocks of an article (or of a main element) are the candidates; pages that mark no article keep all blocks that are
+left. The token streams of all pages, host by host, go through a suffix array, dealt out by the first RUN tokens of its
+suffixes: suffixes that begin with the same RUN tokens are neighbours in the array, so such a bucket is a stretch of it
+with common prefixes of RUN tokens or more. A bucket that has suffixes of two pages of distinct content marks a repeated
 run on each of them. Blocks that repeated runs cover are boilerplate; the others are kept.
 
-Repetition alone can't decide everywhere: articles that two pages share would go, and adverts that stand on one page
-would stay. So it is asked only where markup leaves it open.
+Repetition alone would drop articles that pages share, so in a marked article it counts only beside own text that is at
+least as long.
 """
 
 from __future__ import annotations
@@ -17,11 +17,14 @@ import html
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, let
+from .common import Workspace
+from .jaccard import BITMAP_BITS, WordHashes, _mixed
 
 #: Tokens of the shortest run that counts as repeated, and the share of a block that such runs must cover.
 RUN = 8
@@ -141,35 +144,137 @@ def host(url: Column) -> Column:
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """row, page_id, url, text (of pages that mark an article) and candidates (the blocks of the others)."""
-    kind = "row long, page_id long, url string, text string, candidates array<string>"
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text, candidates = [], []
-            for x in batch.column("html"):
-                own, marked = blocks(x.as_py())
-                text.append("\n".join(own) if marked or not own else None)
-                candidates.append(None if marked or not own else own)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "page_id", "url")), pa.array(text, pa.string()), pa.array(candidates, pa.list_(pa.string()))], names=["row", "page_id", "url", "text", "candidates"])
-
-    return pages.select(F.monotonically_increasing_id().alias("row"), "page_id", "url", "html").mapInArrow(parse, kind)
-
-
-def repeated_runs(streams: DataFrame, run: int = RUN) -> DataFrame:
-    """row and places: where on a page (from 0) runs of `run` tokens begin that stand on another page of its host too.
-
-    streams: row, host and tokens. A bucket of suffixes with equal first tokens keeps its smallest and largest page, so
-    a bucket that holds a third of all suffixes is summed up before it is dealt out.
+    """The columns that every pass over the pages reads."""
+    return pages.select("page_id", "url", host(F.col("url")).alias("host"), "html")
+
+
+def content_key(own_host: str, own: list[str]) -> int:
+    """What copies of a page on one host have in common."""
+    return xxhash.xxh64_intdigest("\0".join([own_host, *own])) - (1 << 63)
+
+
+_HASHES = WordHashes()
+
+
+def heads_of(own_host: str, tokens: list[str], run: int = RUN) -> np.ndarray:
+    """A hash of each run of `run` tokens and of its host: suffixes that begin alike have equal ones."""
+    n = len(tokens) - run + 1
+    if n < 1:
+        return np.zeros(0, np.uint64)
+    h = np.fromiter(map(_HASHES.__getitem__, tokens), np.uint64, len(tokens))
+    x, factor = np.full(n, xxhash.xxh64_intdigest(own_host), np.uint64), 1
+    for k in range(run):
+        factor = factor * 0x9E3779B97F4A7C15 % (1 << 64)
+        x += h[k : k + n] * np.uint64(factor)
+    return _mixed(x)
+
+
+def _streams(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[list[tuple[int, bool, int, np.ndarray]]]:
+    """key, marked, number of tokens and heads of the pages, in groups; of copies in a group one is there."""
+    group, seen = {}, 0
+    for batch in batches:
+        for own_host, x in zip(batch.column("host"), batch.column("html")):
+            own, marked = blocks(x.as_py())
+            key = content_key(own_host.as_py(), own)
+            if own and key not in group:
+                tokens = " ".join(own).split(" ")
+                group[key] = (key, marked, len(tokens), heads_of(own_host.as_py(), tokens))
+                seen += len(tokens)
+        if seen > most:
+            yield list(group.values())
+            group, seen = {}, 0
+    if group:
+        yield list(group.values())
+
+
+def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The heads of a group of pages by their first byte, sorted, in planes of bytes; two of each suffice."""
+    for group in _streams(batches):
+        h = np.sort(np.concatenate([np.unique(x[3]) for x in group]))
+        h = h[np.concatenate([np.ones(min(2, len(h)), bool), h[2:] != h[:-2]])]
+        ends = np.searchsorted(h, np.arange(1, 256, dtype=np.uint64) << np.uint64(56))
+        parts = [(k, x.byteswap().view(np.uint8).reshape(-1, 8)[:, 1:].T.tobytes()) for k, x in enumerate(np.split(h, ends)) if len(x)]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=["bucket", "heads"])
+
+
+def _repeated(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The heads of one bucket that are there more than once."""
+    parts, bucket = [], 0
+    for batch in rows:
+        for k, x in zip(batch.column("bucket"), batch.column("heads")):
+            bucket, planes = k.as_py(), np.frombuffer(x.as_py(), np.uint8).reshape(7, -1)
+            parts.append(planes)
+    planes = np.concatenate(parts, axis=1)
+    whole = np.empty((planes.shape[1], 8), np.uint8)
+    whole[:, 0], whole[:, 1:] = bucket, planes.T
+    h = np.sort(whole.view(">u8").reshape(-1).astype(np.uint64))
+    yield pa.RecordBatch.from_arrays([pa.array(np.unique(h[1:][h[1:] == h[:-1]]).view(np.int64))], names=["head"])
+
+
+def _bits(ids: DataFrame, column: str) -> np.ndarray:
+    """A bitmap with a bit for the first BITMAP_BITS bits of each ID; it may let others pass, never drops one."""
+    at = F.shiftrightunsigned(column, 64 - BITMAP_BITS) + 1
+    rows = ids.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
+    out = np.zeros((1 << BITMAP_BITS - 15, 4096), np.uint8)
+    for r in rows:
+        out[r.bucket - 1] = np.frombuffer(r.bits, np.uint8)
+    return out.reshape(-1)
+
+
+def _has(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = h >> np.uint64(64 - BITMAP_BITS)
+    return (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+_PLACED = "head long, low long, high long, at array<struct<key: long, marked: boolean, n: int, place: int>>"
+
+
+def _packed(head: np.ndarray, key: np.ndarray, marked: np.ndarray, n: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    """A row for each head, so that a head of very many pages has few rows."""
+    order = np.lexsort((key, head))
+    head, key, marked, n, place = head[order], key[order], marked[order], n[order], place[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(head)), bool), head[1:] != head[:-1]]))
+    ends = np.append(first, len(head))
+    inner = pa.StructArray.from_arrays([pa.array(key), pa.array(marked), pa.array(n), pa.array(place)], names=["key", "marked", "n", "place"])
+    return pa.RecordBatch.from_arrays([pa.array(head[first]), pa.array(key[first]), pa.array(key[ends[1:] - 1]), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), inner)], names=["head", "low", "high", "at"])
+
+
+def repeated_runs(pages: DataFrame, work: Workspace) -> DataFrame:
+    """key, marked, n and runs (head and place from 0) of the pages with runs of RUN tokens that stand on a page of
+    other content of their host too.
+
+    Suffixes are dealt by the hash of their first RUN tokens. Those that are alone in their bucket end there, as eight
+    bytes each; only the others send their places. Copies of a page count as one.
     """
-
-    def suffixes(tokens: Column) -> Column:
-        heads = F.when(F.size(tokens) < run, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.size(tokens) - (run - 1)))
-        return F.transform(heads, lambda i: F.xxhash64(F.slice(tokens, i, run)))
-
-    each = streams.select("row", "host", F.posexplode(let(F.col("tokens"), suffixes)).alias("place", "head"))
-    shared = each.groupBy("host", "head").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low < high").select("host", "head")
-    return each.join(shared, ["host", "head"], "left_semi").groupBy("row").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    spark = pages.sparkSession
+    shared = work.stage(pages.select("host", "html").mapInArrow(_bucketed, "bucket int, heads binary").groupBy("bucket").applyInArrow(_repeated, "head long"), "heads")
+    bitmap = spark.sparkContext.broadcast(_bits(shared, "head"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _streams(batches):
+            found = [(key, marked, n, h, np.flatnonzero(_has(bitmap.value, h))) for key, marked, n, h in group]
+            count = [len(x[4]) for x in found]
+            if sum(count):
+                yield _packed(
+                    np.concatenate([h[at] for *_, h, at in found]).view(np.int64), np.repeat(np.array([x[0] for x in found], np.int64), count), np.repeat(np.array([x[1] for x in found]), count),
+                    np.repeat(np.array([x[2] for x in found], np.int32), count), np.concatenate([x[4] for x in found]).astype(np.int32),
+                )
+
+    placed = work.stage(pages.select("host", "html").mapInArrow(place, _PLACED), "placed")
+    differing = placed.groupBy("head").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("head")
+    each = placed.join(differing, "head", "left_semi").select("head", F.inline("at"))
+    return each.groupBy("key").agg(F.first("marked").alias("marked"), F.first("n").alias("n"), F.sort_array(F.collect_set(F.struct("place", "head"))).alias("runs"))
+
+
+def stretches(places: list[int], n: int, run: int = RUN) -> tuple[list[int], int]:
+    """For each of the places in order, the number of tokens of the covered stretch that it is in; and the tokens of the page that no run covers."""
+    out, start = [], 0
+    for k, p in enumerate(places):
+        if k + 1 == len(places) or places[k + 1] > p + run:
+            out += [p + run - places[start]] * (k + 1 - start)
+            start = k + 1
+    covered = sum(out[k] for k, p in enumerate(places) if not k or p > places[k - 1] + run)
+    return out, n - covered
 
 
 def unique_blocks(candidates: list[str], places: list[int] | None, run: int = RUN, covered: float = COVERED) -> list[str]:
@@ -185,25 +290,56 @@ def unique_blocks(candidates: list[str], places: list[int] | None, run: int = RU
     return out
 
 
+def boilerplate(runs: DataFrame) -> DataFrame:
+    """key and places of the runs that count as boilerplate. In a marked article a stretch does only if the page has
+    at least as much text that is its own."""
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for marked, n, own_runs in zip(batch.column("marked"), batch.column("n"), batch.column("runs")):
+                places = [x["place"] for x in own_runs.as_py()]
+                long, own = stretches(places, n.as_py())
+                out.append([p for p, m in zip(places, long) if not marked.as_py() or m <= own])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, pa.list_(pa.int32()))], names=["key", "places"])
+
+    return runs.mapInArrow(decide, "key long, places array<int>").where("size(places) > 0")
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of all pages.
 
-    Null and empty html have empty text; a null url is a host of its own; repeated rows give a row each and count as
-    distinct pages; an empty table gives no rows; further columns are ignored.
+    Null and empty html have empty text; a null url is a host of its own; repeated rows give a row each; an empty table
+    gives no rows; further columns are ignored.
     """
     work = Workspace(pages.sparkSession, "html")
-    rows = work.stage(parsed(pages), "parsed")
-    open_ = rows.where("candidates IS NOT NULL")
-    streams = open_.select("row", host(F.col("url")).alias("host"), F.split(F.array_join("candidates", " "), " ").alias("tokens"))
-    marked = open_.join(repeated_runs(streams), "row", "left").select("page_id", "url", "candidates", "places")
+    pages = parsed(pages)
+    places = work.stage(boilerplate(repeated_runs(pages, work)), "places")
+    bitmap = pages.sparkSession.sparkContext.broadcast(_bits(places, "key"))
+
+    def read(covered: bool):
+        """Pages that may have places, with their blocks, or else the others, with their text."""
+
+        def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = [blocks(x.as_py())[0] for x in batch.column("html")]
+                keys = np.array([content_key(h.as_py(), b) for h, b in zip(batch.column("host"), own)], np.int64)
+                mine = np.flatnonzero(_has(bitmap.value, keys.view(np.uint64)) == covered)
+                last = [pa.array(keys[mine]), pa.array([own[k] for k in mine], pa.list_(pa.string()))] if covered else [pa.array(["\n".join(own[k]) for k in mine], pa.string())]
+                rest = batch.take(pa.array(mine))
+                yield pa.RecordBatch.from_arrays([rest.column("page_id"), rest.column("url"), *last], names=["page_id", "url", *(["key", "candidates"] if covered else ["text"])])
+
+        return go
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = ["\n".join(unique_blocks(c.as_py(), p.as_py())) for c, p in zip(batch.column("candidates"), batch.column("places"))]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string())], names=["page_id", "url", "text"])
 
-    kept = marked.mapInArrow(keep, "page_id long, url string, text string")
-    return rows.where("candidates IS NULL").select("page_id", "url", "text").unionByName(kept).withColumn("n_chars", F.char_length("text").cast("long"))
+    plain = pages.mapInArrow(read(False), "page_id long, url string, text string")
+    open_ = pages.mapInArrow(read(True), "page_id long, url string, key long, candidates array<string>").join(places, "key", "left")
+    kept = open_.select("page_id", "url", "candidates", "places").mapInArrow(keep, "page_id long, url string, text string")
+    return plain.unionByName(kept).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,3 +51,18 @@ def test_repeated_runs_of_a_host(spark):
     assert got[50].text == notice and got[51].text == notice and got[53].text == notice
     assert got[52].text == "" and got[52].n_chars == 0
     assert html.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def words(name, n=40):
+    return " ".join(f"{name}{i}" for i in range(n))
+
+
+def texts(spark, rows):
+    return {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_runs_that_repeat_in_marked_articles(spark):
+    box = "join the list of our readers and get a letter from us every day"
+    got = texts(spark, [(k, f"https://h/{k}", f"<article><p>{words(f's{k}x')}</p><p>{box}</p></article>") for k in range(5)] + [(9, "https://g/9", f"<article><p>{words('s')}</p><p>{box}</p></article>")])
+    assert all(got[k] == words(f"s{k}x") for k in range(5))
+    assert got[9] == words("s") + "\n" + box
