@@ -7,8 +7,8 @@ suffixes: suffixes that begin with the same RUN tokens are neighbours in the arr
 with common prefixes of RUN tokens or more. A bucket that has suffixes of two pages of distinct content marks a repeated
 run on each of them. Blocks that repeated runs cover are boilerplate; the others are kept.
 
-Repetition alone would drop articles that pages share, so in a marked article it counts only beside own text that is at
-least as long.
+Repetition alone would drop articles that pages share, so a run counts only where pages with at least as much text of
+their own have it, and in a marked article only on such pages.
 """
 
 from __future__ import annotations
@@ -29,6 +29,9 @@ from .jaccard import BITMAP_BITS, WordHashes, _mixed
 #: Tokens of the shortest run that counts as repeated, and the share of a block that such runs must cover.
 RUN = 8
 COVERED = 0.8
+#: Pages of distinct content that must speak for a run; in a marked article, which is evidence against it, one more.
+VOTES = 2
+MARKED_VOTES = 3
 
 #: HTML elements by what they mean for the text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -290,31 +293,44 @@ def unique_blocks(candidates: list[str], places: list[int] | None, run: int = RU
     return out
 
 
-def boilerplate(runs: DataFrame) -> DataFrame:
-    """key and places of the runs that count as boilerplate. In a marked article a stretch does only if the page has
-    at least as much text that is its own."""
+def boilerplate(runs: DataFrame, work: Workspace) -> DataFrame:
+    """key and places of the runs that count as boilerplate.
 
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for marked, n, own_runs in zip(batch.column("marked"), batch.column("n"), batch.column("runs")):
-                places = [x["place"] for x in own_runs.as_py()]
-                long, own = stretches(places, n.as_py())
-                out.append([p for p, m in zip(places, long) if not marked.as_py() or m <= own])
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, pa.list_(pa.int32()))], names=["key", "places"])
+    A page speaks for a run where its own text is at least as long as the covered stretch that the run is in. Pages that
+    share an article have little else, so they don't speak for its runs; pages that otherwise differ do for a menu's.
+    VOTES contents make a run boilerplate; in marked articles MARKED_VOTES do, and only where the page itself is one.
+    """
 
-    return runs.mapInArrow(decide, "key long, places array<int>").where("size(places) > 0")
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            head, key, place, speaks, stands = [], [], [], [], []
+            for k, marked, n, own_runs in zip(*(batch.column(c).to_pylist() for c in ("key", "marked", "n", "runs"))):
+                long, own = stretches([x["place"] for x in own_runs], n)
+                head += [x["head"] for x in own_runs]
+                place += [x["place"] for x in own_runs]
+                key += [k] * len(long)
+                speaks += [m <= own for m in long]
+                stands += [marked] * len(long)
+            if head:
+                yield _packed(np.array(head, np.int64), np.array(key, np.int64), np.array(stands), np.array(speaks, np.int32), np.array(place, np.int32))
+
+    spoken = work.stage(runs.mapInArrow(measure, _PLACED), "spoken")
+    # keys stand in one batch each, so its distinct keys are counted there
+    contents = F.size(F.array_distinct(F.transform(F.filter("at", lambda x: x["n"] == 1), lambda x: x["key"])))
+    votes = spoken.groupBy("head").agg(F.sum(contents).alias("votes")).where(F.col("votes") >= VOTES)
+    each = spoken.join(votes, "head").select("votes", F.inline("at")).where(~F.col("marked") | (F.col("votes") >= MARKED_VOTES) & (F.col("n") == 1))
+    return each.groupBy("key").agg(F.sort_array(F.collect_list("place")).alias("places"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of all pages.
 
-    Null and empty html have empty text; a null url is a host of its own; repeated rows give a row each; an empty table
-    gives no rows; further columns are ignored.
+    Null and empty html have empty text; a null url is a host of its own; repeated rows give a row each and count as one
+    page; an empty table gives no rows; further columns are ignored.
     """
     work = Workspace(pages.sparkSession, "html")
     pages = parsed(pages)
-    places = work.stage(boilerplate(repeated_runs(pages, work)), "places")
+    places = work.stage(boilerplate(repeated_runs(pages, work), work), "places")
     bitmap = pages.sparkSession.sparkContext.broadcast(_bits(places, "key"))
 
     def read(covered: bool):

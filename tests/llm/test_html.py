@@ -66,3 +66,22 @@ def test_runs_that_repeat_in_marked_articles(spark):
     got = texts(spark, [(k, f"https://h/{k}", f"<article><p>{words(f's{k}x')}</p><p>{box}</p></article>") for k in range(5)] + [(9, "https://g/9", f"<article><p>{words('s')}</p><p>{box}</p></article>")])
     assert all(got[k] == words(f"s{k}x") for k in range(5))
     assert got[9] == words("s") + "\n" + box
+
+
+def test_copies_do_not_erase_each_other(spark):
+    menu = "all our shops and offers and news and help at one single glance"
+    page = lambda *own: "".join(f"<div>{x}</div>" for x in own)
+    rows = [(1, "https://h/a", page(menu, words("a"))), (2, "https://h/a2", page(menu, words("a"))), (2, "https://h/a2", page(menu, words("a")))]
+    rows += [(3, "https://h/b", page(menu, words("b"), "seen on monday")), (4, "https://h/b2", page(menu, words("b"), "seen on a quiet tuesday"))]
+    rows += [(5, "https://h/c", page(menu, words("c"))), (6, "https://h/d", page(menu, words("d")))]
+    rows += [(7, "https://two/a", page(words("a"))), (8, "https://two/b", page(words("a")))]
+    got = texts(spark, rows)
+    assert got[1] == got[2] == got[7] == got[8] == words("a")
+    assert words("b") in got[3] and words("b") in got[4]
+    assert got[5] == words("c") and got[6] == words("d")
+
+
+def test_marked_articles_that_two_pages_share(spark):
+    quote = words("q", 20)
+    got = texts(spark, [(k, f"https://h/{k}", f"<article><p>{words(f's{k}x')}</p><p>{quote}</p></article>") for k in range(2)])
+    assert all(got[k] == words(f"s{k}x") + "\n" + quote for k in range(2))
