@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace
-from .jaccard import BITMAP_BITS, WordHashes, _mixed
+from .jaccard import BITMAP_BITS, _mixed
 
 #: Tokens of the shortest run that counts as repeated, and the share of a block that such runs must cover.
 RUN = 8
@@ -41,15 +41,18 @@ BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
-#: Words of class and id names that mark what is not the article.
-NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter"
-    " notice notices pagination popup promo promoted promotion related replies respond share sharing sidebar sidebars signup social sponsor sponsored subscribe teaser toolbar widget widgets".split()
+#: Whole class names and ids that mark what is not the article. In an article only classes that can't mean
+#: anything else do; the others are left to repeated runs there.
+NOT_ARTICLE = frozenset("ad ads advert adverts advertisement advertising adsense breadcrumb breadcrumbs commentlist comments cookie-notice cookie-banner disqus navbar newsletter pagination sidebar sidebars".split())
+NAMES = NOT_ARTICLE | frozenset(
+    "banner comment consent cookie cookies footer gdpr login masthead menu modal nav navigation notice notices popup promo promoted promotion related replies respond share sharing signup social sponsor sponsored"
+    " subscribe teaser toolbar widget widgets".split()
 )
+#: Classes of article elements that are no article of the page.
+LESSER = frozenset("comment comments comment-body teaser related ad promo".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_NAME = re.compile(r"[A-Za-z]+")
 _SPACE = re.compile(r"\s+")
 
 
@@ -67,10 +70,19 @@ def _drops(name: str, attributes: str, in_article: bool) -> bool:
             return True
         if key == "role" and value.strip().lower() in ROLES:
             return True
-        if key in ("class", "id") and name not in ("html", "body", "article", "main") and any(w.lower() in NAMES for part in value.split() for w in _NAME.findall(part)):
-            return True
-        if key in ("class", "id") and name == "article" and {"comment", "comments", "teaser", "related", "ad", "promo"} & {w.lower() for w in _NAME.findall(value)}:
-            return True
+    return False
+
+
+def _named(name: str, attributes: str, in_article: bool) -> bool:
+    """Whether an element's class or id says that it is no part of the article."""
+    if not attributes or attributes == "/" or name in ("html", "body", "main"):
+        return False
+    for m in _ATTRIBUTE.finditer(attributes):
+        key = m[1].lower()
+        if key == "class" or key == "id" and not in_article:
+            names = LESSER if name == "article" else NOT_ARTICLE if in_article else NAMES
+            if not names.isdisjoint((m[2] or m[3] or m[4] or "").lower().split()):
+                return True
     return False
 
 
@@ -78,25 +90,25 @@ def blocks(source: str | None) -> tuple[list[str], bool]:
     """A page's blocks of text in order, and whether they are those of a marked article.
 
     Character references are decoded; white space in a block, line breaks included, becomes one space. Elements that
-    are left open end with what holds them; markup that is cut off at the end of the page is markup.
+    are left open end with what holds them; markup that is cut off at the end of the page is markup. An article in an
+    element that is dropped for its name alone is the page's where there is no other.
     """
     source = source or ""
-    stack: list[tuple[str, bool, bool]] = []  # name, drops, region
-    dropping = region = 0
+    stack: list[tuple[str, bool, bool, bool]] = []  # name, drops, region, named
+    dropping = region = named = hidden = 0  # hidden: regions in elements that are dropped for their names
     text: list[str] = []
-    out: list[tuple[str, bool]] = []
-    found_region = False
+    out: list[tuple[str, int]] = []  # with 2 in an article, 1 in one within a named element, 0 elsewhere
 
     def flush() -> None:
         if text:
             joined = _SPACE.sub(" ", html.unescape("".join(text))).strip()
             if joined:
-                out.append((joined, region > 0))
+                out.append((joined, 0 if not region else 1 if hidden else 2))
             text.clear()
 
     at = 0
     while m := _TAG.search(source, at):
-        if not dropping and m.start() > at:
+        if not dropping and not named and m.start() > at:
             text.append(source[at : m.start()])
         at = m.end()
         if not m[2]:
@@ -107,39 +119,44 @@ def blocks(source: str | None) -> tuple[list[str], bool]:
                 flush()
             if any(x[0] == name for x in stack):
                 while True:
-                    last, drops, opens = stack.pop()
+                    last, drops, opens, held = stack.pop()
                     dropping -= drops
                     region -= opens
+                    if opens and not region:
+                        named, hidden = hidden, 0
+                    named -= held
                     if last == name:
                         break
             continue
         if name in VOID:
             if name == "hr":
                 flush()
-            elif name == "br" and not dropping:
+            elif name == "br" and not dropping and not named:
                 text.append(" ")
             continue
         if name in BLOCKS:
             flush()
         drops = _drops(name, m[3], region > 0)
-        opens = not dropping and not drops and (name in ("article", "main") or "role" in m[3] and bool(re.search(r"""role\s*=\s*["']?(?:main|article)\b""", m[3], re.I)))
+        held = not drops and _named(name, m[3], region > 0)
+        opens = not dropping and not drops and not held and not (region and named) and (name in ("article", "main") or "role" in m[3] and bool(re.search(r"""role\s*=\s*["']?(?:main|article)\b""", m[3], re.I)))
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
             at = end.end() if end else len(source)
-            if not drops and not dropping and name == "xmp":
+            if not drops and not dropping and not held and not named and name == "xmp":
                 text.append(source[m.end() : end.start() if end else len(source)])
             continue
         if not m[3].endswith("/") or name in BLOCKS:
-            stack.append((name, drops, opens))
+            stack.append((name, drops, opens, held))
             dropping += drops
+            named += held
+            if opens and not region:
+                named, hidden = 0, named
             region += opens
-            found_region |= opens
-    if not dropping:
+    if not dropping and not named:
         text.append(source[at:])
     flush()
-    if found_region and any(inside for _, inside in out):
-        return [t for t, inside in out if inside], True
-    return [t for t, _ in out], False
+    best = max((k for _, k in out), default=0)
+    return [t for t, k in out if k == best], best > 0
 
 
 def host(url: Column) -> Column:
@@ -156,15 +173,12 @@ def content_key(own_host: str, own: list[str]) -> int:
     return xxhash.xxh64_intdigest("\0".join([own_host, *own])) - (1 << 63)
 
 
-_HASHES = WordHashes()
-
-
 def heads_of(own_host: str, tokens: list[str], run: int = RUN) -> np.ndarray:
     """A hash of each run of `run` tokens and of its host: suffixes that begin alike have equal ones."""
     n = len(tokens) - run + 1
     if n < 1:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, tokens), np.uint64, len(tokens))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens))
     x, factor = np.full(n, xxhash.xxh64_intdigest(own_host), np.uint64), 1
     for k in range(run):
         factor = factor * 0x9E3779B97F4A7C15 % (1 << 64)

@@ -85,3 +85,14 @@ def test_marked_articles_that_two_pages_share(spark):
     quote = words("q", 20)
     got = texts(spark, [(k, f"https://h/{k}", f"<article><p>{words(f's{k}x')}</p><p>{quote}</p></article>") for k in range(2)])
     assert all(got[k] == words(f"s{k}x") + "\n" + quote for k in range(2))
+
+
+def test_names_of_elements():
+    article = "<article><p>a</p><section id='related-work'>b</section><h2 id='ad-hoc-queries'>c</h2><div class='social-history'>d</div><h3 id='notice'>e</h3><div class='x comments'>no</div></article>"
+    want = (["a", "b", "c", "d", "e"], True)
+    assert html.blocks(f"<div class='layout has-sidebar'>{article}</div><p>z") == want
+    assert html.blocks(f"<div class='sidebar'>menu{article}menu</div><p>z") == want
+    assert html.blocks(f"{article}<div class='sidebar'>x<article>teaser</article>y</div><p>z") == want
+    assert html.blocks("<article>a<div class='ad'>b<article>no</article>c</div>d</article>") == (["a", "d"], True)
+    assert html.blocks("<p>a</p><div class='sidebar'>b<p>c</div><div id='has-sidebar'>d</div><div id='menu'>e</div>f") == (["a", "d", "f"], False)
+    assert html.blocks("<div class='menu'><article>a</article></div>b<div class='menu'>c</div>d") == (["a"], True)
