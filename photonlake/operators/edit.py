@@ -7,6 +7,7 @@ edited in one narrow pass, from its content to its new content.
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import uuid
 from collections.abc import Iterator, Mapping
 
@@ -156,10 +157,19 @@ def edit_metadata(images: DataFrame, fields: Mapping[str, Column]) -> DataFrame:
     return with_format(rows).mapInArrow(edit, "path string, content binary, changed boolean, error string")
 
 
+def target_name(path: str) -> str:
+    """The last part of a path with a hash of the whole path before its suffix."""
+    stem, dot, suffix = path.rpartition("/")[2].rpartition(".")
+    if not dot:
+        stem, suffix = suffix, ""
+    return f"{stem}-{hashlib.sha256(path.encode()).hexdigest()[:32]}{dot}{suffix}"
+
+
 def write_images(images: DataFrame, root: str) -> DataFrame:
-    """Writes each image under root by the name in its path's last part, and gives path, target and bytes.
+    """Writes each image under root, and gives path, target and bytes.
 
-    A file appears under its name only when whole, and a task that runs again writes the same bytes.
+    A file's name is its path's last part with a hash of the whole path before the suffix, so equal names in different
+    folders stay apart. A file appears under its name only when whole, and a task that runs again writes the same bytes.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +178,7 @@ def write_images(images: DataFrame, root: str) -> DataFrame:
         for batch in batches:
             rows = []
             for path, content in zip(batch.column("path"), batch.column("content")):
-                name, data = path.as_py().rpartition("/")[2], content.as_py()
+                name, data = target_name(path.as_py()), content.as_py()
                 passing = f"{base}/.{name}.{uuid.uuid4().hex}"
                 with where.open_output_stream(passing, compression=None) as out:
                     out.write(data)
