@@ -77,11 +77,14 @@ RULES = (
     ("GPL-3.0-or-later", ("spdx-gpl-3",)),
     ("Proprietary", ("rights",)),
 )
-#: Every known sentence has one of these in its normal form, so other sentences need no look-up.
+#: Every known sentence has one of these, so texts without any need no look-up.
 CUE = r"licen|permi|warrant|redistrib|rights[^a-z0-9]+reserved|copyright"
-#: A sentence ends before white space that follows a full stop or the like, and at a line feed.
-ENDS = r"(?<=[.!?])[ \t\r]+|\n+"
-#: What a line feed inside a wrapped notice may stand before; there it is white space.
+#: A sentence ends before white space that follows a full stop or the like, and at an empty line.
+STOPS = r"(?<=[.!?])(?:[ \t\r]+|(?=\n))"
+#: An address may stand in a paragraph of its own within a sentence.
+ADDRESS = r"(?<=[ \t]at)[ \t\r]*\n[ \t\r*#/;%-]*\n[ \t\r*#/;%-]*(?=https?://)"
+#: What a line feed stands before where no sentence can begin; there it is white space. Other single line
+#: feeds may end a sentence or not.
 GOES_ON = "[a-z]|WITHOUT |EXPRESS |IMPLIED|INCLUDING |FITNESS |MERCHANTABILITY|NONINFRINGEMENT|WARRANT|OR "
 #: A tag ends its sentence wherever it stands.
 SPDX = r"(SPDX-License-Identifier:[ \t]*[A-Za-z0-9.+-]+)"
@@ -105,11 +108,19 @@ def normal(sentence: Column) -> Column:
 
 
 def identifiers(text: Column) -> Column:
-    """The identifiers of a text's known sentences in order."""
+    """The identifiers of a text's known sentences in order.
+
+    A known sentence begins and ends where a line, a sentence or a paragraph does, and may run over single line feeds.
+    """
     table = F.create_map(*[F.lit(x) for pair in known().items() for x in pair])
-    cut = F.split(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), SPDX, "$1.\n"), WRAP, " "), ENDS)
-    cued = F.filter(cut, lambda s: s.rlike(f"(?i){CUE}"))
-    return F.filter(F.transform(cued, lambda s: F.try_element_at(table, normal(s))), lambda k: k.isNotNull())
+    # longer ones first, so that a sentence over two lines comes before one that its first line is
+    sentences = "|".join(s.replace(" ", "[ \\n]") for s in sorted(known(), key=len, reverse=True))
+    joined = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, SPDX, "$1.\n"), ADDRESS, " "), WRAP, " ")
+    marked = F.regexp_replace(joined, STOPS, "\n\n")
+    lines = F.regexp_replace(F.regexp_replace(F.lower(F.concat(F.lit("\n"), marked, F.lit("\n"))), r"[^a-z0-9\n]+", " "), r" ?\n ?", "\n")
+    found = F.regexp_extract_all(lines, F.lit(rf"(?<=\n)({sentences})(?=\n)"), F.lit(1))
+    ids = F.transform(found, lambda s: F.try_element_at(table, F.translate(s, "\n", " ")))
+    return F.when(text.rlike(f"(?i){CUE}"), ids).otherwise(F.array().cast("array<string>"))
 
 
 def matched(ids: Column) -> Column:

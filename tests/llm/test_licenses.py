@@ -27,3 +27,37 @@ def test_rules(spark):
         assert (r.licenses, r.n_unmatched) == (want, left), t[:80]
     assert all((r.n_sentences, r.licenses) == (0, "") for r in got[len(cases) :])
     assert licenses.license_scan(documents(spark, []).limit(0)).count() == 0
+
+
+GPL = """This program is free software{0} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{1} either version {2} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+
+
+def test_notices_in_their_published_lines(spark):
+    notices = [(GPL.format(":", ",", 3), "GPL-3.0-or-later", 3), (GPL.format(";", ";", 2), "GPL-2.0-or-later", 3), (MPL, "MPL-2.0", 1), (APACHE, "Apache-2.0", 4)]
+    cases = [(head + t.replace("\n", feed), want, n) for t, want, n in notices for head, feed in (("", "\n"), ("# ", "\n# "), ("/*\n * ", "\n * "), ("Copyright 2020 A\n", "\r\n"))]
+    cases += [("Copyright 2020 A\nAll rights reserved\nLicensed under the MIT License\nfoo", "Proprietary", 1), ("A\nAll rights reserved\nB", "Proprietary", 1), ("Not a\n\nlicensed under the\n\nMIT License.", "", 0)]
+    got = licenses.license_scan(documents(spark, [t for t, _, _ in cases])).orderBy("doc_id").collect()
+    for r, (t, want, n) in zip(got, cases):
+        assert (r.licenses, r.n_sentences, r.n_unmatched) == (want, n, 0), t
