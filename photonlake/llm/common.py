@@ -43,10 +43,17 @@ class Workspace:
         writer.parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def drop(self, name: str) -> None:
-        """Removes a staged table that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(self.path(name))
+    def drop(self, *names: str) -> None:
+        """Removes staged tables that no later plan reads."""
+        for name in names:
+            self._delete(self.path(name))
+
+    def clear(self) -> None:
+        """Removes the whole folder, once nothing in it is read any more."""
+        self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 

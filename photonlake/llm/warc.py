@@ -1,9 +1,11 @@
 """WARC archives with revisit resolution.
 
-Payload digests are gathered first, without payloads. Of records with equal digests the one with the largest page_id
-is the response; the others become revisit records, which carry headers only. Each task writes one archive of
-gzip members, one member a record. Reading back yields one row of headers for each record; revisits find their
-response by a join on the digest, and from it their payload's length.
+One pass over the pages takes each payload's digest and puts the payload aside in a spool file; from there on only
+headers are shuffled. Of records with equal digests the one with the largest page_id is the response; the others become
+revisit records, which carry headers only. Headers then go back to the spool file that they came from, and a task
+writes one archive of gzip members, one member a record, reading the payloads of responses where they stand. Reading
+back yields one row of headers for each record; revisits find their response by a join on the digest, and from it
+their payload's length.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ def sha1_base32(data: bytes) -> str:
 
 def record_id(page_id: int | None, digest: str, url: str | None) -> str:
     """The same record always gets the same ID, so that a task that runs again writes the same file."""
-    name = f"page:{page_id}" if page_id is not None else f"unnumbered:{digest}:{url}"
+    name = f"page:{page_id}:{digest}" if page_id is not None else f"unnumbered:{digest}:{url}"
     return f"<urn:uuid:{uuid.uuid5(NAMES, name)}>"
 
 
@@ -46,10 +48,10 @@ def clean(url: str | None) -> str | None:
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, original: int | None) -> bytes:
-    """One WARC record: a response, or a revisit of page `original`."""
+    """One WARC record: a response with its payload, or a revisit of page `original`."""
     url = clean(url)
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http if original is not None else http + payload
+    length = f"Content-Length: {len(payload)}\r\n" if original is None else ""
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{length}\r\n".encode() + payload
     lines = [VERSION, f"WARC-Type: {'response' if original is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, digest, url)}", f"WARC-Date: {DATE}"]
     if url is not None:
         lines.append(f"WARC-Target-URI: {url}")
@@ -100,44 +102,74 @@ def _records(batch: pa.RecordBatch) -> Iterator[tuple]:
         yield tuple(batch.column(c)[k].as_py() for c in range(batch.num_columns))
 
 
-def payload_digests(pages: DataFrame) -> DataFrame:
-    """page_id and digest of every page."""
+SPOOLED = "page_id long, url string, digest string, file string, at long, size long"
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def spooled(pages: DataFrame, root: str) -> DataFrame:
+    """The header row of every page, and where its payload stands in the spool files under root.
+
+    A file belongs to one attempt of a task and so do the rows that name it; files of attempts that failed are read by
+    none and go with root.
+    """
+
+    def spool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, out = f"{uuid.uuid4().hex}.spool", None
         for batch in batches:
-            own = [sha1_base32(x.as_py() or b"") for x in batch.column("payload")]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(own, pa.string())], ["page_id", "digest"])
+            out = out or AtomicFile(f"{root}/{name}")
+            digests, places, sizes = [], [], []
+            for x in batch.column("payload"):
+                payload = x.as_py() or b""
+                data = zlib.compress(payload, 1)
+                digests.append(sha1_base32(payload))
+                places.append(out.size)
+                sizes.append(len(data))
+                out.write(data)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("page_id"), batch.column("url"), pa.array(digests, pa.string()), pa.array([name] * len(sizes), pa.string()), pa.array(places, pa.int64()), pa.array(sizes, pa.int64())],
+                names=["page_id", "url", "digest", "file", "at", "size"],
+            )
+        if out:
+            out.commit()
 
-    return pages.select("page_id", F.col("html").cast("binary").alias("payload")).mapInArrow(digest, "page_id long, digest string")
+    return pages.select("page_id", "url", F.col("html").cast("binary").alias("payload")).mapInArrow(spool, SPOOLED)
 
 
-def originals(digests: DataFrame) -> DataFrame:
-    """page_id and original of every page that revisits another: those below the largest page_id of their digest."""
-    top = digests.groupBy("digest").agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return digests.join(top, "digest").where("page_id < original").select("page_id", "original").distinct()
+def with_originals(headers: DataFrame) -> DataFrame:
+    """headers (page_id, digest and more) with original: for those below the largest page_id of their digest, that one."""
+    top = headers.groupBy("digest").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "top")
+    return headers.join(top, "digest", "left").withColumn("original", F.when(F.col("page_id") < F.col("top"), F.col("top"))).drop("top")
 
 
 def write_archives(pages: DataFrame, root: str) -> DataFrame:
     """Writes every page to the archives under root; the manifest has a row for each archive."""
     spark = pages.sparkSession
-    work = Workspace(spark, "digests")
-    revisits = work.stage(originals(work.stage(payload_digests(pages), "digests")), "revisits")
+    work = Workspace(spark, "spool")
+    payloads = work.path("payloads")
+    headers = work.stage(spooled(pages, payloads), "headers")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, out, n = f"part-{TaskContext.get().partitionId():06d}.warc.gz", None, 0
+        name, out, n, opened, spool = f"part-{TaskContext.get().partitionId():06d}.warc.gz", None, 0, None, None
         for batch in batches:
-            for page_id, url, payload, original in _records(batch):
+            for page_id, url, digest, file, at, size, original in _records(batch):
                 out = out or AtomicFile(f"{root}/{name}")
-                payload = payload or b""
+                if file != opened:
+                    where, path = filesystem(f"{payloads}/{file}")
+                    opened, spool = file, where.open_input_file(path)
+                payload = b""
+                if original is None:
+                    spool.seek(at)
+                    payload = zlib.decompress(spool.read(size))
                 deflate = zlib.compressobj(4, zlib.DEFLATED, 31)
-                out.write(deflate.compress(record(page_id, url, payload, sha1_base32(payload), original)) + deflate.flush())
+                out.write(deflate.compress(record(page_id, url, payload, digest, original)) + deflate.flush())
                 n += 1
         if out:
             out.commit()
             yield pa.RecordBatch.from_pydict({"name": [name], "records": [n], "bytes": [out.size]})
 
-    rows = pages.join(revisits, "page_id", "left").select("page_id", "url", F.col("html").cast("binary").alias("payload"), "original")
+    n_files = max(1, headers.select("file").distinct().count())
+    rows = with_originals(headers).select("page_id", "url", "digest", "file", "at", "size", "original").repartitionByRange(n_files, "file").sortWithinPartitions("file", "at")
     rows.mapInArrow(write, "name string, records long, bytes long").write.mode("overwrite").parquet(f"{root}/manifest")
+    work.clear()
     return spark.read.schema("name string, records long, bytes long").parquet(f"{root}/manifest")
 
 
@@ -179,7 +211,9 @@ def archive_pages(pages: DataFrame, root: str | None = None) -> DataFrame:
     """Writes all pages and gives page_id, payload_bytes, payload_digest, record_type, refers_to as read back.
 
     Null html is an empty payload; a page without page_id is a response of its own that none revisits; of repeated
-    rows with the largest page_id each is a response; an empty table gives no rows; further columns are ignored.
+    rows with the largest page_id each is a response; rows of one page_id with different html are records of their own,
+    each resolved by its own payload; a very long payload is one record, in memory once; an empty table gives no rows;
+    further columns are ignored.
     """
     spark, work = pages.sparkSession, Workspace(pages.sparkSession, "warc")
     root = root or work.path("archives")

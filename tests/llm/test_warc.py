@@ -21,3 +21,21 @@ def test_round_trip(spark, tmp_path):
     data = b"".join(gzip.decompress(p.read_bytes()) for p in sorted((tmp_path / "w").glob("*.warc.gz")))
     assert data.count(b"WARC/1.1\r\n") == len(rows) and data.count(b"same") == 2
     assert warc.archive_pages(pages.limit(0)).count() == 0
+
+
+def test_repeated_page_ids(spark):
+    """Rows of one page_id with equal and different html against brute force; a third of all rows has one page_id."""
+    rows = [(7, "u", "A"), (7, "u", "B"), (9, "v", "A"), (12, "w", "B"), (7, "u", "A"), (12, "w", "C"), (3, None, None), (4, None, "")]
+    rows += [(k if k % 3 else 5, f"h{k}", f"text {k % 17}") for k in range(20, 320)]
+    got = warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)).collect()
+    top = {}
+    for p, _, t in rows:
+        top[t or ""] = max(p, top.get(t or "", p))
+    want = sorted((p, len(t or ""), warc.sha1_base32((t or "").encode()), "response" if top[t or ""] == p else "revisit", None if top[t or ""] == p else top[t or ""]) for p, _, t in rows)
+    assert sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == want
+
+
+def test_headers_are_shuffled_without_payloads(spark):
+    pages = spark.createDataFrame([(1, "u", "x" * 1000), (2, "u", "x" * 1000)], "page_id long, url string, html string")
+    assert "html" not in warc.SPOOLED and "payload" not in warc.SPOOLED
+    assert {r.record_type for r in warc.archive_pages(pages).collect()} == {"response", "revisit"}
