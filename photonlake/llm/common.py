@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +61,46 @@ class Workspace:
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: The most bytes of a batch that goes to a Python worker; a longer row is a batch of its own.
+BATCH_BYTES = 8 << 20
+Batches = Iterator[pa.RecordBatch]
+#: What a worker process keeps from batch to batch of a task; emptied when the task ends.
+CACHES: list[dict] = []
+
+
+def lean(function: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """function, after which a task's memory goes back to the system.
+
+    Spark uses a worker process for many tasks and stages, and what one of them leaves there is missing to the others:
+    cached words, Arrow's pool and free memory that the allocator holds on to.
+    """
+
+    def run(batches: Batches) -> Batches:
+        try:
+            yield from function(batches)
+        finally:
+            released()
+
+    return run
+
+
+def released() -> None:
+    for cache in CACHES:
+        cache.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def mapped(df: DataFrame, function: Callable[[Batches], Batches], schema) -> DataFrame:
+    """df.mapInArrow(function), in batches of bounded size and with lean workers."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", conf.get(name))) > BATCH_BYTES:
+        conf.set(name, BATCH_BYTES)
+    return df.mapInArrow(lean(function), schema)
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a URI and the path in it, on whichever machine this runs."""
     if uri.startswith("file:") and not uri.startswith("file://"):

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, lean, mapped
 from .jaccard import BITMAP_BITS, _mixed
 
 #: Tokens of the shortest run that counts as repeated, and the share of a block that such runs must cover.
@@ -264,7 +264,7 @@ def repeated_runs(pages: DataFrame, work: Workspace) -> DataFrame:
     bytes each; only the others send their places. Copies of a page count as one.
     """
     spark = pages.sparkSession
-    shared = work.stage(pages.select("host", "html").mapInArrow(_bucketed, "bucket int, heads binary").groupBy("bucket").applyInArrow(_repeated, "head long"), "heads")
+    shared = work.stage(mapped(pages.select("host", "html"), _bucketed, "bucket int, heads binary").groupBy("bucket").applyInArrow(lean(_repeated), "head long"), "heads")
     bitmap = spark.sparkContext.broadcast(_bits(shared, "head"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +277,7 @@ def repeated_runs(pages: DataFrame, work: Workspace) -> DataFrame:
                     np.repeat(np.array([x[2] for x in found], np.int32), count), np.concatenate([x[4] for x in found]).astype(np.int32),
                 )
 
-    placed = work.stage(pages.select("host", "html").mapInArrow(place, _PLACED), "placed")
+    placed = work.stage(mapped(pages.select("host", "html"), place, _PLACED), "placed")
     differing = placed.groupBy("head").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("head")
     each = placed.join(differing, "head", "left_semi").select("head", F.inline("at"))
     return each.groupBy("key").agg(F.first("marked").alias("marked"), F.first("n").alias("n"), F.sort_array(F.collect_set(F.struct("place", "head"))).alias("runs"))
@@ -328,7 +328,7 @@ def boilerplate(runs: DataFrame, work: Workspace) -> DataFrame:
             if head:
                 yield _packed(np.array(head, np.int64), np.array(key, np.int64), np.array(stands), np.array(speaks, np.int32), np.array(place, np.int32))
 
-    spoken = work.stage(runs.mapInArrow(measure, _PLACED), "spoken")
+    spoken = work.stage(mapped(runs, measure, _PLACED), "spoken")
     # keys stand in one batch each, so its distinct keys are counted there
     contents = F.size(F.array_distinct(F.transform(F.filter("at", lambda x: x["n"] == 1), lambda x: x["key"])))
     votes = spoken.groupBy("head").agg(F.sum(contents).alias("votes")).where(F.col("votes") >= VOTES)
@@ -366,9 +366,9 @@ def main_text(pages: DataFrame) -> DataFrame:
             text = ["\n".join(unique_blocks(c.as_py(), p.as_py())) for c, p in zip(batch.column("candidates"), batch.column("places"))]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string())], names=["page_id", "url", "text"])
 
-    plain = pages.mapInArrow(read(False), "page_id long, url string, text string")
-    open_ = pages.mapInArrow(read(True), "page_id long, url string, key long, candidates array<string>").join(places, "key", "left")
-    kept = open_.select("page_id", "url", "candidates", "places").mapInArrow(keep, "page_id long, url string, text string")
+    plain = mapped(pages, read(False), "page_id long, url string, text string")
+    open_ = mapped(pages, read(True), "page_id long, url string, key long, candidates array<string>").join(places, "key", "left")
+    kept = mapped(open_.select("page_id", "url", "candidates", "places"), keep, "page_id long, url string, text string")
     return plain.unionByName(kept).withColumn("n_chars", F.char_length("text").cast("long"))
 
 

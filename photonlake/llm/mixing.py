@@ -7,7 +7,8 @@ the words taken keep near the target as well as the number of documents does.
 
 The sum needs no sorted pass over a source: documents fall in cells (source, class of size, part of a hash). Cells
 are counted with map-side sums, the counts are summed over the some 30,000 cells at most of a source, and only within a
-cell are documents ranked. A source, a size or a text that holds a third of all rows is thus spread over many tasks.
+cell are documents ranked. The hash is that of doc_id and text, so a source, a size, a doc_id or a text that holds a
+third of all rows is spread over many tasks. Rows equal in all three are one with a count until the ranks are known.
 """
 
 from __future__ import annotations
@@ -55,18 +56,20 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: f
 
 
 def with_copies(records: DataFrame, targets: DataFrame, seed: str = SEED) -> DataFrame:
-    """records (source, doc_id, size and more) with source_size, target and copies.
+    """source, doc_id, size, mark and whole with before, n, source_size, target, rate, u and most, a row for equal records.
 
+    The n equal records stand at the places before + 1 to before + n of their source; copies_at() says what each takes.
     A source without words takes nothing. Rates are at most 3; the greatest number of copies is their ceiling.
     """
     size_class = F.when(F.col("size") > 0, F.floor(F.log2(F.col("size").cast("double")) * 8) + 1).otherwise(0).cast("int")
-    part = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), 1, 2)
+    part = F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("mark"))), 1, 2)
     cells = ["source_key", "size_class", "part"]
-    keyed = records.withColumns({"source_key": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")), "size_class": size_class, "part": part})
+    alike = records.groupBy("source", "doc_id", "size", "mark", "whole").agg(F.count(F.lit(1)).alias("n"))
+    keyed = alike.withColumns({"source_key": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")), "size_class": size_class, "part": part})
     earlier = Window.partitionBy("source_key").orderBy("size_class", "part").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        keyed.groupBy(*cells).agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("start", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+        keyed.groupBy(*cells).agg(F.sum("n").alias("cell"))
+        .withColumn("start", F.coalesce(F.sum("cell").over(earlier), F.lit(0)))
         .select(*cells, "start")
     )
     own = targets.select(
@@ -75,26 +78,39 @@ def with_copies(records: DataFrame, targets: DataFrame, seed: str = SEED) -> Dat
         offset(F.col("source"), seed).alias("u"),
     )
     cell_start = starts.join(own, "source_key")
-    ranked = keyed.withColumn("rank", F.row_number().over(Window.partitionBy(*cells).orderBy("size", "doc_id")))
-    place = F.col("start") + F.col("rank")
-    copies = F.floor(place * F.col("rate") + F.col("u")) - F.floor((place - 1) * F.col("rate") + F.col("u"))
+    until = F.sum("n").over(Window.partitionBy(*cells).orderBy("size", "doc_id", "mark", "whole").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (
-        ranked.join(cell_start, cells)
-        .withColumn("copies", F.least(copies, F.ceil(F.col("rate"))).cast("long"))
-        .drop("source_key", "size_class", "part", "rank", "start", "rate", "u")
+        keyed.withColumn("until", until)
+        .join(cell_start, cells)
+        .withColumns({"before": F.col("start") + F.col("until") - F.col("n"), "most": F.ceil(F.col("rate"))})
+        .drop("source_key", "size_class", "part", "until", "start")
     )
 
 
+def copies_at(place: Column) -> Column:
+    """The copies of the document at a place of its source: the whole numbers that its stretch of the sum crosses."""
+    rate, u = F.col("rate"), F.col("u")
+    return F.least(F.floor(place * rate + u) - F.floor((place - 1) * rate + u), F.col("most")).cast("long")
+
+
 def mix_plan(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST, seed: str = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken (copies times size) of all documents.
 
-    Null text and text without words have size 0; a null source is a source, the last; repeated rows are documents of
-    their own; an empty table gives no rows; further columns are ignored. Reruns give the same copies.
+    Null text and text without words have size 0; a very long text is one document; a null source is a source, the
+    last; repeated rows are documents of their own, at places next to each other; an empty table gives no rows; further
+    columns are ignored. Reruns give the same copies.
     """
+    placed = _placed(documents, F.lit(0).cast("long"), weights, most, seed)
+    each = placed.withColumn("place", F.explode(F.sequence(F.col("before") + 1, F.col("before") + F.col("n"))))
+    return each.withColumn("copies", copies_at(F.col("place"))).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def _placed(documents: DataFrame, whole: Column, weights: tuple[int, ...], most: float, seed: str) -> DataFrame:
+    """with_copies() of documents; mark is the text's hash, whole tells rows apart that have equal texts."""
     work = Workspace(documents.sparkSession, "mix")
-    records = work.stage(documents.select(documents["doc_id"], documents["source"], word_count(documents["text"]).alias("size")), "records")
+    records = work.stage(documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("mark"), whole.alias("whole")), "records")
     targets = source_targets(records.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    return with_copies(records, targets, seed).withColumn("taken", F.col("copies") * F.col("size"))
+    return with_copies(records, targets, seed)
 
 
 def word_count(text: Column) -> Column:
@@ -105,18 +121,18 @@ def word_count(text: Column) -> Column:
 def mixed(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST, seed: str = SEED) -> DataFrame:
     """documents, each row as many times as the mix takes it, in all its columns.
 
-    A row finds its copies by doc_id; repeated doc_ids are told apart by their order of source and size, in which
-    rows that compare equal may swap their copies.
+    A row finds its copies by doc_id and a hash of all its columns. Rows equal in both are one row, with the copies that
+    they take together, so reruns give the same rows. Nulls, very long texts, ties and empty tables are as in mix_plan().
     """
     work = Workspace(documents.sparkSession, "mixed")
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    order = Window.partitionBy("__key").orderBy("source", "__size")
-    plan = work.stage(mix_plan(documents, weights, most, seed).select("doc_id", "source", "size", "copies"), "plan")
-    taken = plan.select(key.alias("__key"), "source", F.col("size").alias("__size"), "copies").select("__key", F.row_number().over(order).alias("__other"), F.col("copies").alias("__copies"))
-    rows = documents.withColumns({"__key": key, "__size": word_count(F.col("text"))}).withColumn("__row", F.row_number().over(order))
-    # written as a difference, so that both sides stay dealt by __key alone
-    kept = rows.join(taken.where("__copies > 0"), (rows["__key"] == taken["__key"]) & (rows["__row"] - taken["__other"] == 0))
-    return kept.select(*[rows[c] for c in documents.columns], F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int"))).alias("__one")).drop("__one")
+    whole = F.xxhash64(*[F.col(f"`{c}`") for c in documents.columns])
+    placed = _placed(documents, whole, weights, most, seed)
+    together = F.aggregate(F.sequence(F.col("before") + 1, F.col("before") + F.col("n")), F.lit(0).cast("long"), lambda total, place: total + copies_at(place))
+    plan = work.stage(placed.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__key"), F.col("whole").alias("__mark"), together.alias("__copies")), "plan")
+    alike = documents.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__key"), whole.alias("__mark"), F.struct(*documents.columns).alias("__row"))
+    one = alike.groupBy("__key", "__mark").agg(F.first("__row").alias("__row"))
+    kept = one.join(plan.where("__copies > 0"), ["__key", "__mark"])
+    return kept.select("__row.*", F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int"))).alias("__one")).drop("__one")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +145,7 @@ QUERIES = {"op7_mixing": op7_mixing}
 ORACLE_SQL = {
     "op7_mixing": f"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, source, coalesce('s' || source, 'n') AS k, CAST(coalesce(len(regexp_extract_all(text, '{_WORDS}')), 0) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, coalesce('s' || source, 'n') AS k, md5(coalesce(text, '')) AS mark, CAST(coalesce(len(regexp_extract_all(text, '{_WORDS}')), 0) AS BIGINT) AS size FROM documents
 ), s AS (
   SELECT k, any_value(source) AS source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY k
 ), w AS (
@@ -150,7 +166,7 @@ WITH RECURSIVE d AS (
   FROM w, t
 ), r AS (
   SELECT *, row_number() OVER (PARTITION BY k ORDER BY CASE WHEN size > 0 THEN floor(log2(size::DOUBLE) * 8) + 1 ELSE 0 END,
-    substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 2), size, doc_id NULLS FIRST) AS place FROM d
+    substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || mark), 1, 2), size, doc_id NULLS FIRST, mark) AS place FROM d
 )
 SELECT doc_id, size, source_size, target,
   CAST(least(floor(place * rate + u) - floor((place - 1) * rate + u), ceil(rate)) AS BIGINT) * size AS taken

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import AtomicFile, Workspace, filesystem
+from .common import CACHES, AtomicFile, Workspace, filesystem, mapped
 
 #: Fixed values of CRC-32C (reflected polynomial) and of its mask in record files.
 POLYNOMIAL = 0x82F63B78
@@ -127,11 +127,11 @@ def frames(doc_ids: list, ids: list[np.ndarray], wide: bool) -> tuple[bytes, np.
 
 
 def read_frames(stream, chunk_bytes: int = 1 << 22) -> Iterator[list[tuple]]:
-    """Lists of (doc_id, ids) from a record file, read in pieces; damage raises."""
-    held = b""
+    """Lists of (doc_id, ids) from a record file, read in pieces; damage raises. A long record is gathered once."""
+    held, wanted = bytearray(), chunk_bytes
     while True:
-        piece = stream.read(chunk_bytes)
-        held += piece
+        while len(held) < wanted and (piece := stream.read(max(chunk_bytes, wanted - len(held)))):
+            held += piece
         at, found = 0, []
         while len(held) - at >= 12:
             length = int.from_bytes(held[at : at + 8], "little")
@@ -141,24 +141,28 @@ def read_frames(stream, chunk_bytes: int = 1 << 22) -> Iterator[list[tuple]]:
                 break
             found.append((at // 4, length // 4))
             at += 16 + length
-        if found:
-            words = np.frombuffer(held, "<u4", count=at // 4)
-            starts, lengths = np.array([x for x, _ in found]), np.array([x for _, x in found])
-            good = (masked_crc32c(words, starts, np.full(len(starts), 2)) == words[starts + 2]) & (masked_crc32c(words, starts + 3, lengths) == words[starts + 3 + lengths])
-            if not good.all():
-                raise ValueError("a frame's checksum is wrong")
-            out = []
-            for s, size in found:
-                key = int(words[s + 3 : s + 5].view("<i8")[0])
-                flags, n = int(words[s + 5]), int(words[s + 6])
-                own = words[s + 7 : s + 3 + size]
-                out.append((None if flags & NULL_ID else key, own[:n] if flags & WIDE else own.view("<u2")[:n]))
-            yield out
-            held = held[at:]
-        if not piece:
+        if not found:
+            if held and len(held) >= wanted:
+                wanted = 16 + int.from_bytes(held[:8], "little")
+                if len(held) < wanted:
+                    continue
             if held:
                 raise ValueError("the file ends inside a frame")
             return
+        words = np.frombuffer(bytes(held[:at]), "<u4")
+        del held[:at]
+        wanted = chunk_bytes
+        starts, lengths = np.array([x for x, _ in found]), np.array([x for _, x in found])
+        good = (masked_crc32c(words, starts, np.full(len(starts), 2)) == words[starts + 2]) & (masked_crc32c(words, starts + 3, lengths) == words[starts + 3 + lengths])
+        if not good.all():
+            raise ValueError("a frame's checksum is wrong")
+        out = []
+        for s, size in found:
+            key = int(words[s + 3 : s + 5].view("<i8")[0])
+            flags, n = int(words[s + 5]), int(words[s + 6])
+            own = words[s + 7 : s + 3 + size]
+            out.append((None if flags & NULL_ID else key, own[:n] if flags & WIDE else own.view("<u2")[:n]))
+        yield out
 
 
 class Pieces(dict):
@@ -167,16 +171,22 @@ class Pieces(dict):
     A byte-level BPE is cut before a space that other than white space follows, and where white space begins. So a text
     is cut at its spaces, and its ids are those of its pieces in turn, unless a space has white space before it and white
     space or the end after it; such runs are cut elsewhere, and those texts are encoded as they are.
+
+    Of the words met, the last MOST to twice MOST are kept: once MOST are there they become the older half, out of which
+    words that come again are taken over.
     """
 
-    MOST, LONGEST = 1_200_000, 64
+    MOST, LONGEST = 100_000, 64
     RUNS = re.compile(r"\s (?!\S)")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.older: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
+        if type(self.tokenizer.model).__name__ != "BPE" or self.tokenizer.normalizer is not None or "ByteLevel" not in repr(self.tokenizer.pre_tokenizer):
+            raise ValueError(f"{path} is no byte-level BPE, whose texts may be cut at spaces")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.kind = np.dtype("<u4") if self.wide else np.dtype("<u2")
@@ -204,12 +214,19 @@ class Pieces(dict):
         out.update(zip(alone, self.whole([" " + w for w in alone])))
         return out
 
+    def clear(self) -> None:
+        super().clear()
+        self.older = {}
+
     def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
         if len(self) > self.MOST:
-            self.clear()
+            self.older = dict(self)
+            super().clear()
         cut = [None if self.RUNS.search(t) or any(s in t for s in self.special) else t.split(" ") for t in texts]
         heads = self.whole([t if c is None else c.pop(0) for t, c in zip(texts, cut)])
-        new = [w for w in set().union(*filter(None, cut)) if w not in self]
+        own = set().union(*filter(None, cut)).difference(self)
+        self.update((w, self.older[w]) for w in own.intersection(self.older))
+        new = list(own.difference(self))
         self.update(self.words(new))
         tail = np.array([end], self.kind).tobytes()
         out = [np.frombuffer(b"".join((head, *map(self.__getitem__, c or ()), tail)), self.kind) for head, c in zip(heads, cut)]
@@ -229,11 +246,14 @@ def pieces(path: str) -> Pieces:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _PIECES[path] = Pieces(path)
+        CACHES.append(_PIECES[path])
     return _PIECES[path]
 
 
+#: The most text of a file, but for hot ranges that sampling misses.
+FILE_BYTES = 128 << 20
 #: Texts that are encoded and framed together.
-GROUP_BYTES = 1 << 22
+GROUP_BYTES = 1 << 21
 
 
 def _groups(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
@@ -253,11 +273,15 @@ def _groups(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
 def write_records(documents: DataFrame, root: str, tokenizer_path: str, end: int = 0, n_files: int | None = None) -> DataFrame:
     """Writes the encoded texts under root in ascending doc_id order and returns the manifest, a row for each file.
 
-    Files follow each other in doc_id order, null doc_ids first; equal doc_ids stand in order of text. A task writes
-    one file under a passing name and renames it, so a task that runs again leaves the same file.
+    Files follow each other in doc_id order, null doc_ids first; equal doc_ids stand in order of a hash of the text, and
+    so may reach over several files. There are as many files as shuffle partitions, or more where these would hold over
+    FILE_BYTES of text. A task writes one file under a passing name and renames it, so a task that runs again leaves the
+    same file.
     """
     spark = documents.sparkSession
-    n_files = n_files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not n_files:
+        size = documents.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        n_files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, out, index, n_ids = TaskContext.get().partitionId(), None, [], 0
@@ -278,8 +302,10 @@ def write_records(documents: DataFrame, root: str, tokenizer_path: str, end: int
             out.commit()
             yield pa.RecordBatch.from_pydict({"file_no": [number], "records": [sum(map(len, index))], "ids": [n_ids], "bytes": [out.size]})
 
-    rows = documents.select("doc_id", "text").repartitionByRange(n_files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    rows.mapInArrow(write, "file_no long, records long, ids long, bytes long").write.mode("overwrite").parquet(f"{root}/manifest")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("mark"), F.col("row")]
+    marked = documents.select("doc_id", "text", F.xxhash64("text").alias("mark"), F.monotonically_increasing_id().alias("row"))
+    rows = marked.repartitionByRange(n_files, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    mapped(rows, write, "file_no long, records long, ids long, bytes long").write.mode("overwrite").parquet(f"{root}/manifest")
     return spark.read.schema("file_no long, records long, ids long, bytes long").parquet(f"{root}/manifest")
 
 
@@ -312,7 +338,7 @@ def read_records(spark: SparkSession, root: str) -> DataFrame:
                     raise ValueError(f"file {f['file_no']} has other records than its manifest says")
 
     listed = spark.createDataFrame(files, "file_no long, start long, records long, ids long")
-    return listed.repartitionByRange(max(1, len(files)), "file_no").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return mapped(listed.repartitionByRange(max(1, len(files)), "file_no"), read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_shuffled(root: str, file_no: int, wanted: list[int]) -> Iterator[tuple]:
@@ -339,8 +365,9 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
 def token_records(documents: DataFrame, root: str | None = None, tokenizer_path: str | None = None) -> DataFrame:
     """Writes all documents as records and gives doc_id, start, n_tokens and ids_crc32 as read back.
 
-    Null and empty text is one record of the end id alone; repeated rows are records of their own; a null doc_id comes
-    first; an empty table gives no rows; further columns are ignored.
+    Null and empty text is one record of the end id alone; a very long text is one record; repeated rows are records of
+    their own; a null doc_id comes first; an empty table gives no rows; further columns are ignored. The tokenizer has
+    to be a byte-level BPE; others raise.
     """
     spark = documents.sparkSession
     root = root or Workspace(spark, "records").root

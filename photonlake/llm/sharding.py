@@ -3,6 +3,9 @@
 A record's key decides one of thousands of virtual slots for good. Bytes and rows are summed per slot, and
 a versioned map says which shard holds which slot. Rebalancing edits the map, so that whole slots move and
 no record is hashed anew. The map has as many rows as there are slots, whatever the size of the corpus.
+
+A slot that holds many times its share, as one key of very many records makes it, is split: the map says so, and the
+records of split slots are dealt over all slots by key, text and row.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import Workspace
 
 N_SLOTS = 4096
+#: A slot with more than so many times the mean of bytes or rows is split.
+MOST_OF_MEAN = 16
 
 
 @dataclass(frozen=True)
@@ -27,6 +32,7 @@ class SlotMap:
     shard: tuple[int, ...]
     bytes: tuple[int, ...]
     rows: tuple[int, ...]
+    split: frozenset[int] = frozenset()
 
     def loads(self) -> list[int]:
         out = [0] * self.n_shards
@@ -41,8 +47,8 @@ class SlotMap:
             first.append(after[shard])
             after[shard] += self.rows[slot]
         return spark.createDataFrame(
-            list(zip(range(len(self.shard)), self.shard, first, self.bytes, self.rows)),
-            "virtual_slot int, shard int, first long, slot_bytes long, slot_rows long",
+            list(zip(range(len(self.shard)), self.shard, first, self.bytes, self.rows, (k in self.split for k in range(len(self.shard))))),
+            "virtual_slot int, shard int, first long, slot_bytes long, slot_rows long, split boolean",
         )
 
 
@@ -59,7 +65,20 @@ def slot_loads(records: DataFrame, n_slots: int = N_SLOTS) -> tuple[list[int], l
     return sizes, rows
 
 
-def first_map(sizes: list[int], rows: list[int], n_shards: int) -> SlotMap:
+def overfull(sizes: list[int], rows: list[int], most: int = MOST_OF_MEAN) -> frozenset[int]:
+    """The slots to split; fewer than a `most`th of all slots for bytes and for rows each, whatever the records."""
+    return frozenset(k for own in (sizes, rows) for k, x in enumerate(own) if x * len(own) > most * sum(own) and rows[k] > most)
+
+
+def with_split(records: DataFrame, split: frozenset[int], n_slots: int = N_SLOTS) -> DataFrame:
+    """records (doc_id, text_crc32, row, virtual_slot and more) with those of split slots dealt over all slots."""
+    if not split:
+        return records
+    finer = F.pmod(F.xxhash64("doc_id", "text_crc32", "row"), F.lit(n_slots)).cast("int")
+    return records.withColumn("virtual_slot", F.when(F.col("virtual_slot").isin(*split), finer).otherwise(F.col("virtual_slot")))
+
+
+def first_map(sizes: list[int], rows: list[int], n_shards: int, split: frozenset[int] = frozenset()) -> SlotMap:
     """Version 1: the largest slot left goes to the shard with the fewest bytes."""
     shard = [0] * len(sizes)
     heap = [(0, 0, k) for k in range(n_shards)]
@@ -67,7 +86,7 @@ def first_map(sizes: list[int], rows: list[int], n_shards: int) -> SlotMap:
         load, n, k = heapq.heappop(heap)
         shard[slot] = k
         heapq.heappush(heap, (load + sizes[slot], n + 1, k))
-    return SlotMap(1, n_shards, tuple(shard), tuple(sizes), tuple(rows))
+    return SlotMap(1, n_shards, tuple(shard), tuple(sizes), tuple(rows), split)
 
 
 def rebalanced(old: SlotMap, sizes: list[int], rows: list[int], n_shards: int, tolerance: float = 0.02) -> SlotMap:
@@ -99,7 +118,7 @@ def rebalanced(old: SlotMap, sizes: list[int], rows: list[int], n_shards: int, t
         loads[top] -= size
         loads[low] += size
         shard[slot] = low
-    return SlotMap(old.version + 1, n_shards, tuple(shard), tuple(sizes), tuple(rows))
+    return SlotMap(old.version + 1, n_shards, tuple(shard), tuple(sizes), tuple(rows), old.split)
 
 
 def save_map(spark: SparkSession, slots: SlotMap, path: str) -> None:
@@ -109,7 +128,7 @@ def save_map(spark: SparkSession, slots: SlotMap, path: str) -> None:
 
 def load_map(spark: SparkSession, path: str, version: int) -> SlotMap:
     rows = sorted(spark.read.parquet(f"{path}/version={version}").collect(), key=lambda r: r.virtual_slot)
-    return SlotMap(version, rows[0].n_shards, tuple(r.shard for r in rows), tuple(r.slot_bytes for r in rows), tuple(r.slot_rows for r in rows))
+    return SlotMap(version, rows[0].n_shards, tuple(r.shard for r in rows), tuple(r.slot_bytes for r in rows), tuple(r.slot_rows for r in rows), frozenset(r.virtual_slot for r in rows if r.split))
 
 
 def assign(records: DataFrame, slots: SlotMap, order: list[str]) -> DataFrame:
@@ -122,37 +141,72 @@ def assign(records: DataFrame, slots: SlotMap, order: list[str]) -> DataFrame:
     return (
         records.join(F.broadcast(slots.frame(records.sparkSession)), "virtual_slot")
         .withColumn("slot", F.col("first") + F.row_number().over(within) - 1)
-        .drop("first", "slot_bytes", "slot_rows")
+        .drop("first", "slot_bytes", "slot_rows", "split")
     )
 
 
-def shard_documents(documents: DataFrame, n_shards: int = 24, n_slots: int = N_SLOTS, map_path: str | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard and virtual_slot of all documents; near equal bytes.
-
-    Null text has no bytes and the checksum of empty text; null doc_ids are spread by the text's checksum; repeated
-    rows take a place each; empty tables give no rows; further columns are ignored. The map's first version is
-    written beside the records or to map_path.
-    """
-    spark, work = documents.sparkSession, Workspace(documents.sparkSession, "shards")
+def slotted(documents: DataFrame, work: Workspace, n_slots: int = N_SLOTS) -> tuple[DataFrame, list[int], list[int], frozenset[int]]:
+    """doc_id, size, text_crc32, row and virtual_slot of all documents; bytes and rows by slot; the split slots."""
     text = F.coalesce(documents["text"], F.lit(""))
     crc = F.crc32(text.cast("binary"))
     records = work.stage(
         documents.select(
-            documents["doc_id"], (F.octet_length(text) + 8).cast("long").alias("size"), crc.alias("text_crc32"),
+            documents["doc_id"], (F.octet_length(text) + 8).cast("long").alias("size"), crc.alias("text_crc32"), F.monotonically_increasing_id().alias("row"),
             virtual_slot(documents["doc_id"], crc, n_slots).alias("virtual_slot"),
         ),
         "records",
     )
-    slots = first_map(*slot_loads(records, n_slots), n_shards)
+    sizes, rows = slot_loads(records, n_slots)
+    if split := overfull(sizes, rows):
+        records = with_split(records, split, n_slots)
+        sizes, rows = slot_loads(records, n_slots)
+    return records, sizes, rows, split
+
+
+_ORDER = ["doc_id", "size", "text_crc32", "row"]
+
+
+def shard_documents(documents: DataFrame, n_shards: int = 24, n_slots: int = N_SLOTS, map_path: str | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard and virtual_slot of all documents; near equal bytes.
+
+    Null text has no bytes and the checksum of empty text; null doc_ids are spread by the text's checksum; a very long
+    text is one record and moves whole; repeated rows take a place each; a doc_id that very many rows have is spread
+    over all slots; empty tables give no rows; further columns are ignored. The map's first version is written beside
+    the records or to map_path.
+    """
+    spark, work = documents.sparkSession, Workspace(documents.sparkSession, "shards")
+    records, sizes, rows, split = slotted(documents, work, n_slots)
+    slots = first_map(sizes, rows, n_shards, split)
     save_map(spark, slots, map_path or work.path("slot_map"))
-    return assign(records, slots, ["doc_id", "size", "text_crc32"]).select(
+    return assign(records, slots, _ORDER).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot"
     )
 
 
+def grown(documents: DataFrame, n_shards: int = 24, more: int = 32, n_slots: int = N_SLOTS, map_path: str | None = None) -> DataFrame:
+    """doc_id, size, virtual_slot, shard, slot, grown_shard and moved of all documents, before and after a rebalancing.
+
+    Both versions of the map are written; the second is the first with whole slots moved to the new shards, until
+    bytes are near equal again. Awkward rows are as in shard_documents().
+    """
+    spark, work = documents.sparkSession, Workspace(documents.sparkSession, "shards")
+    records, sizes, rows, split = slotted(documents, work, n_slots)
+    first = first_map(sizes, rows, n_shards, split)
+    second = rebalanced(first, sizes, rows, more)
+    path = map_path or work.path("slot_map")
+    save_map(spark, first, path)
+    save_map(spark, second, path)
+    after = F.broadcast(second.frame(spark).select("virtual_slot", F.col("shard").alias("grown_shard")))
+    return assign(records, first, _ORDER).join(after, "virtual_slot").select("doc_id", "size", "virtual_slot", "shard", "slot", "grown_shard", (F.col("shard") != F.col("grown_shard")).alias("moved"))
+
+
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES = {"op1_sharding": op1_sharding}
+def op1b_rebalanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grown(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op1b_rebalanced": op1b_rebalanced}
 ORACLE_SQL: dict[str, str] = {}

@@ -3,11 +3,12 @@
 Only documents are labelled, yet single sentences offend. A sentence's probability is logistic in its features; a
 document's is the noisy-or of its sentences' and of a leak, the rate at which documents without any feature are
 labelled. Training fits the weights to document labels through the noisy-or; the sentences' probabilities then say
-where a document offends.
+where a document offends. Texts are lower-cased as a whole before they are cut in sentences.
 
 Features are words and their character n-grams with word bounds. Those kept occur in several toxic documents and
 several times as often there as elsewhere, by counts over the training documents. The model is fitted on a sample of
-about MAX_TRAIN_DOCS labelled documents, drawn by a hash of doc_id, and scoring is a narrow pass over whole texts.
+about MAX_TRAIN_DOCS labelled documents of at most about MAX_TRAIN_BYTES together, drawn by a hash of doc_id, and
+scoring is a narrow pass over whole texts.
 """
 
 from __future__ import annotations
@@ -24,8 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The bound of the sample that the classifier is fitted on.
+from .common import Workspace, mapped
+
+#: The bounds of the sample that the classifier is fitted on.
 MAX_TRAIN_DOCS = 8000
+MAX_TRAIN_BYTES = 128 << 20
 THRESHOLD = 0.3
 LENGTHS = (3, 4, 5, 6, 7)
 LEAST_DOCS, LEAST_SHARE, LEAST_LIFT, LEAST_Z = 3, 0.01, 3.0, 5.0
@@ -42,7 +46,8 @@ def sentences(text: str) -> list[str]:
 
 
 def words(sentence: str) -> set[str]:
-    return set(WORD.findall(sentence.lower()))
+    """The distinct words of a sentence in lower case."""
+    return set(WORD.findall(sentence))
 
 
 def features(word: str) -> set[str]:
@@ -58,36 +63,49 @@ class Model:
     weights: dict[str, float]
     bias: float
     leak: float
+    #: Scores of words met, and the words among them that have none.
     scores: dict = field(default_factory=dict, repr=False, compare=False)
+    plain: set = field(default_factory=set, repr=False, compare=False)
 
     def word_score(self, word: str) -> float | None:
         """The sum of a word's weights, or None if no feature of it is known."""
         found = [self.weights[f] for f in features(word) if f in self.weights]
         return math.fsum(found) if found else None
 
+    def known(self, own: set[str]) -> list[float]:
+        """The scores of the words that have one; each new word is looked up once."""
+        out = []
+        for w in own.difference(self.plain):
+            if w not in self.scores:
+                if (s := self.word_score(w)) is None:
+                    if len(self.plain) > MOST_CACHED:
+                        self.plain.clear()
+                    self.plain.add(w)
+                    continue
+                if len(self.scores) > MOST_CACHED:
+                    self.scores.clear()
+                self.scores[w] = s
+            out.append(self.scores[w])
+        return out
+
     def sentence_probability(self, sentence: str) -> float:
-        scores, total, any_ = self.scores, 0.0, False
-        for w in words(sentence):
-            if w in scores:
-                s = scores[w]
-            else:
-                if len(scores) > MOST_CACHED:
-                    scores.clear()
-                s = scores[w] = self.word_score(w)
-            if s is not None:
-                total, any_ = total + s, True
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.bias + total)))) if any_ else 0.0
+        """The probability of a sentence in lower case."""
+        own = self.known(words(sentence))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.bias + math.fsum(own))))) if own else 0.0
 
     def score(self, text: str | None) -> float:
-        clean = 1 - self.leak
-        for s in BETWEEN.split(text or ""):
-            if p := self.sentence_probability(s):
-                clean *= 1 - p
+        """The noisy-or of the leak and of the sentences, of which only those with a known word count."""
+        low, clean = (text or "").lower(), 1 - self.leak
+        if self.known(words(low)):
+            for s in BETWEEN.split(low):
+                if p := self.sentence_probability(s):
+                    clean *= 1 - p
         return 1 - clean
 
     def offending(self, text: str | None, least: float = THRESHOLD) -> list[tuple[int, float, str]]:
         """(number, probability, sentence) of the sentences whose own probability is at least `least`."""
-        each = ((i, self.sentence_probability(s), s.strip()) for i, s in enumerate(sentences(text or "")))
+        text = text or ""
+        each = ((i, self.sentence_probability(low), s.strip()) for i, (s, low) in enumerate(zip(sentences(text), sentences(text.lower()))))
         return [x for x in each if x[1] >= least]
 
 
@@ -98,7 +116,7 @@ class Instances:
         number: dict[str, int] = {}
         word, sentence, doc, k = array("i"), array("i"), array("i"), -1
         for k, t in enumerate(texts):
-            for s in BETWEEN.split(t or ""):
+            for s in BETWEEN.split((t or "").lower()):
                 if own := words(s):
                     word.extend(sorted(number.setdefault(w, len(number)) for w in own))
                     sentence.extend([len(doc)] * len(own))
@@ -181,16 +199,20 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(True))
 
 
-def training_rows(documents: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_DOCS) -> DataFrame:
+def training_rows(documents: DataFrame, labels: DataFrame, work: Workspace, most: int = MAX_TRAIN_DOCS, most_bytes: int = MAX_TRAIN_BYTES) -> DataFrame:
     """doc_id, text, toxic of about `most` labelled documents that are not held out, or of all of them if fewer.
 
-    The labels are sampled by a hash first and are then few enough to broadcast.
+    The labels are sampled by a hash first and are then few enough to broadcast. Of rows with one doc_id one is taken,
+    the one whose text has the least hash; if the texts are over `most_bytes` together, they are sampled again.
     """
     own = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = own.count()
     if n > most:
         own = own.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("train")), F.lit(1_000_000)) < int(1_000_000 * most / n))
-    return documents.select("doc_id", "text").join(F.broadcast(own), "doc_id")
+    rows = documents.select("doc_id", "text").join(F.broadcast(own), "doc_id")
+    rows = work.stage(rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic")), "training")
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return rows if size <= most_bytes else rows.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("bytes")), F.lit(1_000_000)) < int(1_000_000 * most_bytes / size))
 
 
 def train(documents: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_DOCS) -> Model:
@@ -202,7 +224,9 @@ def train(documents: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_DOCS) -
         names = [*model.weights, None, None]
         yield pa.RecordBatch.from_pydict({"feature": pa.array(names, pa.string()), "weight": [*model.weights.values(), model.bias, model.leak], "place": list(range(len(names)))})
 
-    rows = training_rows(documents, labels, most).repartition(1).mapInArrow(task, "feature string, weight double, place long").collect()
+    work = Workspace(documents.sparkSession, "toxicity")
+    rows = mapped(training_rows(documents, labels, work, most).repartition(1), task, "feature string, weight double, place long").collect()
+    work.clear()
     if not rows:
         return Model({}, 0.0, 0.0)
     rows.sort(key=lambda r: r.place)
@@ -218,7 +242,7 @@ def scored(documents: DataFrame, model: Model) -> DataFrame:
             yield batch.set_column(batch.num_columns - 1, "__score", pa.array(got, pa.float64()))
 
     given = documents.withColumn("__score", F.lit(0.0).cast("double"))
-    return given.mapInArrow(score, given.schema)
+    return mapped(given, score, given.schema)
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_DOCS, threshold: float = THRESHOLD) -> DataFrame:
@@ -233,13 +257,20 @@ def toxicity(documents: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_DOCS
 
 
 def clean_documents(documents: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_DOCS, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents, in all their columns, that are not predicted toxic."""
+    """The documents, in all their columns, that are not predicted toxic.
+
+    Null and empty texts, repeated rows, missing labels and empty tables are as in toxicity(): clean texts stay.
+    """
     rows = scored(documents, train(documents, labels, most))
     return rows.where(F.col("__score") < threshold).drop("__score")
 
 
 def offending_sentences(documents: DataFrame, model: Model, least: float = THRESHOLD) -> DataFrame:
-    """doc_id, number, probability, sentence of every sentence that offends by itself."""
+    """doc_id, number, probability, sentence of every sentence that offends by itself.
+
+    Null and empty texts have none; repeated rows, and rows without doc_id, give their sentences each; a very long text
+    is read whole; an empty table gives no rows; further columns are ignored.
+    """
     kind = "doc_id long, number int, probability double, sentence string"
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,12 +279,18 @@ def offending_sentences(documents: DataFrame, model: Model, least: float = THRES
             rows = [(d.as_py(), *x) for d, t in zip(batch.column("doc_id"), batch.column("text")) for x in model.offending(t.as_py(), least)]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else ((), (), (), ()), fields)], schema=fields)
 
-    return documents.select("doc_id", "text").mapInArrow(locate, kind)
+    return mapped(documents.select("doc_id", "text"), locate, kind)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {"op5_toxicity": op5_toxicity}
+def op5b_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the documents offend: each sentence that is toxic by itself."""
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return offending_sentences(documents, train(documents, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+QUERIES = {"op5_toxicity": op5_toxicity, "op5b_sentences": op5b_sentences}
 ORACLE_SQL: dict[str, str] = {}

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import AtomicFile, Workspace, filesystem
+from .common import AtomicFile, Workspace, filesystem, mapped
 
 #: Fixed values of the WARC format.
 VERSION = "WARC/1.1"
@@ -131,7 +131,7 @@ def spooled(pages: DataFrame, root: str) -> DataFrame:
         if out:
             out.commit()
 
-    return pages.select("page_id", "url", F.col("html").cast("binary").alias("payload")).mapInArrow(spool, SPOOLED)
+    return mapped(pages.select("page_id", "url", F.col("html").cast("binary").alias("payload")), spool, SPOOLED)
 
 
 def with_originals(headers: DataFrame) -> DataFrame:
@@ -168,7 +168,7 @@ def write_archives(pages: DataFrame, root: str) -> DataFrame:
 
     n_files = max(1, headers.select("file").distinct().count())
     rows = with_originals(headers).select("page_id", "url", "digest", "file", "at", "size", "original").repartitionByRange(n_files, "file").sortWithinPartitions("file", "at")
-    rows.mapInArrow(write, "name string, records long, bytes long").write.mode("overwrite").parquet(f"{root}/manifest")
+    mapped(rows, write, "name string, records long, bytes long").write.mode("overwrite").parquet(f"{root}/manifest")
     work.clear()
     return spark.read.schema("name string, records long, bytes long").parquet(f"{root}/manifest")
 
@@ -195,7 +195,7 @@ def read_archives(spark: SparkSession, root: str) -> DataFrame:
 
     manifest = spark.read.schema("name string, records long, bytes long").parquet(f"{root}/manifest")
     n = max(1, manifest.count())
-    return manifest.select("name", "records").repartitionByRange(n, "name").mapInArrow(read, HEADERS)
+    return mapped(manifest.select("name", "records").repartitionByRange(n, "name"), read, HEADERS)
 
 
 def resolved(headers: DataFrame) -> DataFrame:

@@ -65,3 +65,23 @@ def test_mixed_rows_follow_the_plan(spark):
     got = mixing.mixed(docs)
     assert got.columns == docs.columns
     assert Counter(r.doc_id for r in got.collect()) == +want
+
+
+def test_a_doc_id_of_a_third_of_all_rows(spark):
+    """Copies by brute force over each source in its order; half of the hot rows are equal in their texts too."""
+    rows = [(7 if k % 3 == 0 else k, "same words here" if k % 2 else "w " * (k % 9), "en", "ab"[k % 2], k % 2) for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    plan = mixing.mix_plan(docs).collect()
+    assert len(plan) == 900
+    by_source = {}
+    for r in plan:
+        by_source.setdefault(r.source, []).append(r)
+    for own in by_source.values():
+        rate = own[0].target / own[0].source_size
+        assert abs(sum(r.copies for r in own) - rate * len(own)) <= 1
+        assert {r.copies for r in own} <= {math.floor(rate), math.ceil(rate)}
+    want = Counter()
+    for r in plan:
+        want[r.doc_id] += r.copies
+    one, two = ([tuple(r) for r in sorted(mixing.mixed(d).collect(), key=str)] for d in (docs, docs.repartition(7)))
+    assert one == two and Counter(r[0] for r in one) == +want

@@ -5,11 +5,14 @@ from photonlake.llm import sharding
 from .helpers import AWKWARD, clashing, documents
 
 
-def brute(rows, n_slots, n_shards, slot_of):
-    sizes = [0] * n_slots
-    for d, size in rows:
-        sizes[slot_of[d]] += size
-    return sizes
+def brute(rows, slots):
+    """Bytes and rows of each shard, and of each slot, counted one row at a time; rows: (virtual_slot, size)."""
+    shard_bytes, shard_rows, slot_bytes = [0] * slots.n_shards, [0] * slots.n_shards, [0] * len(slots.shard)
+    for slot, size in rows:
+        shard_bytes[slots.shard[slot]] += size
+        shard_rows[slots.shard[slot]] += 1
+        slot_bytes[slot] += size
+    return shard_bytes, shard_rows, slot_bytes
 
 
 def test_places_are_gapless_and_sizes_right(spark):
@@ -50,3 +53,28 @@ def test_map_versions(spark, tmp_path):
     sharding.save_map(spark, one, str(tmp_path / "m"))
     sharding.save_map(spark, two, str(tmp_path / "m"))
     assert sharding.load_map(spark, str(tmp_path / "m"), 1) == one and sharding.load_map(spark, str(tmp_path / "m"), 2) == two
+
+
+def test_a_doc_id_of_a_third_of_all_rows(spark, tmp_path):
+    """Half of its rows are equal in their texts too; the shards stay near equal, by the map as written and by brute force."""
+    rows = [(7 if k % 3 == 0 else k, "same" if k % 2 else f"text {k}") for k in range(6000)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 8, 512, str(tmp_path / "m")).toPandas()
+    slots = sharding.load_map(spark, str(tmp_path / "m"), 1)
+    shard_bytes, shard_rows, slot_bytes = brute(zip(got.virtual_slot, got["size"]), slots)
+    assert len(got) == 6000 and slots.split and tuple(slot_bytes) == slots.bytes
+    assert got.groupby("shard")["size"].sum().tolist() == shard_bytes and got.groupby("shard").size().tolist() == shard_rows
+    assert max(shard_bytes) <= 1.02 * min(shard_bytes)
+    assert got.groupby("virtual_slot").size().max() < 100
+    for _, own in got.groupby("shard"):
+        assert sorted(own.slot) == list(range(len(own)))
+
+
+def test_rebalancing_moves_whole_slots_to_new_shards(spark, tmp_path):
+    docs = documents(spark, AWKWARD + [f"text number {i} " * (i % 17 + 1) for i in range(3000)])
+    got = sharding.grown(docs, 4, 5, 512, str(tmp_path / "m")).toPandas()
+    assert (got.grown_shard[got.moved] == 4).all() and not got.moved.all() and (got.groupby("virtual_slot").grown_shard.nunique() == 1).all()
+    second = sharding.load_map(spark, str(tmp_path / "m"), 2)
+    shard_bytes, _, _ = brute(zip(got.virtual_slot, got["size"]), second)
+    assert got.groupby("grown_shard")["size"].sum().tolist() == shard_bytes == second.loads()
+    assert max(shard_bytes) <= 1.05 * sum(shard_bytes) / 5 or max(shard_bytes) <= 80000
+    assert sharding.grown(docs.limit(0), 4, 5).count() == 0

@@ -1,8 +1,10 @@
+import math
+import re
 import zlib
 
 import numpy as np
 
-from photonlake.llm import toxicity
+from photonlake.llm import common, toxicity
 
 from .helpers import AWKWARD, clashing, documents
 
@@ -51,7 +53,47 @@ def test_sample_is_bounded_and_labels_may_lack(spark):
     texts, toxic = corpus(200)
     docs = documents(spark, texts)
     labels = spark.createDataFrame([(i, 1, y) for i, y in enumerate(toxic)] + [(3, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
-    assert 20 < toxicity.training_rows(docs, labels, 50).count() < 80
+    work = common.Workspace(spark, "test")
+    assert 20 < toxicity.training_rows(docs, labels, work, 50).count() < 80
+    assert 10 < toxicity.training_rows(docs, labels, work, 8000, sum(map(len, texts)) // 4).count() < 70
     none = toxicity.toxicity(docs, labels.limit(0)).collect()
     assert {r.predicted for r in none} == {0}
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
+
+
+def noisy_or(text, model):
+    """The score of a document word by word: each n-gram of each word of each sentence."""
+    clean = 1 - model.leak
+    for sentence in re.split("[.!?\n]+", (text or "").lower()):
+        total, any_ = 0.0, False
+        for word in sorted({w for w in re.findall(r"[^\W\d_]+", sentence)}):
+            bounded = f"^{word}$"
+            grams = {bounded} | {bounded[i : i + n] for n in (3, 4, 5, 6, 7) for i in range(len(bounded)) if i + n <= len(bounded)}
+            for g in grams:
+                if g in model.weights:
+                    total, any_ = total + model.weights[g], True
+        if any_:
+            clean *= 1 - 1 / (1 + math.exp(-(model.bias + total)))
+    return 1 - clean
+
+
+def test_scores_by_brute_force(spark):
+    texts, toxic = corpus(160)
+    texts += [t.upper() for t in texts[:20]] + [t.replace(" ", "\n", 3) for t in texts[:20]]
+    docs = documents(spark, texts + AWKWARD)
+    labels = spark.createDataFrame([(i, 1, y) for i, y in enumerate(toxic)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, labels)
+    assert model.weights
+    for r in toxicity.toxicity(docs, labels).collect():
+        assert math.isclose(r.score, noisy_or((texts + AWKWARD)[r.doc_id], model), abs_tol=1e-9)
+
+
+def test_a_doc_id_of_a_third_of_all_rows_trains_once(spark):
+    texts, toxic = corpus(150)
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, f"{texts[0]} {k}") for k in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    own = toxicity.training_rows(docs, labels, common.Workspace(spark, "test")).collect()
+    assert len(own) == len({r.doc_id for r in own}) and len(own) == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(150))
+    assert toxicity.train(docs, labels) == toxicity.train(docs.repartition(5), labels)
+    assert toxicity.toxicity(docs, labels).count() == len(rows)
