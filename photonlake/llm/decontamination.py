@@ -5,8 +5,9 @@ k-grams is kept. Two texts that share `WINDOW` words share such a minimum. A doc
 item has too are hits; around each, every stretch of `WINDOW` words that holds the k-gram is compared with the
 benchmark's own. Stretches that occur are joined back on their words, so a hash never decides alone.
 
-The benchmark's hashes are held in the plan up to MOST_IN_PLAN of them, which a count checks; a larger benchmark is
-joined, which shuffles the kept hashes of the documents.
+The benchmark's hashes are held in the plan up to MOST_IN_PLAN of them, which a count checks: that is a broadcast join
+of proven size, and no document is shuffled. A larger benchmark is joined, which shuffles the kept hashes of the
+documents; both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -98,7 +99,9 @@ def _found(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, k:
     kept = work.stage(item.select(F.explode(let(gram_hashes(F.col("w"), k), lambda h: minima(h, window, k))).alias("h")).distinct(), "kept")
     hashed = grams.select("n", F.xxhash64(F.split("gram", " ")).alias("h")).distinct()
     if hashed.limit(most_in_plan + 1).count() > most_in_plan:
-        found = _matched_by_join(documents, kept, hashed, work, window, k)
+        short = benchmark.select(item_words(F.col("text")).alias("w")).where(F.size("w").between(1, window - 1))
+        anchors = short.select(F.array_max(F.transform("w", lambda x: F.struct(F.length(x), x.alias("anchor"))))["anchor"].alias("anchor"), F.size("w").alias("n")).distinct()
+        found = _matched_by_join(documents, kept, hashed, anchors, work, window, k)
     else:
         by_length: dict[int, list[int]] = {}
         for r in hashed.collect():
@@ -144,21 +147,23 @@ def clean_documents(documents: DataFrame, benchmark: DataFrame, window: int = WI
     return documents.withColumn("__key", key).join(bad, "__key", "left_anti").select(*documents.columns)
 
 
-def _matched_by_join(documents: DataFrame, kept: DataFrame, hashed: DataFrame, work: Workspace, window: int, k: int) -> DataFrame:
-    """As matched(), with the benchmark's hashes in tables; only documents with a hit give all their stretches."""
+def _matched_by_join(documents: DataFrame, kept: DataFrame, hashed: DataFrame, anchors: DataFrame, work: Workspace, window: int, k: int) -> DataFrame:
+    """As matched(), with the benchmark's hashes in tables; only documents with a hit give their stretches.
+
+    anchors: the longest word of each item shorter than the window, with the item's number of words. A document that
+    has none of them has no such item, and one that has gives its stretches as hashes; the words of those that the
+    benchmark has too are compared at the end, as for full windows.
+    """
     base = work.stage(documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", item_words(F.col("text")).alias("w")), "words")
     hits = base.select("row", F.explode(let(gram_hashes(F.col("w"), k), lambda h: minima(h, window, k))).alias("h")).join(kept, "h", "left_semi").select("row").distinct()
-
-    def stretches(rows: DataFrame, n: int) -> DataFrame:
-        at = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda s: F.struct(s.alias("start"), F.lit(n).alias("n"), F.xxhash64(F.slice("w", s, n)).alias("h"), F.concat_ws(" ", F.slice("w", s, n)).alias("gram")))
-        return rows.where(F.size("w") >= n).select("row", F.inline(at))
-
-    all_of = stretches(base.join(hits, "row", "left_semi"), window)
-    for r in hashed.where(F.col("n") < window).select("n").distinct().collect():
-        all_of = all_of.unionByName(stretches(base, r.n))
-    found = all_of.join(hashed, ["n", "h"], "left_semi").groupBy("row").agg(F.collect_list(F.struct("start", "n", "gram")).alias("found"))
+    anchored = base.select("row", F.explode(F.array_distinct("w")).alias("anchor")).join(anchors, "anchor").select("row", "n").distinct()
+    wanted = work.stage(hits.select("row", F.lit(window).alias("n")).union(anchored), "wanted")
+    stretches = F.transform(F.sequence(F.lit(1), F.size("w") - (F.col("n") - 1)), lambda s: F.struct(s.alias("start"), F.xxhash64(F.slice("w", s, F.col("n"))).alias("h")))
+    each = base.join(wanted, "row").where(F.size("w") >= F.col("n")).select("row", "n", F.inline(stretches)).join(hashed, ["n", "h"], "left_semi")
+    at = each.groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("at"))
     none = F.array().cast("array<struct<start:int,n:int,gram:string>>")
-    return base.join(found, "row", "left").select("doc_id", F.size("w").cast("long").alias("n_words"), F.coalesce("found", none).alias("found"))
+    found = F.transform("at", lambda x: F.struct(x["start"].alias("start"), x["n"].alias("n"), F.concat_ws(" ", F.slice("w", x["start"], x["n"])).alias("gram")))
+    return base.join(at, "row", "left").select("doc_id", F.size("w").cast("long").alias("n_words"), F.coalesce(found, none).alias("found"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

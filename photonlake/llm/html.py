@@ -1,6 +1,6 @@
 """Main text of pages: markup and a suffix array of each host decide together.
 
-Every pass reads pages' markup into blocks. What stands in menus, footers, adverts and the like is dropped, and the
+One pass reads pages' markup into blocks. What stands in menus, footers, adverts and the like is dropped, and the
 blocks of an article (or of a main element) are the candidates; pages that mark no article keep all blocks that are
 left. The token streams of all pages, host by host, go through a suffix array, dealt out by the first RUN tokens of its
 suffixes: suffixes that begin with the same RUN tokens are neighbours in the array, so such a bucket is a stretch of it
@@ -15,16 +15,18 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, lean, mapped
-from .jaccard import BITMAP_BITS, _mixed
+from .common import CACHES, Workspace, lean, mapped
+from .jaccard import BITMAP_BITS, MOST_CACHED, _mixed
 
 #: Tokens of the shortest run that counts as repeated, and the share of a block that such runs must cover.
 RUN = 8
@@ -94,6 +96,7 @@ def blocks(source: str | None) -> tuple[list[str], bool]:
     element that is dropped for its name alone is the page's where there is no other.
     """
     source = source or ""
+    held_open: Counter[str] = Counter()
     stack: list[tuple[str, bool, bool, bool]] = []  # name, drops, region, named
     dropping = region = named = hidden = 0  # hidden: regions in elements that are dropped for their names
     text: list[str] = []
@@ -117,9 +120,10 @@ def blocks(source: str | None) -> tuple[list[str], bool]:
         if m[1]:
             if name in BLOCKS:
                 flush()
-            if any(x[0] == name for x in stack):
+            if held_open[name]:
                 while True:
                     last, drops, opens, held = stack.pop()
+                    held_open[last] -= 1
                     dropping -= drops
                     region -= opens
                     if opens and not region:
@@ -147,6 +151,7 @@ def blocks(source: str | None) -> tuple[list[str], bool]:
             continue
         if not m[3].endswith("/") or name in BLOCKS:
             stack.append((name, drops, opens, held))
+            held_open[name] += 1
             dropping += drops
             named += held
             if opens and not region:
@@ -163,9 +168,22 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
 
 
+_PARSED = "page_id long, url string, host string, key long, marked boolean, blocks array<string>"
+
+
 def parsed(pages: DataFrame) -> DataFrame:
-    """The columns that every pass over the pages reads."""
-    return pages.select("page_id", "url", host(F.col("url")).alias("host"), "html")
+    """page_id, url and host of every page, the key of its content, whether it marks an article, and its blocks."""
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [blocks(x.as_py()) for x in batch.column("html")]
+            keys = [content_key(h.as_py(), b) for h, (b, _) in zip(batch.column("host"), own)]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("page_id", "url", "host")), pa.array(keys, pa.int64()), pa.array([m for _, m in own], pa.bool_()), pa.array([b for b, _ in own], pa.list_(pa.string()))],
+                names=["page_id", "url", "host", "key", "marked", "blocks"],
+            )
+
+    return mapped(pages.select("page_id", "url", host(F.col("url")).alias("host"), "html"), parse, _PARSED)
 
 
 def content_key(own_host: str, own: list[str]) -> int:
@@ -173,12 +191,24 @@ def content_key(own_host: str, own: list[str]) -> int:
     return xxhash.xxh64_intdigest("\0".join([own_host, *own])) - (1 << 63)
 
 
+class TokenHashes(dict):
+    def __missing__(self, token: str) -> int:
+        if len(self) > MOST_CACHED:
+            self.clear()
+        h = self[token] = xxhash.xxh3_64_intdigest(token)
+        return h
+
+
+_TOKENS = TokenHashes()
+CACHES.append(_TOKENS)
+
+
 def heads_of(own_host: str, tokens: list[str], run: int = RUN) -> np.ndarray:
     """A hash of each run of `run` tokens and of its host: suffixes that begin alike have equal ones."""
     n = len(tokens) - run + 1
     if n < 1:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens))
+    h = np.fromiter(map(_TOKENS.__getitem__, tokens), np.uint64, len(tokens))
     x, factor = np.full(n, xxhash.xxh64_intdigest(own_host), np.uint64), 1
     for k in range(run):
         factor = factor * 0x9E3779B97F4A7C15 % (1 << 64)
@@ -190,12 +220,11 @@ def _streams(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator
     """key, marked, number of tokens and heads of the pages, in groups; of copies in a group one is there."""
     group, seen = {}, 0
     for batch in batches:
-        for own_host, x in zip(batch.column("host"), batch.column("html")):
-            own, marked = blocks(x.as_py())
-            key = content_key(own_host.as_py(), own)
-            if own and key not in group:
-                tokens = " ".join(own).split(" ")
-                group[key] = (key, marked, len(tokens), heads_of(own_host.as_py(), tokens))
+        for own_host, key, marked, own in zip(*(batch.column(c) for c in ("host", "key", "marked", "blocks"))):
+            key = key.as_py()
+            if len(own) and key not in group:
+                tokens = " ".join(own.as_py()).split(" ")
+                group[key] = (key, marked.as_py(), len(tokens), heads_of(own_host.as_py(), tokens))
                 seen += len(tokens)
         if seen > most:
             yield list(group.values())
@@ -264,7 +293,7 @@ def repeated_runs(pages: DataFrame, work: Workspace) -> DataFrame:
     bytes each; only the others send their places. Copies of a page count as one.
     """
     spark = pages.sparkSession
-    shared = work.stage(mapped(pages.select("host", "html"), _bucketed, "bucket int, heads binary").groupBy("bucket").applyInArrow(lean(_repeated), "head long"), "heads")
+    shared = work.stage(mapped(pages.select("host", "key", "marked", "blocks"), _bucketed, "bucket int, heads binary").groupBy("bucket").applyInArrow(lean(_repeated), "head long"), "heads")
     bitmap = spark.sparkContext.broadcast(_bits(shared, "head"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +306,7 @@ def repeated_runs(pages: DataFrame, work: Workspace) -> DataFrame:
                     np.repeat(np.array([x[2] for x in found], np.int32), count), np.concatenate([x[4] for x in found]).astype(np.int32),
                 )
 
-    placed = work.stage(mapped(pages.select("host", "html"), place, _PLACED), "placed")
+    placed = work.stage(mapped(pages.select("host", "key", "marked", "blocks"), place, _PLACED), "placed")
     differing = placed.groupBy("head").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("head")
     each = placed.join(differing, "head", "left_semi").select("head", F.inline("at"))
     return each.groupBy("key").agg(F.first("marked").alias("marked"), F.first("n").alias("n"), F.sort_array(F.collect_set(F.struct("place", "head"))).alias("runs"))
@@ -343,8 +372,9 @@ def main_text(pages: DataFrame) -> DataFrame:
     page; an empty table gives no rows; further columns are ignored.
     """
     work = Workspace(pages.sparkSession, "html")
-    pages = parsed(pages)
+    pages = work.stage(parsed(pages), "parsed")
     places = work.stage(boilerplate(repeated_runs(pages, work), work), "places")
+    work.drop("heads", "placed", "spoken")
     bitmap = pages.sparkSession.sparkContext.broadcast(_bits(places, "key"))
 
     def read(covered: bool):
@@ -352,11 +382,9 @@ def main_text(pages: DataFrame) -> DataFrame:
 
         def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                own = [blocks(x.as_py())[0] for x in batch.column("html")]
-                keys = np.array([content_key(h.as_py(), b) for h, b in zip(batch.column("host"), own)], np.int64)
-                mine = np.flatnonzero(_has(bitmap.value, keys.view(np.uint64)) == covered)
-                last = [pa.array(keys[mine]), pa.array([own[k] for k in mine], pa.list_(pa.string()))] if covered else [pa.array(["\n".join(own[k]) for k in mine], pa.string())]
-                rest = batch.take(pa.array(mine))
+                keys = batch.column("key").to_numpy()
+                rest = batch.filter(pa.array(_has(bitmap.value, keys.view(np.uint64)) == covered))
+                last = [rest.column("key"), rest.column("blocks")] if covered else [pc.binary_join(rest.column("blocks"), "\n")]
                 yield pa.RecordBatch.from_arrays([rest.column("page_id"), rest.column("url"), *last], names=["page_id", "url", *(["key", "candidates"] if covered else ["text"])])
 
         return go
@@ -366,8 +394,9 @@ def main_text(pages: DataFrame) -> DataFrame:
             text = ["\n".join(unique_blocks(c.as_py(), p.as_py())) for c, p in zip(batch.column("candidates"), batch.column("places"))]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string())], names=["page_id", "url", "text"])
 
-    plain = mapped(pages, read(False), "page_id long, url string, text string")
-    open_ = mapped(pages, read(True), "page_id long, url string, key long, candidates array<string>").join(places, "key", "left")
+    known = pages.select("page_id", "url", "key", "blocks")
+    plain = mapped(known, read(False), "page_id long, url string, text string")
+    open_ = mapped(known, read(True), "page_id long, url string, key long, candidates array<string>").join(places, "key", "left")
     kept = mapped(open_.select("page_id", "url", "candidates", "places"), keep, "page_id long, url string, text string")
     return plain.unionByName(kept).withColumn("n_chars", F.char_length("text").cast("long"))
 

@@ -96,3 +96,16 @@ def test_names_of_elements():
     assert html.blocks("<article>a<div class='ad'>b<article>no</article>c</div>d</article>") == (["a", "d"], True)
     assert html.blocks("<p>a</p><div class='sidebar'>b<p>c</div><div id='has-sidebar'>d</div><div id='menu'>e</div>f") == (["a", "d", "f"], False)
     assert html.blocks("<div class='menu'><article>a</article></div>b<div class='menu'>c</div>d") == (["a"], True)
+
+
+def test_open_tags_take_linear_time():
+    import time
+
+    def seconds(n):
+        start = time.perf_counter()
+        text, marked = html.blocks("<article>" + "<p>a <b>b</b> <i>c" * n)
+        assert marked and len(text) == n
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert seconds(100_000) < 40 * seconds(10_000)
