@@ -70,10 +70,10 @@ def image_format(content: Column) -> Column:
             .when(h.startswith("49492A00") & (F.substring(h, 17, 4) == "4352"), "CR2")
             .when(h.startswith("4949524F"), "ORF")
             .when(h.startswith("49495500"), "RW2")
-            .when(h.startswith("49492A00") | h.startswith("4D4D002A"), _tiff_kind(h))
+            .when(h.startswith("49492A00") | h.startswith("4D4D002A"), let(F.hex(F.substring(content, 1, SNIFFED)), _tiff_kind))
         )
 
-    return let(F.hex(F.substring(content, 1, SNIFFED)), known)
+    return let(F.hex(F.substring(content, 1, 12)), known)
 
 
 def ascii_value(value: Column, kind: Column) -> Column:

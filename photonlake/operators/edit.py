@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.registry import NAMESPACES
 from ..sources.containers import Damaged
-from ..sources.images import opened, with_format
+from ..sources.images import bounded, opened, with_format
 from ..sources.writers import WRITERS, Changes, edited_tiff, encoded_iptc, encoded_xmp
 from .iptc import UTF8, datasets_of
 from .xmp import SEPARATOR, properties
@@ -31,7 +31,13 @@ XMP_TEXT = {"caption": ("dc", "description"), "copyright": ("dc", "rights"), "cr
 FIELDS = {
     **dict.fromkeys(EXIF_TEXT, "string"), "keywords": "array<string>", "latitude": "double", "longitude": "double", "captured_at": "timestamp", "exposure_num": "long", "exposure_den": "long",
     "f_number": "double", "iso": "long", "focal_length_mm": "double", "orientation": "int", "width": "long", "height": "long",
+    "add_keywords": "array<string>", "properties": "array<struct<ns:string,local:string,value:string>>",
 }
+#: Fields that IPTC blocks and XMP packets hold besides those of text.
+IPTC_MORE = ("keywords", "add_keywords")
+XMP_MORE = (*IPTC_MORE, "captured_at", "latitude", "properties")
+#: Edited images are sent on in batches of about so many bytes.
+BATCH_BYTES = 32 << 20
 
 
 def _dms(x: float) -> bytes:
@@ -73,7 +79,7 @@ def edited_iptc(block: bytes, s: dict) -> bytes:
     """The block with its fields set. Text beyond Latin-1 makes the whole block UTF-8."""
     own = list(datasets_of(block))
     utf8 = any(r == 1 and d == 90 and v == UTF8 for r, d, v in own)
-    new = [*(x for n in IPTC_TEXT if (x := s.get(n)) is not None), *(s.get("keywords") or ())]
+    new = [*(x for n in IPTC_TEXT if (x := s.get(n)) is not None), *(s.get("keywords") or ()), *(s.get("add_keywords") or ())]
     if not utf8 and any(ord(c) > 255 for x in new for c in x):
         own = [(1, 90, UTF8), *((r, d, v.decode("latin-1").encode() if r > 1 else v) for r, d, v in own)]
         utf8 = True
@@ -85,6 +91,7 @@ def edited_iptc(block: bytes, s: dict) -> bytes:
             own = [*own, fact] if at is None else [*own[:at], fact, *own[at + 1 :]]
     if s.get("keywords") is not None:
         own = [x for x in own if x[:2] != (2, 25)] + [(2, 25, w.encode(coding)) for w in s["keywords"]]
+    own += [(2, 25, w.encode(coding)) for w in s.get("add_keywords") or ()]
     return encoded_iptc(sorted(own, key=lambda x: x[0]))
 
 
@@ -101,6 +108,12 @@ def edited_xmp(packet: bytes, s: dict) -> bytes:
             put(*key, s[name])
     if s.get("keywords") is not None:
         put("dc", "subject", SEPARATOR.join(s["keywords"]))
+    if s.get("add_keywords"):
+        put("dc", "subject", SEPARATOR.join([*filter(None, [own.get((NAMESPACES["dc"], "subject"))]), *s["add_keywords"]]))
+    for p in s.get("properties") or ():
+        own.pop((p["ns"], p["local"]), None)
+        if p["value"]:
+            own[p["ns"], p["local"]] = p["value"]
     if s.get("captured_at") is not None:
         put("exif", "DateTimeOriginal", s["captured_at"].strftime("%Y-%m-%dT%H:%M:%SZ"))
     if s.get("latitude") is not None and s.get("longitude") is not None:
@@ -115,9 +128,10 @@ def edited(content: bytes, form: str, s: dict) -> bytes:
     if error:
         raise Damaged(error)
     changes, new = exif_changes(s), {}
-    if "iptc" in own and ({*IPTC_TEXT, "keywords"} & {k for k, v in s.items() if v is not None}):
+    given = {k for k, v in s.items() if v is not None}
+    if "iptc" in own and not given.isdisjoint((*IPTC_TEXT, *IPTC_MORE)):
         new["iptc"] = edited_iptc(own["iptc"], s)
-    if "xmp" in own and ({*XMP_TEXT, "keywords", "captured_at", "latitude"} & {k for k, v in s.items() if v is not None}):
+    if "xmp" in own and not given.isdisjoint((*XMP_TEXT, *XMP_MORE)):
         new["xmp"] = edited_xmp(own["xmp"], s)
     if form not in WRITERS:
         extra = {tag: (kind, len(new[k]), new[k]) for k, tag, kind in (("iptc", 0x83BB, 7), ("xmp", 0x02BC, 1)) if k in new}
@@ -133,8 +147,10 @@ def edited(content: bytes, form: str, s: dict) -> bytes:
 def edit_metadata(images: DataFrame, fields: Mapping[str, Column]) -> DataFrame:
     """path, content, changed and error of images with path and content, with fields set to the columns given.
 
-    A null field stays as it is, and an image none of whose components can hold it is unchanged. Images that cannot be
-    read or cannot hold a field keep their content and have an error; an empty table gives no rows.
+    A null field stays as it is, and an image none of whose components can hold it is unchanged. add_keywords are put
+    after those that are there; properties set XMP properties by namespace and name, and an empty value takes one away.
+    Images that cannot be read or cannot hold a field, be it NaN or out of range, keep their content and have an error;
+    an empty table gives no rows.
     """
     unknown = set(fields) - set(FIELDS)
     if unknown:
@@ -142,6 +158,7 @@ def edit_metadata(images: DataFrame, fields: Mapping[str, Column]) -> DataFrame:
     rows = images.select("path", "content", F.struct(*[c.cast(FIELDS[n]).alias(n) for n, c in fields.items()]).alias("fields"))
 
     def edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
         for batch in batches:
             for path, content, fields, form in zip(*(batch.column(c) for c in ("path", "content", "fields", "format"))):
                 old, new, error = content.as_py(), None, None
@@ -150,11 +167,23 @@ def edit_metadata(images: DataFrame, fields: Mapping[str, Column]) -> DataFrame:
                     values["captured_at"] = values["captured_at"].astimezone(dt.timezone.utc)
                 try:
                     new = edited(old, form.as_py(), values)
-                except (Damaged, OverflowError) as e:
+                except (ValueError, OverflowError) as e:
                     error = str(e)
-                yield pa.RecordBatch.from_pydict({"path": pa.array([path.as_py()], pa.string()), "content": pa.array([old if new is None else new], pa.binary()), "changed": [new is not None and new != old], "error": pa.array([error], pa.string())})
+                rows.append((path.as_py(), old if new is None else new, new is not None and new != old, error))
+                held += len(rows[-1][1] or b"")
+                if held > BATCH_BYTES or len(rows) >= 10_000:
+                    yield _edited_batch(rows)
+                    rows, held = [], 0
+        yield _edited_batch(rows)
 
-    return with_format(rows).mapInArrow(edit, "path string, content binary, changed boolean, error string")
+    return bounded(with_format(rows)).mapInArrow(edit, "path string, content binary, changed boolean, error string")
+
+
+_EDITED = pa.schema([("path", pa.string()), ("content", pa.binary()), ("changed", pa.bool_()), ("error", pa.string())])
+
+
+def _edited_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_EDITED)], schema=_EDITED)
 
 
 def target_name(path: str) -> str:

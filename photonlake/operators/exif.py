@@ -38,11 +38,11 @@ def directories(b: bytes) -> Iterator[tuple[str, int, int, int, int, bytes, str]
 
 
 def exif_entries(facts: DataFrame) -> DataFrame:
-    """A row for each entry of the EXIF directories of images."""
+    """A row for each entry of the EXIF directories of images, MakerNotes that are directories (ifd maker) included."""
     return facts.where("kind = 'exif'").select("path", F.col("space").alias("ifd"), F.col("pos").alias("chain_idx"), F.col("item").alias("tag"), "type", "count", "value", F.col("coding").alias("byte_order"))
 
 
 def named(entries: DataFrame) -> DataFrame:
     """entries with the registry's name of each tag, null for unknown ones; the registry has under 200 rows."""
-    family = F.when(F.col("ifd") == "gps", "gps").otherwise("exif")
+    family = F.when(F.col("ifd") == "gps", "gps").when(F.col("ifd") == "maker", "maker").otherwise("exif")
     return entries.withColumn("family", family).join(F.broadcast(tags(entries.sparkSession).select("family", "tag", "name")), ["family", "tag"], "left").drop("family")

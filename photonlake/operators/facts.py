@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..sources.images import opened, with_format
+from ..sources.images import bounded, opened, with_format
 from .exif import directories
 from .iptc import UTF8, datasets_of
-from .makernote import makernote_entries
+from .makernote import makernote_directory, makernote_entries
 from .xmp import properties
 
 #: at numbers an image's facts; coding is the byte order or the character set of a value.
@@ -23,7 +23,7 @@ COMPONENTS = ("exif", "iptc", "xmp", "makernote")
 def facts_of(found: dict[str, bytes], components: tuple[str, ...]) -> Iterator[tuple]:
     """kind, space, item, pos, name, type, count, value and coding of each fact of an image's payloads."""
     if "exif" in components:
-        make, note = "", b""
+        make, note, own_order = "", b"", "II"
         for kind in ("exif", "exif_ifd"):
             for ifd, k, tag, form, count, value, order in directories(found.get(kind, b"")):
                 ifd = "exif" if kind == "exif_ifd" and ifd == "ifd0" else ifd
@@ -31,8 +31,10 @@ def facts_of(found: dict[str, bytes], components: tuple[str, ...]) -> Iterator[t
                 if (ifd, tag) == ("ifd0", 0x010F) and not k:
                     make = value.rstrip(b"\0").decode("latin-1")
                 if (ifd, tag) == ("exif", 0x927C):
-                    note = value
+                    note, own_order = value, order
         if note and "makernote" in components:
+            for tag, form, count, value, order in makernote_directory(make, note, own_order):
+                yield "exif", "maker", tag, 0, None, form, count, value, order
             for tag, value in makernote_entries(make, note).items():
                 yield "makernote", make, tag, 0, None, None, len(value), value, None
     if "iptc" in components and "iptc" in found:
@@ -54,14 +56,19 @@ def facts(images: DataFrame, components: tuple[str, ...] = COMPONENTS) -> DataFr
             for path, content, form in zip(*(batch.column(c) for c in ("path", "content", "format"))):
                 path, form = path.as_py(), form.as_py()
                 found, error = opened(content.as_py(), form)
+                own = []
+                try:
+                    own += facts_of(found, components)
+                except ValueError as e:
+                    error = error or f"Corrupt: {e}"
                 rows.append((path, form, 0, "head", *[None] * 8, error))
-                rows += [(path, form, k, *own, None) for k, own in enumerate(facts_of(found, components), 1)]
+                rows += [(path, form, k, *x, None) for k, x in enumerate(own, 1)]
                 if len(rows) > 20_000:
                     yield _batch(rows)
                     rows = []
             yield _batch(rows)
 
-    return with_format(images.select("path", "content")).mapInArrow(parse, FACTS)
+    return bounded(with_format(images.select("path", "content"))).mapInArrow(parse, FACTS)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.registry import datasets
+
 MOST_VALUE, MOST_BLOCK = 1 << 20, 256 << 20
 UTF8 = b"\x1b%G"
 
@@ -37,3 +39,8 @@ def iptc_datasets(facts: DataFrame) -> DataFrame:
 def iptc_text(value: Column, is_utf8: Column) -> Column:
     """A dataset's text: UTF-8 where the block says so, else Latin-1."""
     return F.when(is_utf8, F.try_validate_utf8(value.cast("string"))).otherwise(F.decode(value, "ISO-8859-1"))
+
+
+def dataset_names(rows: DataFrame) -> DataFrame:
+    """rows (record, dataset and more) with the registry's name of each dataset; the registry has under 50 rows."""
+    return rows.join(F.broadcast(datasets(rows.sparkSession)), ["record", "dataset"], "left")

@@ -1,90 +1,156 @@
 """One record an image: fields resolved by the priority of their sources.
 
-One narrow pass turns images into facts, and one grouped aggregation pivots those that fields need. Image bytes never
-move; the grouping shuffles decoded values alone.
+One narrow pass reads what the fields need out of an image's payloads, as typed columns of one row: texts, numbers and
+pairs of numbers. Priorities, quotients, places and times are expressions over them. Nothing is shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import image as I
 from ..functions.registry import NAMESPACES
-from ..sources.images import kept_errors
-from .facts import facts
-from .iptc import iptc_text
-
-#: Directory and tag of the fields that are read.
-EXIF_FIELDS = {
-    "make": ("ifd0", 0x010F), "model": ("ifd0", 0x0110), "orientation": ("ifd0", 0x0112), "software": ("ifd0", 0x0131), "date_time": ("ifd0", 0x0132), "artist": ("ifd0", 0x013B),
-    "copyright": ("ifd0", 0x8298), "description": ("ifd0", 0x010E), "exposure": ("exif", 0x829A), "f_number": ("exif", 0x829D), "iso": ("exif", 0x8827), "original": ("exif", 0x9003),
-    "offset": ("exif", 0x9011), "distance": ("exif", 0x9206), "metering": ("exif", 0x9207), "flash": ("exif", 0x9209), "focal": ("exif", 0x920A), "color": ("exif", 0xA001),
-    "width": ("exif", 0xA002), "height": ("exif", 0xA003), "scene": ("exif", 0xA301), "mode": ("exif", 0xA402), "white": ("exif", 0xA403), "zoom": ("exif", 0xA404), "lens": ("exif", 0xA434),
-    "lat_ref": ("gps", 1), "lat": ("gps", 2), "lon_ref": ("gps", 3), "lon": ("gps", 4), "alt_ref": ("gps", 5), "alt": ("gps", 6),
+from ..sources.images import bounded, kept_errors, opened, with_format
+from .exif import directories
+from .iptc import UTF8, datasets_of
+from .xmp import properties
+
+#: Directory and tag of the fields that are read, by how they are read.
+TEXTS = {
+    "make": ("ifd0", 0x010F), "model": ("ifd0", 0x0110), "software": ("ifd0", 0x0131), "date_time": ("ifd0", 0x0132), "artist": ("ifd0", 0x013B), "copyright": ("ifd0", 0x8298),
+    "description": ("ifd0", 0x010E), "original": ("exif", 0x9003), "offset": ("exif", 0x9011), "lens": ("exif", 0xA434),
 }
-
-
-#: The properties that are read.
+SHORTS = {
+    "orientation": ("ifd0", 0x0112), "iso": ("exif", 0x8827), "metering": ("exif", 0x9207), "flash": ("exif", 0x9209), "color": ("exif", 0xA001), "mode": ("exif", 0xA402), "white": ("exif", 0xA403),
+}
+SIZES = {"width": ("exif", 0xA002), "height": ("exif", 0xA003)}
+RATIONALS = {"exposure": ("exif", 0x829A), "f_number": ("exif", 0x829D), "distance": ("exif", 0x9206), "focal": ("exif", 0x920A), "zoom": ("exif", 0xA404), "alt": ("gps", 6)}
+PLACES = {"lat": (("gps", 1), ("gps", 2)), "lon": (("gps", 3), ("gps", 4))}
+FIRST_BYTES = {"alt_ref": ("gps", 5), "scene": ("exif", 0xA301)}
+#: The properties and datasets that are read.
 XMP_FIELDS = {
     "x_model": ("tiff", "Model"), "x_make": ("tiff", "Make"), "x_tool": ("xmp", "CreatorTool"), "x_lens": ("aux", "Lens"), "x_rights": ("dc", "rights"), "x_description": ("dc", "description"),
     "x_creator": ("dc", "creator"), "x_subject": ("dc", "subject"), "x_lat": ("exif", "GPSLatitude"), "x_lon": ("exif", "GPSLongitude"), "x_original": ("exif", "DateTimeOriginal"),
 }
+IPTC_FIELDS = {"i_caption": 120, "i_copyright": 116, "i_creator": 80}
 
+_COLUMNS = {
+    "path": pa.string(), "format": pa.string(), "error": pa.string(), **dict.fromkeys(TEXTS, pa.string()), **dict.fromkeys([*SHORTS, *SIZES], pa.int64()),
+    **{f"{n}_{part}": pa.int64() for n in RATIONALS for part in ("num", "den")}, **{f"{n}_ref": pa.string() for n in PLACES}, **{n: pa.list_(pa.int64()) for n in PLACES},
+    **dict.fromkeys(FIRST_BYTES, pa.int64()), **dict.fromkeys([*XMP_FIELDS, *IPTC_FIELDS], pa.string()), "i_keywords": pa.list_(pa.string()),
+}
+_FIELDS = pa.schema(list(_COLUMNS.items()))
+_NAMES = {pa.string(): "string", pa.int64(): "long", pa.list_(pa.int64()): "array<long>", pa.list_(pa.string()): "array<string>"}
+RECORD = ", ".join(f"{n} {_NAMES[t]}" for n, t in _COLUMNS.items())
 
-def pivoted(rows: DataFrame) -> DataFrame:
-    """A row for each path with a column for each field; of repeated entries and datasets the first counts.
+Entry = tuple[int, int, bytes, str]  # type, count, value, byte order
+
+
+def _number(value: bytes, order: str, at: int, width: int) -> int | None:
+    part = value[at : at + width]
+    return int.from_bytes(part, order) if len(part) == width else None
+
+
+def _text(e: Entry) -> str | None:
+    """Text without its trailing NULs; none unless of type ASCII."""
+    return e[2].rstrip(b"\0").decode("utf-8", "replace") or None if e[0] == 2 else None
+
+
+def _short(e: Entry) -> int:
+    """A SHORT; a value of another type that is there is 0."""
+    return _number(e[2], e[3], 0, 2) or 0 if e[0] in (3, 8) else 0
+
+
+def _size(e: Entry) -> int | None:
+    return _number(e[2], e[3], 0, {3: 2, 4: 4}[e[0]]) if e[0] in (3, 4) else None
 
-    The fact's field is found by one look-up each, so that facts that no field needs drop out before the shuffle.
-    """
-    kind, space, item = F.col("kind"), F.col("space"), F.col("item")
-    key = F.when((kind == "exif") & (F.col("pos") == 0), F.concat_ws(":", space, item)).when(kind == "xmp", F.concat_ws(":", space, "name")).when((kind == "iptc") & (space == "2"), F.concat_ws(":", F.lit("iptc"), item)).when(kind == "head", "head")
-    names = {f"{d}:{t}": n for n, (d, t) in EXIF_FIELDS.items()} | {f"{NAMESPACES[p]}:{local}": n for n, (p, local) in XMP_FIELDS.items()}
-    names |= {"iptc:120": "i_caption", "iptc:116": "i_copyright", "iptc:80": "i_creator", "iptc:25": "i_keywords", "head": "head"}
-    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    own = rows.withColumn("field", F.try_element_at(table, key)).where("field IS NOT NULL")
-
-    def of(field: str, value: Column) -> Column:
-        return F.min_by(value, F.when(F.col("field") == field, F.col("at"))).alias(field)
-
-    entry, text, utf8 = F.struct("value", "type", "count", F.col("coding").alias("byte_order")), iptc_text(F.col("value"), F.col("coding") == "UTF-8"), F.col("value").cast("string")
-    words = F.array_sort(F.collect_list(F.when(F.col("field") == "i_keywords", F.struct("at", text.alias("text")))))
-    return own.groupBy("path").agg(
-        F.max("format").alias("format"), F.max("error").alias("error"), *[of(n, entry) for n in EXIF_FIELDS], *[of(n, utf8) for n in XMP_FIELDS],
-        *[of(n, text) for n in ("i_caption", "i_copyright", "i_creator")], F.transform(words, lambda w: w["text"]).alias("i_keywords"),
-    )
 
+def _rational(e: Entry, i: int = 0) -> tuple[int | None, int | None]:
+    """The i-th numerator and denominator; none for another type or too few bytes."""
+    pair = e[0] in (5, 10) and len(e[2]) >= 8 * i + 8
+    return (_number(e[2], e[3], 8 * i, 4), _number(e[2], e[3], 8 * i + 4, 4)) if pair else (None, None)
 
-def _text(c: str) -> Column:
-    return I.ascii_value(F.col(c)["value"], F.col(c)["type"])
 
+def exif_fields(found: dict[str, bytes]) -> dict[str, object]:
+    """The fields of an image's directories; of repeated entries the first counts."""
+    own: dict[tuple[str, int], Entry] = {}
+    for kind in ("exif", "exif_ifd"):
+        for ifd, k, tag, form, count, value, mark in directories(found.get(kind, b"")):
+            if not k:
+                own.setdefault(("exif" if kind == "exif_ifd" and ifd == "ifd0" else ifd, tag), (form, count, value, "little" if mark == "II" else "big"))
+    out: dict[str, object] = {n: read(own[at]) for names, read in ((TEXTS, _text), (SHORTS, _short), (SIZES, _size)) for n, at in names.items() if at in own}
+    for n, at in RATIONALS.items():
+        if at in own:
+            out[f"{n}_num"], out[f"{n}_den"] = _rational(own[at])
+    for n, (ref, at) in PLACES.items():
+        if ref in own and at in own and own[at][1] == 3:
+            out[f"{n}_ref"], out[n] = own[ref][2][:1].decode("latin-1"), [x for i in range(3) for x in _rational(own[at], i)]
+    out.update((n, own[at][2][0]) for n, at in FIRST_BYTES.items() if at in own and own[at][2])
+    return out
 
-def _short(c: str) -> Column:
-    return I.short_value(F.col(c)["value"], F.col(c)["type"], F.col(c)["byte_order"])
 
+def iptc_fields(block: bytes) -> dict[str, object]:
+    """The fields of an IPTC block; of repeated datasets the first counts, but for keywords."""
+    own = list(datasets_of(block))
+    utf8 = any(r == 1 and d == 90 and v == UTF8 for r, d, v in own)
 
-def _rational(c: str, i: int = 0) -> Column:
-    return I.rational(F.col(c)["value"], F.col(c)["type"], F.col(c)["byte_order"], i)
+    def text(v: bytes) -> str | None:
+        try:
+            return v.decode("utf-8" if utf8 else "latin-1")
+        except UnicodeDecodeError:
+            return None
 
+    first = {d: v for r, d, v in reversed(own) if r == 2}
+    return {n: text(first[d]) for n, d in IPTC_FIELDS.items() if d in first} | {"i_keywords": [text(v) for r, d, v in own if (r, d) == (2, 25)]}
 
-def _size(c: str) -> Column:
-    entry = F.col(c)
-    n = F.when(entry["type"] == 3, I.unsigned(entry["value"], entry["byte_order"], 0, 2)).when(entry["type"] == 4, I.unsigned(entry["value"], entry["byte_order"], 0, 4))
-    return I.let(n, lambda x: F.when(x > 0, x))
+
+def fields_of(found: dict[str, bytes], components: tuple[str, ...]) -> dict[str, object]:
+    """What the fields need of an image's payloads; Damaged if one cannot be read at all."""
+    out = exif_fields(found) if "exif" in components else {}
+    if "iptc" in components and "iptc" in found:
+        out |= iptc_fields(found["iptc"])
+    if "xmp" in components and "xmp" in found:
+        own = properties(found["xmp"])
+        out |= {n: v for n, (p, local) in XMP_FIELDS.items() if (v := own.get((NAMESPACES[p], local)))}
+    return out
+
+
+def decoded(images: DataFrame, components: tuple[str, ...]) -> DataFrame:
+    """A row of RECORD for each image."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, content, form in zip(*(batch.column(c) for c in ("path", "content", "format"))):
+                found, error = opened(content.as_py(), form.as_py())
+                try:
+                    own = fields_of(found, components)
+                except ValueError as e:
+                    own, error = {}, f"Corrupt: {e}"
+                rows.append({"path": path.as_py(), "format": form.as_py(), "error": error, **own})
+            yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t in _COLUMNS.items()], schema=_FIELDS)
+
+    return bounded(with_format(images.select("path", "content"))).mapInArrow(read, RECORD)
+
+
+def _pair(n: str) -> Column:
+    return F.struct(F.col(f"{n}_num").alias("num"), F.col(f"{n}_den").alias("den"))
 
 
 def _place(c: str, most: int, strict: bool) -> Column:
-    whole = (F.col(c)["count"] == 3) & F.col(f"{c}_ref").isNotNull()
-    zero = F.struct(F.lit(0).cast("long").alias("num"), F.lit(0).cast("long").alias("den"))
-    parts = [_rational(c, i) if strict else F.coalesce(_rational(c, i), zero) for i in range(3)]
-    return F.when(whole, I.degrees(parts, F.substring(F.col(f"{c}_ref")["value"], 1, 1).cast("string"), most, strict))
+    parts = [F.struct(F.get(F.col(c), F.lit(2 * i)).alias("num"), F.get(F.col(c), F.lit(2 * i + 1)).alias("den")) for i in range(3)]
+    return F.when(F.col(c).isNotNull(), I.degrees(parts, F.col(f"{c}_ref"), most, strict))
 
 
 def flat_metadata(images: DataFrame, components: tuple[str, ...] = ("exif", "iptc", "xmp"), strict_gps: bool = False, mode: str = "PERMISSIVE") -> DataFrame:
     """A row for each image (path, content): format, error and the fields, null where no source has them.
 
-    Components left out are not parsed. Rows with one path are one image; null and empty contents, unknown formats and
-    damaged files have an error and no fields; an empty table gives no rows; further columns are ignored.
+    Components left out are not parsed. Every row is an image, whatever its path; null and empty contents, unknown
+    formats and damaged files have an error and no fields; an empty table gives no rows; further columns are ignored.
     """
     xmp_place = F.struct(I.xmp_degrees(F.col("x_lat"), 90).alias("lat"), I.xmp_degrees(F.col("x_lon"), 180).alias("lon"))
     exif_place = F.struct(_place("lat", 90, strict_gps).alias("lat"), _place("lon", 180, strict_gps).alias("lon"))
@@ -92,33 +158,65 @@ def flat_metadata(images: DataFrame, components: tuple[str, ...] = ("exif", "ipt
     def whole(place: Column) -> Column:
         return I.let(place, lambda p: F.when(p["lat"].isNotNull() & p["lon"].isNotNull(), p))
 
-    size = I.let(F.struct(_size("width").alias("w"), _size("height").alias("h")), lambda x: F.when(x["w"].isNotNull() & x["h"].isNotNull(), x))
-    joined = pivoted(facts(images, components)).withColumns({"place": F.coalesce(whole(exif_place), whole(xmp_place)), "size": size})
-    below = F.substring(F.col("alt_ref")["value"], 1, 1) == F.lit(b"\x01")
-    high = I.quotient(_rational("alt"))
-    captured = F.coalesce(I.exif_time(_text("original"), _text("offset")), I.xmp_time(F.col("x_original")))
-    records = joined.select(
+    def text(c: str) -> Column:
+        return F.nullif(F.col(c), F.lit(""))
+
+    both = (F.col("width") > 0) & (F.col("height") > 0)
+    high = I.quotient(_pair("alt"))
+    captured = F.coalesce(I.exif_time(F.col("original"), F.col("offset")), I.xmp_time(F.col("x_original")))
+    keywords = F.when(F.size("i_keywords") > 0, F.col("i_keywords"))
+    records = decoded(images, components).withColumn("place", F.coalesce(whole(exif_place), whole(xmp_place))).select(
         "path", "format", "error",
-        F.coalesce(_text("make"), F.nullif("x_make", F.lit(""))).alias("make"),
-        F.coalesce(_text("model"), F.nullif("x_model", F.lit("")), F.nullif("x_tool", F.lit(""))).alias("model"),
-        F.coalesce(_text("lens"), F.nullif("x_lens", F.lit(""))).alias("lens"),
-        F.coalesce(_text("software"), F.nullif("x_tool", F.lit(""))).alias("software"),
-        F.col("size.w").alias("width"), F.col("size.h").alias("height"),
-        captured.alias("captured_at"), I.exif_time(_text("date_time")).alias("date_time"),
+        F.coalesce("make", text("x_make")).alias("make"), F.coalesce("model", text("x_model"), text("x_tool")).alias("model"), F.coalesce("lens", text("x_lens")).alias("lens"),
+        F.coalesce("software", text("x_tool")).alias("software"),
+        F.when(both, F.col("width")).alias("width"), F.when(both, F.col("height")).alias("height"),
+        captured.alias("captured_at"), I.exif_time(F.col("date_time")).alias("date_time"),
         F.col("place.lat").alias("latitude"), F.col("place.lon").alias("longitude"),
-        I.let(high, lambda x: F.when(below, -x).otherwise(x)).alias("altitude"),
-        I.exposure_text(_rational("exposure")).alias("exposure_time"), I.quotient(_rational("f_number")).alias("f_number"), _short("iso").alias("iso"), I.quotient(_rational("focal")).alias("focal_length_mm"),
-        _short("orientation").alias("orientation"), _short("white").alias("white_balance"), _short("flash").alias("flash"), _short("mode").alias("exposure_mode"), _short("color").alias("color_space"),
-        _short("metering").alias("metering_mode"), I.quotient(_rational("distance")).alias("subject_distance"), I.quotient(_rational("zoom")).alias("digital_zoom_ratio"),
-        F.conv(F.hex(F.substring(F.col("scene")["value"], 1, 1)), 16, 10).cast("int").alias("scene_type"),
-        F.coalesce(I.first_of(F.col("x_description")), F.nullif("i_caption", F.lit("")), _text("description")).alias("caption"),
-        F.coalesce(I.first_of(F.col("x_rights")), F.nullif("i_copyright", F.lit("")), _text("copyright")).alias("copyright"),
-        F.coalesce(I.first_of(F.col("x_creator")), F.nullif("i_creator", F.lit("")), _text("artist")).alias("creator"),
-        F.coalesce(I.items_of(F.col("x_subject")), F.when(F.size("i_keywords") > 0, F.col("i_keywords"))).alias("keywords"),
+        F.when(F.col("alt_ref") == 1, -high).otherwise(high).alias("altitude"),
+        I.exposure_text(_pair("exposure")).alias("exposure_time"), I.quotient(_pair("f_number")).alias("f_number"), "iso", I.quotient(_pair("focal")).alias("focal_length_mm"),
+        "orientation", F.col("white").alias("white_balance"), "flash", F.col("mode").alias("exposure_mode"), F.col("color").alias("color_space"),
+        F.col("metering").alias("metering_mode"), I.quotient(_pair("distance")).alias("subject_distance"), I.quotient(_pair("zoom")).alias("digital_zoom_ratio"),
+        F.col("scene").cast("int").alias("scene_type"),
+        F.coalesce(I.first_of(F.col("x_description")), text("i_caption"), F.col("description")).alias("caption"),
+        F.coalesce(I.first_of(F.col("x_rights")), text("i_copyright"), F.col("copyright")).alias("copyright"),
+        F.coalesce(I.first_of(F.col("x_creator")), text("i_creator"), F.col("artist")).alias("creator"),
+        F.coalesce(I.items_of(F.col("x_subject")), keywords).alias("keywords"),
     )
     return kept_errors(records, mode)
 
 
+#: What validated() says of images that can't be written as they are.
+UNKNOWN, NO_DIRECTORY, NO_PROPERTIES = "unknown format", "EXIF without a first directory", "XMP that cannot be read"
+
+
+def validated(images: DataFrame) -> DataFrame:
+    """path, format and problem of every image: null where it is fit to be written.
+
+    Null and empty contents are of no known format; an image without EXIF or XMP is fit; an empty table gives no rows.
+    """
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for content, form in zip(batch.column("content"), batch.column("format")):
+                found, error = opened(content.as_py(), form.as_py())
+                if error and form.as_py() is not None:
+                    out.append(error)
+                elif form.as_py() is None:
+                    out.append(UNKNOWN)
+                elif "exif" in found and not any(d[0] == "ifd0" for d in directories(found["exif"])):
+                    out.append(NO_DIRECTORY)
+                else:
+                    try:
+                        properties(found.get("xmp", b""))
+                        out.append(None)
+                    except ValueError:
+                        out.append(NO_PROPERTIES)
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("format"), pa.array(out, pa.string())], names=["path", "format", "problem"])
+
+    return bounded(with_format(images.select("path", "content"))).mapInArrow(check, "path string, format string, problem string")
+
+
 def as_json(records: DataFrame) -> DataFrame:
     """path and the record as JSON, absent fields left out."""
     fields = [c for c in records.columns if c not in ("path", "error")]

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from xml.parsers import expat
+import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.registry import NAMESPACES
@@ -12,6 +12,28 @@ from ..functions.registry import NAMESPACES
 RDF = NAMESPACES["rdf"]
 MOST_DEPTH = 100
 SEPARATOR = "\u001e"
+#: The entities that XML defines.
+ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+LISTS = ("Alt", "Seq", "Bag")
+
+_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|\?.*?(?:\?>|\Z)|![^>]*(?:>|\Z)|(/)[^>]*(?:>|\Z)|([^\s>/=]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z))([^<]*)""", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s=/]+)\s*=\s*(?:"([^"]*)|'([^']*))""")
+_REFERENCE = re.compile("&([^;]*);")
+
+
+def _referred(m: re.Match) -> str:
+    """What a reference stands for; one to an unknown entity stays as it is, a number that isn't one is nothing."""
+    ref = m[1]
+    if len(ref) < 2 or ref[0] != "#":
+        return ENTITIES.get(ref, m[0])
+    try:
+        return chr(int(ref[2:], 16) if ref[1] in "xX" else int(ref[1:]))
+    except (ValueError, OverflowError):
+        return ""
+
+
+def unescaped(text: str) -> str:
+    return _REFERENCE.sub(_referred, text) if "&" in text else text
 
 
 def packet(b: bytes) -> bytes:
@@ -25,74 +47,101 @@ def packet(b: bytes) -> bytes:
 
 
 class Reader:
-    """Properties from the events of an XML parser.
+    """Properties from the tags of a packet, which need not be well-formed.
 
     Attributes of a description are properties; so are its elements, whose text or list items are their values. A
     structure's fields are named parent.field. Items of a list are joined; one in another language than the default is
-    led by it.
+    led by it. An end tag closes the element that is open, whatever its name; a prefix that is not declared stands for
+    no namespace. An element's text is what stands right after its start tag.
     """
 
     def __init__(self) -> None:
         self.found: dict[tuple[str, str], str] = {}
+        self.spaces: dict[str, str] = {}
         self.stack: list[dict] = []
 
-    def put(self, name: str, value: str, prefix: str = "") -> None:
-        ns, _, local = name.rpartition(" ")
-        if ns and ns not in (RDF, NAMESPACES["x"], "http://www.w3.org/XML/1998/namespace") and value:
-            self.found[ns, prefix + local] = value
-
-    def start(self, name: str, attributes: dict[str, str]) -> None:
-        if len(self.stack) > MOST_DEPTH:
-            raise ValueError("nested too deeply")
-        up = self.stack[-1] if self.stack else None
-        me = {"name": name, "text": "", "items": None, "kind": "other", "prefix": up["prefix"] if up else ""}
-        if name == f"{RDF} Description":
+    def resolved(self, name: str) -> tuple[str, str]:
+        prefix, colon, local = name.partition(":")
+        return (self.spaces.get(prefix, ""), local) if colon else ("", name)
+
+    def attributes(self, source: str) -> dict[tuple[str, str], str]:
+        out = {}
+        for m in _ATTRIBUTE.finditer(source):
+            value = unescaped(m[2] if m[2] is not None else m[3])
+            if m[1].startswith("xmlns:"):
+                self.spaces[m[1][6:]] = value
+            elif m[1] != "xmlns":
+                out[m[1]] = value
+        return {self.resolved(n): v for n, v in out.items()}
+
+    def put(self, ns: str, name: str, value: str) -> None:
+        if value:
+            self.found.setdefault((ns, name), value)
+
+    def put_attributes(self, own: dict[tuple[str, str], str], ns: str | None = None, prefix: str = "") -> None:
+        for (space, local), value in own.items():
+            if space not in ("", RDF, NAMESPACES["x"]):
+                self.put(space if ns is None else ns, prefix + local, value)
+
+    def start(self, tag: str, source: str, text: str) -> None:
+        if len(self.stack) >= MOST_DEPTH:
+            raise ValueError("the packet's elements are nested too deeply")
+        own = self.attributes(source)
+        ns, local = self.resolved(tag)
+        up = self.stack[-1] if self.stack else {"kind": "other", "prefix": "", "ns": ""}
+        me = {"kind": "other", "ns": ns, "local": local, "prefix": up["prefix"], "items": None}
+        text = unescaped(text.strip(" \t\r\n"))
+        if (ns, local) == (RDF, "Description") and up["kind"] in ("other", "property"):
             me["kind"] = "description"
-            if up and up["kind"] == "property":
-                me["prefix"] = up["prefix"] + up["name"].rpartition(" ")[2] + "."
-                up["kind"] = "structure"
-            for k, v in attributes.items():
-                self.put(k, v, me["prefix"])
-        elif name in (f"{RDF} Alt", f"{RDF} Seq", f"{RDF} Bag") and up and up["kind"] == "property":
+            if up["kind"] == "property":
+                me["prefix"], me["ns"] = f"{up['prefix']}{up['local']}.", up["ns"]
+                self.put_attributes(own, up["ns"], me["prefix"])
+            else:
+                self.put_attributes(own)
+        elif up["kind"] == "property" and ns == RDF and local in LISTS:
             me["kind"], up["items"] = "list", []
-        elif name == f"{RDF} li" and up and up["kind"] == "list":
-            me["kind"], me["lang"] = "item", attributes.get("http://www.w3.org/XML/1998/namespace lang")
-        elif up and up["kind"] in ("description", "resource"):
+        elif up["kind"] == "list":
+            me["kind"] = "item"
+            lang = next((v for (_, n), v in own.items() if n == "lang"), "")
+            if text:
+                self.stack[-2]["items"].append(text if lang in ("", "x-default") else f"{lang}|{text}")
+        elif up["kind"] in ("description", "resource"):
             me["kind"] = "property"
-            if attributes.get(f"{RDF} parseType") == "Resource":
-                me["kind"], me["prefix"] = "resource", me["prefix"] + name.rpartition(" ")[2] + "."
-            for k, v in attributes.items():
-                ns, _, local = k.rpartition(" ")
-                if ns and ns != RDF:
-                    self.put(f"{name.rpartition(' ')[0]} {local}", v, me["prefix"] + name.rpartition(" ")[2] + ".")
+            me["ns"] = ns or (up["ns"] if up["prefix"] else ns)
+            self.put(me["ns"], me["prefix"] + local, own.get((RDF, "resource"), ""))
+            if own.get((RDF, "parseType")) == "Resource":
+                me["kind"], me["prefix"] = "resource", f"{me['prefix']}{local}."
+            else:
+                self.put_attributes(own, me["ns"], f"{me['prefix']}{local}.")
+                self.put(me["ns"], me["prefix"] + local, text)
         self.stack.append(me)
 
-    def text(self, data: str) -> None:
-        if self.stack:
-            self.stack[-1]["text"] += data
-
-    def end(self, _: str) -> None:
-        me = self.stack.pop()
-        text = me["text"].strip(" \t\r\n")
-        if me["kind"] == "item" and len(self.stack) > 1:
-            lang = me["lang"]
-            self.stack[-2]["items"].append(text if lang in (None, "x-default") else f"{lang}|{text}")
-        elif me["kind"] == "property":
-            self.put(me["name"], text if me["items"] is None else SEPARATOR.join(me["items"]), me["prefix"])
+    def end(self) -> None:
+        me = self.stack.pop() if self.stack else {"items": None}
+        if me["items"]:
+            self.found[me["ns"], me["prefix"] + me["local"]] = SEPARATOR.join(me["items"])
 
 
 def properties(b: bytes) -> dict[tuple[str, str], str]:
-    """Values by namespace and name. What stands before damage is kept."""
-    reader, parser = Reader(), expat.ParserCreate(namespace_separator=" ")
-    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = reader.start, reader.end, reader.text
-    parser.buffer_text = True
-    try:
-        parser.Parse(packet(b).strip(b" \t\r\n\0"), True)
-    except (expat.ExpatError, ValueError):
-        pass
+    """Values by namespace and name of a packet; ValueError if it is nested more than MOST_DEPTH deep."""
+    reader = Reader()
+    for m in _TAG.finditer(packet(b).decode("utf-8", "replace")):
+        if m[1]:
+            reader.end()
+        elif m[2]:
+            reader.start(m[2], m[3], m[4])
+            if m[3].endswith("/"):
+                reader.end()
+    while reader.stack:
+        reader.end()
     return reader.found
 
 
+def xmp_value(properties: DataFrame, ns: Column | str, local: Column | str) -> DataFrame:
+    """path and value of one property, from xmp_properties(); images without it have no row."""
+    return properties.where((F.col("ns") == ns) & (F.col("local") == local)).select("path", "value")
+
+
 def xmp_properties(facts: DataFrame) -> DataFrame:
     """A row for each property of the XMP packets of images."""
     return facts.where("kind = 'xmp'").select("path", F.col("space").alias("ns"), F.col("name").alias("local"), F.col("value").cast("string").alias("value"))

@@ -10,10 +10,18 @@ def raw(digits: str) -> Column:
     return F.unhex(F.lit(digits))
 
 
-def number(n: Column | int, width: int) -> Column:
-    """A big-endian number of `width` bytes."""
+def bound(value: Column, body) -> Column:
+    """body(value) with value computed once a row, so that expressions grow with their parts and not with their uses."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def number(n: Column | int, width: int, little: bool = False) -> Column:
+    """A number of `width` bytes, big-endian unless `little`."""
     n = F.lit(n) if isinstance(n, int) else n
-    return F.unhex(F.lpad(F.hex(n.cast("long")), 2 * width, "0"))
+    digits = F.lpad(F.hex(n.cast("long")), 2 * width, "0")
+    if not little:
+        return F.unhex(digits)
+    return bound(digits, lambda d: F.unhex(F.concat(*[F.substring(d, 2 * k + 1, 2) for k in range(width - 1, -1, -1)])))
 
 
 def text(c: Column) -> Column:
@@ -24,45 +32,59 @@ def join(*parts: Column) -> Column:
     return F.concat(*parts)
 
 
-def ascii_entry(tag: int, value: Column) -> tuple[int, int, Column, Column]:
+Entry = tuple[int, int, Column, Column]  # tag, type, count, value
+
+
+def ascii_entry(tag: int, value: Column) -> Entry:
     data = join(text(value), raw("00"))
     return tag, 2, F.octet_length(data), data
 
 
-def short_entry(tag: int, value: Column) -> tuple[int, int, Column, Column]:
-    return tag, 3, F.lit(1), number(value, 2)
+def short_entry(tag: int, value: Column | int, little: bool = False) -> Entry:
+    return tag, 3, F.lit(1), number(value, 2, little)
 
 
-def long_entry(tag: int, value: Column) -> tuple[int, int, Column, Column]:
-    return tag, 4, F.lit(1), number(value, 4)
+def long_entry(tag: int, value: Column | int, little: bool = False) -> Entry:
+    return tag, 4, F.lit(1), number(value, 4, little)
 
 
-def rational_entry(tag: int, *pairs: tuple[Column | int, Column | int]) -> tuple[int, int, Column, Column]:
-    return tag, 5, F.lit(len(pairs)), join(*[number(x, 4) for p in pairs for x in p])
+def rational_entry(tag: int, *pairs: tuple[Column | int, Column | int], little: bool = False) -> Entry:
+    return tag, 5, F.lit(len(pairs)), join(*[number(x, 4, little) for p in pairs for x in p])
 
 
-def ifd(entries: list[tuple[int, int, Column, Column]], at: Column | int) -> Column:
+def ifd(entries: list[Entry], at: Column | int, little: bool = False) -> Column:
     """A directory at an offset, with the values that do not fit in its table after it."""
-    table, data = [number(len(entries), 2)], []
+    rows = F.array(*[F.struct(join(number(tag, 2, little), number(kind, 2, little), number(count, 4, little)).alias("head"), value.alias("value")) for tag, kind, count, value in sorted(entries, key=lambda e: e[0])])
     free = (F.lit(at) if isinstance(at, int) else at) + 2 + 12 * len(entries) + 4
-    for tag, kind, count, value in sorted(entries, key=lambda e: e[0]):
-        size = F.octet_length(value)
-        table.append(join(number(tag, 2), number(kind, 2), number(count, 4), F.when(size <= 4, F.rpad(value, 4, raw("00"))).otherwise(number(free, 4))))
-        data.append(F.when(size > 4, value).otherwise(raw("")))
-        free = free + F.when(size > 4, size).otherwise(0)
-    return join(*table, raw("00000000"), *data)
+    start = F.struct(raw("").alias("table"), raw("").alias("data"), free.cast("long").alias("free"))
+
+    def add(a: Column, e: Column) -> Column:
+        fits = F.octet_length(e["value"]) <= 4
+        field = F.when(fits, F.rpad(e["value"], 4, raw("00"))).otherwise(number(a["free"], 4, little))
+        return F.struct(
+            join(a["table"], e["head"], field).alias("table"), join(a["data"], F.when(fits, raw("")).otherwise(e["value"])).alias("data"),
+            (a["free"] + F.when(fits, 0).otherwise(F.octet_length(e["value"]))).cast("long").alias("free"),
+        )
+
+    return F.aggregate(rows, start, add, lambda a: join(number(len(entries), 2, little), a["table"], raw("00000000"), a["data"]))
 
 
-def exif(ifd0: list, exif_ifd: list | None = None, gps: list | None = None) -> Column:
+def exif(ifd0: list[Entry], exif_ifd: list[Entry] | None = None, gps: list[Entry] | None = None) -> Column:
     """A big-endian TIFF block: the sub-directories stand first, so that their places need no other's length."""
-    at, parts = F.lit(8), []
-    for tag, entries in ((0x8769, exif_ifd), (0x8825, gps)):
-        if entries:
-            block = ifd(entries, at)
-            ifd0 = [*ifd0, long_entry(tag, at)]
-            parts.append(block)
-            at = at + F.octet_length(block)
-    return join(raw("4D4D002A"), number(at, 4), *parts, ifd(ifd0, at))
+
+    def after(body: Column, rest: list[tuple[int, list[Entry]]], top: list[Entry]) -> Column:
+        at = F.octet_length(body) + 8
+        if not rest:
+            return join(raw("4D4D002A"), number(at, 4), body, ifd(top, at))
+        (tag, entries), more = rest[0], rest[1:]
+        return bound(join(body, ifd(entries, at)), lambda b: after(b, more, [*top, long_entry(tag, at)]))
+
+    return after(raw(""), [(t, e) for t, e in ((0x8769, exif_ifd), (0x8825, gps)) if e], ifd0)
+
+
+def little_tiff(head: str, entries: list[Entry]) -> Column:
+    """A little-endian TIFF file of one directory; head: its first bytes up to the directory, in hexadecimal digits."""
+    return join(raw(head), ifd(entries, len(head) // 2, True))
 
 
 def xmp(inner: Column) -> Column:
@@ -112,26 +134,57 @@ def chunk(kind: str, data: Column) -> Column:
     return join(number(F.octet_length(data), 4), body, number(F.crc32(body), 4))
 
 
-def png(exif_: Column | None = None, xmp_: Column | None = None) -> Column:
+def stored_zlib(data: Column) -> Column:
+    """A zlib stream of one block that is stored as it is, for data of under 65,536 bytes."""
+
+    def stream(d: Column) -> Column:
+        n = F.octet_length(d)
+        each = F.transform(F.sequence(F.lit(1), n), lambda i: F.conv(F.hex(F.substring(d, i, 1)), 16, 10).cast("long"))
+        sums = F.aggregate(each, F.struct(F.lit(1).cast("long").alias("a"), F.lit(0).cast("long").alias("b")), lambda s, x: F.struct(((s["a"] + x) % 65521).alias("a"), ((s["b"] + s["a"] + x) % 65521).alias("b")))
+        return bound(sums, lambda s: join(raw("780101"), number(n, 2, True), number(65535 - n, 2, True), d, number(s["b"], 2), number(s["a"], 2)))
+
+    return bound(data, stream)
+
+
+def png(exif_: Column | None = None, xmp_: Column | None = None, compressed: bool = False) -> Column:
     parts = [raw("89504E470D0A1A0A"), chunk("IHDR", raw("00000001000000010802000000"))]
     if exif_ is not None:
         parts.append(chunk("eXIf", exif_))
     if xmp_ is not None:
-        parts.append(chunk("iTXt", join(text(F.lit("XML:com.adobe.xmp")), raw("0000000000"), xmp_)))
+        parts.append(chunk("iTXt", join(text(F.lit("XML:com.adobe.xmp")), raw("0001000000" if compressed else "0000000000"), stored_zlib(xmp_) if compressed else xmp_)))
     return join(*[_or_nothing(p) for p in parts], chunk("IEND", raw("")))
 
 
-def _little(n: Column) -> Column:
-    digits = F.lpad(F.hex(n.cast("long")), 8, "0")
-    return F.unhex(F.concat(*[F.substring(digits, k, 2) for k in (7, 5, 3, 1)]))
-
-
 def webp(exif_: Column | None = None, xmp_: Column | None = None) -> Column:
     def part(kind: str, data: Column) -> Column:
-        return join(text(F.lit(kind)), _little(F.octet_length(data)), data, F.when(F.octet_length(data) % 2 == 1, raw("00")).otherwise(raw("")))
+        return join(text(F.lit(kind)), number(F.octet_length(data), 4, True), data, F.when(F.octet_length(data) % 2 == 1, raw("00")).otherwise(raw("")))
 
     body = [text(F.lit("WEBP")), part("VP8X", raw("0C000000000000000000"))]
     body += [part("EXIF", exif_)] if exif_ is not None else []
     body += [part("XMP ", xmp_)] if xmp_ is not None else []
     whole = join(*[_or_nothing(p) for p in body])
-    return join(text(F.lit("RIFF")), _little(F.octet_length(whole)), whole)
+    return join(text(F.lit("RIFF")), number(F.octet_length(whole), 4, True), whole)
+
+
+def box(kind: str, *data: Column) -> Column:
+    """A box of ISO media."""
+    return bound(join(*data), lambda d: join(number(F.octet_length(d) + 8, 4), text(F.lit(kind)), d))
+
+
+def heif(items: list[tuple[int, str, Column]], primary: int, brand: str = "heic") -> Column:
+    """A HEIF file of Exif (type Exif) and XMP (type mime) items by number, one of them the primary."""
+    names = {"Exif": b"\0", "mime": b"\0application/rdf+xml\0"}
+    infe = [raw((len(names[t]) + 20).to_bytes(4).hex() + b"infe".hex() + "02000000" + i.to_bytes(2).hex() + "0000" + t.encode().hex() + names[t].hex()) for i, t, _ in items]
+    data = [join(raw("00000000"), d) if t == "Exif" else d for _, t, d in items]
+    meta = 8 + 4 + (12 + 2) + (8 + 4 + 2 + sum(len(names[t]) + 20 for _, t, _ in items)) + (8 + 8 + 14 * len(items))
+    at, places = F.lit(24 + meta + 8), []
+    for (i, _, _), d in zip(items, data):
+        places.append(join(number(i, 2), raw("00000001"), number(at, 4), number(F.octet_length(d), 4)))
+        at = at + F.octet_length(d)
+    inner = [box("pitm", raw("00000000"), number(primary, 2)), box("iinf", raw("00000000"), number(len(items), 2), *infe), box("iloc", raw("000000004400"), number(len(items), 2), *places)]
+    return join(box("ftyp", text(F.lit(brand)), raw("00000000"), text(F.lit("mif1heic"))), box("meta", raw("00000000"), *inner), box("mdat", *data))
+
+
+def cr3(cmt1: Column, cmt2: Column, xmp_: Column) -> Column:
+    canon = raw("85c0b687820f11e08111f4ce462b6a48")
+    return join(box("ftyp", text(F.lit("crx ")), raw("00000001"), text(F.lit("crx isom"))), box("moov", box("uuid", canon, box("CMT1", cmt1), box("CMT2", cmt2), box("XMP ", xmp_))), box("mdat", raw("00010203")))

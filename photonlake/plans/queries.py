@@ -2,20 +2,42 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import image as I
-from ..functions.registry import formats
-from ..operators.edit import edit_metadata
+from ..functions.registry import NAMESPACES, formats
+from ..operators.edit import edit_metadata, write_images
 from ..operators.exif import exif_entries, named
 from ..operators.facts import facts
-from ..operators.iptc import iptc_datasets, iptc_text
-from ..operators.metadata import flat_metadata
-from ..sources.images import segments, with_format
+from ..operators.iptc import dataset_names, iptc_datasets, iptc_text
+from ..operators.metadata import NO_DIRECTORY, NO_PROPERTIES, UNKNOWN, as_json, flat_metadata, validated
+from ..operators.xmp import xmp_properties, xmp_value
+from ..sources.images import read_images, segments, with_format
+from ..streaming.images import catalogue, stream_images
 from . import builders as B
 
 
+FIXTURES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def fixture(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A table of images; one stored below the setting photonlake.fixtures is read, else it is built."""
+    FIXTURES[build.__name__] = build
+
+    @wraps(build)
+    def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+        folder = spark.conf.get("photonlake.fixtures", None)
+        return spark.read.parquet(f"{folder}/{build.__name__}") if folder else build(spark, sf_dir)
+
+    return images
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -34,6 +56,7 @@ def part_exif(own: list | None = None) -> Column:
     return B.exif(top, inner)
 
 
+@fixture
 def part_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(path("p", "p_partkey"), B.jpeg(part_exif()).alias("content"))
 
@@ -55,6 +78,7 @@ def tags_by_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named(exif_entries(facts(part_images(spark, sf_dir), ("exif",)))).groupBy("ifd", "name").agg(F.count(F.lit(1)).alias("entries"), F.sum("count").cast("long").alias("values"))
 
 
+@fixture
 def customer_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner = F.concat(B.element("tiff:Model", F.col("c_name")), B.listed("dc:creator", "Seq", F.col("c_name")), B.listed("dc:subject", "Bag", F.col("c_mktsegment"), F.col("c_nationkey").cast("string")))
     return table(spark, sf_dir, "customer").select(path("c", "c_custkey", "png"), B.png(None, B.xmp(inner)).alias("content"), "c_mktsegment")
@@ -68,7 +92,8 @@ def images_by_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_metadata(customer_images(spark, sf_dir), ("xmp",)).select(F.explode("keywords").alias("keyword")).groupBy("keyword").agg(F.count(F.lit(1)).alias("images"))
 
 
-def gps_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+@fixture
+def event_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     north = F.when(F.col("event_id") % 2 == 0, "N").otherwise("S")
     east = F.when(F.col("event_id") % 3 == 0, "E").otherwise("W")
@@ -78,8 +103,11 @@ def gps_places(spark: SparkSession, sf_dir: str) -> DataFrame:
         B.ascii_entry(3, east), B.rational_entry(4, (F.col("event_id") % 180, 1), (third, 1), (F.col("event_id") % 60, 1)),
         (5, 1, F.lit(1), B.number(F.col("event_id") % 2, 1)), B.rational_entry(6, (F.col("user_id"), 4)),
     ]
-    images = e.select(path("e", "event_id", "webp"), B.webp(B.exif([B.ascii_entry(0x010F, F.col("event_type"))], None, gps)).alias("content"))
-    return flat_metadata(images, ("exif",)).select("path", "format", "latitude", "longitude", "altitude")
+    return e.select(path("e", "event_id", "webp"), B.webp(B.exif([B.ascii_entry(0x010F, F.col("event_type"))], None, gps)).alias("content"))
+
+
+def gps_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat_metadata(event_images(spark, sf_dir), ("exif",)).select("path", "format", "latitude", "longitude", "altitude")
 
 
 def iptc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,9 +120,10 @@ def iptc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def iptc_dataset_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation")
     images = n.select(path("n", "n_nationkey"), B.jpeg(None, None, B.iptc((2, 101, B.text(F.col("n_name"))), (2, 120, F.concat(B.text(F.col("n_name")), B.raw("E9"))))).alias("content"))
-    return iptc_datasets(facts(images, ("iptc",))).select("path", "pos", "dataset", iptc_text(F.col("value"), F.col("is_utf8")).alias("text"))
+    return dataset_names(iptc_datasets(facts(images, ("iptc",)))).select("path", "pos", "dataset", "name", iptc_text(F.col("value"), F.col("is_utf8")).alias("text"))
 
 
+@fixture
 def priority_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """XMP for large parts, IPTC for even ones, EXIF for all."""
     inner = F.concat(B.listed("dc:description", "Alt", F.concat(F.lit("x "), "p_name")), B.listed("dc:rights", "Alt", F.concat(F.lit("x "), "p_brand")))
@@ -111,11 +140,15 @@ def segment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments(priority_images(spark, sf_dir)).groupBy("format").agg(*[F.count(f"raw_{c}").alias(c) for c in ("exif", "iptc", "xmp")])
 
 
-def captured_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+@fixture
+def order_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     taken = B.ascii_entry(0x9003, F.date_format("o_orderdate", "yyyy:MM:dd HH:mm:ss"))
-    images = o.select(path("o", "o_orderkey", "png"), B.png(B.exif([B.ascii_entry(0x010F, F.col("o_orderpriority"))], [taken])).alias("content"))
-    rows = flat_metadata(images, ("exif",))
+    return o.select(path("o", "o_orderkey", "png"), B.png(B.exif([B.ascii_entry(0x010F, F.col("o_orderpriority"))], [taken])).alias("content"))
+
+
+def captured_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = flat_metadata(order_images(spark, sf_dir), ("exif",))
     return rows.groupBy(F.date_format("captured_at", "yyyy-MM").alias("month"), "make").agg(F.count(F.lit(1)).alias("images"))
 
 
@@ -130,9 +163,13 @@ def keywords_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_metadata(after, ("xmp",)).select("path", "creator", F.array_join("keywords", ";").alias("keywords"))
 
 
+@fixture
+def tiff_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(path("p", "p_partkey", "tif"), part_exif().alias("content"), "p_type", "p_size")
+
+
 def tiff_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select(path("p", "p_partkey", "tif"), part_exif().alias("content"), "p_type", "p_size")
-    after = edit_metadata(p, {"camera_model": F.col("p_type"), "iso": F.col("p_size") * 1000, "f_number": F.lit(2.8)})
+    after = edit_metadata(tiff_images(spark, sf_dir), {"camera_model": F.col("p_type"), "iso": F.col("p_size") * 1000, "f_number": F.lit(2.8)})
     return flat_metadata(after, ("exif",)).select("path", "format", "make", "model", "lens", "iso", "f_number")
 
 
@@ -143,11 +180,15 @@ def edit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return after.groupBy(F.when(F.col("error").isNotNull(), "failed").when(F.col("changed"), "changed").otherwise("skipped").alias("status")).agg(F.count(F.lit(1)).alias("images"))
 
 
-def makernote_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+@fixture
+def canon_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     note = B.ifd([B.short_entry(1, F.col("p_size")), B.short_entry(6, F.col("p_size") + 1)], 0)
     exif = B.exif([B.ascii_entry(0x010F, F.lit("Canon"))], [(0x927C, 7, F.octet_length(note), note)])
-    images = table(spark, sf_dir, "part").select(path("p", "p_partkey"), B.jpeg(exif).alias("content"))
-    rows = facts(images).where("kind = 'makernote'")
+    return table(spark, sf_dir, "part").select(path("p", "p_partkey"), B.jpeg(exif).alias("content"))
+
+
+def makernote_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = facts(canon_images(spark, sf_dir), ("exif", "makernote")).where("kind = 'makernote'")
     return rows.select("path", F.col("space").alias("make"), F.col("item").alias("tag"), I.unsigned(F.col("value"), F.lit("MM"), 0, 2).alias("number"))
 
 
@@ -162,8 +203,11 @@ MAGICS = (
 
 
 def detected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(h for h, _ in MAGICS)), "id int, digits string").select("id", F.unhex("digits").alias("content"))
-    return with_format(rows).join(F.broadcast(formats(spark).select(F.col("name").alias("format"), "writable")), "format", "left").select("id", "format", F.coalesce("writable", F.lit(False)).alias("writable"))
+    """Formats told by first bytes, whatever follows: the names of customers here."""
+    magic = F.element_at(F.array(*[F.lit(h) for h, _ in MAGICS]), (F.col("c_custkey") % len(MAGICS)).cast("int") + 1)
+    rows = table(spark, sf_dir, "customer").select("c_custkey", B.join(F.unhex(magic), B.text(F.col("c_name"))).alias("content"))
+    named = with_format(rows).join(F.broadcast(formats(spark).select(F.col("name").alias("format"), "writable")), "format", "left")
+    return named.select("c_custkey", "format", F.coalesce("writable", F.lit(False)).alias("writable"))
 
 
 #: Images laid out by hand, and what is in them: byte order, tag, number.
@@ -175,7 +219,9 @@ GOLDEN = (
 
 
 def golden_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    images = spark.createDataFrame([(p, h) for p, h, *_ in GOLDEN], "path string, digits string").select("path", F.unhex("digits").alias("content"))
+    """What is read of images laid out by hand, one for each region."""
+    digits, name = (F.element_at(F.array(*[F.lit(g[k]) for g in GOLDEN]), (F.col("r_regionkey") % len(GOLDEN)).cast("int") + 1) for k in (1, 0))
+    images = table(spark, sf_dir, "region").select(F.concat("r_name", F.lit("/"), name).alias("path"), F.unhex(digits).alias("content"))
     return exif_entries(facts(images, ("exif",))).select("path", "byte_order", "tag", I.unsigned(F.col("value"), F.col("byte_order"), 0, 4).alias("number"))
 
 
@@ -188,11 +234,221 @@ def damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("path", F.substring_index("error", ":", 1).alias("error"))
 
 
+#: Makes, what stands before the directory of their notes in hexadecimal digits, the offset that the
+#: directory has in its own count, and whether it is little-endian.
+MAKER_NOTES = (
+    ("NIKON CORPORATION", "4E696B6F6E000210" + "4D4D002A00000008", 8, False), ("FUJIFILM", "46554A4946494C4D30313330" + "10000000", 16, True),
+    ("OLYMPUS CORPORATION", "4F4C594D50555300" + "4D4D0300", 12, False), ("PENTAX Corporation", "414F43004D4D", 6, False), ("RICOH", "50454E5441582000" + "49490000", 12, True),
+    ("Panasonic", "50616E61736F6E6963000000", 12, True), ("LEICA CAMERA AG", "4C45494341000000", 8, True), ("SIGMA", "5349474D410000000100", 10, True), ("CASIO", "", 0, False),
+)
+
+
+def maker_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MakerNotes that are directories, of a maker by the part's number, and of one whose notes are raw values alone."""
+    k, size = F.col("p_partkey") % len(MAKER_NOTES), F.col("p_size")
+
+    def note(head: str, at: int, little: bool) -> Column:
+        return B.join(B.raw(head), B.ifd([B.short_entry(2, size, little), B.rational_entry(9, (size, 10), little=little)], at, little))
+
+    make = F.element_at(F.array(*[F.lit(m[0]) for m in MAKER_NOTES]), k.cast("int") + 1)
+    content = F.lit(None).cast("binary")
+    for n, (_, head, at, little) in enumerate(MAKER_NOTES):
+        content = F.when(k == n, note(head, at, little)).otherwise(content)
+    rows = table(spark, sf_dir, "part").select("p_partkey", make.alias("make"), content.alias("note"))
+    exif = B.exif([B.ascii_entry(0x010F, F.col("make"))], [(0x927C, 7, F.octet_length("note"), F.col("note"))])
+    return rows.select(path("p", "p_partkey"), B.jpeg(exif).alias("content"))
+
+
+def makernote_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = exif_entries(facts(maker_images(spark, sf_dir), ("exif", "makernote"))).where("ifd = 'maker'")
+    number = F.when(F.col("type") == 3, I.unsigned(F.col("value"), F.col("byte_order"), 0, 2)).otherwise(I.unsigned(F.col("value"), F.col("byte_order"), 0, 4))
+    return rows.select("path", "tag", "type", "byte_order", number.alias("number"))
+
+
+def heif_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two Exif items of which the second is the primary for even parts, and an XMP item; AVIF for large parts."""
+    decoy, inner = B.exif([B.ascii_entry(0x010F, F.lit("first"))]), B.listed("dc:description", "Alt", F.col("p_name"))
+
+    def file(primary: int, brand: str) -> Column:
+        return B.heif([(1, "Exif", decoy), (2, "Exif", part_exif()), (3, "mime", B.xmp(inner))], primary, brand)
+
+    even, large = F.col("p_partkey") % 2 == 0, F.col("p_size") > 25
+    content = F.when(even & large, file(2, "avif")).when(even, file(2, "heic")).when(large, file(3, "avis")).otherwise(file(3, "heic"))
+    return table(spark, sf_dir, "part").select(path("p", "p_partkey", "heic"), content.alias("content"), "p_type")
+
+
+def heif_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat_metadata(heif_images(spark, sf_dir)).select("path", "format", "make", "model", "iso", "caption", "error")
+
+
+def heif_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    after = edit_metadata(heif_images(spark, sf_dir), {"make": F.concat(F.lit("new "), "p_type"), "caption": F.col("p_type")})
+    return flat_metadata(after).select("path", "format", "make", "caption")
+
+
+def cr3_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = B.exif([B.ascii_entry(0x010F, F.lit("Canon")), B.ascii_entry(0x0110, F.col("p_name"))])
+    second = B.exif([B.short_entry(0x8827, F.col("p_size")), B.ascii_entry(0xA434, F.col("p_type"))])
+    content = B.cr3(first, second, B.xmp(B.listed("dc:rights", "Alt", F.col("p_brand"))))
+    return table(spark, sf_dir, "part").select(path("p", "p_partkey", "cr3"), content.alias("content"), "p_type")
+
+
+def cr3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat_metadata(cr3_images(spark, sf_dir)).select("path", "format", "make", "model", "lens", "iso", "copyright")
+
+
+def cr3_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    after = edit_metadata(cr3_images(spark, sf_dir), {"iso": F.lit(3200), "copyright": F.concat(F.lit("(c) "), "p_type"), "creator": F.col("p_type")})
+    return flat_metadata(after).select("path", "format", "model", "iso", "copyright", "creator")
+
+
+def raw_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw files of six kinds, by the part's number."""
+    k = F.col("p_partkey") % 6
+
+    def big(make: str, *more: B.Entry) -> Column:
+        return B.exif([B.ascii_entry(0x010F, F.lit(make)), B.ascii_entry(0x0110, F.col("p_name")), *more], [B.short_entry(0x8827, F.col("p_size"))])
+
+    little = [B.ascii_entry(0x010F, F.col("p_brand")), B.ascii_entry(0x0110, F.col("p_name")), B.short_entry(0x0112, F.col("p_size") % 8 + 1, True)]
+    content = (
+        F.when(k == 0, big("NIKON CORPORATION")).when(k == 1, big("SONY")).when(k == 2, big("SONY", (0xC612, 1, F.lit(4), B.raw("01040000"))))
+        .when(k == 3, B.little_tiff("49492A00100000004352020000000000", little)).when(k == 4, B.little_tiff("4949524F08000000", little)).otherwise(B.little_tiff("4949550008000000", little))
+    )
+    return table(spark, sf_dir, "part").select(path("p", "p_partkey", "raw"), content.alias("content"), "p_type")
+
+
+def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat_metadata(raw_images(spark, sf_dir), ("exif",)).select("path", "format", "make", "model", "iso", "orientation")
+
+
+def raw_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    after = edit_metadata(raw_images(spark, sf_dir), {"lens_model": F.col("p_type"), "orientation": F.lit(3)})
+    return flat_metadata(after, ("exif",)).select("path", "format", "model", "lens", "orientation")
+
+
+def packed_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """XMP in WebP files and, as compressed text, in PNG files."""
+    inner = F.concat(B.element("tiff:Model", F.col("c_name")), B.listed("dc:subject", "Bag", F.col("c_mktsegment"), F.col("c_phone")))
+    even = F.col("c_custkey") % 2 == 0
+    content = F.when(even, B.webp(None, B.xmp(inner))).otherwise(B.png(None, B.xmp(inner), True))
+    return table(spark, sf_dir, "customer").withColumn("c_phone", F.col("c_nationkey").cast("string")).select(path("c", "c_custkey", "bin"), content.alias("content"), "c_mktsegment", "c_custkey")
+
+
+def packed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat_metadata(packed_images(spark, sf_dir), ("xmp",)).select("path", "format", "model", F.array_join("keywords", ";").alias("keywords"))
+
+
+def webp_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    after = edit_metadata(packed_images(spark, sf_dir).where("c_custkey % 2 = 0"), {"camera_model": F.lower("c_mktsegment")})
+    return flat_metadata(after, ("xmp",)).select("path", "format", "model", F.size("keywords").alias("keywords"))
+
+
+#: Packets that no XML parser takes: bad references, prefixes that nothing declares, comments, tags that never end.
+UNTIDY = (
+    ("<tiff:Make>A&#;B</tiff:Make><tiff:Model>M&unknown;{}</tiff:Model>", "make", "'A&#;B'"),
+    ("<zz:Thing>lost</zz:Thing><tiff:Make>{}</tiff:Make>", "make", "{}"),
+    ("<!-- <tiff:Make>no</tiff:Make> --><tiff:Make>{}</tiff:Make><!DOCTYPE x>", "make", "{}"),
+    ("<tiff:Make>&#x41;&#66;&#xGG;{}", "make", "'AB' || {}"),
+    ("<dc:rights><rdf:Alt><rdf:li xml:lang='x-default'>{}</rdf:li><rdf:li xml:lang='de'>d</rdf:li></rdf:Alt></dc:rights>", "copyright", "{}"),
+)
+
+
+def untidy_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is read of packets that are not well-formed."""
+    k, name = F.col("s_suppkey") % len(UNTIDY), F.col("s_name")
+    inner = F.lit("")
+    for n, (form, _, _) in enumerate(UNTIDY):
+        head, tail = form.split("{}")
+        inner = F.when(k == n, F.concat(F.lit(head), name, F.lit(tail))).otherwise(inner)
+    rows = flat_metadata(table(spark, sf_dir, "supplier").select(path("s", "s_suppkey"), B.jpeg(None, B.xmp(inner)).alias("content")), ("xmp",))
+    return rows.select("path", "make", "model", "copyright", "error")
+
+
+def xmp_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of structures in both their forms, by name."""
+    inner = F.concat(
+        F.lit("<dc:contact rdf:parseType='Resource'><dc:mail>"), "s_name", F.lit("</dc:mail></dc:contact><dc:source><rdf:Description dc:id='"), F.col("s_suppkey").cast("string"),
+        F.lit("'><dc:nation>"), F.col("s_nationkey").cast("string"), F.lit("</dc:nation></rdf:Description></dc:source><dc:link rdf:resource='r'/>"),
+    )
+    images = table(spark, sf_dir, "supplier").select(path("s", "s_suppkey"), B.jpeg(None, B.xmp(inner)).alias("content"))
+    return xmp_properties(facts(images, ("xmp",))).select("path", "local", "value")
+
+
+def more_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords added to those of XMP packets, and a property set by its namespace and name."""
+    uri = NAMESPACES["photoshop"]
+    after = edit_metadata(customer_images(spark, sf_dir), {"add_keywords": F.array(F.lit("new"), F.lower("c_mktsegment")), "properties": F.array(F.struct(F.lit(uri).alias("ns"), F.lit("City").alias("local"), F.col("c_mktsegment").alias("value")))})
+    rows = facts(after, ("xmp",))
+    city = xmp_value(xmp_properties(rows), uri, "City").withColumnRenamed("value", "city")
+    return flat_metadata(after, ("xmp",)).select("path", F.array_join("keywords", ";").alias("keywords")).join(city, "path")
+
+
+def iptc_keywords_added(spark: SparkSession, sf_dir: str) -> DataFrame:
+    block = B.iptc((2, 25, B.text(F.col("s_name"))), (2, 120, B.text(F.col("s_name"))))
+    images = table(spark, sf_dir, "supplier").select(path("s", "s_suppkey"), B.jpeg(None, None, block).alias("content"), "s_nationkey")
+    after = edit_metadata(images, {"add_keywords": F.array(F.concat(F.lit("nation "), "s_nationkey"), F.lit("日本"))})
+    return flat_metadata(after, ("iptc",)).select("path", "caption", F.array_join("keywords", ";").alias("keywords"))
+
+
+def fitness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images by what keeps them from being written."""
+    k, deep = F.col("s_suppkey") % 4, F.repeat(F.lit("<a>"), 120)
+    content = (
+        F.when(k == 0, B.raw("474946383961")).when(k == 1, B.jpeg(B.join(B.raw("4D4D002A000000FF0000"))))
+        .when(k == 2, B.jpeg(None, B.xmp(deep))).otherwise(B.jpeg(B.exif([B.ascii_entry(0x010F, F.col("s_name"))])))
+    )
+    return validated(table(spark, sf_dir, "supplier").select(path("s", "s_suppkey"), content.alias("content"))).select("path", "format", "problem")
+
+
+def json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records as JSON, with absent fields left out, and read again."""
+    lines = as_json(flat_metadata(part_images(spark, sf_dir)))
+    read = F.from_json("json", "file string, make string, iso long, f_number double, caption string")
+    return lines.select("path", read.alias("r"), F.array_size(F.json_object_keys("json")).alias("fields")).select("path", "r.file", "r.make", "r.iso", "r.f_number", "r.caption", "fields")
+
+
+def _shared(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that driver and executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="photonlake-")
+    return f"{base.rstrip('/')}/photonlake/{name}-{uuid.uuid4().hex}"
+
+
+def files_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images written as files, listed by extension, and read."""
+    root = _shared(spark, "files")
+    both = part_images(spark, sf_dir).where("path LIKE '%7.jpg'").unionByName(customer_images(spark, sf_dir).where("path LIKE '%7.png'").select("path", "content"))
+    written = write_images(both, root)
+    written.write.parquet(f"{root}-written")
+    names = spark.read.parquet(f"{root}-written").select(F.col("path").alias("source"), F.substring_index("target", "/", -1).alias("name"))
+    files = read_images(spark, root, ("jpg",)).withColumn("name", F.substring_index("path", "/", -1))
+    rows = flat_metadata(files.select("path", "content")).withColumn("name", F.substring_index("path", "/", -1))
+    return rows.join(names, "name").select(F.col("source").alias("path"), "format", "make", "iso")
+
+
+def streamed_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that a stream takes in micro-batches, as the table that it leaves."""
+    root = _shared(spark, "stream")
+    images = table(spark, sf_dir, "supplier").select(path("s", "s_suppkey"), B.jpeg(B.exif([B.ascii_entry(0x010F, F.col("s_name"))], [B.short_entry(0x8827, F.col("s_nationkey"))])).alias("content"))
+    write_images(images, f"{root}/files").write.parquet(f"{root}/written")
+    catalogue(stream_images(spark, f"{root}/files", 40), f"{root}/table", f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/table").select("format", "make", "iso")
+
+
+def well_formed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images that can be read, the others dropped."""
+    cut = F.when(F.col("p_partkey") % 5 == 0, F.substring(F.col("content"), 1, 20)).otherwise(F.col("content"))
+    images = table(spark, sf_dir, "part").select("p_partkey", path("p", "p_partkey", "png"), B.png(part_exif()).alias("content"))
+    return flat_metadata(images.select("path", cut.alias("content")), ("exif",), mode="DROPMALFORMED").select("path", "make", "error")
+
+
 QUERIES = {
     "camera_records": camera_records, "images_by_make": images_by_make, "exposure_words": exposure_words, "tags_by_directory": tags_by_directory, "xmp_records": xmp_records,
     "images_by_keyword": images_by_keyword, "gps_places": gps_places, "iptc_records": iptc_records, "iptc_dataset_rows": iptc_dataset_rows, "caption_priority": caption_priority,
     "segment_counts": segment_counts, "captured_by_month": captured_by_month, "stamped": stamped, "keywords_edited": keywords_edited, "tiff_edited": tiff_edited, "edit_report": edit_report,
     "makernote_tags": makernote_tags, "detected": detected, "golden_entries": golden_entries, "damaged": damaged,
+    "makernote_directories": makernote_directories, "heif_records": heif_records, "heif_edited": heif_edited, "cr3_records": cr3_records, "cr3_edited": cr3_edited, "raw_records": raw_records,
+    "raw_edited": raw_edited, "packed_records": packed_records, "webp_edited": webp_edited, "untidy_packets": untidy_packets, "xmp_structures": xmp_structures, "more_keywords": more_keywords,
+    "iptc_keywords_added": iptc_keywords_added, "fitness": fitness, "json_records": json_records, "files_read_back": files_read_back, "streamed_catalogue": streamed_catalogue, "well_formed": well_formed,
 }
 _PART_TAGS = (
     ("ifd0", "Make", "length(p_brand) + 1"), ("ifd0", "Model", "length(p_name) + 1"), ("ifd0", "Orientation", "1"), ("ifd0", "ExifIFDPointer", "1"), ("exif", "LensModel", "length(p_type) + 1"),
@@ -206,6 +462,7 @@ def _cases(number: str, texts: dict[int, str]) -> str:
 
 _P = "'p' || p_partkey || '.jpg' AS path"
 _PLACE = "CASE WHEN event_id % {m} = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END * ((event_id % {d})::DOUBLE + (user_id % 60)::DOUBLE / 60 + (event_id % 60)::DOUBLE / 3600)"
+_RAW = "CASE p_partkey % 6 WHEN 0 THEN 'NEF' WHEN 1 THEN 'ARW' WHEN 2 THEN 'DNG' WHEN 3 THEN 'CR2' WHEN 4 THEN 'ORF' ELSE 'RW2' END"
 ORACLE_SQL = {
     "camera_records": f"SELECT {_P}, 'JPEG' AS format, p_brand AS make, p_name AS model, p_type AS lens, p_size::BIGINT AS iso, round(p_retailprice * 100)::DOUBLE / 100 AS f_number, CASE WHEN p_partkey > 0 AND p_size > 0 THEN p_partkey END::BIGINT AS width, CASE WHEN p_partkey > 0 AND p_size > 0 THEN p_size END::BIGINT AS height FROM part",
     "images_by_make": "SELECT 'JPEG' AS format, p_brand AS make, count(*) AS images, count(DISTINCT p_type) AS lenses, max(p_size)::BIGINT AS most_iso FROM part GROUP BY p_brand",
@@ -215,7 +472,7 @@ ORACLE_SQL = {
     "images_by_keyword": "SELECT keyword, count(*) AS images FROM (SELECT c_mktsegment AS keyword FROM customer UNION ALL SELECT c_nationkey::VARCHAR FROM customer) GROUP BY keyword",
     "gps_places": f"SELECT 'e' || event_id || '.webp' AS path, 'WebP' AS format, {_PLACE.format(m=2, d=90)} AS latitude, {_PLACE.format(m=3, d=180)} AS longitude, CASE WHEN event_id % 2 = 1 THEN -1 ELSE 1 END * (user_id::DOUBLE / 4) AS altitude FROM events",
     "iptc_records": "SELECT 's' || s_suppkey || '.jpg' AS path, s_name || ' — café' AS caption, s_name || ';' || s_nationkey AS keywords FROM supplier",
-    "iptc_dataset_rows": "SELECT 'n' || n_nationkey || '.jpg' AS path, 0 AS pos, 101 AS dataset, n_name AS text FROM nation UNION ALL SELECT 'n' || n_nationkey || '.jpg', 1, 120, n_name || 'é' FROM nation",
+    "iptc_dataset_rows": "SELECT 'n' || n_nationkey || '.jpg' AS path, 0 AS pos, 101 AS dataset, 'CountryName' AS name, n_name AS text FROM nation UNION ALL SELECT 'n' || n_nationkey || '.jpg', 1, 120, 'Caption', n_name || 'é' FROM nation",
     "caption_priority": f"SELECT {_P}, CASE WHEN p_size > 25 THEN 'x ' WHEN p_size % 2 = 0 THEN 'i ' ELSE 'e ' END || p_name AS caption, CASE WHEN p_size > 25 THEN 'x ' WHEN p_size % 2 = 0 THEN 'i ' ELSE 'e ' END || p_brand AS copyright FROM part",
     "segment_counts": "SELECT 'JPEG' AS format, count(*) AS exif, count(*) FILTER (p_size % 2 = 0) AS iptc, count(*) FILTER (p_size > 25) AS xmp FROM part",
     "captured_by_month": "SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderpriority AS make, count(*) AS images FROM orders GROUP BY ALL",
@@ -224,7 +481,25 @@ ORACLE_SQL = {
     "tiff_edited": "SELECT 'p' || p_partkey || '.tif' AS path, 'TIFF' AS format, p_brand AS make, p_type AS model, p_type AS lens, least(p_size * 1000, 65535)::BIGINT AS iso, 2.8::DOUBLE AS f_number FROM part",
     "edit_report": "SELECT 'changed' AS status, count(*) AS images FROM part UNION ALL SELECT 'skipped', count(*) FROM customer",
     "makernote_tags": f"SELECT {_P}, 'Canon' AS make, 1 AS tag, p_size::BIGINT AS number FROM part UNION ALL SELECT {_P}, 'Canon', 6, p_size + 1 FROM part",
-    "detected": "SELECT * FROM (VALUES " + ", ".join(f"({k}, {repr(f) if f else 'NULL'}, {str(bool(f)).lower()})" for k, (_, f) in enumerate(MAGICS)) + ") t(id, format, writable)",
-    "golden_entries": "SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{o}', {t}, {n}::BIGINT)" for p, _, o, t, n in GOLDEN) + ") t(path, byte_order, tag, number)",
+    "detected": "SELECT c_custkey, format, format IS NOT NULL AS writable FROM (SELECT c_custkey, " + _cases(f"c_custkey % {len(MAGICS)}", {k: f for k, (_, f) in enumerate(MAGICS) if f}) + " AS format FROM customer)",
+    "golden_entries": " UNION ALL ".join(f"SELECT r_name || '/{p}' AS path, '{o}' AS byte_order, {t} AS tag, {n}::BIGINT AS number FROM region WHERE r_regionkey % {len(GOLDEN)} = {k}" for k, (p, _, o, t, n) in enumerate(GOLDEN)),
     "damaged": "SELECT 'r' || r_regionkey || '.jpg' AS path, CASE r_regionkey % 3 WHEN 0 THEN 'Corrupt' WHEN 1 THEN 'EmptyInput' ELSE 'UnsupportedFormat' END AS error FROM region",
+    "makernote_directories": " UNION ALL ".join(f"SELECT {_P}, {tag} AS tag, {kind} AS type, '{'II' if little else 'MM'}' AS byte_order, p_size::BIGINT AS number FROM part WHERE p_partkey % {len(MAKER_NOTES)} = {n}" for n, (_, head, _, little) in enumerate(MAKER_NOTES) if head for tag, kind in ((2, 3), (9, 5))),
+    "heif_records": "SELECT 'p' || p_partkey || '.heic' AS path, CASE WHEN p_size > 25 AND p_partkey % 2 = 0 THEN 'AVIF' WHEN p_size > 25 THEN 'AVIF' ELSE 'HEIF' END AS format, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE 'first' END AS make, CASE WHEN p_partkey % 2 = 0 THEN p_name END AS model, CASE WHEN p_partkey % 2 = 0 THEN p_size END::BIGINT AS iso, p_name AS caption, NULL::VARCHAR AS error FROM part",
+    "heif_edited": "SELECT 'p' || p_partkey || '.heic' AS path, CASE WHEN p_size > 25 THEN 'AVIF' ELSE 'HEIF' END AS format, 'new ' || p_type AS make, p_type AS caption FROM part",
+    "cr3_records": "SELECT 'p' || p_partkey || '.cr3' AS path, 'CR3' AS format, 'Canon' AS make, p_name AS model, p_type AS lens, p_size::BIGINT AS iso, p_brand AS copyright FROM part",
+    "cr3_edited": "SELECT 'p' || p_partkey || '.cr3' AS path, 'CR3' AS format, p_name AS model, 3200::BIGINT AS iso, '(c) ' || p_type AS copyright, p_type AS creator FROM part",
+    "raw_records": f"SELECT 'p' || p_partkey || '.raw' AS path, {_RAW} AS format, CASE p_partkey % 6 WHEN 0 THEN 'NIKON CORPORATION' WHEN 1 THEN 'SONY' WHEN 2 THEN 'SONY' ELSE p_brand END AS make, p_name AS model, CASE WHEN p_partkey % 6 < 3 THEN p_size END::BIGINT AS iso, CASE WHEN p_partkey % 6 > 2 THEN p_size % 8 + 1 END::BIGINT AS orientation FROM part",
+    "raw_edited": f"SELECT 'p' || p_partkey || '.raw' AS path, {_RAW} AS format, p_name AS model, p_type AS lens, 3::BIGINT AS orientation FROM part",
+    "packed_records": "SELECT 'c' || c_custkey || '.bin' AS path, CASE WHEN c_custkey % 2 = 0 THEN 'WebP' ELSE 'PNG' END AS format, c_name AS model, c_mktsegment || ';' || c_nationkey AS keywords FROM customer",
+    "webp_edited": "SELECT 'c' || c_custkey || '.bin' AS path, 'WebP' AS format, lower(c_mktsegment) AS model, 2 AS keywords FROM customer WHERE c_custkey % 2 = 0",
+    "untidy_packets": "SELECT 's' || s_suppkey || '.jpg' AS path, " + ", ".join([f"CASE s_suppkey % {len(UNTIDY)} {' '.join(f'WHEN {n} THEN ' + e.replace('{}', 's_name') for n, (_, c, e) in enumerate(UNTIDY) if c == column)} END AS {column}" for column in ("make", "copyright")]) + f", CASE WHEN s_suppkey % {len(UNTIDY)} = 0 THEN 'M&unknown;' || s_name END AS model, NULL::VARCHAR AS error FROM supplier",
+    "xmp_structures": " UNION ALL ".join(f"SELECT 's' || s_suppkey || '.jpg' AS path, '{local}' AS local, {value} AS value FROM supplier" for local, value in (("contact.mail", "s_name"), ("source.id", "s_suppkey::VARCHAR"), ("source.nation", "s_nationkey::VARCHAR"), ("link", "'r'"))),
+    "more_keywords": "SELECT 'c' || c_custkey || '.png' AS path, c_mktsegment || ';' || c_nationkey || ';new;' || lower(c_mktsegment) AS keywords, c_mktsegment AS city FROM customer",
+    "iptc_keywords_added": "SELECT 's' || s_suppkey || '.jpg' AS path, s_name AS caption, s_name || ';nation ' || s_nationkey || ';日本' AS keywords FROM supplier",
+    "fitness": f"SELECT 's' || s_suppkey || '.jpg' AS path, CASE WHEN s_suppkey % 4 > 0 THEN 'JPEG' END AS format, CASE s_suppkey % 4 WHEN 0 THEN '{UNKNOWN}' WHEN 1 THEN '{NO_DIRECTORY}' WHEN 2 THEN '{NO_PROPERTIES}' END AS problem FROM supplier",
+    "json_records": f"SELECT {_P}, 'p' || p_partkey || '.jpg' AS file, p_brand AS make, p_size::BIGINT AS iso, round(p_retailprice * 100)::DOUBLE / 100 AS f_number, NULL::VARCHAR AS caption, 12 - CASE WHEN p_partkey > 0 AND p_size > 0 THEN 0 ELSE 2 END AS fields FROM part",
+    "files_read_back": f"SELECT {_P}, 'JPEG' AS format, p_brand AS make, p_size::BIGINT AS iso FROM part WHERE p_partkey % 10 = 7",
+    "streamed_catalogue": "SELECT 'JPEG' AS format, s_name AS make, s_nationkey::BIGINT AS iso FROM supplier",
+    "well_formed": "SELECT 'p' || p_partkey || '.png' AS path, p_brand AS make, NULL::VARCHAR AS error FROM part WHERE p_partkey % 5 > 0",
 }

@@ -98,11 +98,18 @@ def png_chunks(b: bytes) -> Iterator[tuple[bytes, int, int]]:
         at += 12 + size
 
 
-def inflated(b: bytes) -> bytes:
+def inflated(b: bytes, most: int = MOST_INFLATED) -> bytes:
+    """A whole zlib stream; Damaged if it is cut off or larger than the limit."""
+    stream = zlib.decompressobj()
     try:
-        return zlib.decompressobj().decompress(b, MOST_INFLATED)
+        out = stream.decompress(b, most + 1)
     except zlib.error as e:
         raise Damaged(f"compressed text: {e}") from e
+    if len(out) > most:
+        raise Damaged(f"compressed text of over {most} bytes")
+    if not stream.eof:
+        raise Damaged("compressed text is cut off")
+    return out
 
 
 def png(b: bytes) -> Found:
@@ -115,6 +122,8 @@ def png(b: bytes) -> Found:
             rest = part[len(PNG_XMP) + 1 :]
             if kind == b"iTXt" and len(rest) >= 2:
                 text = rest[2:].split(b"\0", 2)
+                if rest[0] and rest[1]:
+                    raise Damaged("compressed text of an unknown method")
                 if len(text) == 3:
                     packet = inflated(text[2]) if rest[0] else text[2]
             elif kind == b"tEXt":
@@ -159,9 +168,10 @@ def find_box(b: bytes, at: int, end: int, *path: bytes) -> tuple[int, int] | Non
     return None
 
 
-def item_places(b: bytes, a: int, z: int) -> dict[int, tuple[int, int, int, int, int, int]]:
-    """Offset and length of each item of an iloc box, then where its extent stands, the widths of both fields, and the
-    base; of several extents the last counts."""
+def item_places(b: bytes, a: int, z: int) -> dict[int, tuple[int, int, int, int, int, int, int]]:
+    """Offset and length of each item of an iloc box, then where its extent stands, the widths of both fields, the base
+    and the number of its extents; of several extents the last counts. Items whose construction is not by file offset
+    are left out."""
     if z - a < 8:
         return {}
     version, sizes, more = b[a], b[a + 4], b[a + 5]
@@ -172,7 +182,9 @@ def item_places(b: bytes, a: int, z: int) -> dict[int, tuple[int, int, int, int,
         if at + wide + 4 > z:
             break
         item = int.from_bytes(b[at : at + wide], "big")
-        at += wide + (2 if version else 0) + 2
+        at += wide
+        method = b[at + 1] & 15 if version else 0
+        at += (2 if version else 0) + 2
         start = int.from_bytes(b[at : at + base], "big")
         at += base
         extents = int.from_bytes(b[at : at + 2], "big")
@@ -181,7 +193,8 @@ def item_places(b: bytes, a: int, z: int) -> dict[int, tuple[int, int, int, int,
             if at + index + o + n > z:
                 return out
             at += index
-            out[item] = (start + int.from_bytes(b[at : at + o], "big"), int.from_bytes(b[at + o : at + o + n], "big"), at, o, n, start)
+            if not method:
+                out[item] = (start + int.from_bytes(b[at : at + o], "big"), int.from_bytes(b[at + o : at + o + n], "big"), at, o, n, start, extents)
             at += o + n
     return out
 
@@ -199,24 +212,33 @@ def item_kinds(b: bytes, a: int, z: int) -> dict[int, tuple[bytes, bytes]]:
     return out
 
 
-def heif_items(b: bytes) -> Iterator[tuple[str, tuple[int, int, int, int, int, int]]]:
-    """Kind and place of the Exif and XMP items, the lowest item last; items of several extents, of no bytes and beyond
-    the limit are left out."""
+def primary_item(b: bytes, a: int, z: int) -> int | None:
+    """The item that a pitm box names."""
+    place = find_box(b, a, z, b"pitm")
+    if not place or place[1] - place[0] < 6:
+        return None
+    start = place[0] + 4
+    return int.from_bytes(b[start : start + (4 if b[place[0]] else 2)], "big")
+
+
+def heif_items(b: bytes) -> Iterator[tuple[str, tuple[int, int, int, int, int, int, int]]]:
+    """Kind and place of the Exif and XMP items: the primary item last, else the one with the lowest number. Items of no
+    bytes are left out; an item beyond the limit makes the file Damaged."""
     paths = ((b"meta",), (b"moov", b"meta"), (b"moov", b"udta", b"meta"), (b"moov", b"trak", b"meta"))
     meta = next(filter(None, (find_box(b, 0, len(b), *p) for p in paths)), None)
     if not meta:
         return
     a, z = meta[0] + 4, meta[1]
-    info, places = find_box(b, a, z, b"iinf"), find_box(b, a, z, b"iloc")
+    info, places, first = find_box(b, a, z, b"iinf"), find_box(b, a, z, b"iloc"), primary_item(b, a, z)
     if not info or not places or info[1] - info[0] < 6:
         return
     where = item_places(b, *places)
-    for item, (kind, content) in sorted(item_kinds(b, *info).items(), reverse=True):
-        if item in where and 0 < where[item][1] <= MOST_ITEM:
-            if kind == b"Exif":
-                yield "exif", where[item]
-            elif kind == b"mime" and content == b"application/rdf+xml":
-                yield "xmp", where[item]
+    for item, (kind, content) in sorted(item_kinds(b, *info).items(), key=lambda x: (x[0] == first, -x[0])):
+        name = "exif" if kind == b"Exif" else "xmp" if kind == b"mime" and content == b"application/rdf+xml" else None
+        if name and item in where and where[item][1]:
+            if where[item][1] > MOST_ITEM:
+                raise Damaged(f"an item of over {MOST_ITEM} bytes")
+            yield name, where[item]
 
 
 def heif(b: bytes) -> Found:

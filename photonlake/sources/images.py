@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,6 +28,18 @@ def with_format(images: DataFrame) -> DataFrame:
     return images.withColumn("format", image_format(F.col("content")))
 
 
+#: The most bytes of a batch of images that goes to a Python worker; a larger image is a batch of its own.
+BATCH_BYTES = 32 << 20
+
+
+def bounded(images: DataFrame) -> DataFrame:
+    """images, whose session sends them to Python workers in batches of bounded size."""
+    conf, name = images.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", conf.get(name))) > BATCH_BYTES:
+        conf.set(name, BATCH_BYTES)
+    return images
+
+
 def kept_errors(rows: DataFrame, mode: str) -> DataFrame:
     """PERMISSIVE keeps images with an error, DROPMALFORMED drops them, FAILFAST raises on the first."""
     if mode == "FAILFAST":
@@ -63,4 +76,4 @@ def segments(images: DataFrame, components: tuple[str, ...] = ("exif", "iptc", "
                 rows.append((path.as_py(), kind.as_py(), *(found.get(c) if c in components else None for c in ("exif", "iptc", "xmp")), error))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(fields)], schema=fields)
 
-    return kept_errors(with_format(images.select("path", "content")).mapInArrow(walk, SEGMENTS), mode)
+    return kept_errors(bounded(with_format(images.select("path", "content"))).mapInArrow(walk, SEGMENTS), mode)

@@ -201,10 +201,13 @@ def webp_with(b: bytes, own: dict[str, bytes]) -> bytes:
 
 
 def heif_with(b: bytes, own: dict[str, bytes]) -> bytes:
-    """A HEIF file whose Exif and XMP items, where it has them, stand in a new box at its end."""
+    """A HEIF file whose Exif and XMP items, where it has them, stand in a new box at its end; Damaged if one of those
+    stands in several pieces."""
     out = bytearray(b)
-    for kind, (_, _, field, o, n, base) in dict(heif_items(b)).items():
+    for kind, (_, _, field, o, n, base, extents) in dict(heif_items(b)).items():
         if kind in own:
+            if extents > 1:
+                raise Damaged("the item stands in several pieces")
             data = b"\0\0\0\0" + own[kind] if kind == "exif" else own[kind]
             at = len(out) + 8
             if at - base < 0 or at - base >= 1 << 8 * o or len(data) >= 1 << 8 * n:
