@@ -47,16 +47,89 @@ SENTENCES = {
     "spdx-apache": "SPDX-License-Identifier: Apache-2.0",
     "spdx-gpl-3": "SPDX-License-Identifier: GPL-3.0-or-later",
     "rights": "All rights reserved.",
+    "bsd-as-is": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "bsd-liable": "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "mit-liable": "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "isc-as-is": "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+    "0bsd-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "boost-short": "Distributed under the Boost Software License, Version 1.0.",
+    "cc0-rights": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.",
+    "cc0-warranty": "This software is distributed without any warranty.",
+    "unlicense-free": "This is free and unencumbered software released into the public domain.",
+    "lgpl-free-2": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl-hope": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "lgpl-see": "See the GNU Lesser General Public License for more details.",
+    "lgpl-free-3": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl-free-3": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl-see": "See the GNU Affero General Public License for more details.",
+    "gpl-copy": "You should have received a copy of the GNU General Public License along with this program.",
+    "lgpl-copy": "You should have received a copy of the GNU Lesser General Public License along with this program.",
+    "agpl-copy": "You should have received a copy of the GNU Affero General Public License along with this program.",
+    "eupl-use": "You may not use this work except in compliance with the Licence.",
+    "epl-terms": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "mit-project": "This project is licensed under the MIT License.",
+    "mit-project-see": "This project is licensed under the MIT License - see the LICENSE file for details.",
+    "mit-project-terms": "This project is licensed under the terms of the MIT license.",
+    "mit-distributed": "Distributed under the MIT License.",
+    "apache-project": "This project is licensed under the Apache License 2.0.",
+    "apache-released": "Released under the Apache License 2.0.",
+    "bsd-3-short": "Licensed under the BSD 3-Clause License.",
+    "bsd-2-short": "Licensed under the BSD 2-Clause License.",
+    "isc-short": "Licensed under the ISC License.",
+    "mpl-short": "Licensed under the Mozilla Public License 2.0.",
+    "gpl-3-released": "Released under the GNU General Public License v3.0.",
+    "lgpl-3-short": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "agpl-3-short": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "cc0-short": "Licensed under CC0 1.0.",
+    "cc-by-nd-short": "Licensed under CC BY-ND 4.0.",
+    "cc-by-nc-sa-short": "Licensed under CC BY-NC-SA 4.0.",
+    "cc-by-nc-nd-short": "Licensed under CC BY-NC-ND 4.0.",
+    "cc-by-nd-work": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "cc-by-nc-sa-work": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "cc-by-nc-nd-work": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
 }
+#: Further identifiers of the SPDX list; a tag with one is a sentence and its rule.
+SPDX_IDS = (
+    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "CDDL-1.0",
+    "ECL-2.0", "EPL-1.0", "EPL-2.0", "EUPL-1.2", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT-0",
+    "MPL-1.1", "MPL-2.0", "MS-PL", "NCSA", "OFL-1.1", "PostgreSQL", "Python-2.0", "Unlicense", "WTFPL", "X11", "Zlib",
+)
+SENTENCES |= {f"spdx:{i}": f"SPDX-License-Identifier: {i}" for i in SPDX_IDS}
 #: The rules in the order in which they are tried, each with the sentences that must follow each other.
 RULES = (
+    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-name", "bsd-as-is", "bsd-liable")),
+    ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-as-is", "bsd-liable")),
+    ("MIT", ("mit-grant", "mit-condition", "mit-as-is", "mit-liable")),
+    ("AGPL-3.0-or-later", ("agpl-free-3", "gpl-hope", "agpl-see", "agpl-copy")),
+    ("LGPL-3.0-or-later", ("lgpl-free-3", "gpl-hope", "lgpl-see", "lgpl-copy")),
+    ("GPL-3.0-or-later", ("gpl-free-3", "gpl-hope", "gpl-see", "gpl-copy")),
+    ("GPL-2.0-or-later", ("gpl-free-2", "gpl-hope", "gpl-see", "gpl-copy")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-name")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("Apache-2.0", ("apache-notice", "apache-copy", "apache-as-is", "apache-see")),
     ("MIT", ("mit-grant", "mit-condition", "mit-as-is")),
     ("GPL-3.0-or-later", ("gpl-free-3", "gpl-hope", "gpl-see")),
     ("GPL-2.0-or-later", ("gpl-free-2", "gpl-hope", "gpl-see")),
+    ("AGPL-3.0-or-later", ("agpl-free-3", "gpl-hope", "agpl-see")),
+    ("LGPL-3.0-or-later", ("lgpl-free-3", "gpl-hope", "lgpl-see")),
+    ("LGPL-2.1-or-later", ("lgpl-free-2", "lgpl-hope", "lgpl-see")),
+    ("CC0-1.0", ("cc0-rights", "cc0-warranty")),
+    ("Zlib", ("zlib-as-is", "zlib-grant")),
+    ("ISC", ("isc-grant", "isc-as-is")),
+    ("0BSD", ("0bsd-grant", "isc-as-is")),
     ("ISC", ("isc-grant",)),
+    ("0BSD", ("0bsd-grant",)),
+    ("Zlib", ("zlib-grant",)),
+    ("CC0-1.0", ("cc0-rights",)),
+    ("AGPL-3.0-or-later", ("agpl-free-3",)),
+    ("LGPL-3.0-or-later", ("lgpl-free-3",)),
+    ("LGPL-2.1-or-later", ("lgpl-free-2",)),
+    ("Unlicense", ("unlicense-free",)),
+    ("BSL-1.0", ("boost-short",)),
+    ("EUPL-1.2", ("eupl-use",)),
+    ("EPL-2.0", ("epl-terms",)),
     ("Apache-2.0", ("apache-notice",)),
     ("GPL-3.0-or-later", ("gpl-free-3",)),
     ("GPL-2.0-or-later", ("gpl-free-2",)),
@@ -75,10 +148,31 @@ RULES = (
     ("MIT", ("spdx-mit",)),
     ("Apache-2.0", ("spdx-apache",)),
     ("GPL-3.0-or-later", ("spdx-gpl-3",)),
+    ("MIT", ("mit-project",)),
+    ("MIT", ("mit-project-see",)),
+    ("MIT", ("mit-project-terms",)),
+    ("MIT", ("mit-distributed",)),
+    ("Apache-2.0", ("apache-project",)),
+    ("Apache-2.0", ("apache-released",)),
+    ("BSD-3-Clause", ("bsd-3-short",)),
+    ("BSD-2-Clause", ("bsd-2-short",)),
+    ("ISC", ("isc-short",)),
+    ("MPL-2.0", ("mpl-short",)),
+    ("GPL-3.0-only", ("gpl-3-released",)),
+    ("LGPL-3.0-only", ("lgpl-3-short",)),
+    ("AGPL-3.0-only", ("agpl-3-short",)),
+    ("CC0-1.0", ("cc0-short",)),
+    ("CC-BY-ND-4.0", ("cc-by-nd-short",)),
+    ("CC-BY-NC-SA-4.0", ("cc-by-nc-sa-short",)),
+    ("CC-BY-NC-ND-4.0", ("cc-by-nc-nd-short",)),
+    ("CC-BY-ND-4.0", ("cc-by-nd-work",)),
+    ("CC-BY-NC-SA-4.0", ("cc-by-nc-sa-work",)),
+    ("CC-BY-NC-ND-4.0", ("cc-by-nc-nd-work",)),
+    *((i, (f"spdx:{i}",)) for i in SPDX_IDS),
     ("Proprietary", ("rights",)),
 )
 #: Every known sentence has one of these, so texts without any need no look-up.
-CUE = r"licen|permi|warrant|redistrib|rights[^a-z0-9]+reserved|copyright"
+CUE = r"licen|permi|warrant|redistrib|rights[^a-z0-9]+reserved|copyright|public[^a-z0-9]+domain"
 #: A sentence ends before white space that follows a full stop or the like, and at an empty line.
 STOPS = r"(?<=[.!?])(?:[ \t\r]+|(?=\n))"
 #: An address may stand in a paragraph of its own within a sentence.

@@ -61,3 +61,16 @@ def test_notices_in_their_published_lines(spark):
     got = licenses.license_scan(documents(spark, [t for t, _, _ in cases])).orderBy("doc_id").collect()
     for r, (t, want, n) in zip(got, cases):
         assert (r.licenses, r.n_sentences, r.n_unmatched) == (want, n, 0), t
+
+
+def test_every_rule_finds_its_licence(spark):
+    texts = ["Intro words.\n\n" + "\n\n".join(licenses.SENTENCES[k] for k in rule) + "\n\nMore words." for _, rule in licenses.RULES]
+    got = licenses.license_scan(documents(spark, texts)).orderBy("doc_id").collect()
+    for r, (licence, rule) in zip(got, licenses.RULES):
+        assert (r.licenses, r.n_sentences, r.n_unmatched) == (licence, len(rule), 0), rule
+
+
+def test_longer_rules_come_first():
+    for k, (_, rule) in enumerate(licenses.RULES):
+        for _, other in licenses.RULES[k + 1 :]:
+            assert not any(other[i : i + len(rule)] == rule for i in range(len(other) - len(rule) + 1)), (rule, other)
