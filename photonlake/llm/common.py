@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -42,9 +43,9 @@ class Workspace:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def stage(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+    def stage(self, df: DataFrame, name: str, partition_by: str | None = None, compression: str = "snappy") -> DataFrame:
         """Writes df once and returns the written table."""
-        writer = df.write.mode("overwrite")
+        writer = df.write.mode("overwrite").option("compression", compression)
         if partition_by:
             writer = writer.partitionBy(partition_by)
         writer.parquet(self.path(name))
@@ -55,6 +56,11 @@ class Workspace:
         for name in names:
             self._delete(self.path(name))
 
+    def forget(self) -> None:
+        """Has the driver collect its garbage now: Spark then removes the shuffle files that no plan refers to any more."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def clear(self) -> None:
         """Removes the whole folder, once nothing in it is read any more."""
         self._delete(self.root)
@@ -67,41 +73,44 @@ class Workspace:
 #: The most bytes of a batch that goes to a Python worker; a longer row is a batch of its own.
 BATCH_BYTES = 8 << 20
 Batches = Iterator[pa.RecordBatch]
-#: What a worker process keeps from batch to batch of a task; emptied when the task ends.
-CACHES: list[dict] = []
+#: What a worker process keeps from batch to batch of a task, by name.
+CACHES: dict[str, dict] = {}
 
 
-def lean(function: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
-    """function, after which a task's memory goes back to the system.
+def lean(function: Callable[[Batches], Batches], keep: str | None = None) -> Callable[[Batches], Batches]:
+    """function, with whose tasks a worker's memory goes back to the system.
 
     Spark uses a worker process for many tasks and stages, and what one of them leaves there is missing to the others:
-    cached words, Arrow's pool and free memory that the allocator holds on to.
+    cached words, Arrow's pool and free memory that the allocator holds on to. The cache named keep outlives its task,
+    for further tasks of its kind in the same worker; the next task of another kind empties it.
     """
 
     def run(batches: Batches) -> Batches:
+        emptied(keep)
         try:
             yield from function(batches)
         finally:
-            released()
+            emptied(keep)
 
     return run
 
 
-def released() -> None:
-    for cache in CACHES:
-        cache.clear()
+def emptied(keep: str | None) -> None:
+    for name, cache in CACHES.items():
+        if name != keep:
+            cache.clear()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
 
 
-def mapped(df: DataFrame, function: Callable[[Batches], Batches], schema) -> DataFrame:
+def mapped(df: DataFrame, function: Callable[[Batches], Batches], schema, keep: str | None = None) -> DataFrame:
     """df.mapInArrow(function), in batches of bounded size and with lean workers."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(re.sub(r"\D", "", conf.get(name))) > BATCH_BYTES:
         conf.set(name, BATCH_BYTES)
-    return df.mapInArrow(lean(function), schema)
+    return df.mapInArrow(lean(function, keep), schema)
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:

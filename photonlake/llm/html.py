@@ -1,6 +1,6 @@
 """Main text of pages: markup and a suffix array of each host decide together.
 
-One pass reads pages' markup into blocks. What stands in menus, footers, adverts and the like is dropped, and the
+Every pass reads pages' markup into blocks. What stands in menus, footers, adverts and the like is dropped, and the
 blocks of an article (or of a main element) are the candidates; pages that mark no article keep all blocks that are
 left. The token streams of all pages, host by host, go through a suffix array, dealt out by the first RUN tokens of its
 suffixes: suffixes that begin with the same RUN tokens are neighbours in the array, so such a bucket is a stretch of it
@@ -25,8 +25,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CACHES, Workspace, lean, mapped
-from .jaccard import BITMAP_BITS, MOST_CACHED, _mixed
+from .common import Workspace, lean, mapped
+from .jaccard import BITMAP_BITS, _mixed
 
 #: Tokens of the shortest run that counts as repeated, and the share of a block that such runs must cover.
 RUN = 8
@@ -168,22 +168,19 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
 
 
-_PARSED = "page_id long, url string, host string, key long, marked boolean, blocks array<string>"
-
-
 def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url and host of every page, the key of its content, whether it marks an article, and its blocks."""
+    """The columns that every pass over the pages reads."""
+    return pages.select("page_id", "url", host(F.col("url")).alias("host"), "html")
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [blocks(x.as_py()) for x in batch.column("html")]
-            keys = [content_key(h.as_py(), b) for h, (b, _) in zip(batch.column("host"), own)]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("page_id", "url", "host")), pa.array(keys, pa.int64()), pa.array([m for _, m in own], pa.bool_()), pa.array([b for b, _ in own], pa.list_(pa.string()))],
-                names=["page_id", "url", "host", "key", "marked", "blocks"],
-            )
 
-    return mapped(pages.select("page_id", "url", host(F.col("url")).alias("host"), "html"), parse, _PARSED)
+def with_blocks(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The pages of a batch with the key of their content, whether they mark an article, and their blocks."""
+    own = [blocks(x.as_py()) for x in batch.column("html")]
+    keys = [content_key(h.as_py(), b) for h, (b, _) in zip(batch.column("host"), own)]
+    return pa.RecordBatch.from_arrays(
+        [*(batch.column(c) for c in batch.schema.names if c != "html"), pa.array(keys, pa.int64()), pa.array([m for _, m in own], pa.bool_()), pa.array([b for b, _ in own], pa.list_(pa.string()))],
+        names=[*(c for c in batch.schema.names if c != "html"), "key", "marked", "blocks"],
+    )
 
 
 def content_key(own_host: str, own: list[str]) -> int:
@@ -191,76 +188,94 @@ def content_key(own_host: str, own: list[str]) -> int:
     return xxhash.xxh64_intdigest("\0".join([own_host, *own])) - (1 << 63)
 
 
-class TokenHashes(dict):
-    def __missing__(self, token: str) -> int:
-        if len(self) > MOST_CACHED:
-            self.clear()
-        h = self[token] = xxhash.xxh3_64_intdigest(token)
-        return h
-
+def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of every token of the texts, and where each text's tokens begin; each distinct token is hashed once."""
+    lists = pc.split_pattern(texts, " ")
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    coded = lists.flatten().dictionary_encode()
+    own = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    starts = lists.offsets.to_numpy().astype(np.int64)
+    return own[coded.indices.to_numpy()], starts - starts[0]
 
-_TOKENS = TokenHashes()
-CACHES.append(_TOKENS)
 
+def heads_of(hosts: list[str], texts: pa.Array, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each run of `run` tokens of the texts: a hash of it and of its text's host, the text's number, and its place.
 
-def heads_of(own_host: str, tokens: list[str], run: int = RUN) -> np.ndarray:
-    """A hash of each run of `run` tokens and of its host: suffixes that begin alike have equal ones."""
-    n = len(tokens) - run + 1
-    if n < 1:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_TOKENS.__getitem__, tokens), np.uint64, len(tokens))
-    x, factor = np.full(n, xxhash.xxh64_intdigest(own_host), np.uint64), 1
+    Suffixes that begin alike have equal hashes. The last array has the number of tokens of each text.
+    """
+    h, starts = token_hashes(texts)
+    n = np.diff(starts)
+    m = max(0, len(h) - run + 1)
+    x, factor = np.zeros(m, np.uint64), 1
     for k in range(run):
         factor = factor * 0x9E3779B97F4A7C15 % (1 << 64)
-        x += h[k : k + n] * np.uint64(factor)
-    return _mixed(x)
-
-
-def _streams(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[list[tuple[int, bool, int, np.ndarray]]]:
-    """key, marked, number of tokens and heads of the pages, in groups; of copies in a group one is there."""
-    group, seen = {}, 0
-    for batch in batches:
-        for own_host, key, marked, own in zip(*(batch.column(c) for c in ("host", "key", "marked", "blocks"))):
-            key = key.as_py()
-            if len(own) and key not in group:
-                tokens = " ".join(own.as_py()).split(" ")
-                group[key] = (key, marked.as_py(), len(tokens), heads_of(own_host.as_py(), tokens))
-                seen += len(tokens)
-        if seen > most:
-            yield list(group.values())
-            group, seen = {}, 0
-    if group:
-        yield list(group.values())
+        x += h[k : k + m] * np.uint64(factor)
+    text = np.repeat(np.arange(len(n), dtype=np.int32), n)[:m]
+    place = np.arange(m) - starts[text]
+    whole = place + run <= n[text]
+    own = np.fromiter(map(xxhash.xxh64_intdigest, hosts), np.uint64, len(hosts))
+    text, place = text[whole], place[whole].astype(np.int32)
+    return _mixed(x[whole] + own[text]), text, place, n
+
+
+Group = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[Group]:
+    """Heads, the number of the page of each and its place; and key, marked and number of tokens of the pages. Of copies in a batch one is there."""
+    for batch in map(with_blocks, batches):
+        keys = batch.column("key").to_numpy()
+        filled = np.flatnonzero(pc.list_value_length(batch.column("blocks")).to_numpy(zero_copy_only=False) > 0)
+        rest = batch.take(pa.array(np.sort(filled[np.unique(keys[filled], return_index=True)[1]])))
+        if rest.num_rows:
+            head, page, place, n = heads_of(rest.column("host").to_pylist(), pc.binary_join(rest.column("blocks"), " "))
+            yield head, page, place, rest.column("key").to_numpy(), rest.column("marked").to_numpy(zero_copy_only=False), n.astype(np.int32)
+
+
+#: The leading bytes of a head that are sent to find repeated ones; what they let pass besides is told apart by whole heads.
+SENT = 6
 
 
 def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The heads of a group of pages by their first byte, sorted, in planes of bytes; two of each suffice."""
-    for group in _streams(batches):
-        h = np.sort(np.concatenate([np.unique(x[3]) for x in group]))
+    """The heads of a batch of pages by their first byte, sorted, as differences in planes of bytes.
+
+    Of the heads of a page each is there once, and two of each in a batch suffice.
+    """
+    for head, page, *_ in _streams(batches):
+        order = np.lexsort((page, head))
+        h, page = head[order], page[order]
+        fresh = np.ones(len(h), bool)
+        fresh[1:] = (h[1:] != h[:-1]) | (page[1:] != page[:-1])
+        h = h[fresh]
         h = h[np.concatenate([np.ones(min(2, len(h)), bool), h[2:] != h[:-2]])]
         ends = np.searchsorted(h, np.arange(1, 256, dtype=np.uint64) << np.uint64(56))
-        parts = [(k, x.byteswap().view(np.uint8).reshape(-1, 8)[:, 1:].T.tobytes()) for k, x in enumerate(np.split(h, ends)) if len(x)]
+        short = h >> np.uint64(8 * (8 - SENT))
+        parts = []
+        for k, x in enumerate(np.split(short, ends)):
+            if len(x):
+                steps = np.diff(x, prepend=np.uint64(k << 8 * (SENT - 1)))
+                parts.append((k, steps.byteswap().view(np.uint8).reshape(-1, 8)[:, 9 - SENT :].T.tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=["bucket", "heads"])
 
 
 def _repeated(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The heads of one bucket that are there more than once."""
+    """The leading bytes of the heads of one bucket that are there more than once, as heads that end in zeros."""
     parts, bucket = [], 0
     for batch in rows:
         for k, x in zip(batch.column("bucket"), batch.column("heads")):
-            bucket, planes = k.as_py(), np.frombuffer(x.as_py(), np.uint8).reshape(7, -1)
-            parts.append(planes)
-    planes = np.concatenate(parts, axis=1)
-    whole = np.empty((planes.shape[1], 8), np.uint8)
-    whole[:, 0], whole[:, 1:] = bucket, planes.T
-    h = np.sort(whole.view(">u8").reshape(-1).astype(np.uint64))
+            bucket, planes = k.as_py(), np.frombuffer(x.as_py(), np.uint8).reshape(SENT - 1, -1)
+            steps = np.zeros((planes.shape[1], 8), np.uint8)
+            steps[:, 9 - SENT :] = planes.T
+            parts.append(np.cumsum(steps.view(">u8").reshape(-1).astype(np.uint64)) + np.uint64(bucket << 8 * (SENT - 1)))
+    h = np.sort(np.concatenate(parts)) << np.uint64(8 * (8 - SENT))
     yield pa.RecordBatch.from_arrays([pa.array(np.unique(h[1:][h[1:] == h[:-1]]).view(np.int64))], names=["head"])
 
 
 def _bits(ids: DataFrame, column: str) -> np.ndarray:
-    """A bitmap with a bit for the first BITMAP_BITS bits of each ID; it may let others pass, never drops one."""
-    at = F.shiftrightunsigned(column, 64 - BITMAP_BITS) + 1
-    rows = ids.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
+    """A bitmap with two bits for each ID, by its first BITMAP_BITS bits and by those that end at its 48th; it may let
+    others pass, never drops one."""
+    first, second = F.shiftrightunsigned(column, 64 - BITMAP_BITS), F.shiftrightunsigned(column, 16).bitwiseAND((1 << BITMAP_BITS) - 1)
+    rows = ids.select(F.explode(F.array(first + 1, second + 1)).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
     out = np.zeros((1 << BITMAP_BITS - 15, 4096), np.uint8)
     for r in rows:
         out[r.bucket - 1] = np.frombuffer(r.bits, np.uint8)
@@ -268,8 +283,10 @@ def _bits(ids: DataFrame, column: str) -> np.ndarray:
 
 
 def _has(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = h >> np.uint64(64 - BITMAP_BITS)
-    return (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    def bit(at: np.ndarray) -> np.ndarray:
+        return bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1
+
+    return (bit(h >> np.uint64(64 - BITMAP_BITS)) & bit(h >> np.uint64(16) & np.uint64((1 << BITMAP_BITS) - 1))).astype(bool)
 
 
 _PLACED = "head long, low long, high long, at array<struct<key: long, marked: boolean, n: int, place: int>>"
@@ -289,24 +306,23 @@ def repeated_runs(pages: DataFrame, work: Workspace) -> DataFrame:
     """key, marked, n and runs (head and place from 0) of the pages with runs of RUN tokens that stand on a page of
     other content of their host too.
 
-    Suffixes are dealt by the hash of their first RUN tokens. Those that are alone in their bucket end there, as eight
-    bytes each; only the others send their places. Copies of a page count as one.
+    Suffixes are dealt by the hash of their first RUN tokens. Those that are alone in their bucket end there, as about
+    four bytes each; only the others send their places. Copies of a page count as one.
     """
     spark = pages.sparkSession
-    shared = work.stage(mapped(pages.select("host", "key", "marked", "blocks"), _bucketed, "bucket int, heads binary").groupBy("bucket").applyInArrow(lean(_repeated), "head long"), "heads")
+    shared = work.stage(mapped(pages.select("host", "html"), _bucketed, "bucket int, heads binary").groupBy("bucket").applyInArrow(lean(_repeated), "head long"), "heads")
     bitmap = spark.sparkContext.broadcast(_bits(shared, "head"))
+    work.drop("heads")
+    work.forget()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _streams(batches):
-            found = [(key, marked, n, h, np.flatnonzero(_has(bitmap.value, h))) for key, marked, n, h in group]
-            count = [len(x[4]) for x in found]
-            if sum(count):
-                yield _packed(
-                    np.concatenate([h[at] for *_, h, at in found]).view(np.int64), np.repeat(np.array([x[0] for x in found], np.int64), count), np.repeat(np.array([x[1] for x in found]), count),
-                    np.repeat(np.array([x[2] for x in found], np.int32), count), np.concatenate([x[4] for x in found]).astype(np.int32),
-                )
-
-    placed = work.stage(mapped(pages.select("host", "key", "marked", "blocks"), place, _PLACED), "placed")
+        for head, page, places, key, marked, n in _streams(batches):
+            at = np.flatnonzero(_has(bitmap.value, head))
+            if len(at):
+                own = page[at]
+                yield _packed(head[at].view(np.int64), key[own], marked[own], n[own], places[at])
+
+    placed = work.stage(mapped(pages.select("host", "html"), place, _PLACED), "placed", compression="zstd")
     differing = placed.groupBy("head").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("head")
     each = placed.join(differing, "head", "left_semi").select("head", F.inline("at"))
     return each.groupBy("key").agg(F.first("marked").alias("marked"), F.first("n").alias("n"), F.sort_array(F.collect_set(F.struct("place", "head"))).alias("runs"))
@@ -357,7 +373,9 @@ def boilerplate(runs: DataFrame, work: Workspace) -> DataFrame:
             if head:
                 yield _packed(np.array(head, np.int64), np.array(key, np.int64), np.array(stands), np.array(speaks, np.int32), np.array(place, np.int32))
 
-    spoken = work.stage(mapped(runs, measure, _PLACED), "spoken")
+    spoken = work.stage(mapped(runs, measure, _PLACED), "spoken", compression="zstd")
+    work.drop("placed")
+    work.forget()
     # keys stand in one batch each, so its distinct keys are counted there
     contents = F.size(F.array_distinct(F.transform(F.filter("at", lambda x: x["n"] == 1), lambda x: x["key"])))
     votes = spoken.groupBy("head").agg(F.sum(contents).alias("votes")).where(F.col("votes") >= VOTES)
@@ -372,16 +390,16 @@ def main_text(pages: DataFrame) -> DataFrame:
     page; an empty table gives no rows; further columns are ignored.
     """
     work = Workspace(pages.sparkSession, "html")
-    pages = work.stage(parsed(pages), "parsed")
+    pages = parsed(pages)
     places = work.stage(boilerplate(repeated_runs(pages, work), work), "places")
-    work.drop("heads", "placed", "spoken")
+    work.drop("spoken")
     bitmap = pages.sparkSession.sparkContext.broadcast(_bits(places, "key"))
 
     def read(covered: bool):
         """Pages that may have places, with their blocks, or else the others, with their text."""
 
         def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in map(with_blocks, batches):
                 keys = batch.column("key").to_numpy()
                 rest = batch.filter(pa.array(_has(bitmap.value, keys.view(np.uint64)) == covered))
                 last = [rest.column("key"), rest.column("blocks")] if covered else [pc.binary_join(rest.column("blocks"), "\n")]
@@ -394,9 +412,8 @@ def main_text(pages: DataFrame) -> DataFrame:
             text = ["\n".join(unique_blocks(c.as_py(), p.as_py())) for c, p in zip(batch.column("candidates"), batch.column("places"))]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string())], names=["page_id", "url", "text"])
 
-    known = pages.select("page_id", "url", "key", "blocks")
-    plain = mapped(known, read(False), "page_id long, url string, text string")
-    open_ = mapped(known, read(True), "page_id long, url string, key long, candidates array<string>").join(places, "key", "left")
+    plain = mapped(pages, read(False), "page_id long, url string, text string")
+    open_ = mapped(pages, read(True), "page_id long, url string, key long, candidates array<string>").join(places, "key", "left")
     kept = mapped(open_.select("page_id", "url", "candidates", "places"), keep, "page_id long, url string, text string")
     return plain.unionByName(kept).withColumn("n_chars", F.char_length("text").cast("long"))
 

@@ -59,7 +59,7 @@ class WordHashes(dict):
 
 
 _HASHES = WordHashes()
-CACHES.append(_HASHES)
+CACHES["words"] = _HASHES
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:

@@ -165,6 +165,10 @@ def read_frames(stream, chunk_bytes: int = 1 << 22) -> Iterator[list[tuple]]:
         yield out
 
 
+#: Words whose ids a worker keeps at least.
+CACHED_WORDS = 500_000
+
+
 class Pieces(dict):
     """Ids, as bytes, of what stands between two spaces, each with the space before it.
 
@@ -172,11 +176,11 @@ class Pieces(dict):
     is cut at its spaces, and its ids are those of its pieces in turn, unless a space has white space before it and white
     space or the end after it; such runs are cut elsewhere, and those texts are encoded as they are.
 
-    Of the words met, the last MOST to twice MOST are kept: once MOST are there they become the older half, out of which
-    words that come again are taken over.
+    Of the words met, the last `most` to twice as many are kept: once `most` are there they become the older half, out of
+    which words that come again are taken over. A word takes some 250 bytes.
     """
 
-    MOST, LONGEST = 100_000, 64
+    LONGEST = 64
     RUNS = re.compile(r"\s (?!\S)")
 
     def __init__(self, path: str):
@@ -184,6 +188,7 @@ class Pieces(dict):
 
         super().__init__()
         self.older: dict[str, bytes] = {}
+        self.most = CACHED_WORDS
         self.tokenizer = Tokenizer.from_file(path)
         if type(self.tokenizer.model).__name__ != "BPE" or self.tokenizer.normalizer is not None or "ByteLevel" not in repr(self.tokenizer.pre_tokenizer):
             raise ValueError(f"{path} is no byte-level BPE, whose texts may be cut at spaces")
@@ -219,7 +224,7 @@ class Pieces(dict):
         self.older = {}
 
     def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
-        if len(self) > self.MOST:
+        if len(self) > self.most:
             self.older = dict(self)
             super().clear()
         cut = [None if self.RUNS.search(t) or any(s in t for s in self.special) else t.split(" ") for t in texts]
@@ -239,14 +244,15 @@ class Pieces(dict):
 _PIECES: dict[str, Pieces] = {}
 
 
-def pieces(path: str) -> Pieces:
-    """A worker process loads each tokenizer once."""
+def pieces(path: str, most: int = CACHED_WORDS) -> Pieces:
+    """A worker process loads each tokenizer once; most: the words that it keeps at least."""
     if path not in _PIECES:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _PIECES[path] = Pieces(path)
-        CACHES.append(_PIECES[path])
+        CACHES[path] = _PIECES[path]
+    _PIECES[path].most = most
     return _PIECES[path]
 
 
@@ -270,7 +276,7 @@ def _groups(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
         yield ids, texts
 
 
-def write_records(documents: DataFrame, root: str, tokenizer_path: str, end: int = 0, n_files: int | None = None) -> DataFrame:
+def write_records(documents: DataFrame, root: str, tokenizer_path: str, end: int = 0, n_files: int | None = None, cached_words: int = CACHED_WORDS) -> DataFrame:
     """Writes the encoded texts under root in ascending doc_id order and returns the manifest, a row for each file.
 
     Files follow each other in doc_id order, null doc_ids first; equal doc_ids stand in order of a hash of the text, and
@@ -285,7 +291,7 @@ def write_records(documents: DataFrame, root: str, tokenizer_path: str, end: int
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, out, index, n_ids = TaskContext.get().partitionId(), None, [], 0
-        tok = pieces(tokenizer_path)
+        tok = pieces(tokenizer_path, cached_words)
         for batch in batches:
             for doc_ids, texts in _groups(batch):
                 out = out or AtomicFile(f"{root}/part-{number:06d}.rec")
@@ -305,7 +311,7 @@ def write_records(documents: DataFrame, root: str, tokenizer_path: str, end: int
     order = [F.col("doc_id").asc_nulls_first(), F.col("mark"), F.col("row")]
     marked = documents.select("doc_id", "text", F.xxhash64("text").alias("mark"), F.monotonically_increasing_id().alias("row"))
     rows = marked.repartitionByRange(n_files, *order).sortWithinPartitions(*order).select("doc_id", "text")
-    mapped(rows, write, "file_no long, records long, ids long, bytes long").write.mode("overwrite").parquet(f"{root}/manifest")
+    mapped(rows, write, "file_no long, records long, ids long, bytes long", tokenizer_path).write.mode("overwrite").parquet(f"{root}/manifest")
     return spark.read.schema("file_no long, records long, ids long, bytes long").parquet(f"{root}/manifest")
 
 
@@ -362,7 +368,7 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
-def token_records(documents: DataFrame, root: str | None = None, tokenizer_path: str | None = None) -> DataFrame:
+def token_records(documents: DataFrame, root: str | None = None, tokenizer_path: str | None = None, cached_words: int = CACHED_WORDS) -> DataFrame:
     """Writes all documents as records and gives doc_id, start, n_tokens and ids_crc32 as read back.
 
     Null and empty text is one record of the end id alone; a very long text is one record; repeated rows are records of
@@ -371,7 +377,7 @@ def token_records(documents: DataFrame, root: str | None = None, tokenizer_path:
     """
     spark = documents.sparkSession
     root = root or Workspace(spark, "records").root
-    write_records(documents, root, tokenizer_path or tokenizer_file())
+    write_records(documents, root, tokenizer_path or tokenizer_file(), cached_words=cached_words)
     return read_records(spark, root)
 
 

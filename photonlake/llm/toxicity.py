@@ -20,6 +20,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,30 +64,45 @@ class Model:
     weights: dict[str, float]
     bias: float
     leak: float
-    #: Scores of words met, and the words among them that have none.
+    #: Scores of words met, the words among them that have none, and what finds features in words.
     scores: dict = field(default_factory=dict, repr=False, compare=False)
     plain: set = field(default_factory=set, repr=False, compare=False)
+    finder: object = field(default=None, repr=False, compare=False)
+
+    def __getstate__(self) -> dict:
+        """What goes to workers: the model without what it has met."""
+        return {"weights": self.weights, "bias": self.bias, "leak": self.leak, "scores": {}, "plain": set(), "finder": None}
 
     def word_score(self, word: str) -> float | None:
         """The sum of a word's weights, or None if no feature of it is known."""
         found = [self.weights[f] for f in features(word) if f in self.weights]
         return math.fsum(found) if found else None
 
+    def meet(self, new: list[str]) -> None:
+        """Sorts words in those with a score and the others; one pass of an automaton over all of them finds the former."""
+        if self.finder is None:
+            self.finder = ahocorasick.Automaton()
+            for f in self.weights:
+                self.finder.add_word(f, len(f))
+            self.finder.make_automaton()
+        if len(self.plain) > MOST_CACHED:
+            self.plain.clear()
+        if len(self.scores) > MOST_CACHED:
+            self.scores.clear()
+        ends = [end for end, _ in self.finder.iter(f"^{'$^'.join(new)}$")] if self.weights else []
+        starts = np.cumsum([0] + [len(w) + 2 for w in new])
+        marked = {new[k] for k in np.unique(np.searchsorted(starts, ends, side="right") - 1)}
+        scored_ = {w: s for w in marked if (s := self.word_score(w)) is not None}
+        self.scores |= scored_
+        self.plain.update(set(new).difference(scored_))
+
     def known(self, own: set[str]) -> list[float]:
         """The scores of the words that have one; each new word is looked up once."""
-        out = []
-        for w in own.difference(self.plain):
-            if w not in self.scores:
-                if (s := self.word_score(w)) is None:
-                    if len(self.plain) > MOST_CACHED:
-                        self.plain.clear()
-                    self.plain.add(w)
-                    continue
-                if len(self.scores) > MOST_CACHED:
-                    self.scores.clear()
-                self.scores[w] = s
-            out.append(self.scores[w])
-        return out
+        open_ = own.difference(self.plain)
+        if new := [w for w in open_ if w not in self.scores]:
+            self.meet(new)
+            open_ = [w for w in open_ if w in self.scores]
+        return [self.scores[w] for w in open_]
 
     def sentence_probability(self, sentence: str) -> float:
         """The probability of a sentence in lower case."""
