@@ -54,7 +54,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Repeated documents are records of their own; a null or empty text is the end id alone.
     """
-    return records.token_records(docs)
+    return records.token_records(docs, cached_words=100_000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
