@@ -116,14 +116,19 @@ def ledger(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def apply_policy(entries: DataFrame, names: tuple[str, ...], rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """entries with base_failed and kept."""
+    """entries with base_failed and kept.
+
+    Entries come from ledger(), whose failures are never null; an entry that fails no rule of the policy is kept, repeated
+    ones alike; no entries give no rows.
+    """
     return entries.withColumns({"base_failed": F.col("failures").bitwiseAND(mask(BASE, rules)) != 0, "kept": F.col("failures").bitwiseAND(mask(names, rules)) == 0})
 
 
 def ablation(entries: DataFrame, names: tuple[str, ...], rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """For each rule of a policy: rejected (documents that it fails), alone (that no other of the policy fails).
 
-    Masks are counted first, so at most 2 ** len(rules) rows, whatever the corpus, are compared with each rule.
+    Masks are counted first, so at most 2 ** len(rules) rows, whatever the corpus, are compared with each rule. Repeated
+    entries count as often as they are there; a rule that nothing fails has zeros; no entries give no rows.
     """
     counts = entries.groupBy(F.col("failures").bitwiseAND(mask(names, rules)).alias("bits")).agg(F.count(F.lit(1)).alias("n"))
     listed = F.explode(F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(1 << r.bit).cast("long").alias("bit")) for r in rules if r.name in names]))
@@ -135,7 +140,11 @@ def ablation(entries: DataFrame, names: tuple[str, ...], rules: tuple[Rule, ...]
 
 
 def common_failures(entries: DataFrame, by: str) -> DataFrame:
-    """For each value of a column, bits that every document fails and bits that any does."""
+    """For each value of a column, bits that every document fails and bits that any does.
+
+    Null is a value of its own; counts are summed on the map side, so a value of very many entries is no hot group; no
+    entries give no rows.
+    """
     return entries.groupBy(by).agg(F.bit_and("failures").alias("all_fail"), F.bit_or("failures").alias("any_fail"), F.count(F.lit(1)).alias("n"))
 
 
