@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import re
 import tempfile
 import uuid
@@ -56,11 +55,6 @@ class Workspace:
         for name in names:
             self._delete(self.path(name))
 
-    def forget(self) -> None:
-        """Has the driver collect its garbage now: Spark then removes the shuffle files that no plan refers to any more."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
     def clear(self) -> None:
         """Removes the whole folder, once nothing in it is read any more."""
         self._delete(self.root)

@@ -313,7 +313,6 @@ def repeated_runs(pages: DataFrame, work: Workspace) -> DataFrame:
     shared = work.stage(mapped(pages.select("host", "html"), _bucketed, "bucket int, heads binary").groupBy("bucket").applyInArrow(lean(_repeated), "head long"), "heads")
     bitmap = spark.sparkContext.broadcast(_bits(shared, "head"))
     work.drop("heads")
-    work.forget()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for head, page, places, key, marked, n in _streams(batches):
@@ -375,7 +374,6 @@ def boilerplate(runs: DataFrame, work: Workspace) -> DataFrame:
 
     spoken = work.stage(mapped(runs, measure, _PLACED), "spoken", compression="zstd")
     work.drop("placed")
-    work.forget()
     # keys stand in one batch each, so its distinct keys are counted there
     contents = F.size(F.array_distinct(F.transform(F.filter("at", lambda x: x["n"] == 1), lambda x: x["key"])))
     votes = spoken.groupBy("head").agg(F.sum(contents).alias("votes")).where(F.col("votes") >= VOTES)
