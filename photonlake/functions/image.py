@@ -37,8 +37,12 @@ def _tiff_kind(h: Column) -> Column:
     """DNG if the first directory has a DNGVersion, else what the Make says; h: hexadecimal digits of the file's head."""
     big = h.startswith("4D4D")
 
+    def digit(place: Column | int) -> Column:
+        """Where a byte's digits start; places beyond the head, which may be beyond an int, are at its end."""
+        return F.least(F.lit(place).cast("long"), F.lit(SNIFFED)).cast("int") * 2 + 1
+
     def at(place: Column | int, n: int) -> Column:
-        return _number(h.substr(F.lit(place) * 2 + 1, F.lit(2 * n)), big, n)
+        return _number(h.substr(digit(place), F.lit(2 * n)), big, n)
 
     def kind(start: Column) -> Column:
         def of(n: Column) -> Column:
@@ -50,7 +54,7 @@ def _tiff_kind(h: Column) -> Column:
 
     def told(tags: Column) -> Column:
         make = F.get(F.filter(tags, lambda e: e["tag"] == 0x010F), F.lit(0))
-        name = let(make, lambda m: F.regexp_replace(F.unhex(h.substr(F.when(m["count"] <= 4, m["at"] + 8).otherwise(m["offset"]).cast("int") * 2 + 1, F.least(m["count"], F.lit(SNIFFED)).cast("int") * 2)).cast("string"), "[\\x00 ]+$", ""))
+        name = let(make, lambda m: F.regexp_replace(F.unhex(h.substr(digit(F.when(m["count"] <= 4, m["at"] + 8).otherwise(m["offset"])), F.least(m["count"], F.lit(SNIFFED)).cast("int") * 2)).cast("string"), "[\\x00 ]+$", ""))
         by_make = let(name, lambda x: F.when(x.isin("NIKON CORPORATION", "Nikon"), "NEF").when(x == "SONY", "ARW").otherwise("TIFF"))
         return F.when(F.exists(tags, lambda e: e["tag"] == 0xC612), "DNG").otherwise(by_make)
 

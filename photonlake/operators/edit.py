@@ -77,7 +77,7 @@ def exif_changes(s: dict) -> Changes:
 
 def edited_iptc(block: bytes, s: dict) -> bytes:
     """The block with its fields set. Text beyond Latin-1 makes the whole block UTF-8."""
-    own = list(datasets_of(block))
+    own = list(datasets_of(block, strict=True))  # an edit must not lose what it cannot read
     utf8 = any(r == 1 and d == 90 and v == UTF8 for r, d, v in own)
     new = [*(x for n in IPTC_TEXT if (x := s.get(n)) is not None), *(s.get("keywords") or ()), *(s.get("add_keywords") or ())]
     if not utf8 and any(ord(c) > 255 for x in new for c in x):

@@ -14,10 +14,11 @@ from ..sources.containers import directory
 POINTERS = {0x8769: "exif", 0x8825: "gps", 0xA005: "interop"}
 
 
-def directories(b: bytes) -> Iterator[tuple[str, int, int, int, int, bytes, str]]:
+def directories(b: bytes, tags_wanted: frozenset[int] | None = None) -> Iterator[tuple[str, int, int, int, int, bytes, str]]:
     """(directory, number in its chain, tag, type, count, value, byte order) of a TIFF block's entries.
 
-    Directories that point back to one already read end their chain; one that cannot be read has no entries.
+    Directories that point back to one already read end their chain; one that cannot be read has no entries. If tags are
+    wanted, their entries are read and what leads to further directories, and the chain of first directories isn't.
     """
     order = {b"II": "little", b"MM": "big"}.get(b[:2])
     if len(b) < 8 or not order or int.from_bytes(b[2:4], order) != 42:
@@ -28,12 +29,12 @@ def directories(b: bytes) -> Iterator[tuple[str, int, int, int, int, bytes, str]
         if at in seen:
             continue
         seen.add(at)
-        entries, after = directory(b, order, at)
+        entries, after = directory(b, order, at, None if tags_wanted is None else tags_wanted | POINTERS.keys())
         for tag, kind, count, value in entries:
             yield name, k, tag, kind, count, value, b[:2].decode()
             if tag in POINTERS and len(value) == 4 and k == 0 and (name, tag) != ("exif", 0x8769):
                 open_.append((POINTERS[tag], 0, int.from_bytes(value, order)))
-        if after and name == "ifd0":
+        if after and name == "ifd0" and tags_wanted is None:
             open_.append((name, k + 1, after))
 
 

@@ -7,9 +7,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..sources.formats import BUILT_IN, Registry
 from ..sources.images import bounded, opened, with_format
 from .exif import directories
-from .iptc import UTF8, datasets_of
+from .iptc import UTF8, checked, datasets_of
 from .makernote import makernote_directory, makernote_entries
 from .xmp import properties
 
@@ -20,7 +21,7 @@ _FIELDS = pa.schema([(n, _TYPES[t]) for n, t in (x.split() for x in FACTS.split(
 COMPONENTS = ("exif", "iptc", "xmp", "makernote")
 
 
-def facts_of(found: dict[str, bytes], components: tuple[str, ...]) -> Iterator[tuple]:
+def facts_of(found: dict[str, bytes], components: tuple[str, ...], registry: Registry = BUILT_IN) -> Iterator[tuple]:
     """kind, space, item, pos, name, type, count, value and coding of each fact of an image's payloads."""
     if "exif" in components:
         make, note, own_order = "", b"", "II"
@@ -35,7 +36,8 @@ def facts_of(found: dict[str, bytes], components: tuple[str, ...]) -> Iterator[t
         if note and "makernote" in components:
             for tag, form, count, value, order in makernote_directory(make, note, own_order):
                 yield "exif", "maker", tag, 0, None, form, count, value, order
-            for tag, value in makernote_entries(make, note).items():
+            own_notes = registry.notes.get(make)
+            for tag, value in (own_notes(make, note, own_order) if own_notes else makernote_entries(make, note)).items():
                 yield "makernote", make, tag, 0, None, None, len(value), value, None
     if "iptc" in components and "iptc" in found:
         own = list(datasets_of(found["iptc"]))
@@ -47,20 +49,26 @@ def facts_of(found: dict[str, bytes], components: tuple[str, ...]) -> Iterator[t
             yield "xmp", ns, None, 0, local, None, len(value), value.encode(), "UTF-8"
 
 
-def facts(images: DataFrame, components: tuple[str, ...] = COMPONENTS) -> DataFrame:
-    """The facts of images with path and content, and for each image one of kind head with its format and error."""
+def facts(images: DataFrame, components: tuple[str, ...] = COMPONENTS, registry: Registry = BUILT_IN) -> DataFrame:
+    """The facts of images with path and content, and for each image one of kind head with its format and error.
+
+    A component that cannot be read leaves the facts of the others, and the error names it.
+    """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for path, content, form in zip(*(batch.column(c) for c in ("path", "content", "format"))):
                 path, form = path.as_py(), form.as_py()
-                found, error = opened(content.as_py(), form)
+                found, error = opened(content.as_py(), form, registry)
                 own = []
-                try:
-                    own += facts_of(found, components)
-                except ValueError as e:
-                    error = error or f"Corrupt: {e}"
+                for component in COMPONENTS[:3]:
+                    try:
+                        own += facts_of(found, tuple(c for c in components if c == component or component == "exif" and c == "makernote"), registry)
+                        if component == "iptc" and "iptc" in components:
+                            checked(found.get("iptc", b""))
+                    except ValueError as e:
+                        error = error or f"Corrupt: {component}: {e}"
                 rows.append((path, form, 0, "head", *[None] * 8, error))
                 rows += [(path, form, k, *x, None) for k, x in enumerate(own, 1)]
                 if len(rows) > 20_000:
@@ -68,7 +76,7 @@ def facts(images: DataFrame, components: tuple[str, ...] = COMPONENTS) -> DataFr
                     rows = []
             yield _batch(rows)
 
-    return bounded(with_format(images.select("path", "content"))).mapInArrow(parse, FACTS)
+    return bounded(with_format(images.select("path", "content"), registry)).mapInArrow(parse, FACTS)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

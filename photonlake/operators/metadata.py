@@ -2,21 +2,29 @@
 
 One narrow pass reads what the fields need out of an image's payloads, as typed columns of one row: texts, numbers and
 pairs of numbers. Priorities, quotients, places and times are expressions over them. Nothing is shuffled.
+
+What is parsed follows from the columns that are asked for: directories give the tags that these need, and XMP is parsed
+where a column needs it that EXIF does not already fill. Images come as a column of contents, or from files of which the
+ranges are read that this parsing asks for.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import image as I
 from ..functions.registry import NAMESPACES
+from ..sources.containers import KINDS
+from ..sources.formats import BUILT_IN, Registry
 from ..sources.images import bounded, kept_errors, opened, with_format
+from ..sources.ranges import opened_files
+from ..sources.table import FORMAT, ImageFiles
 from .exif import directories
-from .iptc import UTF8, datasets_of
+from .iptc import UTF8, checked, datasets_of
 from .xmp import properties
 
 #: Directory and tag of the fields that are read, by how they are read.
@@ -38,14 +46,54 @@ XMP_FIELDS = {
 }
 IPTC_FIELDS = {"i_caption": 120, "i_copyright": 116, "i_creator": 80}
 
+FAILURES = pa.list_(pa.struct([("component", pa.string()), ("kind", pa.string()), ("message", pa.string()), ("magic", pa.binary())]))
 _COLUMNS = {
-    "path": pa.string(), "format": pa.string(), "error": pa.string(), **dict.fromkeys(TEXTS, pa.string()), **dict.fromkeys([*SHORTS, *SIZES], pa.int64()),
+    "path": pa.string(), "format": pa.string(), "error": pa.string(), "failures": FAILURES, "length": pa.int64(), "bytes_read": pa.int64(),
+    **dict.fromkeys(TEXTS, pa.string()), **dict.fromkeys([*SHORTS, *SIZES], pa.int64()),
     **{f"{n}_{part}": pa.int64() for n in RATIONALS for part in ("num", "den")}, **{f"{n}_ref": pa.string() for n in PLACES}, **{n: pa.list_(pa.int64()) for n in PLACES},
     **dict.fromkeys(FIRST_BYTES, pa.int64()), **dict.fromkeys([*XMP_FIELDS, *IPTC_FIELDS], pa.string()), "i_keywords": pa.list_(pa.string()),
 }
-_FIELDS = pa.schema(list(_COLUMNS.items()))
-_NAMES = {pa.string(): "string", pa.int64(): "long", pa.list_(pa.int64()): "array<long>", pa.list_(pa.string()): "array<string>"}
-RECORD = ", ".join(f"{n} {_NAMES[t]}" for n, t in _COLUMNS.items())
+_NAMES = {
+    pa.string(): "string", pa.int64(): "long", pa.list_(pa.int64()): "array<long>", pa.list_(pa.string()): "array<string>",
+    FAILURES: "array<struct<component:string,kind:string,message:string,magic:binary>>",
+}
+#: Where the values of the fields stand, by field.
+TAGS_OF = {
+    **{n: (at,) for n, at in (*TEXTS.items(), *SHORTS.items(), *SIZES.items(), *FIRST_BYTES.items())}, **{f"{n}_{part}": (at,) for n, at in RATIONALS.items() for part in ("num", "den")},
+    **{k: at for n, at in PLACES.items() for k in (n, f"{n}_ref")},
+}
+#: What each column of a record needs. The first four are filled by EXIF before XMP, so XMP counts only where it isn't.
+NEEDS = {
+    "make": ("make", "x_make"), "model": ("model", "x_model", "x_tool"), "lens": ("lens", "x_lens"), "software": ("software", "x_tool"),
+    "path": ("path",), "format": ("format",), "error": ("error",), "failures": ("failures",), "length": ("length",), "bytes_read": ("bytes_read",),
+    "width": ("width", "height"), "height": ("width", "height"), "captured_at": ("original", "offset", "x_original"), "date_time": ("date_time",),
+    "latitude": ("lat", "lat_ref", "lon", "lon_ref", "x_lat", "x_lon"), "longitude": ("lat", "lat_ref", "lon", "lon_ref", "x_lat", "x_lon"), "altitude": ("alt_num", "alt_den", "alt_ref"),
+    "exposure_time": ("exposure_num", "exposure_den"), "f_number": ("f_number_num", "f_number_den"), "iso": ("iso",), "focal_length_mm": ("focal_num", "focal_den"), "orientation": ("orientation",),
+    "white_balance": ("white",), "flash": ("flash",), "exposure_mode": ("mode",), "color_space": ("color",), "metering_mode": ("metering",), "subject_distance": ("distance_num", "distance_den"),
+    "digital_zoom_ratio": ("zoom_num", "zoom_den"), "scene_type": ("scene",), "caption": ("x_description", "i_caption", "description"), "copyright": ("x_rights", "i_copyright", "copyright"),
+    "creator": ("x_creator", "i_creator", "artist"), "keywords": ("x_subject", "i_keywords"),
+}
+EXIF_FIRST = ("make", "model", "lens", "software")
+#: The columns of a record of contents; files have length and bytes_read besides, and both failures where asked for.
+RECORD_COLUMNS = (
+    "path", "format", "error", "make", "model", "lens", "software", "width", "height", "captured_at", "date_time", "latitude", "longitude", "altitude", "exposure_time", "f_number", "iso",
+    "focal_length_mm", "orientation", "white_balance", "flash", "exposure_mode", "color_space", "metering_mode", "subject_distance", "digital_zoom_ratio", "scene_type", "caption", "copyright",
+    "creator", "keywords",
+)
+
+
+def fields_for(columns: Iterable[str]) -> list[str]:
+    """The fields that columns of a record need, in order."""
+    unknown = set(columns) - set(NEEDS)
+    if unknown:
+        raise ValueError(f"unknown columns: {sorted(unknown)}")
+    wanted = {f for c in columns for f in NEEDS[c]}
+    return [f for f in _COLUMNS if f in wanted]
+
+
+def ddl(fields: Iterable[str]) -> str:
+    return ", ".join(f"{n} {_NAMES[_COLUMNS[n]]}" for n in fields)
+
 
 Entry = tuple[int, int, bytes, str]  # type, count, value, byte order
 
@@ -75,11 +123,12 @@ def _rational(e: Entry, i: int = 0) -> tuple[int | None, int | None]:
     return (_number(e[2], e[3], 8 * i, 4), _number(e[2], e[3], 8 * i + 4, 4)) if pair else (None, None)
 
 
-def exif_fields(found: dict[str, bytes]) -> dict[str, object]:
+def exif_fields(found: dict[str, bytes], fields: Sequence[str] = tuple(TAGS_OF)) -> dict[str, object]:
     """The fields of an image's directories; of repeated entries the first counts."""
+    tags = frozenset(tag for f in fields for _, tag in TAGS_OF.get(f, ()))
     own: dict[tuple[str, int], Entry] = {}
     for kind in ("exif", "exif_ifd"):
-        for ifd, k, tag, form, count, value, mark in directories(found.get(kind, b"")):
+        for ifd, k, tag, form, count, value, mark in directories(found.get(kind, b""), tags):
             if not k:
                 own.setdefault(("exif" if kind == "exif_ifd" and ifd == "ifd0" else ifd, tag), (form, count, value, "little" if mark == "II" else "big"))
     out: dict[str, object] = {n: read(own[at]) for names, read in ((TEXTS, _text), (SHORTS, _short), (SIZES, _size)) for n, at in names.items() if at in own}
@@ -108,33 +157,95 @@ def iptc_fields(block: bytes) -> dict[str, object]:
     return {n: text(first[d]) for n, d in IPTC_FIELDS.items() if d in first} | {"i_keywords": [text(v) for r, d, v in own if (r, d) == (2, 25)]}
 
 
-def fields_of(found: dict[str, bytes], components: tuple[str, ...]) -> dict[str, object]:
-    """What the fields need of an image's payloads; Damaged if one cannot be read at all."""
-    out = exif_fields(found) if "exif" in components else {}
-    if "iptc" in components and "iptc" in found:
-        out |= iptc_fields(found["iptc"])
-    if "xmp" in components and "xmp" in found:
-        own = properties(found["xmp"])
-        out |= {n: v for n, (p, local) in XMP_FIELDS.items() if (v := own.get((NAMESPACES[p], local)))}
+def xmp_fields(packet: bytes) -> dict[str, object]:
+    own = properties(packet)
+    return {n: v for n, (p, local) in XMP_FIELDS.items() if (v := own.get((NAMESPACES[p], local)))}
+
+
+def failure(component: str, error: str, content: bytes | None) -> dict[str, object]:
+    kind, _, message = error.partition(": ")
+    return {"component": component, "kind": kind, "message": message or None, "magic": bytes(content[:12]) if content and kind == "UnsupportedFormat" else None}
+
+
+def record_of(content: bytes | None, form: str | None, columns: frozenset[str], fields: Sequence[str], components: Sequence[str], registry: Registry = BUILT_IN) -> dict[str, object]:
+    """The fields of one image that columns need, with its error and failures.
+
+    A component that cannot be read leaves the others; the first failure is the error, and it names the component unless
+    the container itself is damaged. Asking for error or failures reads every component.
+    """
+    every = not columns.isdisjoint(("error", "failures"))
+    exif, iptc = (every or any(f in group for f in fields) for group in (TAGS_OF, (*IPTC_FIELDS, "i_keywords")))
+    kinds = {k for c, on in (("exif", exif), ("iptc", iptc), ("xmp", every)) if on and c in components for k in KINDS if k.startswith(c)}
+    found, error = opened(content, form, registry, frozenset(kinds)) if kinds or form is None else ({}, None)
+    failures = [failure("container", error, content)] if error else []
+    out: dict[str, object] = {}
+
+    def read(component: str, parse) -> None:
+        try:
+            out.update(parse())
+        except ValueError as e:
+            failures.append(failure(component, f"Corrupt: {e}", content))
+
+    if "exif" in kinds:
+        read("exif", lambda: exif_fields(found, fields))
+    if "iptc" in found:
+        read("iptc", lambda: iptc_fields(found["iptc"]))
+        read("iptc", lambda: checked(found["iptc"]) or {})
+    lacking = any(f.startswith("x_") for c in columns if c not in EXIF_FIRST or out.get(c) is None for f in NEEDS[c])
+    if lacking and "xmp" in components and "xmp" not in kinds and form is not None and not failures:
+        found, late = opened(content, form, registry, frozenset(("xmp",)))
+        failures += [failure("container", late, content)] if late else []
+    if lacking and "xmp" in found or every and "xmp" in found:
+        read("xmp", lambda: xmp_fields(found["xmp"]))
+    if failures:
+        f = failures[0]
+        parts = [f["kind"], *([f["component"]] if f["component"] != "container" else []), *([f["message"]] if f["message"] else [])]
+        out |= {"error": ": ".join(parts), "failures": failures}
     return out
 
 
-def decoded(images: DataFrame, components: tuple[str, ...]) -> DataFrame:
-    """A row of RECORD for each image."""
+def batch_of(rows: list[dict[str, object]], fields: Sequence[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], _COLUMNS[n]) for n in fields], names=list(fields))
+
+
+def decoded(images: DataFrame, components: Sequence[str], columns: Sequence[str] = RECORD_COLUMNS, registry: Registry = BUILT_IN) -> DataFrame:
+    """The fields of each image (path, content) that columns need."""
+    fields, wanted = fields_for(columns), frozenset(columns)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for path, content, form in zip(*(batch.column(c) for c in ("path", "content", "format"))):
-                found, error = opened(content.as_py(), form.as_py())
-                try:
-                    own = fields_of(found, components)
-                except ValueError as e:
-                    own, error = {}, f"Corrupt: {e}"
-                rows.append({"path": path.as_py(), "format": form.as_py(), "error": error, **own})
-            yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t in _COLUMNS.items()], schema=_FIELDS)
-
-    return bounded(with_format(images.select("path", "content"))).mapInArrow(read, RECORD)
+                content, form = content.as_py(), form.as_py()
+                size = None if content is None else len(content)
+                rows.append({"path": path.as_py(), "format": form, "length": size, "bytes_read": size, **record_of(content, form, wanted, fields, components, registry)})
+            yield batch_of(rows, fields)
+
+    return bounded(with_format(images.select("path", "content"), registry)).mapInArrow(read, ddl(fields))
+
+
+#: Rows of a batch of records of files.
+ROWS = 1000
+
+
+def decoded_files(files: Iterable[tuple[str, int | None]], columns: Sequence[str], components: Sequence[str] = ("exif", "iptc", "xmp"), registry: Registry = BUILT_IN) -> Iterator[pa.RecordBatch]:
+    """The fields of each file (path, length) that columns need, from the ranges of it that hold them."""
+    fields, wanted, rows = fields_for(columns), frozenset(columns), []
+    for path, data, problem in opened_files(files):
+        if data is None:
+            rows.append({"path": path, "error": problem, "failures": [failure("file", problem, None)]})
+        else:
+            try:
+                form = registry.format_of(data)
+                own = record_of(data, form, wanted, fields, components, registry)
+            except OSError as e:
+                form, own = None, {"error": f"Unreadable: {e}", "failures": [failure("file", f"Unreadable: {e}", None)]}
+            rows.append({"path": path, "format": form, "length": len(data), "bytes_read": data.fetched, **own})
+        if len(rows) == ROWS:
+            yield batch_of(rows, fields)
+            rows = []
+    if rows:
+        yield batch_of(rows, fields)
 
 
 def _pair(n: str) -> Column:
@@ -146,43 +257,79 @@ def _place(c: str, most: int, strict: bool) -> Column:
     return F.when(F.col(c).isNotNull(), I.degrees(parts, F.col(f"{c}_ref"), most, strict))
 
 
-def flat_metadata(images: DataFrame, components: tuple[str, ...] = ("exif", "iptc", "xmp"), strict_gps: bool = False, mode: str = "PERMISSIVE") -> DataFrame:
-    """A row for each image (path, content): format, error and the fields, null where no source has them.
-
-    Components left out are not parsed. Every row is an image, whatever its path; null and empty contents, unknown
-    formats and damaged files have an error and no fields; an empty table gives no rows; further columns are ignored.
-    """
-    xmp_place = F.struct(I.xmp_degrees(F.col("x_lat"), 90).alias("lat"), I.xmp_degrees(F.col("x_lon"), 180).alias("lon"))
-    exif_place = F.struct(_place("lat", 90, strict_gps).alias("lat"), _place("lon", 180, strict_gps).alias("lon"))
-
-    def whole(place: Column) -> Column:
-        return I.let(place, lambda p: F.when(p["lat"].isNotNull() & p["lon"].isNotNull(), p))
+def record_columns(strict_gps: bool = False) -> dict[str, Column]:
+    """The columns of a record as expressions over fields; those of the place also need the column place."""
 
     def text(c: str) -> Column:
         return F.nullif(F.col(c), F.lit(""))
 
     both = (F.col("width") > 0) & (F.col("height") > 0)
     high = I.quotient(_pair("alt"))
-    captured = F.coalesce(I.exif_time(F.col("original"), F.col("offset")), I.xmp_time(F.col("x_original")))
     keywords = F.when(F.size("i_keywords") > 0, F.col("i_keywords"))
-    records = decoded(images, components).withColumn("place", F.coalesce(whole(exif_place), whole(xmp_place))).select(
-        "path", "format", "error",
-        F.coalesce("make", text("x_make")).alias("make"), F.coalesce("model", text("x_model"), text("x_tool")).alias("model"), F.coalesce("lens", text("x_lens")).alias("lens"),
-        F.coalesce("software", text("x_tool")).alias("software"),
-        F.when(both, F.col("width")).alias("width"), F.when(both, F.col("height")).alias("height"),
-        captured.alias("captured_at"), I.exif_time(F.col("date_time")).alias("date_time"),
-        F.col("place.lat").alias("latitude"), F.col("place.lon").alias("longitude"),
-        F.when(F.col("alt_ref") == 1, -high).otherwise(high).alias("altitude"),
-        I.exposure_text(_pair("exposure")).alias("exposure_time"), I.quotient(_pair("f_number")).alias("f_number"), "iso", I.quotient(_pair("focal")).alias("focal_length_mm"),
-        "orientation", F.col("white").alias("white_balance"), "flash", F.col("mode").alias("exposure_mode"), F.col("color").alias("color_space"),
-        F.col("metering").alias("metering_mode"), I.quotient(_pair("distance")).alias("subject_distance"), I.quotient(_pair("zoom")).alias("digital_zoom_ratio"),
-        F.col("scene").cast("int").alias("scene_type"),
-        F.coalesce(I.first_of(F.col("x_description")), text("i_caption"), F.col("description")).alias("caption"),
-        F.coalesce(I.first_of(F.col("x_rights")), text("i_copyright"), F.col("copyright")).alias("copyright"),
-        F.coalesce(I.first_of(F.col("x_creator")), text("i_creator"), F.col("artist")).alias("creator"),
-        F.coalesce(I.items_of(F.col("x_subject")), keywords).alias("keywords"),
-    )
-    return kept_errors(records, mode)
+    return {
+        **{c: F.col(c) for c in ("path", "format", "error", "failures", "length", "bytes_read", "iso", "orientation", "flash")},
+        "make": F.coalesce("make", text("x_make")), "model": F.coalesce("model", text("x_model"), text("x_tool")), "lens": F.coalesce("lens", text("x_lens")), "software": F.coalesce("software", text("x_tool")),
+        "width": F.when(both, F.col("width")), "height": F.when(both, F.col("height")),
+        "captured_at": F.coalesce(I.exif_time(F.col("original"), F.col("offset")), I.xmp_time(F.col("x_original"))), "date_time": I.exif_time(F.col("date_time")),
+        "latitude": F.col("place.lat"), "longitude": F.col("place.lon"), "altitude": F.when(F.col("alt_ref") == 1, -high).otherwise(high),
+        "exposure_time": I.exposure_text(_pair("exposure")), "f_number": I.quotient(_pair("f_number")), "focal_length_mm": I.quotient(_pair("focal")),
+        "white_balance": F.col("white"), "exposure_mode": F.col("mode"), "color_space": F.col("color"), "metering_mode": F.col("metering"),
+        "subject_distance": I.quotient(_pair("distance")), "digital_zoom_ratio": I.quotient(_pair("zoom")), "scene_type": F.col("scene").cast("int"),
+        "caption": F.coalesce(I.first_of(F.col("x_description")), text("i_caption"), F.col("description")), "copyright": F.coalesce(I.first_of(F.col("x_rights")), text("i_copyright"), F.col("copyright")),
+        "creator": F.coalesce(I.first_of(F.col("x_creator")), text("i_creator"), F.col("artist")), "keywords": F.coalesce(I.items_of(F.col("x_subject")), keywords),
+    }
+
+
+def as_records(fields: DataFrame, columns: Sequence[str], strict_gps: bool = False) -> DataFrame:
+    """Columns of records from the fields that they need."""
+    if not {"latitude", "longitude"}.isdisjoint(columns):
+        xmp_place = F.struct(I.xmp_degrees(F.col("x_lat"), 90).alias("lat"), I.xmp_degrees(F.col("x_lon"), 180).alias("lon"))
+        exif_place = F.struct(_place("lat", 90, strict_gps).alias("lat"), _place("lon", 180, strict_gps).alias("lon"))
+        whole = [I.let(place, lambda p: F.when(p["lat"].isNotNull() & p["lon"].isNotNull(), p)) for place in (exif_place, xmp_place)]
+        fields = fields.withColumn("place", F.coalesce(*whole))
+    own = record_columns(strict_gps)
+    return fields.select(*(own[c].alias(c) for c in columns))
+
+
+def flat_metadata(
+    images: DataFrame, components: Sequence[str] = ("exif", "iptc", "xmp"), strict_gps: bool = False, mode: str = "PERMISSIVE", columns: Sequence[str] = RECORD_COLUMNS, registry: Registry = BUILT_IN
+) -> DataFrame:
+    """A row for each image (path, content): the columns asked for, null where no source has them.
+
+    Components left out are not parsed, nor what no column asked for needs. Every row is an image, whatever its path;
+    null and empty contents, unknown formats and damaged files have an error and no fields; a component that cannot be
+    read has one, which names it, and leaves the others; failures has them all. An empty table gives no rows; further
+    columns are ignored.
+    """
+    needed = columns if mode == "PERMISSIVE" else [*columns, *({"path", "error"} - set(columns))]
+    return kept_errors(as_records(decoded(images, components, needed, registry), needed, strict_gps), mode).select(*columns)
+
+
+def read_metadata(spark: SparkSession, path: str, columns: Sequence[str] = RECORD_COLUMNS, suffixes: Sequence[str] = (), strict_gps: bool = False, mode: str = "PERMISSIVE") -> DataFrame:
+    """A row for each file below a path, as flat_metadata has it, of which only the ranges are read that columns need.
+
+    length and bytes_read, where asked for, are those of the file and of what was read of it.
+    """
+    spark.dataSource.register(ImageFiles)
+    needed = columns if mode == "PERMISSIVE" else [*columns, *({"path", "error"} - set(columns))]
+    options = {"columns": ",".join(needed), "suffixes": ",".join(suffixes), "parts": str(spark.sparkContext.defaultParallelism)}
+    fields = spark.read.format(FORMAT).options(**options).load(path)
+    return kept_errors(as_records(fields, needed, strict_gps), mode).select(*columns)
+
+
+def files_metadata(files: DataFrame, columns: Sequence[str] = RECORD_COLUMNS, strict_gps: bool = False, mode: str = "PERMISSIVE", registry: Registry = BUILT_IN) -> DataFrame:
+    """The same of files that a table names (path, and length where it is known), as when a catalogue lists them.
+
+    A file that isn't there, or a null path, has an error.
+    """
+    needed = columns if mode == "PERMISSIVE" else [*columns, *({"path", "error"} - set(columns))]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from decoded_files(zip(batch.column("path").to_pylist(), batch.column("length").to_pylist()), needed, registry=registry)
+
+    listed = files.select("path", F.col("length").cast("long") if "length" in files.columns else F.lit(None).cast("long").alias("length"))
+    return kept_errors(as_records(listed.mapInArrow(read, ddl(fields_for(needed))), needed, strict_gps), mode).select(*columns)
 
 
 #: What validated() says of images that can't be written as they are.

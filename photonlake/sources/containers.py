@@ -1,8 +1,10 @@
 """Where the metadata of one image stands: a small walker for each container family.
 
-A walker yields (kind, payload); of payloads of one kind the last counts. Kinds: exif, exif_ifd (the directory that CR3
-keeps apart), iptc and xmp. Reading no more than this is left to Python; types, names, grouping and priorities are
-Spark's.
+A walker yields (kind, payload) for the kinds that are asked for; of payloads of one kind the last counts. Kinds: exif,
+exif_ifd (the directory that CR3 keeps apart), iptc and xmp. Reading no more than this is left to Python; types, names,
+grouping and priorities are Spark's.
+
+Files come as bytes or as ranges.Ranges, which fetches what is indexed: walkers take slices and lengths, nothing else.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 
 #: Markers of metadata in JPEG, PNG and ISO containers.
 XMP_URI = b"http://ns.adobe.com/xap/1.0/\x00"
@@ -21,6 +23,7 @@ MOST_INFLATED = 64 << 20
 MOST_ITEM = 256 << 20
 
 Found = Iterator[tuple[str, bytes]]
+KINDS = frozenset(("exif", "exif_ifd", "iptc", "xmp"))
 
 
 class Damaged(ValueError):
@@ -63,18 +66,19 @@ def spliced(main: bytes, more: bytes) -> bytes:
     return main[:cut] + inner[1] + main[cut:] if inner and cut >= 0 else main
 
 
-def jpeg(b: bytes) -> Found:
+def jpeg(b: bytes, kinds: frozenset[str] = KINDS) -> Found:
     packet, chunks = None, {}
     for marker, a, z in jpeg_segments(b):
-        part = b[a:z]
-        if marker == 0xE1 and part.startswith(b"Exif\0\0"):
-            yield "exif", part[6:]
-        elif marker == 0xE1 and part.startswith(XMP_URI):
-            packet = part[len(XMP_URI) :]
-        elif marker == 0xE1 and part.startswith(XMP_MORE_URI) and len(part) >= len(XMP_MORE_URI) + 40:
-            head = part[len(XMP_MORE_URI) :]
-            chunks.setdefault((head[:32], int.from_bytes(head[32:36], "big")), {})[int.from_bytes(head[36:40], "big")] = head[40:]
-        elif marker == 0xED and part.startswith(b"Photoshop 3.0\0") and (own := resource_iptc(part[14:])) is not None:
+        if marker == 0xE1:
+            head = b[a : min(z, a + len(XMP_MORE_URI) + 40)]
+            if head.startswith(b"Exif\0\0") and "exif" in kinds:
+                yield "exif", b[a + 6 : z]
+            elif head.startswith(XMP_URI) and "xmp" in kinds:
+                packet = b[a + len(XMP_URI) : z]
+            elif head.startswith(XMP_MORE_URI) and "xmp" in kinds and z - a >= len(XMP_MORE_URI) + 40:
+                head = head[len(XMP_MORE_URI) :]
+                chunks.setdefault((head[:32], int.from_bytes(head[32:36], "big")), {})[int.from_bytes(head[36:40], "big")] = b[a + len(XMP_MORE_URI) + 40 : z]
+        elif marker == 0xED and "iptc" in kinds and b[a : min(z, a + 14)] == b"Photoshop 3.0\0" and (own := resource_iptc(b[a + 14 : z])) is not None:
             yield "iptc", own
     if packet is not None:
         for (name, size), own in chunks.items():
@@ -89,7 +93,7 @@ def png_chunks(b: bytes) -> Iterator[tuple[bytes, int, int]]:
     while at < len(b):
         if at + 8 > len(b):
             raise Damaged("a chunk's head is cut off")
-        size, kind = struct.unpack_from(">I4s", b, at)
+        size, kind = struct.unpack(">I4s", b[at : at + 8])
         if at + 12 + size > len(b):
             raise Damaged("a chunk is cut off")
         yield kind, at + 8, at + 8 + size
@@ -112,14 +116,13 @@ def inflated(b: bytes, most: int = MOST_INFLATED) -> bytes:
     return out
 
 
-def png(b: bytes) -> Found:
+def png(b: bytes, kinds: frozenset[str] = KINDS) -> Found:
     legacy = packet = None
     for kind, a, z in png_chunks(b):
-        part = b[a:z]
-        if kind == b"eXIf":
-            yield "exif", part
-        elif kind in (b"iTXt", b"tEXt", b"zTXt") and part.startswith(PNG_XMP + b"\0"):
-            rest = part[len(PNG_XMP) + 1 :]
+        if kind == b"eXIf" and "exif" in kinds:
+            yield "exif", b[a:z]
+        elif kind in (b"iTXt", b"tEXt", b"zTXt") and "xmp" in kinds and b[a : min(z, a + len(PNG_XMP) + 1)] == PNG_XMP + b"\0":
+            rest = b[a + len(PNG_XMP) + 1 : z]
             if kind == b"iTXt" and len(rest) >= 2:
                 text = rest[2:].split(b"\0", 2)
                 if rest[0] and rest[1]:
@@ -134,22 +137,23 @@ def png(b: bytes) -> Found:
         yield "xmp", packet or legacy
 
 
-def webp(b: bytes) -> Found:
+def webp(b: bytes, kinds: frozenset[str] = KINDS) -> Found:
     at = 12
     while at + 8 <= len(b):
-        kind, size = struct.unpack_from("<4sI", b, at)
+        kind, size = struct.unpack("<4sI", b[at : at + 8])
         if at + 8 + size > len(b):
             raise Damaged("a chunk is cut off")
-        if kind in (b"EXIF", b"XMP "):
-            part = b[at + 8 : at + 8 + size]
-            yield ("exif", part.removeprefix(b"Exif\0\0")) if kind == b"EXIF" else ("xmp", part)
+        if kind == b"EXIF" and "exif" in kinds:
+            yield "exif", b[at + 8 : at + 8 + size].removeprefix(b"Exif\0\0")
+        elif kind == b"XMP " and "xmp" in kinds:
+            yield "xmp", b[at + 8 : at + 8 + size]
         at += 8 + size + (size & 1)
 
 
 def boxes(b: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
     """(type, start, end of the body) of the boxes of ISO media; a box smaller than its head ends the walk."""
     while at + 8 <= end:
-        size, kind = struct.unpack_from(">I4s", b, at)
+        size, kind = struct.unpack(">I4s", b[at : at + 8])
         head = 8
         if size == 1 and at + 16 <= end:
             size, head = int.from_bytes(b[at + 8 : at + 16], "big"), 16
@@ -174,6 +178,7 @@ def item_places(b: bytes, a: int, z: int) -> dict[int, tuple[int, int, int, int,
     are left out."""
     if z - a < 8:
         return {}
+    begin, b, a, z = a, b[a:z], 0, z - a
     version, sizes, more = b[a], b[a + 4], b[a + 5]
     o, n, base, index = sizes >> 4, sizes & 15, more >> 4, more & 15 if version else 0
     wide = 4 if version == 2 else 2
@@ -194,14 +199,14 @@ def item_places(b: bytes, a: int, z: int) -> dict[int, tuple[int, int, int, int,
                 return out
             at += index
             if not method:
-                out[item] = (start + int.from_bytes(b[at : at + o], "big"), int.from_bytes(b[at + o : at + o + n], "big"), at, o, n, start, extents)
+                out[item] = (start + int.from_bytes(b[at : at + o], "big"), int.from_bytes(b[at + o : at + o + n], "big"), begin + at, o, n, start, extents)
             at += o + n
     return out
 
 
 def item_kinds(b: bytes, a: int, z: int) -> dict[int, tuple[bytes, bytes]]:
     """Type and, for mime items, content type of each item of an iinf box."""
-    out = {}
+    out, b, a, z = {}, b[a:z], 0, z - a
     start = a + (6 if b[a] == 0 else 8)
     for kind, s, e in boxes(b, start, z):
         if kind == b"infe" and e - s >= 12 and b[s] >= 2:
@@ -221,28 +226,46 @@ def primary_item(b: bytes, a: int, z: int) -> int | None:
     return int.from_bytes(b[start : start + (4 if b[place[0]] else 2)], "big")
 
 
+#: Boxes that hold a meta box at any depth, and how deep it is sought.
+HOLDERS = (b"moov", b"trak", b"udta", b"mdia", b"minf", b"moof", b"traf", b"meco")
+MOST_BOXES_DEEP = 32
+
+
+def meta_boxes(b: bytes, at: int, end: int, depth: int = 0) -> Iterator[tuple[int, int]]:
+    """Where the contents of meta boxes stand, after their version: those of a level before those inside its boxes."""
+    inside = []
+    for kind, a, z in boxes(b, at, end):
+        if kind == b"meta" and z - a > 4:
+            yield a + 4, z
+        elif kind in HOLDERS:
+            inside.append((a, z))
+    for a, z in inside if depth < MOST_BOXES_DEEP else ():
+        yield from meta_boxes(b, a, z, depth + 1)
+
+
 def heif_items(b: bytes) -> Iterator[tuple[str, tuple[int, int, int, int, int, int, int]]]:
-    """Kind and place of the Exif and XMP items: the primary item last, else the one with the lowest number. Items of no
-    bytes are left out; an item beyond the limit makes the file Damaged."""
-    paths = ((b"meta",), (b"moov", b"meta"), (b"moov", b"udta", b"meta"), (b"moov", b"trak", b"meta"))
-    meta = next(filter(None, (find_box(b, 0, len(b), *p) for p in paths)), None)
-    if not meta:
-        return
-    a, z = meta[0] + 4, meta[1]
-    info, places, first = find_box(b, a, z, b"iinf"), find_box(b, a, z, b"iloc"), primary_item(b, a, z)
-    if not info or not places or info[1] - info[0] < 6:
-        return
-    where = item_places(b, *places)
-    for item, (kind, content) in sorted(item_kinds(b, *info).items(), key=lambda x: (x[0] == first, -x[0])):
-        name = "exif" if kind == b"Exif" else "xmp" if kind == b"mime" and content == b"application/rdf+xml" else None
-        if name and item in where and where[item][1]:
-            if where[item][1] > MOST_ITEM:
-                raise Damaged(f"an item of over {MOST_ITEM} bytes")
-            yield name, where[item]
-
-
-def heif(b: bytes) -> Found:
+    """Kind and place of the Exif and XMP items of the first meta box that has any: the primary item last, else the one
+    with the lowest number. Items of no bytes are left out; an item beyond the limit makes the file Damaged."""
+    for a, z in meta_boxes(b, 0, len(b)):
+        info, places, first = find_box(b, a, z, b"iinf"), find_box(b, a, z, b"iloc"), primary_item(b, a, z)
+        if not info or not places or info[1] - info[0] < 6:
+            continue
+        where, found = item_places(b, *places), False
+        for item, (kind, content) in sorted(item_kinds(b, *info).items(), key=lambda x: (x[0] == first, -x[0])):
+            name = "exif" if kind == b"Exif" else "xmp" if kind == b"mime" and content == b"application/rdf+xml" else None
+            if name and item in where and where[item][1]:
+                if where[item][1] > MOST_ITEM:
+                    raise Damaged(f"an item of over {MOST_ITEM} bytes")
+                found = True
+                yield name, where[item]
+        if found:
+            return
+
+
+def heif(b: bytes, kinds: frozenset[str] = KINDS) -> Found:
     for kind, (at, size, *_) in heif_items(b):
+        if kind not in kinds:
+            continue
         if kind == "exif" and at + size <= len(b) and size > 4:
             yield kind, b[at + 4 + int.from_bytes(b[at : at + 4], "big") : at + size].removeprefix(b"Exif\0\0")
         elif kind == "xmp":
@@ -251,61 +274,69 @@ def heif(b: bytes) -> Found:
             yield kind, b[at : at + size]
 
 
-def cr3(b: bytes) -> Found:
+def cr3(b: bytes, kinds: frozenset[str] = KINDS) -> Found:
     moov = find_box(b, 0, len(b), b"moov")
     if not moov:
         raise Damaged("no moov box")
     inside = next(((s + 16, e) for kind, s, e in boxes(b, *moov) if kind == b"uuid" and b[s : s + 16] == CANON), moov)
     for kind, s, e in boxes(b, *inside):
-        if kind == b"CMT1":
-            yield "exif", b[s:e]
-        elif kind == b"CMT2":
-            yield "exif_ifd", b[s:e]
-        elif kind == b"XMP ":
-            yield "xmp", b[s:e]
+        name = {b"CMT1": "exif", b"CMT2": "exif_ifd", b"XMP ": "xmp"}.get(kind)
+        if name in kinds:
+            yield name, b[s:e]
+
+
+#: Tags of a file's first directory that hold the other components.
+IN_TIFF = {0x83BB: "iptc", 0x02BC: "xmp"}
 
 
-def tiff(b: bytes) -> Found:
+def tiff(b: bytes, kinds: frozenset[str] = KINDS) -> Found:
     """The whole file is EXIF; two tags of its first directory hold the rest."""
     b = patched(b)
     if len(b) < 8 or b[:2] not in (b"II", b"MM"):
         raise Damaged("no TIFF header")
-    yield "exif", b
-    own = {0x83BB: "iptc", 0x02BC: "xmp"}
-    for tag, _, _, value in directory(b, "little" if b[:2] == b"II" else "big", int.from_bytes(b[4:8], "little" if b[:2] == b"II" else "big"))[0]:
-        if tag in own and value:
+    if "exif" in kinds:
+        yield "exif", b
+    own = {tag: name for tag, name in IN_TIFF.items() if name in kinds}
+    order = "little" if b[:2] == b"II" else "big"
+    for tag, _, _, value in directory(b, order, int.from_bytes(b[4:8], order), own)[0] if own else ():
+        if value:
             yield own[tag], value
 
 
 def patched(b: bytes) -> bytes:
     """ORF and RW2 are TIFF with a magic number of their own."""
-    return b"II*\0" + b[4:] if b[:4] in (b"IIRO", b"IIU\0") else b
+    if b[:4] not in (b"IIRO", b"IIU\0"):
+        return b
+    return b"II*\0" + b[4:] if isinstance(b, bytes) else b.headed(b"II*\0")
 
 
 #: Bytes of a value, by TIFF type; values of other types are the four bytes of their field.
 WIDTHS = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 
 
-def directory(b: bytes, order: str, at: int) -> tuple[list[tuple[int, int, int, bytes]], int]:
+def directory(b: bytes, order: str, at: int, tags: Container[int] | None = None) -> tuple[list[tuple[int, int, int, bytes]], int]:
     """The entries (tag, type, count, value) of the directory at an offset, by tag, and the next one's offset.
 
-    A directory whose table is cut off has none; an entry whose value lies outside is left out.
+    A directory whose table is cut off has none; an entry whose value lies outside is left out. If tags are given, only
+    their entries are there, and other values are not read.
     """
     if not 0 < at <= len(b) - 2:
         return [], 0
     n = int.from_bytes(b[at : at + 2], order)
     if at + 2 + 12 * n > len(b):
         return [], 0
-    out = []
-    for e in range(at + 2, at + 2 + 12 * n, 12):
-        tag, kind, count = (int.from_bytes(b[e + s : e + t], order) for s, t in ((0, 2), (2, 4), (4, 8)))
+    table, out = b[at + 2 : at + 6 + 12 * n], []
+    for e in range(0, 12 * n, 12):
+        tag = int.from_bytes(table[e : e + 2], order)
+        if tags is not None and tag not in tags:
+            continue
+        kind, count = int.from_bytes(table[e + 2 : e + 4], order), int.from_bytes(table[e + 4 : e + 8], order)
         size = WIDTHS.get(kind, 0) * count
-        where = e + 8 if size <= 4 else int.from_bytes(b[e + 8 : e + 12], order)
-        if kind not in WIDTHS:
-            out.append((tag, kind, count, b[e + 8 : e + 12]))
-        elif where + size <= len(b):
+        if kind not in WIDTHS or size <= 4:
+            out.append((tag, kind, count, table[e + 8 : e + 8 + (4 if kind not in WIDTHS else size)]))
+        elif (where := int.from_bytes(table[e + 8 : e + 12], order)) + size <= len(b):
             out.append((tag, kind, count, b[where : where + size]))
-    return sorted(out, key=lambda x: x[0]), int.from_bytes(b[at + 2 + 12 * n : at + 6 + 12 * n], order)
+    return sorted(out, key=lambda x: x[0]), int.from_bytes(table[12 * n :], order)
 
 
 WALKERS = {"JPEG": jpeg, "PNG": png, "WebP": webp, "HEIF": heif, "AVIF": heif, "CR3": cr3} | dict.fromkeys(("TIFF", "CR2", "NEF", "ARW", "DNG", "ORF", "RW2"), tiff)

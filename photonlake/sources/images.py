@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.image import image_format
-from .containers import WALKERS, Damaged
+from .containers import KINDS, Damaged
+from .formats import BUILT_IN, Registry
 
 SEGMENTS = "path string, format string, raw_exif binary, raw_iptc binary, raw_xmp binary, error string"
 EXTENSIONS = ("jpg", "jpeg", "png", "webp", "tif", "tiff", "heic", "heif", "avif", "cr2", "cr3", "nef", "arw", "dng", "orf", "rw2")
@@ -24,8 +23,8 @@ def read_images(spark: SparkSession, path: str, extensions: tuple[str, ...] | No
     return files
 
 
-def with_format(images: DataFrame) -> DataFrame:
-    return images.withColumn("format", image_format(F.col("content")))
+def with_format(images: DataFrame, registry: Registry = BUILT_IN) -> DataFrame:
+    return images.withColumn("format", registry.format_column(F.col("content")))
 
 
 #: The most bytes of a batch of images that goes to a Python worker; a larger image is a batch of its own.
@@ -33,10 +32,10 @@ BATCH_BYTES = 32 << 20
 
 
 def bounded(images: DataFrame) -> DataFrame:
-    """images, whose session sends them to Python workers in batches of bounded size."""
-    conf, name = images.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(re.sub(r"\D", "", conf.get(name))) > BATCH_BYTES:
-        conf.set(name, BATCH_BYTES)
+    """images, whose session sends them to Python workers in batches of bounded size, unless it is set to less."""
+    spark, name = images.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
     return images
 
 
@@ -47,20 +46,20 @@ def kept_errors(rows: DataFrame, mode: str) -> DataFrame:
     return rows.where("error IS NULL") if mode == "DROPMALFORMED" else rows
 
 
-def opened(content: bytes | None, kind: str | None) -> tuple[dict[str, bytes], str | None]:
-    """An image's payloads by kind, and what is wrong with it."""
+def opened(content: bytes | None, kind: str | None, registry: Registry = BUILT_IN, kinds: frozenset[str] = KINDS) -> tuple[dict[str, bytes], str | None]:
+    """An image's payloads by kind, of the kinds asked for, and what is wrong with it."""
     if kind is None:
         return {}, f"UnsupportedFormat: {content[:12].hex()}" if content else "EmptyInput"
     found: dict[str, bytes] = {}
     try:
-        for name, payload in WALKERS[kind](content):
+        for name, payload in registry.walk(kind, content, kinds):
             found[name] = payload
     except Damaged as e:
         return found if kind == "HEIF" else {}, f"Corrupt: {e}"
     return found, None
 
 
-def segments(images: DataFrame, components: tuple[str, ...] = ("exif", "iptc", "xmp"), mode: str = "PERMISSIVE") -> DataFrame:
+def segments(images: DataFrame, components: tuple[str, ...] = ("exif", "iptc", "xmp"), mode: str = "PERMISSIVE", registry: Registry = BUILT_IN) -> DataFrame:
     """path, format, raw_exif, raw_iptc, raw_xmp, error of images with path and content; a narrow pass.
 
     Components that are not asked for are null and not copied out of the images. Null and empty contents, unknown
@@ -72,8 +71,8 @@ def segments(images: DataFrame, components: tuple[str, ...] = ("exif", "iptc", "
         for batch in batches:
             rows = []
             for path, content, kind in zip(*(batch.column(c) for c in ("path", "content", "format"))):
-                found, error = opened(content.as_py(), kind.as_py())
+                found, error = opened(content.as_py(), kind.as_py(), registry)
                 rows.append((path.as_py(), kind.as_py(), *(found.get(c) if c in components else None for c in ("exif", "iptc", "xmp")), error))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(fields)], schema=fields)
 
-    return kept_errors(bounded(with_format(images.select("path", "content"))).mapInArrow(walk, SEGMENTS), mode)
+    return kept_errors(bounded(with_format(images.select("path", "content"), registry)).mapInArrow(walk, SEGMENTS), mode)
