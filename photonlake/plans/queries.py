@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from functools import wraps
@@ -12,14 +11,16 @@ from pyspark.sql import functions as F
 
 from ..functions import image as I
 from ..functions.registry import NAMESPACES, formats
-from ..operators.edit import edit_metadata, write_images
+from ..operators.edit import edit_metadata
 from ..operators.exif import exif_entries, named
 from ..operators.facts import facts
 from ..operators.iptc import dataset_names, iptc_datasets, iptc_text
-from ..operators.metadata import NO_DIRECTORY, NO_PROPERTIES, UNKNOWN, as_json, flat_metadata, validated
+from ..operators.metadata import NO_DIRECTORY, NO_PROPERTIES, UNKNOWN, as_json, flat_metadata, read_metadata, validated
 from ..operators.xmp import xmp_properties, xmp_value
 from ..sources.images import read_images, segments, with_format
-from ..streaming.images import catalogue, stream_images
+from ..sources.shared import shared_folder
+from ..sources.sink import save_images, save_stream, saved
+from ..streaming.images import capture_counts, catalogue, late_images, save_counts, stream_images
 from . import builders as B
 
 
@@ -409,31 +410,99 @@ def json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _shared(spark: SparkSession, name: str) -> str:
     """A new folder below the one that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="photonlake-")
-    return f"{base.rstrip('/')}/photonlake/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/photonlake/{name}-{uuid.uuid4().hex}"
 
 
 def files_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Images written as files, listed by extension, and read."""
+    """Images of two kinds written as one committed job, and read from the files."""
     root = _shared(spark, "files")
-    both = part_images(spark, sf_dir).where("path LIKE '%7.jpg'").unionByName(customer_images(spark, sf_dir).where("path LIKE '%7.png'").select("path", "content"))
-    written = write_images(both, root)
-    written.write.parquet(f"{root}-written")
-    names = spark.read.parquet(f"{root}-written").select(F.col("path").alias("source"), F.substring_index("target", "/", -1).alias("name"))
-    files = read_images(spark, root, ("jpg",)).withColumn("name", F.substring_index("path", "/", -1))
-    rows = flat_metadata(files.select("path", "content")).withColumn("name", F.substring_index("path", "/", -1))
-    return rows.join(names, "name").select(F.col("source").alias("path"), "format", "make", "iso")
+    both = part_images(spark, sf_dir).unionByName(customer_images(spark, sf_dir).select("path", "content"))
+    save_images(both, root, "images")
+    names = saved(spark, root, "images").select(F.col("path").alias("source"), F.substring_index("target", "/", -1).alias("name"))
+    rows = read_metadata(spark, root, ("path", "format", "make", "model", "iso"), ("jpg", "png")).withColumn("name", F.substring_index("path", "/", -1))
+    return rows.join(names, "name").select(F.col("source").alias("path"), "format", "make", "model", "iso")
+
+
+#: Bytes of image data in the files of range_records.
+DATA_BYTES = 256 << 10
+
+
+def range_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with far more image data than metadata, before, between or after it, of which few bytes are read."""
+    k, data = F.col("s_suppkey") % 5, F.unhex(F.repeat(F.lit("00"), DATA_BYTES))
+    exif = B.exif([B.ascii_entry(0x010F, F.col("s_name")), B.ascii_entry(0x0110, F.concat(F.lit("n"), "s_nationkey"))], [B.short_entry(0x8827, F.col("s_nationkey"))])
+    packet = B.xmp(B.listed("dc:description", "Alt", F.col("s_name")))
+    webp = F.concat(B.text(F.lit("RIFF")), B.raw("00000000"), B.text(F.lit("WEBPVP8 ")), B.number(DATA_BYTES, 4, True), data, B.text(F.lit("EXIF")), B.number(F.octet_length("exif"), 4, True), F.col("exif"))
+    png = F.concat(B.raw("89504E470D0A1A0A"), B.chunk("IHDR", B.raw("00000001000000010802000000")), B.number(DATA_BYTES, 4), B.text(F.lit("IDAT")), data, B.raw("00000000"), B.chunk("eXIf", F.col("exif")), B.chunk("IEND", B.raw("")))
+    content = (
+        F.when(k == 0, F.concat(B.jpeg(F.col("exif"), F.col("packet")), data)).when(k == 1, F.concat(F.col("exif"), data)).when(k == 2, png).when(k == 3, webp)
+        .otherwise(F.concat(B.heif([(1, "Exif", F.col("exif")), (2, "mime", F.col("packet"))], 1), data))
+    )
+    images = table(spark, sf_dir, "supplier").select("s_suppkey", exif.alias("exif"), packet.alias("packet"), k.alias("k")).select(path("s", "s_suppkey", "img"), content.alias("content"))
+    root = _shared(spark, "ranges")
+    save_images(images, root, "images")
+    sources = saved(spark, root, "images").select(F.col("path").alias("source"), F.substring_index("target", "/", -1).alias("name"))
+    rows = read_metadata(spark, root, ("path", "format", "make", "model", "iso", "caption", "length", "bytes_read")).withColumn("name", F.substring_index("path", "/", -1))
+    few = (F.col("bytes_read") * 20 < F.col("length")).alias("few_read")
+    return rows.join(sources, "name").select(F.col("source").alias("path"), "format", "make", "model", "iso", "caption", few)
+
+
+def failed_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets that cannot be read beside directories that can, and files that cannot be read at all."""
+    k, deep = F.col("s_suppkey") % 4, F.repeat(F.lit("<a>"), 120)
+    exif = B.exif([B.ascii_entry(0x010F, F.col("s_name"))])
+    content = (
+        F.when(k == 0, B.jpeg(exif, B.xmp(deep))).when(k == 1, B.jpeg(exif, B.xmp(B.element("tiff:Model", F.col("s_name")))))
+        .when(k == 2, B.raw("474946383961AABBCCDDEEFF")).otherwise(B.raw("89504E470D0A1A0A000000FF49484452"))
+    )
+    rows = flat_metadata(table(spark, sf_dir, "supplier").select(path("s", "s_suppkey"), content.alias("content")), columns=("path", "make", "model", "failures"))
+    one = F.get("failures", F.lit(0))
+    return rows.select("path", "make", "model", one["component"].alias("component"), one["kind"].alias("kind"), F.hex(one["magic"]).alias("magic"))
 
 
 def streamed_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that a stream takes in micro-batches, as the table that it leaves."""
     root = _shared(spark, "stream")
     images = table(spark, sf_dir, "supplier").select(path("s", "s_suppkey"), B.jpeg(B.exif([B.ascii_entry(0x010F, F.col("s_name"))], [B.short_entry(0x8827, F.col("s_nationkey"))])).alias("content"))
-    write_images(images, f"{root}/files").write.parquet(f"{root}/written")
+    save_images(images, f"{root}/files", "images")
     catalogue(stream_images(spark, f"{root}/files", 40), f"{root}/table", f"{root}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{root}/table").select("format", "make", "iso")
 
 
+def stream_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that a stream edits and writes anew as they arrive, read from what it wrote."""
+    root = _shared(spark, "edits")
+    images = table(spark, sf_dir, "supplier").select(path("s", "s_suppkey"), B.jpeg(B.exif([B.ascii_entry(0x010F, F.col("s_name"))], [B.short_entry(0x8827, F.col("s_nationkey"))])).alias("content"))
+    save_images(images, f"{root}/in", "images")
+    after = edit_metadata(stream_images(spark, f"{root}/in", 40), {"camera_model": F.lit("streamed"), "orientation": F.lit(6)})
+    save_stream(after, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return read_metadata(spark, f"{root}/out", ("format", "make", "model", "iso", "orientation"))
+
+
+#: The windows of captured_windows, how late an image may come, in days, and how many times images arrive.
+WINDOW_DAYS, LATE_DAYS, WAVES = 30, 400, 4
+
+
+def captured_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of capture time over images that arrive out of order, some twice and some too late, and how many of these.
+
+    Orders arrive by year in waves; every tenth comes a wave later than the others of its time, and every seventh again.
+    """
+    root, day = _shared(spark, "windows"), F.date_format("o_orderdate", "yyyy:MM:dd HH:mm:ss")
+    o = table(spark, sf_dir, "orders").withColumn("wave", F.when(F.year("o_orderdate") < 1994, 0).when(F.year("o_orderdate") < 1996, 1).otherwise(2) + (F.col("o_orderkey") % 10 == 0).cast("int"))
+    images = o.select("wave", "o_orderkey", path("o", "o_orderkey", "png"), B.png(B.exif([B.ascii_entry(0x010F, F.col("o_orderpriority"))], [B.ascii_entry(0x9003, day)])).alias("content"))
+    late = 0
+    for wave in range(WAVES):
+        arriving = images.where((F.col("wave") == wave) | (F.col("wave") == wave - 1) & (F.col("o_orderkey") % 7 == 0))
+        arriving.select("path", "content").write.mode("append").parquet(f"{root}/images")
+        stream = spark.readStream.schema("path string, content binary").parquet(f"{root}/images")
+        query = save_counts(capture_counts(stream, f"{WINDOW_DAYS} days", f"{LATE_DAYS} days"), f"{root}/table", f"{root}/checkpoint")
+        query.awaitTermination()
+        late += late_images(query)
+    closed = spark.read.parquet(f"{root}/table").select(F.date_format("start", "yyyy-MM-dd").alias("start"), "format", "images")
+    return closed.unionByName(spark.range(1).select(F.lit("late").alias("start"), F.lit("PNG").alias("format"), F.lit(late).cast("long").alias("images")))
+
+
 def well_formed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images that can be read, the others dropped."""
     cut = F.when(F.col("p_partkey") % 5 == 0, F.substring(F.col("content"), 1, 20)).otherwise(F.col("content"))
@@ -449,6 +518,7 @@ QUERIES = {
     "makernote_directories": makernote_directories, "heif_records": heif_records, "heif_edited": heif_edited, "cr3_records": cr3_records, "cr3_edited": cr3_edited, "raw_records": raw_records,
     "raw_edited": raw_edited, "packed_records": packed_records, "webp_edited": webp_edited, "untidy_packets": untidy_packets, "xmp_structures": xmp_structures, "more_keywords": more_keywords,
     "iptc_keywords_added": iptc_keywords_added, "fitness": fitness, "json_records": json_records, "files_read_back": files_read_back, "streamed_catalogue": streamed_catalogue, "well_formed": well_formed,
+    "range_records": range_records, "failed_components": failed_components, "stream_edited": stream_edited, "captured_windows": captured_windows,
 }
 _PART_TAGS = (
     ("ifd0", "Make", "length(p_brand) + 1"), ("ifd0", "Model", "length(p_name) + 1"), ("ifd0", "Orientation", "1"), ("ifd0", "ExifIFDPointer", "1"), ("exif", "LensModel", "length(p_type) + 1"),
@@ -499,7 +569,24 @@ ORACLE_SQL = {
     "iptc_keywords_added": "SELECT 's' || s_suppkey || '.jpg' AS path, s_name AS caption, s_name || ';nation ' || s_nationkey || ';日本' AS keywords FROM supplier",
     "fitness": f"SELECT 's' || s_suppkey || '.jpg' AS path, CASE WHEN s_suppkey % 4 > 0 THEN 'JPEG' END AS format, CASE s_suppkey % 4 WHEN 0 THEN '{UNKNOWN}' WHEN 1 THEN '{NO_DIRECTORY}' WHEN 2 THEN '{NO_PROPERTIES}' END AS problem FROM supplier",
     "json_records": f"SELECT {_P}, 'p' || p_partkey || '.jpg' AS file, p_brand AS make, p_size::BIGINT AS iso, round(p_retailprice * 100)::DOUBLE / 100 AS f_number, NULL::VARCHAR AS caption, 12 - CASE WHEN p_partkey > 0 AND p_size > 0 THEN 0 ELSE 2 END AS fields FROM part",
-    "files_read_back": f"SELECT {_P}, 'JPEG' AS format, p_brand AS make, p_size::BIGINT AS iso FROM part WHERE p_partkey % 10 = 7",
+    "files_read_back": f"SELECT {_P}, 'JPEG' AS format, p_brand AS make, p_name AS model, p_size::BIGINT AS iso FROM part UNION ALL SELECT 'c' || c_custkey || '.png', 'PNG', NULL, c_name, NULL FROM customer",
+    "range_records": "SELECT 's' || s_suppkey || '.img' AS path, CASE s_suppkey % 5 WHEN 0 THEN 'JPEG' WHEN 1 THEN 'TIFF' WHEN 2 THEN 'PNG' WHEN 3 THEN 'WebP' ELSE 'HEIF' END AS format, s_name AS make, 'n' || s_nationkey AS model, s_nationkey::BIGINT AS iso, CASE WHEN s_suppkey % 5 IN (0, 4) THEN s_name END AS caption, true AS few_read FROM supplier",
+    "failed_components": "SELECT 's' || s_suppkey || '.jpg' AS path, CASE WHEN s_suppkey % 4 < 2 THEN s_name END AS make, CASE WHEN s_suppkey % 4 = 1 THEN s_name END AS model, CASE s_suppkey % 4 WHEN 0 THEN 'xmp' WHEN 1 THEN NULL ELSE 'container' END AS component, CASE s_suppkey % 4 WHEN 1 THEN NULL WHEN 2 THEN 'UnsupportedFormat' ELSE 'Corrupt' END AS kind, CASE WHEN s_suppkey % 4 = 2 THEN '474946383961AABBCCDDEEFF' END AS magic FROM supplier",
+    "stream_edited": "SELECT 'JPEG' AS format, s_name AS make, 'streamed' AS model, s_nationkey::BIGINT AS iso, 6::BIGINT AS orientation FROM supplier",
+    "captured_windows": f"""
+WITH o AS (
+  SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, CASE WHEN year(o_orderdate) < 1994 THEN 0 WHEN year(o_orderdate) < 1996 THEN 1 ELSE 2 END + CASE WHEN o_orderkey % 10 = 0 THEN 1 ELSE 0 END AS wave FROM orders
+), a AS (
+  SELECT o_orderkey, d, wave, true AS first FROM o UNION ALL SELECT o_orderkey, d, wave + 1, false FROM o WHERE o_orderkey % 7 = 0 AND wave + 1 < {WAVES}
+), m AS (
+  SELECT w.wave, max(a.d) - {LATE_DAYS} AS mark FROM range({WAVES}) w(wave) JOIN a ON a.wave <= w.wave GROUP BY w.wave
+), k AS (
+  SELECT a.*, coalesce(a.d <= m.mark, false) AS late FROM a LEFT JOIN m ON m.wave = a.wave - 1
+), c AS (
+  SELECT DATE '1970-01-01' + CAST(date_diff('day', DATE '1970-01-01', d) // {WINDOW_DAYS} * {WINDOW_DAYS} AS INTEGER) AS s, count(DISTINCT o_orderkey) AS images FROM k WHERE NOT late GROUP BY 1
+)
+SELECT strftime(s, '%Y-%m-%d') AS start, 'PNG' AS format, images FROM c WHERE s + {WINDOW_DAYS} <= (SELECT max(mark) FROM m)
+UNION ALL SELECT 'late', 'PNG', count(*) FROM k WHERE late""",
     "streamed_catalogue": "SELECT 'JPEG' AS format, s_name AS make, s_nationkey::BIGINT AS iso FROM supplier",
     "well_formed": "SELECT 'p' || p_partkey || '.png' AS path, p_brand AS make, NULL::VARCHAR AS error FROM part WHERE p_partkey % 5 > 0",
 }

@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.image import ascii_value, exif_time
-from ..operators.facts import facts
 from ..operators.metadata import flat_metadata
 
 IMAGES = "path string, modificationTime timestamp, length long, content binary"
@@ -28,7 +26,22 @@ def catalogue(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
 
 
 def capture_counts(stream: DataFrame, window: str = "1 day", late: str = "7 days") -> DataFrame:
-    """Images by window of capture time and format; images that come later than the watermark allows are left out."""
-    taken = facts(stream, ("exif",)).where("kind = 'exif' AND space = 'exif' AND item = 36867")
-    at = taken.select("format", exif_time(ascii_value(F.col("value"), F.col("type"))).alias("captured_at"))
-    return at.withWatermark("captured_at", late).groupBy(F.window("captured_at", window).alias("w"), "format").count().select(F.col("w.start").alias("start"), "format", F.col("count").alias("images"))
+    """Images by window of capture time and format, once no image of the window can come any more.
+
+    The watermark is the latest capture time less the allowance. An image that was captured before it is late and left
+    out; one that arrives again under its path counts once. Images without a capture time are left out. A window comes
+    out when the watermark has passed its end; state is kept for windows and paths that the watermark hasn't passed.
+    """
+    taken = flat_metadata(stream, columns=("path", "format", "captured_at")).where("captured_at IS NOT NULL")
+    once = taken.withWatermark("captured_at", late).dropDuplicatesWithinWatermark(["path"])
+    return once.groupBy(F.window("captured_at", window).alias("w"), "format").count().select(F.col("w.start").alias("start"), "format", F.col("count").alias("images"))
+
+
+def save_counts(counts: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """Appends the windows that close to a table, until no more images have arrived."""
+    return counts.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(table)
+
+
+def late_images(query: StreamingQuery) -> int:
+    """How many images the query's recent micro-batches left out as late: rows that came to the first state too old."""
+    return sum(o.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for o in map(dict, p["stateOperators"]) if o["operatorName"] == "dedupeWithinWatermark")
