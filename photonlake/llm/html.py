@@ -1,20 +1,24 @@
-"""Main text of pages: markup and a suffix array of each host decide together.
-
-Every pass reads pages' markup into blocks. What stands in menus, footers, adverts and the like is dropped, and the
-blocks of an article (or of a main element) are the candidates; pages that mark no article keep all blocks that are
-left. The token streams of all pages, host by host, go through a suffix array, dealt out by the first RUN tokens of its
-suffixes: suffixes that begin with the same RUN tokens are neighbours in the array, so such a bucket is a stretch of it
-with common prefixes of RUN tokens or more. A bucket that has suffixes of two pages of distinct content marks a repeated
-run on each of them. Blocks that repeated runs cover are boilerplate; the others are kept.
-
-Repetition alone would drop articles that pages share, so a run counts only where pages with at least as much text of
-their own have it, and in a marked article only on such pages.
+"""Main text of pages: markup says what an article is, and a suffix array of each host finds what its pages repeat.
+
+One pass reads pages' markup into blocks: those of the article (or main element), or of the page where it marks none,
+and those outside it, in menus, footers, adverts and the like. The token streams of all pages, host by host, go through
+a suffix array, dealt out by the first RUN tokens of its suffixes: suffixes that begin with the same RUN tokens are
+neighbours in the array, so such a bucket is a stretch of it with common prefixes of RUN tokens or more. A bucket that
+has suffixes of two pages of distinct content marks a repeated run on each of them.
+
+An article that a page marks is its text: authors repeat titles, quotations and phrases, and sites put sentences of
+articles into menus and footers, so repetition tells nothing against a block of it. A page that marks no article has its
+body, with whatever no name gives away. There the array decides: a run is boilerplate where it stands outside articles
+on most of the pages that have it, or on pages with at least as much text of their own, and blocks that such runs cover
+go, but for the h1. So only suffixes that begin with a run of some outside or body text are sorted: no other can be
+boilerplate.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,9 +35,12 @@ from .jaccard import BITMAP_BITS, _mixed
 #: Tokens of the shortest run that counts as repeated, and the share of a block that such runs must cover.
 RUN = 8
 COVERED = 0.8
-#: Pages of distinct content that must speak for a run; in a marked article, which is evidence against it, one more.
+#: Pages of distinct content that must speak for a run.
 VOTES = 2
-MARKED_VOTES = 3
+#: Where a page's text stands.
+OUTSIDE, ARTICLE, BODY = 0, 1, 2
+#: Copies of a page's places, so that very many copies of a page are no single key of a join.
+SALTS = 8
 
 #: HTML elements by what they mean for the text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,19 +50,67 @@ BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
-#: Whole class names and ids that mark what is not the article. In an article only classes that can't mean
-#: anything else do; the others are left to repeated runs there.
-NOT_ARTICLE = frozenset("ad ads advert adverts advertisement advertising adsense breadcrumb breadcrumbs commentlist comments cookie-notice cookie-banner disqus navbar newsletter pagination sidebar sidebars".split())
-NAMES = NOT_ARTICLE | frozenset(
-    "banner comment consent cookie cookies footer gdpr login masthead menu modal nav navigation notice notices popup promo promoted promotion related replies respond share sharing signup social sponsor sponsored"
-    " subscribe teaser toolbar widget widgets".split()
+#: Whole class names and ids that mark what is not the article. In an article classes alone do, and not
+#: those of headings.
+NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment commentlist comments consent cookie cookie-banner cookie-notice cookies disqus footer gdpr login masthead menu modal nav"
+    " navbar navigation newsletter notice notices pagination popup promo promoted promotion related replies respond share sharing sidebar sidebars signup social sponsor sponsored subscribe teaser toolbar widget widgets".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Classes of article elements that are no article of the page.
 LESSER = frozenset("comment comments comment-body teaser related ad promo".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.S)
+_TAG = re.compile(r"<!--|<[!?]|<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r""">|=\s*["']""")
+_AFTER_VALUE = frozenset(" \t\n\r\f/>")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _SPACE = re.compile(r"\s+")
+_RIGHTS = re.compile(r"(?:©|\(c\)\s|copyright\b)", re.I)
+
+
+class Scanner:
+    """The tags of a page in order, in time that grows with its length, whatever is left open in it.
+
+    A quoted value is one that follows an equals sign and whose closing quote ends it as markup does, before white space,
+    a slash or the tag's end; any other quote is a character like others. So a quote that is never closed takes no more
+    than its own tag along.
+    """
+
+    def __init__(self, source: str):
+        self.source = source
+        self.quotes: dict[str, int] = {}
+
+    def _closing(self, quote: str, at: int) -> int:
+        """Where the next such quote stands; the last answer holds until it is passed."""
+        known = self.quotes.get(quote, -1)
+        if known < at:
+            known = self.source.find(quote, at)
+            self.quotes[quote] = known = len(self.source) if known < 0 else known
+        return known
+
+    def _end(self, at: int) -> int:
+        """Where the > of a tag stands, or the end of the page."""
+        n = len(self.source)
+        while m := _STOP.search(self.source, at):
+            if m[0] == ">":
+                return m.start()
+            close = self._closing(m[0][-1], m.end())
+            well = close < n and (close + 1 == n or self.source[close + 1] in _AFTER_VALUE)
+            at = close + 1 if well else m.end()
+        return n
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """Start and end of the next tag or comment, whether it is an end tag, its name (none for a comment), attributes."""
+        m = _TAG.search(self.source, at)
+        if not m:
+            return None
+        n = len(self.source)
+        if not m[2]:
+            mark = "-->" if m[0] == "<!--" else ">"
+            end = self.source.find(mark, m.end() if mark == ">" else m.start() + 2)
+            return m.start(), n if end < 0 else end + len(mark), False, "", ""
+        end = self._end(m.end())
+        return m.start(), min(end + 1, n), bool(m[1]), m[2].lower(), self.source[m.end() : end]
 
 
 def _drops(name: str, attributes: str, in_article: bool) -> bool:
@@ -77,53 +132,84 @@ def _drops(name: str, attributes: str, in_article: bool) -> bool:
 
 def _named(name: str, attributes: str, in_article: bool) -> bool:
     """Whether an element's class or id says that it is no part of the article."""
-    if not attributes or attributes == "/" or name in ("html", "body", "main"):
+    if not attributes or attributes == "/" or name in ("html", "body", "main") or in_article and name in HEADINGS:
         return False
     for m in _ATTRIBUTE.finditer(attributes):
         key = m[1].lower()
         if key == "class" or key == "id" and not in_article:
-            names = LESSER if name == "article" else NOT_ARTICLE if in_article else NAMES
+            names = LESSER if name == "article" else NAMES
             if not names.isdisjoint((m[2] or m[3] or m[4] or "").lower().split()):
                 return True
     return False
 
 
+class Page:
+    """A page's blocks in order, which of them are an h1's, whether they are a marked article's, and what is outside."""
+
+    def __init__(self, texts: list[str], headings: list[bool], marked: bool, outside: list[str]):
+        self.texts, self.headings, self.marked, self.outside = texts, headings, marked, outside
+
+
 def blocks(source: str | None) -> tuple[list[str], bool]:
-    """A page's blocks of text in order, and whether they are those of a marked article.
+    """A page's blocks of text in order, and whether they are those of a marked article."""
+    page = scanned(source)
+    return page.texts, page.marked
+
+
+def scanned(source: str | None) -> Page:
+    """A page by its markup.
 
     Character references are decoded; white space in a block, line breaks included, becomes one space. Elements that
     are left open end with what holds them; markup that is cut off at the end of the page is markup. An article in an
-    element that is dropped for its name alone is the page's where there is no other.
+    element that is dropped for its name alone is the page's where there is no other. On a page that marks no article,
+    short blocks that are links throughout and short lines about rights are outside.
     """
     source = source or ""
+    scanner = Scanner(source)
     held_open: Counter[str] = Counter()
     stack: list[tuple[str, bool, bool, bool]] = []  # name, drops, region, named
     dropping = region = named = hidden = 0  # hidden: regions in elements that are dropped for their names
     text: list[str] = []
-    out: list[tuple[str, int]] = []  # with 2 in an article, 1 in one within a named element, 0 elsewhere
+    aside: list[str] = []
+    linked = heading = False  # whether links hold all text of the block, and whether an h1 is open in it
+    out: list[tuple[str, int, bool, bool]] = []  # with 2 in an article, 1 in one within a named element, 0 elsewhere, 3 if dropped
+
+    def add(piece: str) -> None:
+        nonlocal linked, heading
+        if dropping or named:
+            aside.append(piece)
+            return
+        if not piece.isspace():
+            linked = (linked or not any(not t.isspace() for t in text)) and held_open["a"] > 0
+            heading = heading or held_open["h1"] > 0
+        text.append(piece)
 
     def flush() -> None:
-        if text:
-            joined = _SPACE.sub(" ", html.unescape("".join(text))).strip()
+        nonlocal linked, heading
+        for own, level in ((text, 0 if not region else 1 if hidden else 2), (aside, 3)):
+            joined = _SPACE.sub(" ", html.unescape("".join(own))).strip() if own else ""
             if joined:
-                out.append((joined, 0 if not region else 1 if hidden else 2))
-            text.clear()
+                out.append((joined, level, heading, linked))
+            own.clear()
+        linked = heading = False
 
     at = 0
-    while m := _TAG.search(source, at):
-        if not dropping and not named and m.start() > at:
-            text.append(source[at : m.start()])
-        at = m.end()
-        if not m[2]:
+    while tag := scanner.next(at):
+        start, end, closes, name, attributes = tag
+        if start > at:
+            add(source[at:start])
+        at = end
+        if not name:
             continue
-        name = m[2].lower()
-        if m[1]:
+        if closes:
             if name in BLOCKS:
                 flush()
             if held_open[name]:
                 while True:
                     last, drops, opens, held = stack.pop()
                     held_open[last] -= 1
+                    if drops or held:
+                        flush()
                     dropping -= drops
                     region -= opens
                     if opens and not region:
@@ -135,21 +221,21 @@ def blocks(source: str | None) -> tuple[list[str], bool]:
         if name in VOID:
             if name == "hr":
                 flush()
-            elif name == "br" and not dropping and not named:
-                text.append(" ")
+            elif name == "br":
+                (aside if dropping or named else text).append(" ")
             continue
         if name in BLOCKS:
             flush()
-        drops = _drops(name, m[3], region > 0)
-        held = not drops and _named(name, m[3], region > 0)
-        opens = not dropping and not drops and not held and not (region and named) and (name in ("article", "main") or "role" in m[3] and bool(re.search(r"""role\s*=\s*["']?(?:main|article)\b""", m[3], re.I)))
+        drops = _drops(name, attributes, region > 0)
+        held = not drops and _named(name, attributes, region > 0)
+        opens = not dropping and not drops and not held and not (region and named) and (name in ("article", "main") or "role" in attributes and bool(re.search(r"""role\s*=\s*["']?(?:main|article)\b""", attributes, re.I)))
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
-            at = end.end() if end else len(source)
-            if not drops and not dropping and not held and not named and name == "xmp":
-                text.append(source[m.end() : end.start() if end else len(source)])
+            close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
+            if name == "xmp" and not drops and not held:
+                add(source[at : close.start() if close else len(source)])
+            at = close.end() if close else len(source)
             continue
-        if not m[3].endswith("/") or name in BLOCKS:
+        if not attributes.endswith("/") or name in BLOCKS:
             stack.append((name, drops, opens, held))
             held_open[name] += 1
             dropping += drops
@@ -157,30 +243,35 @@ def blocks(source: str | None) -> tuple[list[str], bool]:
             if opens and not region:
                 named, hidden = 0, named
             region += opens
-    if not dropping and not named:
-        text.append(source[at:])
+    add(source[at:])
     flush()
-    best = max((k for _, k in out), default=0)
-    return [t for t, k in out if k == best], best > 0
+    best = max((k for _, k, *_ in out if k < 3), default=0)
+    plain = lambda t, link: not best and t.count(" ") < RUN - 1 and (link or bool(_RIGHTS.match(t)))
+    own = [(t, h) for t, k, h, link in out if k == best and not plain(t, link)]
+    return Page([t for t, _ in own], [h for _, h in own], best > 0, [t for t, k, _, link in out if k != best or plain(t, link)])
 
 
 def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
 
 
-def parsed(pages: DataFrame) -> DataFrame:
-    """The columns that every pass over the pages reads."""
-    return pages.select("page_id", "url", host(F.col("url")).alias("host"), "html")
+_SPOOL = "page_id long, url string, host string, key long, marked boolean, blocks array<string>, headings array<boolean>, outside array<string>"
 
 
-def with_blocks(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """The pages of a batch with the key of their content, whether they mark an article, and their blocks."""
-    own = [blocks(x.as_py()) for x in batch.column("html")]
-    keys = [content_key(h.as_py(), b) for h, (b, _) in zip(batch.column("host"), own)]
-    return pa.RecordBatch.from_arrays(
-        [*(batch.column(c) for c in batch.schema.names if c != "html"), pa.array(keys, pa.int64()), pa.array([m for _, m in own], pa.bool_()), pa.array([b for b, _ in own], pa.list_(pa.string()))],
-        names=[*(c for c in batch.schema.names if c != "html"), "key", "marked", "blocks"],
-    )
+def parsed(pages: DataFrame, work: Workspace) -> DataFrame:
+    """Pages by their markup, written once for all passes; key is what copies of a page have in common."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [scanned(x.as_py()) for x in batch.column("html")]
+            keys = [content_key(h.as_py(), [*p.texts, "", *p.outside]) for h, p in zip(batch.column("host"), own)]
+            lists = [pa.array([p.texts for p in own], pa.list_(pa.string())), pa.array([p.headings for p in own], pa.list_(pa.bool_())), pa.array([p.outside for p in own], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("page_id", "url", "host")), pa.array(keys, pa.int64()), pa.array([p.marked for p in own], pa.bool_()), *lists],
+                names=["page_id", "url", "host", "key", "marked", "blocks", "headings", "outside"],
+            )
+
+    return work.stage(mapped(pages.select("page_id", "url", host(F.col("url")).alias("host"), "html"), read, _SPOOL), "pages", compression="zstd")
 
 
 def content_key(own_host: str, own: list[str]) -> int:
@@ -218,55 +309,75 @@ def heads_of(hosts: list[str], texts: pa.Array, run: int = RUN) -> tuple[np.ndar
     return _mixed(x[whole] + own[text]), text, place, n
 
 
-Group = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+Stream = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
-def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[Group]:
-    """Heads, the number of the page of each and its place; and key, marked and number of tokens of the pages. Of copies in a batch one is there."""
-    for batch in map(with_blocks, batches):
-        keys = batch.column("key").to_numpy()
-        filled = np.flatnonzero(pc.list_value_length(batch.column("blocks")).to_numpy(zero_copy_only=False) > 0)
-        rest = batch.take(pa.array(np.sort(filled[np.unique(keys[filled], return_index=True)[1]])))
-        if rest.num_rows:
-            head, page, place, n = heads_of(rest.column("host").to_pylist(), pc.binary_join(rest.column("blocks"), " "))
-            yield head, page, place, rest.column("key").to_numpy(), rest.column("marked").to_numpy(zero_copy_only=False), n.astype(np.int32)
+def _streams(batches: Iterator[pa.RecordBatch], kinds: tuple[int, ...]) -> Iterator[Stream]:
+    """Heads, the number of the stream of each and its place; and key, kind and number of tokens of the streams, which are
+    the outside, article or body text of the pages. Of copies in a batch one is there."""
+    for batch in batches:
+        batch = batch.take(pa.array(np.sort(np.unique(batch.column("key").to_numpy(), return_index=True)[1])))
+        key, hosts = batch.column("key").to_numpy(), np.array(batch.column("host").to_pylist(), object)
+        body = np.where(batch.column("marked").to_numpy(zero_copy_only=False), ARTICLE, BODY)
+        each = [(body, batch.column("blocks")), (np.full(len(key), OUTSIDE), batch.column("outside"))]
+        kind, texts = np.concatenate([k for k, _ in each]), pa.concat_arrays([pc.binary_join(t, " ") for _, t in each])
+        wanted = np.flatnonzero(np.isin(kind, kinds) & (pc.binary_length(texts).to_numpy() > 0))
+        if len(wanted):
+            page = wanted % len(key)
+            head, stream, place, n = heads_of(hosts[page].tolist(), texts.take(pa.array(wanted)))
+            yield head, stream, place, key[page], kind[wanted].astype(np.int32), n.astype(np.int32)
 
 
 #: The leading bytes of a head that are sent to find repeated ones; what they let pass besides is told apart by whole heads.
 SENT = 6
+#: Heads that a task gathers before it sends them, and those that a bucket may have.
+GATHERED, IN_BUCKET = 1 << 20, 1 << 22
 
 
-def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The heads of a batch of pages by their first byte, sorted, as differences in planes of bytes.
+def _bucketed(bits: int):
+    """The heads of outside and body text by their first bits, sorted, as differences in planes of bytes.
 
-    Of the heads of a page each is there once, and two of each in a batch suffice.
+    Of the heads of a page each is there once, and two of each among those that are gathered suffice.
     """
-    for head, page, *_ in _streams(batches):
-        order = np.lexsort((page, head))
-        h, page = head[order], page[order]
-        fresh = np.ones(len(h), bool)
-        fresh[1:] = (h[1:] != h[:-1]) | (page[1:] != page[:-1])
-        h = h[fresh]
-        h = h[np.concatenate([np.ones(min(2, len(h)), bool), h[2:] != h[:-2]])]
-        ends = np.searchsorted(h, np.arange(1, 256, dtype=np.uint64) << np.uint64(56))
-        short = h >> np.uint64(8 * (8 - SENT))
-        parts = []
-        for k, x in enumerate(np.split(short, ends)):
-            if len(x):
-                steps = np.diff(x, prepend=np.uint64(k << 8 * (SENT - 1)))
-                parts.append((k, steps.byteswap().view(np.uint8).reshape(-1, 8)[:, 9 - SENT :].T.tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=["bucket", "heads"])
+
+    def sent(heads: list[np.ndarray]) -> pa.RecordBatch:
+        h = np.sort(np.concatenate(heads)) if heads else np.zeros(0, np.uint64)
+        h = h[np.concatenate([np.ones(min(2, len(h)), bool), h[2:] != h[:-2]])] >> np.uint64(8 * (8 - SENT))
+        steps, parts = np.diff(h, prepend=np.uint64(0)), []
+        for k, at in zip(*np.unique(h >> np.uint64(8 * SENT - bits), return_index=True)):
+            parts.append((int(k), int(at)))
+        ends = [at for _, at in parts[1:]] + [len(h)]
+        data = []
+        for (k, at), end in zip(parts, ends):
+            own = steps[at:end].copy()
+            own[0] = h[at]
+            data.append(own.byteswap().view(np.uint8).reshape(-1, 8)[:, 8 - SENT :].T.tobytes())
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array(data, pa.binary())], names=["bucket", "heads"])
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for head, stream, *_ in _streams(batches, (OUTSIDE, BODY)):
+            order = np.lexsort((stream, head))
+            h, s = head[order], stream[order]
+            held.append(h[np.concatenate([np.ones(min(1, len(h)), bool), (h[1:] != h[:-1]) | (s[1:] != s[:-1])])])
+            if sum(map(len, held)) >= GATHERED:
+                yield sent(held)
+                held = []
+        if held:
+            yield sent(held)
+
+    return go
 
 
 def _repeated(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The leading bytes of the heads of one bucket that are there more than once, as heads that end in zeros."""
-    parts, bucket = [], 0
+    parts = []
     for batch in rows:
-        for k, x in zip(batch.column("bucket"), batch.column("heads")):
-            bucket, planes = k.as_py(), np.frombuffer(x.as_py(), np.uint8).reshape(SENT - 1, -1)
+        for x in batch.column("heads"):
+            planes = np.frombuffer(x.as_py(), np.uint8).reshape(SENT, -1)
             steps = np.zeros((planes.shape[1], 8), np.uint8)
-            steps[:, 9 - SENT :] = planes.T
-            parts.append(np.cumsum(steps.view(">u8").reshape(-1).astype(np.uint64)) + np.uint64(bucket << 8 * (SENT - 1)))
+            steps[:, 8 - SENT :] = planes.T
+            parts.append(np.cumsum(steps.view(">u8").reshape(-1).astype(np.uint64)))
     h = np.sort(np.concatenate(parts)) << np.uint64(8 * (8 - SENT))
     yield pa.RecordBatch.from_arrays([pa.array(np.unique(h[1:][h[1:] == h[:-1]]).view(np.int64))], names=["head"])
 
@@ -289,42 +400,52 @@ def _has(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bit(h >> np.uint64(64 - BITMAP_BITS)) & bit(h >> np.uint64(16) & np.uint64((1 << BITMAP_BITS) - 1))).astype(bool)
 
 
-_PLACED = "head long, low long, high long, at array<struct<key: long, marked: boolean, n: int, place: int>>"
+_PLACED = "head long, at array<struct<key: long, kind: int, n: int, place: int>>"
+#: Repeated heads up to which a bitmap tells them, being at most half full; beyond, they are joined.
+MOST_IN_BITMAP = 1 << BITMAP_BITS - 2
 
 
-def _packed(head: np.ndarray, key: np.ndarray, marked: np.ndarray, n: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+def _packed(head: np.ndarray, key: np.ndarray, kind: np.ndarray, n: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
     """A row for each head, so that a head of very many pages has few rows."""
-    order = np.lexsort((key, head))
-    head, key, marked, n, place = head[order], key[order], marked[order], n[order], place[order]
+    order = np.argsort(head, kind="stable")
+    head, key, kind, n, place = head[order], key[order], kind[order], n[order], place[order]
     first = np.flatnonzero(np.concatenate([np.ones(min(1, len(head)), bool), head[1:] != head[:-1]]))
     ends = np.append(first, len(head))
-    inner = pa.StructArray.from_arrays([pa.array(key), pa.array(marked), pa.array(n), pa.array(place)], names=["key", "marked", "n", "place"])
-    return pa.RecordBatch.from_arrays([pa.array(head[first]), pa.array(key[first]), pa.array(key[ends[1:] - 1]), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), inner)], names=["head", "low", "high", "at"])
+    inner = pa.StructArray.from_arrays([pa.array(key), pa.array(kind), pa.array(n), pa.array(place)], names=["key", "kind", "n", "place"])
+    return pa.RecordBatch.from_arrays([pa.array(head[first]), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), inner)], names=["head", "at"])
 
 
-def repeated_runs(pages: DataFrame, work: Workspace) -> DataFrame:
-    """key, marked, n and runs (head and place from 0) of the pages with runs of RUN tokens that stand on a page of
-    other content of their host too.
+def repeated_runs(spool: DataFrame, work: Workspace, most: int = MOST_IN_BITMAP) -> DataFrame:
+    """head, key, kind, n and place (from 0) of the runs of RUN tokens that two contents of a host have outside articles
+    or in bodies.
 
-    Suffixes are dealt by the hash of their first RUN tokens. Those that are alone in their bucket end there, as about
-    four bytes each; only the others send their places. Copies of a page count as one.
+    Suffixes are dealt by the hash of their first RUN tokens, those of outside and body text first: what is alone in its
+    bucket ends there, as about SENT bytes. Only runs that repeat there send their places, and those of articles with
+    them. Copies of a page count as one.
     """
-    spark = pages.sparkSession
-    shared = work.stage(mapped(pages.select("host", "html"), _bucketed, "bucket int, heads binary").groupBy("bucket").applyInArrow(lean(_repeated), "head long"), "heads")
-    bitmap = spark.sparkContext.broadcast(_bits(shared, "head"))
-    work.drop("heads")
+    spark = spool.sparkSession
+    streams = spool.select("host", "key", "marked", "blocks", "outside")
+    size = streams.agg(F.sum(F.aggregate("outside", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x)) + F.when(F.col("marked"), 0).otherwise(F.aggregate("blocks", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x))))).first()[0] or 0
+    bits = min(max(8, (size // 6 // IN_BUCKET).bit_length()), 20)  # some six bytes a token
+    shared = work.stage(mapped(streams, _bucketed(bits), "bucket int, heads binary").groupBy("bucket").applyInArrow(lean(_repeated), "head long"), "heads")
+    few = shared.count() <= most
+    bitmap = spark.sparkContext.broadcast(_bits(shared, "head")) if few else None
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for head, page, places, key, marked, n in _streams(batches):
-            at = np.flatnonzero(_has(bitmap.value, head))
+        for head, stream, places, key, kind, n in _streams(batches, (OUTSIDE, ARTICLE, BODY)):
+            at = np.flatnonzero(_has(bitmap.value, head)) if bitmap else np.arange(len(head))
             if len(at):
-                own = page[at]
-                yield _packed(head[at].view(np.int64), key[own], marked[own], n[own], places[at])
+                own = stream[at]
+                yield _packed(head[at].view(np.int64), key[own], kind[own], n[own], places[at])
 
-    placed = work.stage(mapped(pages.select("host", "html"), place, _PLACED), "placed", compression="zstd")
-    differing = placed.groupBy("head").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("head")
-    each = placed.join(differing, "head", "left_semi").select("head", F.inline("at"))
-    return each.groupBy("key").agg(F.first("marked").alias("marked"), F.first("n").alias("n"), F.sort_array(F.collect_set(F.struct("place", "head"))).alias("runs"))
+    placed = mapped(streams, place, _PLACED)
+    if not few:
+        whole = F.shiftleft(F.shiftrightunsigned("head", 8 * (8 - SENT)), 8 * (8 - SENT))
+        placed = placed.withColumn("lead", whole).join(shared.withColumnRenamed("head", "lead"), "lead", "left_semi").drop("lead")
+    placed = work.stage(placed, "placed", compression="zstd")
+    others = placed.select("head", F.inline("at")).where(F.col("kind") != ARTICLE)
+    differing = others.groupBy("head").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("head")
+    return work.stage(placed.join(differing, "head", "left_semi"), "runs", compression="zstd").select("head", F.inline("at"))
 
 
 def stretches(places: list[int], n: int, run: int = RUN) -> tuple[list[int], int]:
@@ -338,47 +459,51 @@ def stretches(places: list[int], n: int, run: int = RUN) -> tuple[list[int], int
     return out, n - covered
 
 
-def unique_blocks(candidates: list[str], places: list[int] | None, run: int = RUN, covered: float = COVERED) -> list[str]:
-    """The blocks that repeated runs do not cover."""
-    out, start, marked = [], 0, set()
-    for p in places or ():
-        marked.update(range(p, p + run))
-    for block in candidates:
+def unique_blocks(candidates: list[str], places: list[int] | None, headings: list[bool] | None = None, run: int = RUN, covered: float = COVERED) -> list[str]:
+    """The blocks that repeated runs do not cover; those of headings, if given, stay."""
+    out, start, ends, marked = [], 0, 0, []  # covered stretches as places of tokens
+    for p in sorted(places or ()):
+        marked += range(max(p, ends), p + run)
+        ends = max(ends, p + run)
+    for k, block in enumerate(candidates):
         n = len(block.split(" "))
-        if sum(k in marked for k in range(start, start + n)) < covered * n:
+        if headings and headings[k] or bisect_left(marked, start + n) - bisect_left(marked, start) < covered * n:
             out.append(block)
         start += n
     return out
 
 
+def evidence(runs: DataFrame) -> DataFrame:
+    """head, outside and inside: the contents that have a run outside articles and in a marked one."""
+    kinds = runs.select("head", "key", "kind").distinct()
+    return kinds.groupBy("head").agg(F.count(F.when(F.col("kind") == OUTSIDE, 1)).alias("outside"), F.count(F.when(F.col("kind") == ARTICLE, 1)).alias("inside"))
+
+
 def boilerplate(runs: DataFrame, work: Workspace) -> DataFrame:
     """key and places of the runs that count as boilerplate.
 
-    A page speaks for a run where its own text is at least as long as the covered stretch that the run is in. Pages that
-    share an article have little else, so they don't speak for its runs; pages that otherwise differ do for a menu's.
-    VOTES contents make a run boilerplate; in marked articles MARKED_VOTES do, and only where the page itself is one.
+    Only runs of bodies do. One is a host's boilerplate where VOTES contents or more have it outside articles, and more
+    than have it in one; or where VOTES bodies speak for it: those whose own text is at least as long as the covered
+    stretch that the run is in. Pages that share an article have little else, so they don't speak for its runs; pages
+    that otherwise differ do for a menu's.
     """
+    told = work.stage(evidence(runs).where((F.col("outside") >= VOTES) & (F.col("outside") > F.col("inside"))).select("head"), "told")
+    bodies = runs.where(F.col("kind") == BODY)
+    by_page = bodies.groupBy("key").agg(F.first("n").alias("n"), F.sort_array(F.collect_set(F.struct("place", "head"))).alias("runs"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            head, key, place, speaks, stands = [], [], [], [], []
-            for k, marked, n, own_runs in zip(*(batch.column(c).to_pylist() for c in ("key", "marked", "n", "runs"))):
+            head, key = [], []
+            for k, n, own_runs in zip(*(batch.column(c).to_pylist() for c in ("key", "n", "runs"))):
                 long, own = stretches([x["place"] for x in own_runs], n)
-                head += [x["head"] for x in own_runs]
-                place += [x["place"] for x in own_runs]
-                key += [k] * len(long)
-                speaks += [m <= own for m in long]
-                stands += [marked] * len(long)
+                speaks = {x["head"] for x, m in zip(own_runs, long) if m <= own}
+                head += speaks
+                key += [k] * len(speaks)
             if head:
-                yield _packed(np.array(head, np.int64), np.array(key, np.int64), np.array(stands), np.array(speaks, np.int32), np.array(place, np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(head, pa.int64()), pa.array(key, pa.int64())], names=["head", "key"])
 
-    spoken = work.stage(mapped(runs, measure, _PLACED), "spoken", compression="zstd")
-    work.drop("placed")
-    # keys stand in one batch each, so its distinct keys are counted there
-    contents = F.size(F.array_distinct(F.transform(F.filter("at", lambda x: x["n"] == 1), lambda x: x["key"])))
-    votes = spoken.groupBy("head").agg(F.sum(contents).alias("votes")).where(F.col("votes") >= VOTES)
-    each = spoken.join(votes, "head").select("votes", F.inline("at")).where(~F.col("marked") | (F.col("votes") >= MARKED_VOTES) & (F.col("n") == 1))
-    return each.groupBy("key").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    votes = mapped(by_page, measure, "head long, key long").groupBy("head").agg(F.count(F.lit(1)).alias("votes")).where(F.col("votes") >= VOTES).select("head")
+    return bodies.join(votes.unionByName(told).distinct(), "head", "left_semi").groupBy("key").agg(F.sort_array(F.collect_set("place")).alias("places"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -388,31 +513,31 @@ def main_text(pages: DataFrame) -> DataFrame:
     page; an empty table gives no rows; further columns are ignored.
     """
     work = Workspace(pages.sparkSession, "html")
-    pages = parsed(pages)
-    places = work.stage(boilerplate(repeated_runs(pages, work), work), "places")
-    work.drop("spoken")
-    bitmap = pages.sparkSession.sparkContext.broadcast(_bits(places, "key"))
-
-    def read(covered: bool):
-        """Pages that may have places, with their blocks, or else the others, with their text."""
-
-        def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in map(with_blocks, batches):
-                keys = batch.column("key").to_numpy()
-                rest = batch.filter(pa.array(_has(bitmap.value, keys.view(np.uint64)) == covered))
-                last = [rest.column("key"), rest.column("blocks")] if covered else [pc.binary_join(rest.column("blocks"), "\n")]
-                yield pa.RecordBatch.from_arrays([rest.column("page_id"), rest.column("url"), *last], names=["page_id", "url", *(["key", "candidates"] if covered else ["text"])])
-
-        return go
+    spool = parsed(pages, work)
+    places = work.stage(boilerplate(repeated_runs(spool, work), work), "places", compression="zstd")
+    work.drop("heads", "placed", "runs", "told")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = ["\n".join(unique_blocks(c.as_py(), p.as_py())) for c, p in zip(batch.column("candidates"), batch.column("places"))]
+            text = ["\n".join(unique_blocks(*(x.as_py() for x in own))) for own in zip(*(batch.column(c) for c in ("blocks", "places", "headings")))]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string())], names=["page_id", "url", "text"])
 
-    plain = mapped(pages, read(False), "page_id long, url string, text string")
-    open_ = mapped(pages, read(True), "page_id long, url string, key long, candidates array<string>").join(places, "key", "left")
-    kept = mapped(open_.select("page_id", "url", "candidates", "places"), keep, "page_id long, url string, text string")
+    bitmap = spool.sparkSession.sparkContext.broadcast(_bits(places, "key"))
+
+    def some(covered: bool):
+        """Pages that may have places, or the others."""
+
+        def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(_has(bitmap.value, batch.column("key").to_numpy().view(np.uint64)) == covered))
+
+        return mapped(spool.select("page_id", "url", "key", "blocks", "headings"), go, "page_id long, url string, key long, blocks array<string>, headings array<boolean>")
+
+    plain = some(False).select("page_id", "url", F.array_join("blocks", "\n").alias("text"))
+    salt = F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")
+    salted = places.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    open_ = some(True).withColumn("salt", salt).join(salted, ["key", "salt"], "left")
+    kept = mapped(open_.select("page_id", "url", "blocks", "headings", "places"), keep, "page_id long, url string, text string")
     return plain.unionByName(kept).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
