@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from ..functions.registry import NAMESPACES
 from ..sources.containers import Damaged
 from ..sources.images import bounded, opened, with_format
-from ..sources.writers import WRITERS, Changes, edited_tiff, encoded_iptc, encoded_xmp
+from ..sources.layout import Changes
+from ..sources.writers import WRITERS, edited_exif, edited_tiff, encoded_iptc, encoded_xmp
 from .iptc import UTF8, datasets_of
 from .xmp import SEPARATOR, properties
 
@@ -138,9 +139,9 @@ def edited(content: bytes, form: str, s: dict) -> bytes:
         changes = {**changes, "ifd0": {**changes.get("ifd0", {}), **extra}} if extra else changes
         return edited_tiff(content, changes) if changes else content
     if "exif_ifd" in own and changes.get("exif"):
-        new["exif_ifd"] = edited_tiff(own["exif_ifd"], {"ifd0": changes.pop("exif")})
+        new["exif_ifd"] = edited_exif(own["exif_ifd"], {"ifd0": changes.pop("exif")})
     if "exif" in own and changes:
-        new["exif"] = edited_tiff(own["exif"], changes)
+        new["exif"] = edited_exif(own["exif"], changes)
     return WRITERS[form](content, own | new) if new else content
 
 

@@ -510,6 +510,88 @@ def well_formed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_metadata(images.select("path", cut.alias("content")), ("exif",), mode="DROPMALFORMED").select("path", "make", "error")
 
 
+@fixture
+def setting_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images with the fields of an exposure; some of their quotients have a denominator of 0."""
+    k = F.col("o_orderkey")
+    top = [B.ascii_entry(0x0131, F.col("o_orderpriority")), B.ascii_entry(0x0132, F.date_format("o_orderdate", "yyyy:MM:dd HH:mm:ss"))]
+    inner = [
+        B.rational_entry(0x829A, (1, k % 13)), B.rational_entry(0x920A, (k % 300, 10)), B.rational_entry(0x9206, (k % 50, 4)), B.rational_entry(0xA404, (k % 8, k % 5)),
+        B.short_entry(0xA403, k % 2), B.short_entry(0xA402, k % 3), B.short_entry(0xA001, F.when(k % 2 == 0, 1).otherwise(65535)), (0xA301, 7, F.lit(1), B.number(k % 3, 1)),
+    ]
+    return table(spark, sf_dir, "orders").select(path("o", "o_orderkey"), B.jpeg(B.exif(top, inner)).alias("content"))
+
+
+SETTINGS = ("path", "software", "date_time", "exposure_time", "focal_length_mm", "white_balance", "exposure_mode", "color_space", "subject_distance", "digital_zoom_ratio", "scene_type")
+
+
+def exposure_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = flat_metadata(setting_images(spark, sf_dir), columns=SETTINGS)
+    return rows.withColumn("date_time", F.date_format("date_time", "yyyy-MM-dd"))
+
+
+def xmp_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places that XMP packets have as text, in both its forms."""
+    k, minute = F.col("event_id"), (F.col("user_id") % 60).cast("string")
+    rest = F.when(k % 2 == 0, F.concat(minute, F.lit(".5"))).otherwise(F.concat(minute, F.lit(",30")))
+    lat = F.concat((k % 90).cast("string"), F.lit(","), rest, F.when(k % 4 < 2, "N").otherwise("S"))
+    lon = F.concat((k % 180).cast("string"), F.lit(","), rest, F.when(k % 3 == 0, "E").otherwise("W"))
+    packet = B.xmp(F.concat(B.element("exif:GPSLatitude", lat), B.element("exif:GPSLongitude", lon)))
+    return flat_metadata(table(spark, sf_dir, "events").select(path("e", "event_id"), B.jpeg(None, packet).alias("content")), columns=("path", "latitude", "longitude"))
+
+
+def edited_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places, times, exposures and sizes set in EXIF for even orders and in XMP for odd ones, which hold the first two."""
+    k, even = F.col("o_orderkey"), F.col("o_orderkey") % 2 == 0
+    exif, packet = B.exif([B.ascii_entry(0x010F, F.lit("m"))], [B.short_entry(0x8827, F.lit(1))]), B.xmp(B.element("tiff:Model", F.lit("m")))
+    images = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", path("o", "o_orderkey"), B.jpeg(F.when(even, exif), F.when(~even, packet)).alias("content"))
+    fields = {
+        "latitude": (k % 90) + F.lit(0.5), "longitude": -(k % 180) - F.lit(0.25), "captured_at": F.col("o_orderdate").cast("timestamp"), "exposure_num": F.lit(1), "exposure_den": k % 1000 + 1,
+        "focal_length_mm": (k % 300) / F.lit(4.0), "width": k, "height": k % 9 + 1,
+    }
+    rows = flat_metadata(edit_metadata(images, fields), columns=("path", "latitude", "longitude", "captured_at", "exposure_time", "focal_length_mm", "width", "height"))
+    return rows.withColumn("captured_at", F.date_format("captured_at", "yyyy-MM-dd"))
+
+
+#: Makes whose notes are raw values alone, and whether those of this query are little-endian.
+RAW_MAKERS = (("Nikon", False), ("SONY", True), ("DJI", False), ("SAMSUNG", True))
+
+
+def raw_makernotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, size = F.col("p_partkey") % len(RAW_MAKERS), F.col("p_size")
+    content = F.lit(None).cast("binary")
+    for n, (make, little) in enumerate(RAW_MAKERS):
+        note = B.ifd([B.short_entry(3, size, little), B.long_entry(8, F.col("p_partkey"), little)], 0, little)
+        content = F.when(k == n, B.jpeg(B.exif([B.ascii_entry(0x010F, F.lit(make))], [(0x927C, 7, F.octet_length(note), note)]))).otherwise(content)
+    rows = facts(table(spark, sf_dir, "part").select(path("p", "p_partkey"), content.alias("content")), ("exif", "makernote")).where("kind = 'makernote'")
+    order = F.when(F.col("space").isin([m for m, little in RAW_MAKERS if little]), "II").otherwise("MM")
+    number = F.when(F.col("item") == 3, I.unsigned(F.col("value"), order, 0, 2)).otherwise(I.unsigned(F.col("value"), order, 0, 4))
+    return rows.select("path", F.col("space").alias("make"), F.col("item").alias("tag"), number.alias("number"))
+
+
+def legacy_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """XMP in the older text chunks of PNG files, plain and compressed; a newer chunk comes before either."""
+    head, packet = B.join(B.text(F.lit("XML:com.adobe.xmp")), B.raw("00")), B.xmp(B.element("tiff:Model", F.col("c_name")))
+    plain, small = B.chunk("tEXt", B.join(head, packet)), B.chunk("zTXt", B.join(head, B.raw("00"), B.stored_zlib(packet)))
+    newer = B.chunk("iTXt", B.join(head, B.raw("00000000"), B.xmp(B.element("tiff:Model", F.lower("c_name")))))
+    k = F.col("c_custkey") % 4
+    chunks = F.when(k == 0, plain).when(k == 1, small).when(k == 2, B.join(small, plain)).otherwise(B.join(plain, newer))
+    content = B.join(B.raw("89504E470D0A1A0A"), B.chunk("IHDR", B.raw("00000001000000010802000000")), chunks, B.chunk("IEND", B.raw("")))
+    return flat_metadata(table(spark, sf_dir, "customer").select(path("c", "c_custkey", "png"), content.alias("content")), columns=("path", "format", "model", "error"))
+
+
+def edited_thrice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images edited again and again, which grow with the first edit alone; TIFF files for even parts."""
+    even = F.col("p_partkey") % 2 == 0
+    images = table(spark, sf_dir, "part").select(path("p", "p_partkey"), F.when(even, part_exif()).otherwise(B.jpeg(part_exif())).alias("content"))
+    sizes = []
+    for n in range(3):
+        images = edit_metadata(images, {"copyright": F.lit(f"edit {n}"), "iso": F.lit(100 + n)}).select("path", "content")
+        sizes.append(images.select("path", F.octet_length("content").alias(f"size{n}")))
+    rows = flat_metadata(images, ("exif",), columns=("path", "length", "copyright", "make", "iso", "lens"))
+    return rows.join(sizes[0], "path").select("path", "copyright", "make", "iso", "lens", (F.col("length") - F.col("size0")).alias("grown"))
+
+
 QUERIES = {
     "camera_records": camera_records, "images_by_make": images_by_make, "exposure_words": exposure_words, "tags_by_directory": tags_by_directory, "xmp_records": xmp_records,
     "images_by_keyword": images_by_keyword, "gps_places": gps_places, "iptc_records": iptc_records, "iptc_dataset_rows": iptc_dataset_rows, "caption_priority": caption_priority,
@@ -519,6 +601,7 @@ QUERIES = {
     "raw_edited": raw_edited, "packed_records": packed_records, "webp_edited": webp_edited, "untidy_packets": untidy_packets, "xmp_structures": xmp_structures, "more_keywords": more_keywords,
     "iptc_keywords_added": iptc_keywords_added, "fitness": fitness, "json_records": json_records, "files_read_back": files_read_back, "streamed_catalogue": streamed_catalogue, "well_formed": well_formed,
     "range_records": range_records, "failed_components": failed_components, "stream_edited": stream_edited, "captured_windows": captured_windows,
+    "exposure_settings": exposure_settings, "xmp_places": xmp_places, "edited_captures": edited_captures, "raw_makernotes": raw_makernotes, "legacy_text": legacy_text, "edited_thrice": edited_thrice,
 }
 _PART_TAGS = (
     ("ifd0", "Make", "length(p_brand) + 1"), ("ifd0", "Model", "length(p_name) + 1"), ("ifd0", "Orientation", "1"), ("ifd0", "ExifIFDPointer", "1"), ("exif", "LensModel", "length(p_type) + 1"),
@@ -572,6 +655,12 @@ ORACLE_SQL = {
     "files_read_back": f"SELECT {_P}, 'JPEG' AS format, p_brand AS make, p_name AS model, p_size::BIGINT AS iso FROM part UNION ALL SELECT 'c' || c_custkey || '.png', 'PNG', NULL, c_name, NULL FROM customer",
     "range_records": "SELECT 's' || s_suppkey || '.img' AS path, CASE s_suppkey % 5 WHEN 0 THEN 'JPEG' WHEN 1 THEN 'TIFF' WHEN 2 THEN 'PNG' WHEN 3 THEN 'WebP' ELSE 'HEIF' END AS format, s_name AS make, 'n' || s_nationkey AS model, s_nationkey::BIGINT AS iso, CASE WHEN s_suppkey % 5 IN (0, 4) THEN s_name END AS caption, true AS few_read FROM supplier",
     "failed_components": "SELECT 's' || s_suppkey || '.jpg' AS path, CASE WHEN s_suppkey % 4 < 2 THEN s_name END AS make, CASE WHEN s_suppkey % 4 = 1 THEN s_name END AS model, CASE s_suppkey % 4 WHEN 0 THEN 'xmp' WHEN 1 THEN NULL ELSE 'container' END AS component, CASE s_suppkey % 4 WHEN 1 THEN NULL WHEN 2 THEN 'UnsupportedFormat' ELSE 'Corrupt' END AS kind, CASE WHEN s_suppkey % 4 = 2 THEN '474946383961AABBCCDDEEFF' END AS magic FROM supplier",
+    "exposure_settings": "SELECT 'o' || o_orderkey || '.jpg' AS path, o_orderpriority AS software, strftime(o_orderdate, '%Y-%m-%d') AS date_time, CASE WHEN o_orderkey % 13 > 0 THEN '1/' || (o_orderkey % 13) END AS exposure_time, (o_orderkey % 300)::DOUBLE / 10 AS focal_length_mm, (o_orderkey % 2)::BIGINT AS white_balance, (o_orderkey % 3)::BIGINT AS exposure_mode, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 65535 END::BIGINT AS color_space, (o_orderkey % 50)::DOUBLE / 4 AS subject_distance, CASE WHEN o_orderkey % 5 > 0 THEN (o_orderkey % 8)::DOUBLE / (o_orderkey % 5) END AS digital_zoom_ratio, (o_orderkey % 3)::INTEGER AS scene_type FROM orders",
+    "xmp_places": "SELECT 'e' || event_id || '.jpg' AS path, " + ", ".join(f"CASE WHEN {plus} THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END * CASE WHEN event_id % 2 = 0 THEN (event_id % {d})::DOUBLE + ((user_id % 60)::DOUBLE + 0.5::DOUBLE) / 60 ELSE (event_id % {d})::DOUBLE + (user_id % 60)::DOUBLE / 60 + 30.0::DOUBLE / 3600 END AS {c}" for c, d, plus in (("latitude", 90, "event_id % 4 < 2"), ("longitude", 180, "event_id % 3 = 0"))) + " FROM events",
+    "edited_captures": "SELECT 'o' || o_orderkey || '.jpg' AS path, (o_orderkey % 90)::DOUBLE + 0.5::DOUBLE AS latitude, -((o_orderkey % 180)::DOUBLE + 0.25::DOUBLE) AS longitude, strftime(o_orderdate, '%Y-%m-%d') AS captured_at, " + ", ".join(f"CASE WHEN o_orderkey % 2 = 0 THEN {x} END AS {c}" for c, x in (("exposure_time", "'1/' || (o_orderkey % 1000 + 1)"), ("focal_length_mm", "(o_orderkey % 300)::DOUBLE / 4"), ("width", "nullif(o_orderkey, 0)::BIGINT"), ("height", "CASE WHEN o_orderkey <> 0 THEN o_orderkey % 9 + 1 END::BIGINT"))) + " FROM orders",
+    "raw_makernotes": f"SELECT {_P}, {_cases(f'p_partkey % {len(RAW_MAKERS)}', {n: m for n, (m, _) in enumerate(RAW_MAKERS)})} AS make, t.tag, CASE t.tag WHEN 3 THEN p_size ELSE p_partkey END::BIGINT AS number FROM part, (VALUES (3), (8)) t(tag)",
+    "legacy_text": "SELECT 'c' || c_custkey || '.png' AS path, 'PNG' AS format, CASE WHEN c_custkey % 4 = 3 THEN lower(c_name) ELSE c_name END AS model, NULL::VARCHAR AS error FROM customer",
+    "edited_thrice": f"SELECT {_P}, 'edit 2' AS copyright, p_brand AS make, 102::BIGINT AS iso, p_type AS lens, 0::BIGINT AS grown FROM part",
     "stream_edited": "SELECT 'JPEG' AS format, s_name AS make, 'streamed' AS model, s_nationkey::BIGINT AS iso, 6::BIGINT AS orientation FROM supplier",
     "captured_windows": f"""
 WITH o AS (

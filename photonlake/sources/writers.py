@@ -11,45 +11,66 @@ import struct
 import zlib
 from xml.sax.saxutils import escape
 
-from .containers import CANON, PNG_XMP, XMP_MORE_URI, XMP_URI, Damaged, boxes, find_box, heif_items, jpeg_segments, patched, png_chunks
+from .containers import CANON, PNG_XMP, WIDTHS, XMP_MORE_URI, XMP_URI, Damaged, boxes, find_box, heif_items, jpeg_segments, patched, png_chunks
+from .layout import MAKER_NOTE, POINTERS, Changes, Unplaceable, laid_out, swapped
 
 #: The most bytes of a JPEG segment after its length, and padding of a packet for edits in place.
 MOST_SEGMENT = 65533
 PADDING = 2048
 ARRAYS = {"creator": "Seq", "description": "Alt", "rights": "Alt", "title": "Alt"}
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
-POINTERS = {"exif": 0x8769, "gps": 0x8825}
 
-Changes = dict[str, dict[int, tuple[int, int, bytes]]]  # by directory and tag: type, count, value in big-endian order
-
-
-def swapped(kind: int, value: bytes) -> bytes:
-    width = {3: 2, 4: 4, 5: 4, 8: 2, 9: 4, 10: 4}.get(kind, 1)
-    return b"".join(value[k : k + width][::-1] for k in range(0, len(value), width))
+def edited_exif(block: bytes, changes: Changes) -> bytes:
+    """A block of EXIF with entries set: laid out anew, or where that could harm what it addresses, edited as a file is."""
+    try:
+        return laid_out(block, changes)
+    except Unplaceable:
+        return edited_tiff(block, changes)
 
 
 def edited_tiff(block: bytes, changes: Changes) -> bytes:
-    """A TIFF block with some entries set; the directories concerned are appended, everything else stays in its place.
+    """A TIFF file with some entries set; the directories concerned are appended, everything else stays in its place.
 
-    Values that do not change keep their offsets, so MakerNotes, thumbnails and image data stay valid.
+    Values that do not change keep their offsets, so MakerNotes, thumbnails and image data stay valid. What stands at the
+    end of the file and belongs to these directories alone, as after an earlier edit, is written anew in its place, so
+    edits do not make a file grow.
     """
     head = block[:4]
-    b = bytearray(patched(block))
-    order = {b"II": "little", b"MM": "big"}.get(bytes(b[:2]))
-    if len(b) < 8 or not order:
+    whole = patched(block)
+    order = {b"II": "little", b"MM": "big"}.get(bytes(whole[:2]))
+    if len(whole) < 8 or not order:
         raise Damaged("no TIFF header")
 
+    def number(x: bytes) -> int:
+        return int.from_bytes(x, order)
+
     def raw_entries(at: int) -> tuple[dict[int, bytes], int]:
-        if not 0 < at <= len(b) - 2:
+        if not 0 < at <= len(whole) - 2:
             return {}, 0
-        n = int.from_bytes(b[at : at + 2], order)
+        n = number(whole[at : at + 2])
         end = at + 2 + 12 * n
-        if end > len(b):
+        if end > len(whole):
             return {}, 0
-        return {int.from_bytes(b[e : e + 2], order): bytes(b[e : e + 12]) for e in range(at + 2, end, 12)}, int.from_bytes(b[end : end + 4], order)
+        return {number(whole[e : e + 2]): bytes(whole[e : e + 12]) for e in range(at + 2, end, 12)}, number(whole[end : end + 4])
+
+    def extent(entry: bytes) -> tuple[int, int]:
+        """Where the value of an entry stands, if not in the entry."""
+        size = WIDTHS.get(number(entry[2:4]), 0) * number(entry[4:8])
+        at = number(entry[8:12])
+        return (at, at + size) if size > 4 and at + size <= len(whole) else (0, 0)
+
+    top, after = raw_entries(number(whole[4:8]))
+    starts = {"ifd0": number(whole[4:8]), **{n: number(top[p][8:12]) for n, p in POINTERS.items() if p in top and n in ("exif", "gps")}}
+    own = {"ifd0": (top, after), **{n: raw_entries(at) for n, at in starts.items() if n != "ifd0"}}
+    extents = [(starts[n], starts[n] + 6 + 12 * len(e)) for n, (e, _) in own.items() if e]
+    extents += [x for e, _ in own.values() for tag, entry in e.items() if tag != MAKER_NOTE and (x := extent(entry))[1]]
+    cut = len(whole)
+    for a, z in sorted(extents, key=lambda x: -x[1]):
+        if z >= cut - 1:
+            cut = min(cut, a)
+    b = bytearray(whole[:cut])
 
     def put(tag: int, kind: int, count: int, value: bytes) -> bytes:
-        value = swapped(kind, value) if order == "little" else value
         if len(value) <= 4:
             field = value.ljust(4, b"\0")
         else:
@@ -58,20 +79,25 @@ def edited_tiff(block: bytes, changes: Changes) -> bytes:
             b.extend(value)
         return tag.to_bytes(2, order) + kind.to_bytes(2, order) + count.to_bytes(4, order) + field
 
+    def rewritten(name: str, entries: dict[int, bytes]) -> dict[int, bytes]:
+        new = {t: (k, n, swapped(k, v) if order == "little" else v) for t, (k, n, v) in changes.get(name, {}).items()}
+        out = {}
+        for tag, entry in entries.items():
+            a, z = extent(entry)
+            out[tag] = put(tag, number(entry[2:4]), number(entry[4:8]), whole[a:z]) if z and a >= cut and tag not in new else entry
+        return out | {t: put(t, *v) for t, v in new.items()}
+
     def append(entries: dict[int, bytes], after: int) -> int:
         b.extend(b"\0" * (len(b) & 1))
         at = len(b)
         b.extend(len(entries).to_bytes(2, order) + b"".join(entries[t] for t in sorted(entries)) + after.to_bytes(4, order))
         return at
 
-    top, after = raw_entries(int.from_bytes(b[4:8], order))
-    for name, pointer in POINTERS.items():
-        if changes.get(name):
-            own, more = raw_entries(int.from_bytes(top[pointer][8:12], order)) if pointer in top else ({}, 0)
-            own |= {t: put(t, *v) for t, v in changes[name].items()}
-            top[pointer] = put(pointer, 4, 1, append(own, more).to_bytes(4, "big"))
-    top |= {t: put(t, *v) for t, v in changes.get("ifd0", {}).items()}
-    b[4:8] = append(top, after).to_bytes(4, order)
+    for name in ("exif", "gps"):
+        if changes.get(name) or name in own and starts[name] >= cut:
+            entries, more = own.get(name, ({}, 0))
+            top[POINTERS[name]] = put(POINTERS[name], 4, 1, append(rewritten(name, entries), more).to_bytes(4, order))
+    b[4:8] = append(rewritten("ifd0", top), after).to_bytes(4, order)
     return head + bytes(b[4:]) if head in (b"IIRO", b"IIU\0") else bytes(b)
 
 
