@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -101,9 +100,9 @@ def emptied(keep: str | None) -> None:
 
 def mapped(df: DataFrame, function: Callable[[Batches], Batches], schema, keep: str | None = None) -> DataFrame:
     """df.mapInArrow(function), in batches of bounded size and with lean workers."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(re.sub(r"\D", "", conf.get(name))) > BATCH_BYTES:
-        conf.set(name, BATCH_BYTES)
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
     return df.mapInArrow(lean(function, keep), schema)
 
 

@@ -119,9 +119,11 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     """
     found, grams = _found(documents, benchmark, window, k, most_in_plan)
     each = found.where(F.size("found") > 0).select("row", F.inline("found"))
-    real = each.join(grams, ["n", "gram"])
+    # items by window first: a window that very many items share is one row for each place that has it
+    holders = grams.groupBy("n", "gram").agg(F.array_sort(F.collect_set("item_id")).alias("holders"))
+    real = each.join(holders, ["n", "gram"])
     hit = real.groupBy("row").agg(
-        F.array_sort(F.collect_set("item_id")).alias("items"), F.array_sort(F.collect_set(F.struct("start", "n"))).alias("spans")
+        F.array_distinct(F.flatten(F.collect_set("holders"))).alias("items"), F.array_sort(F.collect_set(F.struct("start", "n"))).alias("spans")
     )
     covered = F.aggregate(
         "spans", F.struct(F.lit(0).alias("hit"), F.lit(0).alias("end")),

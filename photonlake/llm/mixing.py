@@ -87,6 +87,24 @@ def with_copies(records: DataFrame, targets: DataFrame, seed: str = SEED) -> Dat
     )
 
 
+#: Places or copies of equal rows that one row stands for before it is spread over tasks.
+BLOCK = 10_000
+
+
+def spread(rows: DataFrame, n: Column) -> DataFrame:
+    """rows, each n times, with __k from 0 to n - 1; those of one row go to many tasks, BLOCK at a time."""
+    blocks = rows.withColumns({"__n": n, "__block": F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / BLOCK)))})
+    dealt = blocks.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("__block", *rows.columns[:2]))
+    first = F.col("__block") * BLOCK
+    return dealt.withColumn("__k", F.explode(F.sequence(first, F.least(first + BLOCK, F.col("__n")) - 1))).drop("__n", "__block")
+
+
+def copies_between(before: Column, n: Column) -> Column:
+    """The copies of n documents at the places after before together."""
+    rate, u = F.col("rate"), F.col("u")
+    return F.least(F.floor((before + n) * rate + u) - F.floor(before * rate + u), n * F.col("most")).cast("long")
+
+
 def copies_at(place: Column) -> Column:
     """The copies of the document at a place of its source: the whole numbers that its stretch of the sum crosses."""
     rate, u = F.col("rate"), F.col("u")
@@ -101,7 +119,7 @@ def mix_plan(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: flo
     columns are ignored. Reruns give the same copies.
     """
     placed = _placed(documents, F.lit(0).cast("long"), weights, most, seed)
-    each = placed.withColumn("place", F.explode(F.sequence(F.col("before") + 1, F.col("before") + F.col("n"))))
+    each = spread(placed, F.col("n")).withColumn("place", F.col("before") + 1 + F.col("__k"))
     return each.withColumn("copies", copies_at(F.col("place"))).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
@@ -127,12 +145,20 @@ def mixed(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float
     work = Workspace(documents.sparkSession, "mixed")
     whole = F.xxhash64(*[F.col(f"`{c}`") for c in documents.columns])
     placed = _placed(documents, whole, weights, most, seed)
-    together = F.aggregate(F.sequence(F.col("before") + 1, F.col("before") + F.col("n")), F.lit(0).cast("long"), lambda total, place: total + copies_at(place))
+    together = copies_between(F.col("before"), F.col("n"))
     plan = work.stage(placed.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__key"), F.col("whole").alias("__mark"), together.alias("__copies")), "plan")
     alike = documents.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__key"), whole.alias("__mark"), F.struct(*documents.columns).alias("__row"))
-    one = alike.groupBy("__key", "__mark").agg(F.first("__row").alias("__row"))
-    kept = one.join(plan.where("__copies > 0"), ["__key", "__mark"])
-    return kept.select("__row.*", F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int"))).alias("__one")).drop("__one")
+
+    def taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
+        return rows.groupBy("__key", "__mark").agg(F.first("__row").alias("__row")).join(plan, ["__key", "__mark"])
+
+    kept = taken(alike, plan.where(F.col("__copies").between(1, BLOCK)))
+    out = kept.select("__row.*", F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int"))).alias("__one")).drop("__one")
+    many = plan.where(F.col("__copies") > BLOCK)
+    if many.isEmpty():
+        return out
+    own = alike.join(many.select("__key", "__mark"), ["__key", "__mark"], "left_semi")
+    return out.unionByName(spread(taken(own, many), F.col("__copies")).select("__row.*"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

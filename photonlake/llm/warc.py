@@ -4,8 +4,8 @@ One pass over the pages takes each payload's digest and puts the payload aside i
 headers are shuffled. Of records with equal digests the one with the largest page_id is the response; the others become
 revisit records, which carry headers only. Headers then go back to the spool file that they came from, and a task
 writes one archive of gzip members, one member a record, reading the payloads of responses where they stand. Reading
-back yields one row of headers for each record; revisits find their response by a join on the digest, and from it
-their payload's length.
+back yields one row of headers for each record; revisits find their response by the record ID that they name, and from
+it their payload's length.
 """
 
 from __future__ import annotations
@@ -36,10 +36,9 @@ def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_id(page_id: int | None, digest: str, url: str | None) -> str:
-    """The same record always gets the same ID, so that a task that runs again writes the same file."""
-    name = f"page:{page_id}:{digest}" if page_id is not None else f"unnumbered:{digest}:{url}"
-    return f"<urn:uuid:{uuid.uuid5(NAMES, name)}>"
+def record_id(file: str, at: int) -> str:
+    """The ID of the record of the payload at a place of a spool file: no other record's, and the same in a task that runs again."""
+    return f"<urn:uuid:{uuid.uuid5(NAMES, f'{file}:{at}')}>"
 
 
 def clean(url: str | None) -> str | None:
@@ -47,19 +46,19 @@ def clean(url: str | None) -> str | None:
     return None if url is None else "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, original: int | None) -> bytes:
-    """One WARC record: a response with its payload, or a revisit of page `original`."""
+def record(own_id: str, page_id: int | None, url: str | None, payload: bytes, digest: str, original: str | None) -> bytes:
+    """One WARC record: a response with its payload, or a revisit of the record with the ID `original`."""
     url = clean(url)
     length = f"Content-Length: {len(payload)}\r\n" if original is None else ""
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{length}\r\n".encode() + payload
-    lines = [VERSION, f"WARC-Type: {'response' if original is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, digest, url)}", f"WARC-Date: {DATE}"]
+    lines = [VERSION, f"WARC-Type: {'response' if original is None else 'revisit'}", f"WARC-Record-ID: {own_id}", f"WARC-Date: {DATE}"]
     if url is not None:
         lines.append(f"WARC-Target-URI: {url}")
     if page_id is not None:
         lines.append(f"WARC-Page-ID: {page_id}")
     lines += [f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{sha1_base32(block)}"]
     if original is not None:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(original, digest, url)}"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {original}"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
 
@@ -134,10 +133,19 @@ def spooled(pages: DataFrame, root: str) -> DataFrame:
     return mapped(pages.select("page_id", "url", F.col("html").cast("binary").alias("payload")), spool, SPOOLED)
 
 
+#: Parts of a digest's headers in joins, so that a payload of very many pages is no single key.
+SALTS = 8
+
+
 def with_originals(headers: DataFrame) -> DataFrame:
-    """headers (page_id, digest and more) with original: for those below the largest page_id of their digest, that one."""
-    top = headers.groupBy("digest").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "top")
-    return headers.join(top, "digest", "left").withColumn("original", F.when(F.col("page_id") < F.col("top"), F.col("top"))).drop("top")
+    """headers (page_id, digest, file, at and more) with original_file and original_at, the place of the payload of the
+    largest page_id of their digest, for those with a smaller one. Of rows with the largest, the last in the files."""
+    top = headers.groupBy("digest").agg(F.max(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "file", "at"))).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "top")
+    salted = top.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("file", "at"), F.lit(SALTS)).cast("int")
+    joined = headers.withColumn("salt", salt).join(salted, ["digest", "salt"], "left")
+    revisits = F.col("page_id") < F.col("top.page_id")
+    return joined.withColumns({"original_file": F.when(revisits, F.col("top.file")), "original_at": F.when(revisits, F.col("top.at"))}).drop("top", "salt")
 
 
 def write_archives(pages: DataFrame, root: str) -> DataFrame:
@@ -150,24 +158,25 @@ def write_archives(pages: DataFrame, root: str) -> DataFrame:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, out, n, opened, spool = f"part-{TaskContext.get().partitionId():06d}.warc.gz", None, 0, None, None
         for batch in batches:
-            for page_id, url, digest, file, at, size, original in _records(batch):
+            for page_id, url, digest, file, at, size, original_file, original_at in _records(batch):
                 out = out or AtomicFile(f"{root}/{name}")
                 if file != opened:
                     where, path = filesystem(f"{payloads}/{file}")
                     opened, spool = file, where.open_input_file(path)
                 payload = b""
-                if original is None:
+                if original_file is None:
                     spool.seek(at)
                     payload = zlib.decompress(spool.read(size))
                 deflate = zlib.compressobj(4, zlib.DEFLATED, 31)
-                out.write(deflate.compress(record(page_id, url, payload, digest, original)) + deflate.flush())
+                original = None if original_file is None else record_id(original_file, original_at)
+                out.write(deflate.compress(record(record_id(file, at), page_id, url, payload, digest, original)) + deflate.flush())
                 n += 1
         if out:
             out.commit()
             yield pa.RecordBatch.from_pydict({"name": [name], "records": [n], "bytes": [out.size]})
 
     n_files = max(1, headers.select("file").distinct().count())
-    rows = with_originals(headers).select("page_id", "url", "digest", "file", "at", "size", "original").repartitionByRange(n_files, "file").sortWithinPartitions("file", "at")
+    rows = with_originals(headers).select("page_id", "url", "digest", "file", "at", "size", "original_file", "original_at").repartitionByRange(n_files, "file").sortWithinPartitions("file", "at")
     mapped(rows, write, "name string, records long, bytes long").write.mode("overwrite").parquet(f"{root}/manifest")
     work.clear()
     return spark.read.schema("name string, records long, bytes long").parquet(f"{root}/manifest")
@@ -199,12 +208,17 @@ def read_archives(spark: SparkSession, root: str) -> DataFrame:
 
 
 def resolved(headers: DataFrame) -> DataFrame:
-    """headers with refers_to and payload_bytes of revisits, from the response with their digest and their ID."""
-    responses = headers.where("record_type = 'response' AND page_id IS NOT NULL").groupBy("payload_digest").agg(F.max("page_id").alias("original"), F.max("payload_bytes").alias("original_bytes"))
+    """headers with refers_to and payload_bytes of revisits, from the record whose ID they name.
+
+    A revisit that names no response, or one of another payload, raises.
+    """
+    responses = headers.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("original"), F.col("payload_bytes").alias("original_bytes"), F.col("payload_digest").alias("original_digest"))
     revisit = F.col("record_type") == "revisit"
-    joined = headers.where(revisit).join(responses, "payload_digest", "left")
+    joined = headers.where(revisit).drop("payload_bytes").join(responses, "refers_to_id", "left")
+    wrong = F.raise_error(F.concat(F.lit("revisit "), "record_id", F.lit(" refers to no response with its payload: "), F.coalesce("refers_to_id", F.lit("none"))))
+    checked = F.when(F.col("original_digest") == F.col("payload_digest"), F.col("original_bytes")).otherwise(wrong.cast("long"))
     own = headers.where(~revisit).select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"))
-    return own.unionByName(joined.select("page_id", F.col("original_bytes").alias("payload_bytes"), "payload_digest", "record_type", F.col("original").alias("refers_to")))
+    return own.unionByName(joined.select("page_id", checked.alias("payload_bytes"), "payload_digest", "record_type", F.col("original").alias("refers_to")))
 
 
 def archive_pages(pages: DataFrame, root: str | None = None) -> DataFrame:

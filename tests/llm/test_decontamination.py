@@ -47,3 +47,14 @@ def test_empty_tables(spark):
     got = decontamination.contamination(docs, none).collect()
     assert [r.contaminated for r in got] == [False, False] and {r.items_sha256 for r in got} == {hashlib.sha256(b"").hexdigest()}
     assert decontamination.contamination(docs.limit(0), none).count() == 0
+
+
+def test_a_window_of_very_many_items(spark):
+    shared = " ".join(f"s{k}" for k in range(12))
+    items = [(k, f"{shared} own{k}") for k in range(10_000)]
+    texts = [f"before {shared} after"] * 50 + [f"{shared} own{k}" for k in range(20)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.contamination(documents(spark, texts), bench).collect()
+    every = hashlib.sha256(",".join(sorted(str(k) for k, _ in items)).encode()).hexdigest()
+    assert all((r.n_items, r.items_sha256) == (10_000, every) for r in got)
+    assert {r.n_hit for r in got if r.doc_id < 50} == {12} and {r.n_hit for r in got if r.doc_id >= 50} == {13}

@@ -1,6 +1,8 @@
 import math
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from photonlake.llm import mixing
 
 from .helpers import AWKWARD, clashing, documents
@@ -85,3 +87,14 @@ def test_a_doc_id_of_a_third_of_all_rows(spark):
         want[r.doc_id] += r.copies
     one, two = ([tuple(r) for r in sorted(mixing.mixed(d).collect(), key=str)] for d in (docs, docs.repartition(7)))
     assert one == two and Counter(r[0] for r in one) == +want
+
+
+def test_very_many_equal_rows_go_to_many_tasks(spark):
+    docs = spark.range(1_000_000).selectExpr("7L AS doc_id", "'a b c' AS text", "'en' AS lang", "'s' AS source", "5L AS n_chars").union(documents(spark, ["x y z"] * 30, ("t",)))
+    plan = mixing.mix_plan(docs).where("doc_id = 7 AND source = 's'")
+    sizes = [r["count"] for r in plan.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 1_000_000 and len(sizes) > 4 and max(sizes) < 400_000
+    copies = plan.agg(F.sum("copies")).first()[0]
+    mixed = mixing.mixed(docs)
+    rows = [r["count"] for r in mixed.where("doc_id = 7 AND source = 's'").groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(rows) == copies and max(rows) < 0.5 * copies and mixed.columns == docs.columns

@@ -1,4 +1,8 @@
 import gzip
+import re
+
+import pytest
+from pyspark.errors import PySparkException
 
 from photonlake.llm import warc
 
@@ -39,3 +43,22 @@ def test_headers_are_shuffled_without_payloads(spark):
     pages = spark.createDataFrame([(1, "u", "x" * 1000), (2, "u", "x" * 1000)], "page_id long, url string, html string")
     assert "html" not in warc.SPOOLED and "payload" not in warc.SPOOLED
     assert {r.record_type for r in warc.archive_pages(pages).collect()} == {"response", "revisit"}
+
+
+def test_ids_are_unique_and_a_wrong_one_is_found(spark, tmp_path):
+    rows = [(7, "u", "same"), (7, "v", "same"), (9, "w", "same"), (9, "w", "same"), (3, "x", "other"), (2, "y", "other"), (None, "z", "same")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    root = f"file://{tmp_path}/w"
+    assert {(r.page_id, r.refers_to) for r in warc.archive_pages(pages, root).collect()} == {(7, 9), (9, None), (3, None), (2, 3), (None, None)}
+    headers = warc.read_archives(spark, root)
+    ids = [r.record_id for r in headers.collect()]
+    assert len(set(ids)) == len(ids) == 7
+    for path in (tmp_path / "w").glob("*.warc.gz"):
+        data = gzip.decompress(path.read_bytes())
+        if b"WARC-Page-ID: 2\r\n" in data:
+            records = [x for x in re.split(rb"(?=WARC/1\.1\r\n)", data) if x]
+            wrong = next(x for x in ids if x != re.search(rb"WARC-Refers-To: (\S+)", next(r for r in records if b"WARC-Page-ID: 2\r\n" in r))[1].decode())
+            records = [re.sub(rb"WARC-Refers-To: \S+", b"WARC-Refers-To: " + wrong.encode(), r) if b"WARC-Page-ID: 2\r\n" in r else r for r in records]
+            path.write_bytes(b"".join(map(gzip.compress, records)))
+    with pytest.raises(PySparkException, match="refers to no response"):
+        warc.resolved(warc.read_archives(spark, root)).collect()
