@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import io
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -169,7 +170,7 @@ def read_frames(stream, chunk_bytes: int = 1 << 22) -> Iterator[list[tuple]]:
 CACHED_WORDS = 500_000
 
 
-class Pieces(dict):
+class Pieces:
     """Ids, as bytes, of what stands between two spaces, each with the space before it.
 
     A byte-level BPE is cut before a space that other than white space follows, and where white space begins. So a text
@@ -177,17 +178,22 @@ class Pieces(dict):
     space or the end after it; such runs are cut elsewhere, and those texts are encoded as they are.
 
     Of the words met, the last `most` to twice as many are kept: once `most` are there they become the older half, out of
-    which words that come again are taken over. A word takes some 250 bytes.
+    which words that come again are taken over. A word takes some 250 bytes. Both halves are plain dicts, so that taking
+    them from a set of words goes over the words alone.
     """
 
     LONGEST = 64
     RUNS = re.compile(r"\s (?!\S)")
+    #: Words of Latin letters, with signs behind them or not: by the tokenizer's own pattern two pieces at most. An
+    #: apostrophe has patterns of its own.
+    LETTERS = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!-&(-/:-@\[-`{-~]*)")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
+        self.now: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {"": b""}
         self.most = CACHED_WORDS
         self.tokenizer = Tokenizer.from_file(path)
         if type(self.tokenizer.model).__name__ != "BPE" or self.tokenizer.normalizer is not None or "ByteLevel" not in repr(self.tokenizer.pre_tokenizer):
@@ -198,12 +204,43 @@ class Pieces(dict):
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         self.opens[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
+        own = re.sub(r"\s", "", repr(self.tokenizer.pre_tokenizer))
+        self.model = self.tokenizer.model if own.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in own else None
+        self.bytes = _byte_letters()
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def words(self, words: list[str], together: int = 2000) -> dict[str, bytes]:
-        """The ids of words with a space before each, many words to a text; a token with that space begins each word."""
+    def lettered(self, word: str) -> bytes:
+        """The ids of a word of letters with a space before it, which the pattern leaves whole."""
+        letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.bytes)
+        ids = [t.id for t in self.model.tokenize(self.bytes[32] + letters)]
+        return struct.pack("<%d%s" % (len(ids), "I" if self.wide else "H"), *ids)
+
+    def words(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words with a space before each."""
+        if not self.model:
+            return self.together(words)
+        out, others = {}, []
+        for w in words:
+            m = self.LETTERS.fullmatch(w)
+            if not m:
+                others.append(w)
+                continue
+            stem, signs = m.groups()
+            own = out.get(stem) or self.now.get(stem)
+            if own is None:
+                out[stem] = own = self.lettered(stem)
+            if signs and signs not in self.signs:
+                if len(self.signs) > 10_000:
+                    self.signs = {"": b""}
+                self.signs[signs] = self.whole([signs])[0]
+            out[w] = own + self.signs[signs]
+        out.update(self.together(others))
+        return out
+
+    def together(self, words: list[str], together: int = 2000) -> dict[str, bytes]:
+        """The same, many words to a text; a token with that space begins each word."""
         out, alone, plain = {}, [], []
         for w in words:
             (plain if w and not w[0].isspace() and not w[-1].isspace() else alone).append(w)
@@ -220,27 +257,32 @@ class Pieces(dict):
         return out
 
     def clear(self) -> None:
-        super().clear()
-        self.older = {}
+        self.now, self.older = {}, {}
 
     def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
-        if len(self) > self.most:
-            self.older = dict(self)
-            super().clear()
+        if len(self.now) > self.most:
+            self.now, self.older = {}, self.now
         cut = [None if self.RUNS.search(t) or any(s in t for s in self.special) else t.split(" ") for t in texts]
         heads = self.whole([t if c is None else c.pop(0) for t, c in zip(texts, cut)])
-        own = set().union(*filter(None, cut)).difference(self)
-        self.update((w, self.older[w]) for w in own.intersection(self.older))
-        new = list(own.difference(self))
-        self.update(self.words(new))
-        tail = np.array([end], self.kind).tobytes()
-        out = [np.frombuffer(b"".join((head, *map(self.__getitem__, c or ()), tail)), self.kind) for head, c in zip(heads, cut)]
+        own = set().union(*filter(None, cut)).difference(self.now)
+        self.now.update((w, self.older[w]) for w in own if w in self.older)
+        new = list(own.difference(self.now))
+        self.now.update(self.words(new))
+        tail, ids = np.array([end], self.kind).tobytes(), self.now.__getitem__
+        out = [np.frombuffer(b"".join((head, *map(ids, c or ()), tail)), self.kind) for head, c in zip(heads, cut)]
         for x in new:
             if len(x) > self.LONGEST:
-                del self[x]
+                del self.now[x]
         return out
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that a byte-level vocabulary writes for each byte: its own where it is printable, else one from 256 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 _PIECES: dict[str, Pieces] = {}
 
 
