@@ -23,15 +23,16 @@ def directories(b: bytes, tags_wanted: frozenset[int] | None = None) -> Iterator
     order = {b"II": "little", b"MM": "big"}.get(b[:2])
     if len(b) < 8 or not order or int.from_bytes(b[2:4], order) != 42:
         return
-    open_, seen = [("ifd0", 0, int.from_bytes(b[4:8], order))], set()
+    open_, seen, mark = [("ifd0", 0, int.from_bytes(b[4:8], order))], set(), b[:2].decode()
+    tags_read = None if tags_wanted is None else tags_wanted | POINTERS.keys()
     while open_:
         name, k, at = open_.pop(0)
         if at in seen:
             continue
         seen.add(at)
-        entries, after = directory(b, order, at, None if tags_wanted is None else tags_wanted | POINTERS.keys())
+        entries, after = directory(b, order, at, tags_read)
         for tag, kind, count, value in entries:
-            yield name, k, tag, kind, count, value, b[:2].decode()
+            yield name, k, tag, kind, count, value, mark
             if tag in POINTERS and len(value) == 4 and k == 0 and (name, tag) != ("exif", 0x8769):
                 open_.append((POINTERS[tag], 0, int.from_bytes(value, order)))
         if after and name == "ifd0" and tags_wanted is None:

@@ -11,6 +11,7 @@ ranges are read that this parsing asks for.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -123,22 +124,33 @@ def _rational(e: Entry, i: int = 0) -> tuple[int | None, int | None]:
     return (_number(e[2], e[3], 8 * i, 4), _number(e[2], e[3], 8 * i + 4, 4)) if pair else (None, None)
 
 
+@lru_cache(maxsize=64)
+def _exif_plan(fields: tuple[str, ...]) -> tuple[frozenset[int], list, list, list, list]:
+    """The tags that fields need, and where and how each field is read."""
+    readers = [(n, names[n], read) for names, read in ((TEXTS, _text), (SHORTS, _short), (SIZES, _size)) for n in names if n in fields]
+    rationals = [(n, at) for n, at in RATIONALS.items() if f"{n}_num" in fields]
+    places = [(n, *at) for n, at in PLACES.items() if n in fields]
+    firsts = [(n, at) for n, at in FIRST_BYTES.items() if n in fields]
+    return frozenset(tag for f in fields for _, tag in TAGS_OF.get(f, ())), readers, rationals, places, firsts
+
+
 def exif_fields(found: dict[str, bytes], fields: Sequence[str] = tuple(TAGS_OF)) -> dict[str, object]:
     """The fields of an image's directories; of repeated entries the first counts."""
-    tags = frozenset(tag for f in fields for _, tag in TAGS_OF.get(f, ()))
+    tags, readers, rationals, places, firsts = _exif_plan(tuple(fields))
     own: dict[tuple[str, int], Entry] = {}
     for kind in ("exif", "exif_ifd"):
-        for ifd, k, tag, form, count, value, mark in directories(found.get(kind, b""), tags):
-            if not k:
-                own.setdefault(("exif" if kind == "exif_ifd" and ifd == "ifd0" else ifd, tag), (form, count, value, "little" if mark == "II" else "big"))
-    out: dict[str, object] = {n: read(own[at]) for names, read in ((TEXTS, _text), (SHORTS, _short), (SIZES, _size)) for n, at in names.items() if at in own}
-    for n, at in RATIONALS.items():
+        if kind in found:
+            for ifd, k, tag, form, count, value, mark in directories(found[kind], tags):
+                if not k:
+                    own.setdefault(("exif" if kind == "exif_ifd" and ifd == "ifd0" else ifd, tag), (form, count, value, "little" if mark == "II" else "big"))
+    out: dict[str, object] = {n: read(own[at]) for n, at, read in readers if at in own}
+    for n, at in rationals:
         if at in own:
             out[f"{n}_num"], out[f"{n}_den"] = _rational(own[at])
-    for n, (ref, at) in PLACES.items():
+    for n, ref, at in places:
         if ref in own and at in own and own[at][1] == 3:
             out[f"{n}_ref"], out[n] = own[ref][2][:1].decode("latin-1"), [x for i in range(3) for x in _rational(own[at], i)]
-    out.update((n, own[at][2][0]) for n, at in FIRST_BYTES.items() if at in own and own[at][2])
+    out.update((n, own[at][2][0]) for n, at in firsts if at in own and own[at][2])
     return out
 
 
@@ -167,16 +179,24 @@ def failure(component: str, error: str, content: bytes | None) -> dict[str, obje
     return {"component": component, "kind": kind, "message": message or None, "magic": bytes(content[:12]) if content and kind == "UnsupportedFormat" else None}
 
 
+@lru_cache(maxsize=64)
+def _record_plan(columns: frozenset[str], fields: tuple[str, ...], components: tuple[str, ...]) -> tuple[bool, frozenset[str], bool, list[str]]:
+    """Whether all components are read, the kinds of payloads that are, and what needs XMP: at once, or where EXIF lacks it."""
+    every = not columns.isdisjoint(("error", "failures"))
+    exif, iptc = (every or any(f in group for f in fields) for group in (TAGS_OF, (*IPTC_FIELDS, "i_keywords")))
+    kinds = {k for c, on in (("exif", exif), ("iptc", iptc), ("xmp", every)) if on and c in components for k in KINDS if k.startswith(c)}
+    in_xmp = [c for c in columns if "xmp" in components and any(f.startswith("x_") for f in NEEDS[c])]
+    return every, frozenset(kinds), any(c not in EXIF_FIRST for c in in_xmp), [c for c in in_xmp if c in EXIF_FIRST]
+
+
 def record_of(content: bytes | None, form: str | None, columns: frozenset[str], fields: Sequence[str], components: Sequence[str], registry: Registry = BUILT_IN) -> dict[str, object]:
     """The fields of one image that columns need, with its error and failures.
 
     A component that cannot be read leaves the others; the first failure is the error, and it names the component unless
     the container itself is damaged. Asking for error or failures reads every component.
     """
-    every = not columns.isdisjoint(("error", "failures"))
-    exif, iptc = (every or any(f in group for f in fields) for group in (TAGS_OF, (*IPTC_FIELDS, "i_keywords")))
-    kinds = {k for c, on in (("exif", exif), ("iptc", iptc), ("xmp", every)) if on and c in components for k in KINDS if k.startswith(c)}
-    found, error = opened(content, form, registry, frozenset(kinds)) if kinds or form is None else ({}, None)
+    every, kinds, at_once, unless_filled = _record_plan(columns, tuple(fields), tuple(components))
+    found, error = opened(content, form, registry, kinds) if kinds or form is None else ({}, None)
     failures = [failure("container", error, content)] if error else []
     out: dict[str, object] = {}
 
@@ -191,8 +211,8 @@ def record_of(content: bytes | None, form: str | None, columns: frozenset[str],
     if "iptc" in found:
         read("iptc", lambda: iptc_fields(found["iptc"]))
         read("iptc", lambda: checked(found["iptc"]) or {})
-    lacking = any(f.startswith("x_") for c in columns if c not in EXIF_FIRST or out.get(c) is None for f in NEEDS[c])
-    if lacking and "xmp" in components and "xmp" not in kinds and form is not None and not failures:
+    lacking = at_once or any(out.get(c) is None for c in unless_filled)
+    if lacking and "xmp" not in kinds and form is not None and not error:
         found, late = opened(content, form, registry, frozenset(("xmp",)))
         failures += [failure("container", late, content)] if late else []
     if lacking and "xmp" in found or every and "xmp" in found:

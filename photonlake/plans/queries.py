@@ -63,15 +63,15 @@ def part_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def camera_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat_metadata(part_images(spark, sf_dir)).select("path", "format", "make", "model", "lens", "iso", "f_number", "width", "height")
+    return flat_metadata(part_images(spark, sf_dir), columns=("path", "format", "make", "model", "lens", "iso", "f_number", "width", "height"))
 
 
 def images_by_make(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat_metadata(part_images(spark, sf_dir), ("exif",)).groupBy("format", "make").agg(F.count(F.lit(1)).alias("images"), F.count_distinct("lens").alias("lenses"), F.max("iso").alias("most_iso"))
+    return flat_metadata(part_images(spark, sf_dir), ("exif",), columns=("format", "make", "lens", "iso")).groupBy("format", "make").agg(F.count(F.lit(1)).alias("images"), F.count_distinct("lens").alias("lenses"), F.max("iso").alias("most_iso"))
 
 
 def exposure_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = flat_metadata(part_images(spark, sf_dir), ("exif",))
+    rows = flat_metadata(part_images(spark, sf_dir), ("exif",), columns=("path", "orientation", "metering_mode", "flash"))
     return rows.select("path", I.described("orientation", F.col("orientation")).alias("orientation"), I.described("metering_mode", F.col("metering_mode")).alias("metering"), I.flash_fired(F.col("flash")).alias("flash_fired"))
 
 
@@ -86,11 +86,11 @@ def customer_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def xmp_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat_metadata(customer_images(spark, sf_dir), ("xmp",)).select("path", "format", "model", "creator", F.array_join("keywords", ";").alias("keywords"))
+    return flat_metadata(customer_images(spark, sf_dir), ("xmp",), columns=("path", "format", "model", "creator", "keywords")).select("path", "format", "model", "creator", F.array_join("keywords", ";").alias("keywords"))
 
 
 def images_by_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat_metadata(customer_images(spark, sf_dir), ("xmp",)).select(F.explode("keywords").alias("keyword")).groupBy("keyword").agg(F.count(F.lit(1)).alias("images"))
+    return flat_metadata(customer_images(spark, sf_dir), ("xmp",), columns=("keywords",)).select(F.explode("keywords").alias("keyword")).groupBy("keyword").agg(F.count(F.lit(1)).alias("images"))
 
 
 @fixture
@@ -108,7 +108,7 @@ def event_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gps_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat_metadata(event_images(spark, sf_dir), ("exif",)).select("path", "format", "latitude", "longitude", "altitude")
+    return flat_metadata(event_images(spark, sf_dir), ("exif",), columns=("path", "format", "latitude", "longitude", "altitude"))
 
 
 def iptc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +134,7 @@ def priority_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def caption_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat_metadata(priority_images(spark, sf_dir)).select("path", "caption", "copyright")
+    return flat_metadata(priority_images(spark, sf_dir), columns=("path", "caption", "copyright"))
 
 
 def segment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,14 +149,14 @@ def order_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def captured_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = flat_metadata(order_images(spark, sf_dir), ("exif",))
+    rows = flat_metadata(order_images(spark, sf_dir), ("exif",), columns=("captured_at", "make"))
     return rows.groupBy(F.date_format("captured_at", "yyyy-MM").alias("month"), "make").agg(F.count(F.lit(1)).alias("images"))
 
 
 def stamped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A notice of copyright set in every component that an image has."""
     after = edit_metadata(priority_images(spark, sf_dir), {"copyright": F.concat(F.lit("(c) "), F.col("p_brand"))})
-    return flat_metadata(after).select("path", "copyright", "caption", "make", "model", "lens", "iso")
+    return flat_metadata(after, columns=("path", "copyright", "caption", "make", "model", "lens", "iso"))
 
 
 def keywords_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,7 +171,7 @@ def tiff_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tiff_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
     after = edit_metadata(tiff_images(spark, sf_dir), {"camera_model": F.col("p_type"), "iso": F.col("p_size") * 1000, "f_number": F.lit(2.8)})
-    return flat_metadata(after, ("exif",)).select("path", "format", "make", "model", "lens", "iso", "f_number")
+    return flat_metadata(after, ("exif",), columns=("path", "format", "make", "model", "lens", "iso", "f_number"))
 
 
 def edit_report(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ import re
 import struct
 import zlib
 from collections.abc import Container, Iterator
+from operator import itemgetter
 
 #: Markers of metadata in JPEG, PNG and ISO containers.
 XMP_URI = b"http://ns.adobe.com/xap/1.0/\x00"
@@ -310,6 +311,8 @@ def patched(b: bytes) -> bytes:
     return b"II*\0" + b[4:] if isinstance(b, bytes) else b.headed(b"II*\0")
 
 
+ENTRIES = {"little": struct.Struct("<HHI4s"), "big": struct.Struct(">HHI4s")}
+TAG = itemgetter(0)
 #: Bytes of a value, by TIFF type; values of other types are the four bytes of their field.
 WIDTHS = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 
@@ -326,17 +329,18 @@ def directory(b: bytes, order: str, at: int, tags: Container[int] | None = None)
     if at + 2 + 12 * n > len(b):
         return [], 0
     table, out = b[at + 2 : at + 6 + 12 * n], []
-    for e in range(0, 12 * n, 12):
-        tag = int.from_bytes(table[e : e + 2], order)
+    for tag, kind, count, raw in ENTRIES[order].iter_unpack(table[: 12 * n]):
         if tags is not None and tag not in tags:
             continue
-        kind, count = int.from_bytes(table[e + 2 : e + 4], order), int.from_bytes(table[e + 4 : e + 8], order)
-        size = WIDTHS.get(kind, 0) * count
-        if kind not in WIDTHS or size <= 4:
-            out.append((tag, kind, count, table[e + 8 : e + 8 + (4 if kind not in WIDTHS else size)]))
-        elif (where := int.from_bytes(table[e + 8 : e + 12], order)) + size <= len(b):
+        width = WIDTHS.get(kind)
+        if width is None:
+            out.append((tag, kind, count, raw))
+        elif (size := width * count) <= 4:
+            out.append((tag, kind, count, raw[:size]))
+        elif (where := int.from_bytes(raw, order)) + size <= len(b):
             out.append((tag, kind, count, b[where : where + size]))
-    return sorted(out, key=lambda x: x[0]), int.from_bytes(table[12 * n :], order)
+    out.sort(key=TAG)
+    return out, int.from_bytes(table[12 * n :], order)
 
 
 WALKERS = {"JPEG": jpeg, "PNG": png, "WebP": webp, "HEIF": heif, "AVIF": heif, "CR3": cr3} | dict.fromkeys(("TIFF", "CR2", "NEF", "ARW", "DNG", "ORF", "RW2"), tiff)
