@@ -140,7 +140,9 @@ def clean_documents(documents: DataFrame, benchmark: DataFrame, window: int = WI
     """The documents, in all their columns, that no benchmark window occurs in.
 
     Hit documents leave by an anti-join on their doc_ids, of which there are few; rows with a null doc_id are known by
-    the hash of their text.
+    the hash of their text. Null and empty texts have no window and stay; a very long text is searched whole; rows with
+    one doc_id leave together where one of their texts is hit; an empty benchmark drops nothing, and an empty table gives
+    no rows.
     """
     work = Workspace(documents.sparkSession, "decontaminated")
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(F.col("text"), F.lit("")))))

@@ -74,3 +74,44 @@ def test_longer_rules_come_first():
     for k, (_, rule) in enumerate(licenses.RULES):
         for _, other in licenses.RULES[k + 1 :]:
             assert not any(other[i : i + len(rule)] == rule for i in range(len(other) - len(rule) + 1)), (rule, other)
+
+
+def brute(text):
+    """Known sentences line by line: of those that begin at a line the longest, then on after it."""
+    if not text or not re.search(licenses.CUE, text, re.I):
+        return []
+    text = re.sub(licenses.SPDX, r"\1.\n", text)
+    text = re.sub(licenses.ADDRESS, " ", text)
+    text = re.sub(licenses.WRAP, " ", text)
+    lines = [licenses.normalised_text(x) for x in re.sub(licenses.STOPS, "\n\n", text).split("\n")]
+    known, out, k = licenses.known(), [], 0
+    while k < len(lines):
+        best = None
+        for end in range(k + 1, len(lines) + 1):
+            if not all(lines[k:end]):
+                break
+            if (s := " ".join(lines[k:end])) in known:
+                best = (end, known[s])
+        if best:
+            out.append(best[1])
+        k = best[0] if best else k + 1
+    return out
+
+
+def test_random_notices_against_brute_force(spark):
+    import random
+
+    r, texts = random.Random(9), []
+    for _ in range(250):
+        parts = []
+        for _ in range(r.randrange(1, 6)):
+            s = r.choice(list(licenses.SENTENCES.values())) if r.random() < 0.8 else " ".join(r.choice(("We", "license", "this", "MIT", "All rights reserved", "WITHOUT", "or")) for _ in range(r.randrange(1, 7)))
+            words = s.split(" ")
+            for _ in range(r.randrange(3)):
+                k = r.randrange(len(words))
+                words[k] = r.choice(("\n", "\n * ", "\r\n", "\n\n", "\n# ")) + words[k]
+            parts.append(" ".join(words))
+        texts.append("".join(p + r.choice((" ", "\n", "\n\n", ". ")) for p in parts))
+    got = licenses.license_scan(documents(spark, texts + AWKWARD)).orderBy("doc_id").collect()
+    want = [brute(t) for t in texts + AWKWARD]
+    assert [r.sentence_ids for r in got] == [",".join(w) for w in want] and sum(map(len, want)) > 300

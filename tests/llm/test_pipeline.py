@@ -49,3 +49,36 @@ def test_empty_and_null_rows(spark):
     assert sorted(str(r.doc_id) for r in jaccard.one_of_each(nulls).collect()) == ["0", "2", "None", "None"]
     bench = spark.createDataFrame([(1, "bench mark")], "item_id long, text string")
     assert sorted(str(r.doc_id) for r in decontamination.clean_documents(nulls, bench).collect()) == ["0", "1", "2", "None"]
+
+
+def run_on(spark, folder, docs):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "some bench mark")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return corpus_pipeline.run(spark, str(folder)).collect()
+
+
+def test_empty_tables_run_through(spark, tmp_path):
+    assert run_on(spark, tmp_path, documents(spark, ["a"]).limit(0)) == []
+
+
+def test_null_ids_and_equal_rows_run_through(spark, tmp_path):
+    """The result against the texts that the mix took: order, starts and checksums."""
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    from photonlake.llm import mixing, records
+
+    docs = documents(spark, [f"text number {k} of these" for k in range(30)] + [None, "", "some bench mark"], ("a", "b", None))
+    docs = docs.union(spark.createDataFrame([(None, "without a number", "en", "a", 3), (5, "text number 5 of these", "en", None, 3)], docs.schema))
+    got = run_on(spark, tmp_path, docs)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+    taken = mixing.mixed(corpus_pipeline.drop_contaminated(spark, kept, str(tmp_path))).collect()
+    order = sorted((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in taken)
+    tokenizer, start, want = Tokenizer.from_file(records.tokenizer_file()), 0, []
+    for there, d, t in order:
+        ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 0]
+        want.append((d if there else None, start, len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))))
+        start += len(ids)
+    assert [tuple(r)[:4] for r in sorted(got, key=lambda r: r.start)] == want and not any("bench" in t for _, _, t in order)

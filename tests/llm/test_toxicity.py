@@ -97,3 +97,20 @@ def test_a_doc_id_of_a_third_of_all_rows_trains_once(spark):
     assert len(own) == len({r.doc_id for r in own}) and len(own) == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(150))
     assert toxicity.train(docs, labels) == toxicity.train(docs.repartition(5), labels)
     assert toxicity.toxicity(docs, labels).count() == len(rows)
+
+
+def test_sentences_by_brute_force(spark):
+    texts, toxic = corpus(160)
+    texts = [t.replace(". ", "! " if k % 3 else "\n") for k, t in enumerate(texts)] + AWKWARD
+    docs = documents(spark, texts)
+    labels = spark.createDataFrame([(i, 1, y) for i, y in enumerate(toxic)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, labels)
+    want = []
+    for d, t in enumerate(texts):
+        for k, s in enumerate(re.split("[.!?\n]+", t or "")):
+            alone = toxicity.Model(model.weights, model.bias, 0.0)
+            p = noisy_or(s, alone)
+            if p >= toxicity.THRESHOLD:
+                want.append((d, k, round(p, 9), s.strip()))
+    got = [(r.doc_id, r.number, round(r.probability, 9), r.sentence) for r in toxicity.offending_sentences(docs, model).collect()]
+    assert sorted(got) == sorted(want) and len(got) > 15
