@@ -52,11 +52,11 @@ _COLUMNS = {
     "path": pa.string(), "format": pa.string(), "error": pa.string(), "failures": FAILURES, "length": pa.int64(), "bytes_read": pa.int64(),
     **dict.fromkeys(TEXTS, pa.string()), **dict.fromkeys([*SHORTS, *SIZES], pa.int64()),
     **{f"{n}_{part}": pa.int64() for n in RATIONALS for part in ("num", "den")}, **{f"{n}_ref": pa.string() for n in PLACES}, **{n: pa.list_(pa.int64()) for n in PLACES},
-    **dict.fromkeys(FIRST_BYTES, pa.int64()), **dict.fromkeys([*XMP_FIELDS, *IPTC_FIELDS], pa.string()), "i_keywords": pa.list_(pa.string()),
+    **dict.fromkeys(FIRST_BYTES, pa.int64()), **dict.fromkeys([*XMP_FIELDS, *IPTC_FIELDS], pa.string()), "i_keywords": pa.list_(pa.string()), "x_all": pa.map_(pa.string(), pa.string()),
 }
 _NAMES = {
     pa.string(): "string", pa.int64(): "long", pa.list_(pa.int64()): "array<long>", pa.list_(pa.string()): "array<string>",
-    FAILURES: "array<struct<component:string,kind:string,message:string,magic:binary>>",
+    pa.map_(pa.string(), pa.string()): "map<string,string>", FAILURES: "array<struct<component:string,kind:string,message:string,magic:binary>>",
 }
 #: Where the values of the fields stand, by field.
 TAGS_OF = {
@@ -72,10 +72,11 @@ NEEDS = {
     "exposure_time": ("exposure_num", "exposure_den"), "f_number": ("f_number_num", "f_number_den"), "iso": ("iso",), "focal_length_mm": ("focal_num", "focal_den"), "orientation": ("orientation",),
     "white_balance": ("white",), "flash": ("flash",), "exposure_mode": ("mode",), "color_space": ("color",), "metering_mode": ("metering",), "subject_distance": ("distance_num", "distance_den"),
     "digital_zoom_ratio": ("zoom_num", "zoom_den"), "scene_type": ("scene",), "caption": ("x_description", "i_caption", "description"), "copyright": ("x_rights", "i_copyright", "copyright"),
-    "creator": ("x_creator", "i_creator", "artist"), "keywords": ("x_subject", "i_keywords"),
+    "creator": ("x_creator", "i_creator", "artist"), "keywords": ("x_subject", "i_keywords"), "xmp": ("x_all",),
 }
 EXIF_FIRST = ("make", "model", "lens", "software")
-#: The columns of a record of contents; files have length and bytes_read besides, and both failures where asked for.
+#: The columns of a record of contents; files have length and bytes_read besides, and both, where asked for, failures, and
+#: in xmp all properties by URI, namespace and name together.
 RECORD_COLUMNS = (
     "path", "format", "error", "make", "model", "lens", "software", "width", "height", "captured_at", "date_time", "latitude", "longitude", "altitude", "exposure_time", "f_number", "iso",
     "focal_length_mm", "orientation", "white_balance", "flash", "exposure_mode", "color_space", "metering_mode", "subject_distance", "digital_zoom_ratio", "scene_type", "caption", "copyright",
@@ -169,9 +170,10 @@ def iptc_fields(block: bytes) -> dict[str, object]:
     return {n: text(first[d]) for n, d in IPTC_FIELDS.items() if d in first} | {"i_keywords": [text(v) for r, d, v in own if (r, d) == (2, 25)]}
 
 
-def xmp_fields(packet: bytes) -> dict[str, object]:
+def xmp_fields(packet: bytes, fields: Sequence[str] = ()) -> dict[str, object]:
     own = properties(packet)
-    return {n: v for n, (p, local) in XMP_FIELDS.items() if (v := own.get((NAMESPACES[p], local)))}
+    every = {"x_all": [(ns + local, v) for (ns, local), v in own.items()]} if "x_all" in fields else {}
+    return every | {n: v for n, (p, local) in XMP_FIELDS.items() if (v := own.get((NAMESPACES[p], local)))}
 
 
 def failure(component: str, error: str, content: bytes | None) -> dict[str, object]:
@@ -216,7 +218,7 @@ def record_of(content: bytes | None, form: str | None, columns: frozenset[str],
         found, late = opened(content, form, registry, frozenset(("xmp",)))
         failures += [failure("container", late, content)] if late else []
     if lacking and "xmp" in found or every and "xmp" in found:
-        read("xmp", lambda: xmp_fields(found["xmp"]))
+        read("xmp", lambda: xmp_fields(found["xmp"], fields))
     if failures:
         f = failures[0]
         parts = [f["kind"], *([f["component"]] if f["component"] != "container" else []), *([f["message"]] if f["message"] else [])]
@@ -288,6 +290,7 @@ def record_columns(strict_gps: bool = False) -> dict[str, Column]:
     keywords = F.when(F.size("i_keywords") > 0, F.col("i_keywords"))
     return {
         **{c: F.col(c) for c in ("path", "format", "error", "failures", "length", "bytes_read", "iso", "orientation", "flash")},
+        "xmp": F.col("x_all"),
         "make": F.coalesce("make", text("x_make")), "model": F.coalesce("model", text("x_model"), text("x_tool")), "lens": F.coalesce("lens", text("x_lens")), "software": F.coalesce("software", text("x_tool")),
         "width": F.when(both, F.col("width")), "height": F.when(both, F.col("height")),
         "captured_at": F.coalesce(I.exif_time(F.col("original"), F.col("offset")), I.xmp_time(F.col("x_original"))), "date_time": I.exif_time(F.col("date_time")),

@@ -82,7 +82,7 @@ def tags_by_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
 @fixture
 def customer_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner = F.concat(B.element("tiff:Model", F.col("c_name")), B.listed("dc:creator", "Seq", F.col("c_name")), B.listed("dc:subject", "Bag", F.col("c_mktsegment"), F.col("c_nationkey").cast("string")))
-    return table(spark, sf_dir, "customer").select(path("c", "c_custkey", "png"), B.png(None, B.xmp(inner)).alias("content"), "c_mktsegment")
+    return table(spark, sf_dir, "customer").select(path("c", "c_custkey", "png"), B.png(None, B.xmp(inner)).alias("content"), "c_mktsegment", "c_nationkey")
 
 
 def xmp_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -375,13 +375,17 @@ def xmp_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return xmp_properties(facts(images, ("xmp",))).select("path", "local", "value")
 
 
+def xmp_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One property by its namespace and name, of the images that have it."""
+    after = edit_metadata(customer_images(spark, sf_dir), {"properties": F.when(F.col("c_nationkey") % 2 == 0, F.array(F.struct(F.lit(NAMESPACES["photoshop"]).alias("ns"), F.lit("City").alias("local"), F.col("c_mktsegment").alias("value"))))})
+    return xmp_value(xmp_properties(facts(after, ("xmp",))), NAMESPACES["photoshop"], "City")
+
+
 def more_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keywords added to those of XMP packets, and a property set by its namespace and name."""
     uri = NAMESPACES["photoshop"]
     after = edit_metadata(customer_images(spark, sf_dir), {"add_keywords": F.array(F.lit("new"), F.lower("c_mktsegment")), "properties": F.array(F.struct(F.lit(uri).alias("ns"), F.lit("City").alias("local"), F.col("c_mktsegment").alias("value")))})
-    rows = facts(after, ("xmp",))
-    city = xmp_value(xmp_properties(rows), uri, "City").withColumnRenamed("value", "city")
-    return flat_metadata(after, ("xmp",)).select("path", F.array_join("keywords", ";").alias("keywords")).join(city, "path")
+    return flat_metadata(after, ("xmp",), columns=("path", "keywords", "xmp")).select("path", F.array_join("keywords", ";").alias("keywords"), F.col("xmp")[uri + "City"].alias("city"))
 
 
 def iptc_keywords_added(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -598,7 +602,7 @@ QUERIES = {
     "segment_counts": segment_counts, "captured_by_month": captured_by_month, "stamped": stamped, "keywords_edited": keywords_edited, "tiff_edited": tiff_edited, "edit_report": edit_report,
     "makernote_tags": makernote_tags, "detected": detected, "golden_entries": golden_entries, "damaged": damaged,
     "makernote_directories": makernote_directories, "heif_records": heif_records, "heif_edited": heif_edited, "cr3_records": cr3_records, "cr3_edited": cr3_edited, "raw_records": raw_records,
-    "raw_edited": raw_edited, "packed_records": packed_records, "webp_edited": webp_edited, "untidy_packets": untidy_packets, "xmp_structures": xmp_structures, "more_keywords": more_keywords,
+    "raw_edited": raw_edited, "packed_records": packed_records, "webp_edited": webp_edited, "untidy_packets": untidy_packets, "xmp_structures": xmp_structures, "more_keywords": more_keywords, "xmp_cities": xmp_cities,
     "iptc_keywords_added": iptc_keywords_added, "fitness": fitness, "json_records": json_records, "files_read_back": files_read_back, "streamed_catalogue": streamed_catalogue, "well_formed": well_formed,
     "range_records": range_records, "failed_components": failed_components, "stream_edited": stream_edited, "captured_windows": captured_windows,
     "exposure_settings": exposure_settings, "xmp_places": xmp_places, "edited_captures": edited_captures, "raw_makernotes": raw_makernotes, "legacy_text": legacy_text, "edited_thrice": edited_thrice,
@@ -648,6 +652,7 @@ ORACLE_SQL = {
     "webp_edited": "SELECT 'c' || c_custkey || '.bin' AS path, 'WebP' AS format, lower(c_mktsegment) AS model, 2 AS keywords FROM customer WHERE c_custkey % 2 = 0",
     "untidy_packets": "SELECT 's' || s_suppkey || '.jpg' AS path, " + ", ".join([f"CASE s_suppkey % {len(UNTIDY)} {' '.join(f'WHEN {n} THEN ' + e.replace('{}', 's_name') for n, (_, c, e) in enumerate(UNTIDY) if c == column)} END AS {column}" for column in ("make", "copyright")]) + f", CASE WHEN s_suppkey % {len(UNTIDY)} = 0 THEN 'M&unknown;' || s_name END AS model, NULL::VARCHAR AS error FROM supplier",
     "xmp_structures": " UNION ALL ".join(f"SELECT 's' || s_suppkey || '.jpg' AS path, '{local}' AS local, {value} AS value FROM supplier" for local, value in (("contact.mail", "s_name"), ("source.id", "s_suppkey::VARCHAR"), ("source.nation", "s_nationkey::VARCHAR"), ("link", "'r'"))),
+    "xmp_cities": "SELECT 'c' || c_custkey || '.png' AS path, c_mktsegment AS value FROM customer WHERE c_nationkey % 2 = 0",
     "more_keywords": "SELECT 'c' || c_custkey || '.png' AS path, c_mktsegment || ';' || c_nationkey || ';new;' || lower(c_mktsegment) AS keywords, c_mktsegment AS city FROM customer",
     "iptc_keywords_added": "SELECT 's' || s_suppkey || '.jpg' AS path, s_name AS caption, s_name || ';nation ' || s_nationkey || ';日本' AS keywords FROM supplier",
     "fitness": f"SELECT 's' || s_suppkey || '.jpg' AS path, CASE WHEN s_suppkey % 4 > 0 THEN 'JPEG' END AS format, CASE s_suppkey % 4 WHEN 0 THEN '{UNKNOWN}' WHEN 1 THEN '{NO_DIRECTORY}' WHEN 2 THEN '{NO_PROPERTIES}' END AS problem FROM supplier",

@@ -134,7 +134,7 @@ def test_columns_decide_what_is_parsed(spark, folder, monkeypatch):
     plan = flat_metadata(spark.createDataFrame([("p", b"")], "path string, content binary"), columns=("make",))._jdf.queryExecution().executedPlan().toString()
     assert "x_make" in plan and "x_model" not in plan and "iso" not in plan
     parsed = []
-    monkeypatch.setattr("photonlake.operators.metadata.xmp_fields", lambda b: parsed.append(b) or {"x_make": "from xmp"})
+    monkeypatch.setattr("photonlake.operators.metadata.xmp_fields", lambda b, fields: parsed.append(b) or {"x_make": "from xmp"})
     files = [(f"file://{folder}/a.jpg", None)]
     assert next(decoded_files(files, ("make",))).to_pydict()["make"] == ["Acm"] and not parsed  # EXIF has it
     next(decoded_files(files, ("iso", "width")))
