@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from ..functions.registry import NAMESPACES
 from ..sources.containers import Damaged
-from ..sources.images import bounded, opened, with_format
+from ..sources.formats import BUILT_IN
+from ..sources.images import bounded, opened
 from ..sources.layout import Changes
 from ..sources.writers import WRITERS, edited_exif, edited_tiff, encoded_iptc, encoded_xmp
 from .iptc import UTF8, datasets_of
@@ -161,13 +162,13 @@ def edit_metadata(images: DataFrame, fields: Mapping[str, Column]) -> DataFrame:
     def edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
         for batch in batches:
-            for path, content, fields, form in zip(*(batch.column(c) for c in ("path", "content", "fields", "format"))):
+            for path, content, fields in zip(*(batch.column(c) for c in ("path", "content", "fields"))):
                 old, new, error = content.as_py(), None, None
                 values = fields.as_py()
                 if isinstance(values.get("captured_at"), dt.datetime) and values["captured_at"].tzinfo:
                     values["captured_at"] = values["captured_at"].astimezone(dt.timezone.utc)
                 try:
-                    new = edited(old, form.as_py(), values)
+                    new = edited(old, BUILT_IN.format_of(old), values)
                 except (ValueError, OverflowError) as e:
                     error = str(e)
                 rows.append((path.as_py(), old if new is None else new, new is not None and new != old, error))
@@ -177,7 +178,7 @@ def edit_metadata(images: DataFrame, fields: Mapping[str, Column]) -> DataFrame:
                     rows, held = [], 0
         yield _edited_batch(rows)
 
-    return bounded(with_format(rows)).mapInArrow(edit, "path string, content binary, changed boolean, error string")
+    return bounded(rows).mapInArrow(edit, "path string, content binary, changed boolean, error string")
 
 
 _EDITED = pa.schema([("path", pa.string()), ("content", pa.binary()), ("changed", pa.bool_()), ("error", pa.string())])

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..sources.formats import BUILT_IN, Registry
-from ..sources.images import bounded, opened, with_format
+from ..sources.images import bounded, opened
 from .exif import directories
 from .iptc import UTF8, checked, datasets_of
 from .makernote import makernote_directory, makernote_entries
@@ -58,9 +58,10 @@ def facts(images: DataFrame, components: tuple[str, ...] = COMPONENTS, registry:
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for path, content, form in zip(*(batch.column(c) for c in ("path", "content", "format"))):
-                path, form = path.as_py(), form.as_py()
-                found, error = opened(content.as_py(), form, registry)
+            for path, content in zip(batch.column("path"), batch.column("content")):
+                path, content = path.as_py(), content.as_py()
+                form = registry.format_of(content)
+                found, error = opened(content, form, registry)
                 own = []
                 for component in COMPONENTS[:3]:
                     try:
@@ -76,7 +77,7 @@ def facts(images: DataFrame, components: tuple[str, ...] = COMPONENTS, registry:
                     rows = []
             yield _batch(rows)
 
-    return bounded(with_format(images.select("path", "content"), registry)).mapInArrow(parse, FACTS)
+    return bounded(images.select("path", "content")).mapInArrow(parse, FACTS)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -21,7 +21,7 @@ from ..functions import image as I
 from ..functions.registry import NAMESPACES
 from ..sources.containers import KINDS
 from ..sources.formats import BUILT_IN, Registry
-from ..sources.images import bounded, kept_errors, opened, with_format
+from ..sources.images import bounded, kept_errors, opened
 from ..sources.ranges import opened_files
 from ..sources.table import FORMAT, ImageFiles
 from .exif import directories
@@ -237,13 +237,14 @@ def decoded(images: DataFrame, components: Sequence[str], columns: Sequence[str]
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for path, content, form in zip(*(batch.column(c) for c in ("path", "content", "format"))):
-                content, form = content.as_py(), form.as_py()
+            for path, content in zip(batch.column("path"), batch.column("content")):
+                content = content.as_py()
+                form = registry.format_of(content)
                 size = None if content is None else len(content)
                 rows.append({"path": path.as_py(), "format": form, "length": size, "bytes_read": size, **record_of(content, form, wanted, fields, components, registry)})
             yield batch_of(rows, fields)
 
-    return bounded(with_format(images.select("path", "content"), registry)).mapInArrow(read, ddl(fields))
+    return bounded(images.select("path", "content")).mapInArrow(read, ddl(fields))
 
 
 #: Rows of a batch of records of files.
@@ -367,12 +368,15 @@ def validated(images: DataFrame) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for content, form in zip(batch.column("content"), batch.column("format")):
-                found, error = opened(content.as_py(), form.as_py())
-                if error and form.as_py() is not None:
+            out, forms = [], []
+            for content in batch.column("content"):
+                content = content.as_py()
+                form = BUILT_IN.format_of(content)
+                forms.append(form)
+                found, error = opened(content, form)
+                if error and form is not None:
                     out.append(error)
-                elif form.as_py() is None:
+                elif form is None:
                     out.append(UNKNOWN)
                 elif "exif" in found and not any(d[0] == "ifd0" for d in directories(found["exif"])):
                     out.append(NO_DIRECTORY)
@@ -382,9 +386,9 @@ def validated(images: DataFrame) -> DataFrame:
                         out.append(None)
                     except ValueError:
                         out.append(NO_PROPERTIES)
-            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("format"), pa.array(out, pa.string())], names=["path", "format", "problem"])
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(forms, pa.string()), pa.array(out, pa.string())], names=["path", "format", "problem"])
 
-    return bounded(with_format(images.select("path", "content"))).mapInArrow(check, "path string, format string, problem string")
+    return bounded(images.select("path", "content")).mapInArrow(check, "path string, format string, problem string")
 
 
 def as_json(records: DataFrame) -> DataFrame:

@@ -59,8 +59,10 @@ class Registry:
             own = F.when(f.matches_column(content), f.name).otherwise(own)
         return own
 
-    def format_of(self, b: bytes) -> str | None:
-        """The same of the bytes of one file, of which no more than the first is looked at."""
+    def format_of(self, b: bytes | None) -> str | None:
+        """The same of the bytes of one file, of which no more than the first are looked at."""
+        if b is None:
+            return None
         return next((f.name for f in self.formats if f.matches(b)), None) or sniffed(b)
 
     def walk(self, name: str, b: bytes, kinds: frozenset[str] = KINDS) -> Found:

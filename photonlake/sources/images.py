@@ -70,9 +70,11 @@ def segments(images: DataFrame, components: tuple[str, ...] = ("exif", "iptc", "
         fields = pa.schema([("path", pa.string()), ("format", pa.string()), *((f"raw_{c}", pa.binary()) for c in ("exif", "iptc", "xmp")), ("error", pa.string())])
         for batch in batches:
             rows = []
-            for path, content, kind in zip(*(batch.column(c) for c in ("path", "content", "format"))):
-                found, error = opened(content.as_py(), kind.as_py(), registry)
-                rows.append((path.as_py(), kind.as_py(), *(found.get(c) if c in components else None for c in ("exif", "iptc", "xmp")), error))
+            for path, content in zip(batch.column("path"), batch.column("content")):
+                content = content.as_py()
+                kind = registry.format_of(content)
+                found, error = opened(content, kind, registry)
+                rows.append((path.as_py(), kind, *(found.get(c) if c in components else None for c in ("exif", "iptc", "xmp")), error))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(fields)], schema=fields)
 
-    return kept_errors(bounded(with_format(images.select("path", "content"), registry)).mapInArrow(walk, SEGMENTS), mode)
+    return kept_errors(bounded(images.select("path", "content")).mapInArrow(walk, SEGMENTS), mode)
