@@ -120,6 +120,8 @@ def _points_of(node: Fork | Leaf) -> np.ndarray:
 def first_entries(points: DataFrame, n: int = ENTRIES) -> np.ndarray:
     """The vectors of the n smallest vec_ids; of several vectors with one vec_id the smallest. Null has no place."""
     ids = [r[0] for r in points.where("vec_id IS NOT NULL").select("vec_id").distinct().orderBy("vec_id").limit(n).collect()]
+    if not ids:
+        raise ValueError("no vector has a vec_id to start a codebook with")
     chosen = points.where(F.col("vec_id").isin(ids)).groupBy("vec_id").agg(F.min("x").alias("x")).orderBy("vec_id").collect()
     return np.array([r.x for r in chosen], np.int64)
 

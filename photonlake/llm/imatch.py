@@ -30,8 +30,8 @@ LEXICON, MOST_SHARE = 1_000_000, 0.02
 #: Where fewer of a text's distinct terms than this share are in the lexicon, texts are compared by all their terms.
 LEAST_SHARE = 0.3
 SUBSETS = 24
-#: Text bytes of a piece, and sampled documents a piece.
-PIECE_BYTES, SAMPLED = 8 << 20, 20
+#: Text bytes of a piece, the most pieces, and sampled documents a piece, whose keys come to the driver.
+PIECE_BYTES, MOST_PIECES, SAMPLED = 8 << 20, 50_000, 10
 NOT_TERMS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Odd multipliers of the hashes of terms.
 SEEDS = np.random.default_rng(12).integers(1 << 62, 1 << 63, SUBSETS, dtype=np.uint64) | np.uint64(1)
@@ -173,7 +173,7 @@ def with_next(documents: DataFrame, piece_bytes: int = PIECE_BYTES) -> DataFrame
     """
     spark, rows = documents.sparkSession, _keyed(documents)
     n, size, first = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("text").cast("long")), F.min(F.struct(F.col("doc_id").isNotNull(), F.coalesce("doc_id", F.lit(0).cast(dict(rows.dtypes)["doc_id"])), "mark", "row"))).first()
-    pieces = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // piece_bytes))
+    pieces = min(max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // piece_bytes)), MOST_PIECES)
     sampled = rows.where(F.pmod(F.xxhash64("doc_id", "mark", "row"), F.lit(max(1, n // (SAMPLED * pieces)))) == 0).select("doc_id", "mark", "row") if n else rows.limit(0).select("doc_id", "mark", "row")
     keys = sorted(_key(*r) for r in sampled.collect())
     splits = sorted({keys[len(keys) * k // pieces] for k in range(1, pieces)} - {tuple(first)}) if keys else []
