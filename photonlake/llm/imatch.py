@@ -7,7 +7,9 @@ lexicon is broadcast as at most 8 MB of hashes. Its frequent end is a share of d
 A fingerprint hashes a document's sorted distinct terms of SUBSETS random lexicon subsets at two rates. The rates follow
 the number of terms, so that a subset has about one or half a term of the document: such a hash survives an edit with
 about the share of terms that the edit leaves. Two fingerprints are compared by the share of equal hashes. Documents of
-which little is in the lexicon (of common words, or of very many copies) are compared by all their terms.
+which little is in the lexicon (of common or repeated words, or of very many copies) are compared by all their words: a
+second fingerprint hashes these with their number, the third "so" of a text being another term than its first, and in
+short texts the pairs of neighbouring characters too.
 
 Documents have to stand in order to know the next one. They are dealt into pieces between sampled documents; the first
 document of a piece also goes to the end of the piece before, so one shuffle of the texts is enough.
@@ -27,29 +29,40 @@ from .common import Batches, Workspace, ascii_lower, mapped
 
 #: The most terms that a lexicon can have, and the largest share of documents that hold one of them.
 LEXICON, MOST_SHARE = 1_000_000, 0.02
-#: Where fewer of a text's distinct terms than this share are in the lexicon, texts are compared by all their terms.
-LEAST_SHARE = 0.3
+#: Where a text's terms in the lexicon are fewer than this share of its words, texts are compared by all their words.
+LEAST_SHARE = 0.2
+#: Texts of fewer code points have their pairs of characters among their words.
+SHORT = 64
 SUBSETS = 24
 #: Text bytes of a piece, the most pieces, and sampled documents a piece, whose keys come to the driver.
 PIECE_BYTES, MOST_PIECES, SAMPLED = 8 << 20, 50_000, 10
 NOT_TERMS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Odd multipliers of the hashes of terms.
 SEEDS = np.random.default_rng(12).integers(1 << 62, 1 << 63, SUBSETS, dtype=np.uint64) | np.uint64(1)
+#: What tells the occurrences of a term apart, an odd number.
+REPEAT = np.uint64(0x9E3779B97F4A7C15)
 CHUNK = 1 << 16
 LIKENESS = np.linspace(0.0, 1.0, 41)
 
 
 def terms_of(text: Column) -> Column:
-    """The sorted 64-bit hashes of a text's distinct terms: lower-cased runs of letters, digits and non-ASCII."""
+    """64-bit hashes of a text's terms, repeats included: lower-cased runs of letters, digits and non-ASCII."""
     words = F.array_remove(F.split(ascii_lower(text), NOT_TERMS), "")
-    return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def hashed(text: Column) -> Column:
+    """The sorted hashes of a text's terms, repeats included, and in short texts of its pairs of characters."""
+    n, lower = F.char_length(text), ascii_lower(text)
+    pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda k: F.xxhash64(F.lit("pair"), F.substr(lower, k, F.lit(2))))
+    return F.sort_array(F.when((n > 1) & (n < SHORT), F.concat(terms_of(text), pairs)).otherwise(terms_of(text)))
 
 
 def lexicon(documents: DataFrame, most: int = LEXICON, share: float = MOST_SHARE) -> np.ndarray:
     """The sorted hashes of the terms that at least two documents, a most-th of the postings and at most share of the
     documents have. No more than most terms can have a most-th of the postings each."""
     work = Workspace(documents.sparkSession, "lexicon")
-    terms = terms_of(F.coalesce(documents["text"], F.lit("")))
+    terms = F.array_distinct(terms_of(F.coalesce(documents["text"], F.lit(""))))
     counted = work.stage(documents.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")), "terms")
     postings, n = counted.agg(F.sum("n")).first()[0] or 0, documents.count()
     chosen = counted.where((F.col("n") >= max(2, -(-postings // most))) & (F.col("n") <= share * n)).select("term")
@@ -66,7 +79,7 @@ class Fingerprints:
 
     @classmethod
     def of(cls, terms: np.ndarray, owners: np.ndarray, n: int) -> Fingerprints:
-        """terms: the sorted distinct terms of n documents after each other; owners: whose they are."""
+        """terms: the distinct terms of n documents after each other; owners: whose they are."""
         terms, sizes = terms.view(np.uint64), np.bincount(owners, minlength=n)
         powers = np.rint(np.log2(sizes.clip(1))).astype(np.int64)
         low = (np.uint64(1) << powers.astype(np.uint64)) - np.uint64(1)
@@ -125,19 +138,23 @@ class Fingerprints:
 
 
 class Pairs:
-    """Each text's fingerprint of its terms in the lexicon, and that of all its terms for where few are in it."""
+    """Each text's fingerprint of its terms in the lexicon, and that of all its words for where few are in it."""
 
     def __init__(self, known: Fingerprints, whole: Fingerprints):
         self.known, self.whole = known, whole
 
     @classmethod
     def of(cls, column: pa.ListArray, words: np.ndarray) -> Pairs:
-        """column: the sorted distinct terms of each text; words: the sorted lexicon."""
+        """column: the sorted terms of each text, repeats included; words: the sorted lexicon."""
         terms, lengths = column.flatten().to_numpy(), column.value_lengths().to_numpy()
-        owners, known = np.repeat(np.arange(len(lengths)), lengths), np.zeros(len(terms), bool)
-        if len(words):
-            known = words[np.searchsorted(words, terms).clip(max=len(words) - 1)] == terms
-        return cls(Fingerprints.of(terms[known], owners[known], len(lengths)), Fingerprints.of(terms, owners, len(lengths)))
+        owners = np.repeat(np.arange(len(lengths)), lengths)
+        first = np.ones(len(terms), bool)
+        first[1:] = (terms[1:] != terms[:-1]) | (owners[1:] != owners[:-1])
+        starts = np.flatnonzero(first)
+        repeat = (np.arange(len(terms)) - np.repeat(starts, np.diff(starts, append=len(terms)))).astype(np.uint64)
+        known = starts[words[np.searchsorted(words, terms[starts]).clip(max=len(words) - 1)] == terms[starts]] if len(words) else starts[:0]
+        numbered = terms.view(np.uint64) + repeat * REPEAT
+        return cls(Fingerprints.of(terms[known], owners[known], len(lengths)), Fingerprints.of(numbered, owners, len(lengths)))
 
     def __getitem__(self, rows) -> Pairs:
         return Pairs(self.known[rows], self.whole[rows])
@@ -212,7 +229,7 @@ def fingerprints(documents: DataFrame, piece_bytes: int = PIECE_BYTES) -> DataFr
     spark = documents.sparkSession
     words = spark.sparkContext.broadcast(lexicon(documents))
     rows = with_next(documents, piece_bytes).withColumn("edited", edited())
-    rows = rows.select("doc_id", "piece", "last", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), terms_of(F.col("text")).alias("terms"), terms_of(F.coalesce("edited", F.lit(""))).alias("edited_terms"))
+    rows = rows.select("doc_id", "piece", "last", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), hashed(F.col("text")).alias("terms"), hashed(F.coalesce("edited", F.lit(""))).alias("edited_terms"))
 
     def compared(batches: Batches) -> Batches:
         held: tuple[pa.RecordBatch, Pairs, Pairs] | None = None

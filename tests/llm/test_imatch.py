@@ -1,8 +1,10 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from photonlake.llm import imatch
@@ -55,6 +57,32 @@ def test_likeness_follows_the_terms_in_common(spark):
     assert np.mean([r.near_edited > r.near_next for r in got.values()]) > 0.98
 
 
+def test_repeated_words_and_short_texts_are_like_their_edits(spark):
+    """Texts of few distinct words: likeness follows the numbered words in common, though few distinct ones are."""
+    r = random.Random(5)
+    plain = corpus(60, 2)
+    again = ["".join(r.choice("klmnop") for _ in range(5)) for _ in range(60)]
+    texts = [t for k, p in enumerate(plain) for t in (f"{again[k]} " * r.choice((60, 150)) + p[:30], p)] + ["spam", "eggs ham", "one two six", "bread and butter"]
+    got = {r.doc_id: r for r in imatch.fingerprints(documents(spark, texts)).collect()}
+    told, true = [], []
+    for k in range(0, 120, 2):
+        a, b = (Counter(re.findall(r"[a-z]+", x)) for x in (texts[k], edited(texts, k)))
+        told.append(got[k].near_edited)
+        true.append(2 * sum((a & b).values()) / (sum(a.values()) + sum(b.values())))
+    assert abs(np.mean(told) - np.mean(true)) < 0.06 and np.mean(np.abs(np.array(told) - true)) < 0.12
+    assert min(told) > 0.3 and np.mean([got[k].near_next for k in range(0, 120, 2)]) < 0.2
+    assert all(got[k].near_edited > got[k].near_next for k in [*range(0, 120, 2), *range(120, 124)])
+
+
+def test_repeats_are_numbered_within_their_text():
+    column = pa.array([[3, 3, 3, 9], [3, 9, 9], [], [3, 3, 3, 9]], pa.list_(pa.int64()))
+    got = imatch.Pairs.of(column, np.array([3, 9]))
+    assert got.known.sizes.tolist() == [2, 2, 0, 2] and got.whole.sizes.tolist() == [4, 3, 0, 4]
+    assert got.known.texts()[0] == got.known.texts()[1] and got.whole.texts()[0] != got.whole.texts()[1]
+    assert got.texts()[0] == got.texts()[3]
+    assert imatch.Pairs.of(column, np.array([], np.int64)).known.sizes.tolist() == [0, 0, 0, 0]
+
+
 def test_lexicon_is_the_band(spark):
     texts = corpus(200) + ["common words here"] * 60
     got = set(imatch.lexicon(documents(spark, texts)).tolist())
