@@ -249,15 +249,20 @@ def _oracle() -> str:
     for licence, sequence in RULES:
         found = f"replace({found}, '{''.join(f'<{k}>' for k in sequence)}', '{{{licence}}}')"
     names = ", ".join(f"'{s}': '{k}'" for s, k in known().items())
-    # RE2 has no look-behind: ends of sentences become line feeds first
+    sentences = "|".join(s.replace(" ", r"(?: |\n\n)") for s in sorted(known(), key=len, reverse=True))
+    # RE2 looks neither back nor ahead: what stands around is captured, and line feeds are doubled, one for either side
     return rf"""
-WITH s AS (
-  SELECT row_number() OVER () AS r, doc_id,
-    string_split(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '{SPDX}', '\1.' || chr(10), 'g'), '\n[ \t*#/]*({GOES_ON})', ' \1', 'g'), '([.!?])[ \t\r]+', '\1' || chr(10), 'g'), chr(10)) AS cut FROM documents
+WITH t AS (
+  SELECT row_number() OVER () AS r, doc_id, CASE WHEN regexp_matches(text, '(?i){CUE}') THEN text ELSE '' END AS t FROM documents
+), j AS (
+  SELECT r, doc_id, regexp_replace(regexp_replace(regexp_replace(t, '{SPDX}', '\1.' || chr(10), 'g'),
+    '([ \t]at)[ \t\r]*\n[ \t\r*#/;%-]*\n[ \t\r*#/;%-]*(https?://)', '\1 \2', 'g'), '\n[ \t*#/]*({GOES_ON})', ' \1', 'g') AS t FROM t
+), m AS (
+  SELECT r, doc_id, regexp_replace(regexp_replace(t, '([.!?])[ \t\r]+', '\1' || chr(10) || chr(10), 'g'), '([.!?])\n', '\1' || chr(10) || chr(10), 'g') AS t FROM j
 ), n AS (
-  SELECT r, doc_id, list_transform(cut, lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))) AS cut FROM s
+  SELECT r, doc_id, regexp_replace(regexp_replace(lower(chr(10) || t || chr(10)), '[^a-z0-9\n]+', ' ', 'g'), ' ?\n ?', chr(10) || chr(10), 'g') AS t FROM m
 ), k AS (
-  SELECT r, doc_id, list_filter(list_transform(cut, lambda x: element_at(MAP {{{names}}}, x)[1]), lambda x: x IS NOT NULL) AS ids FROM n
+  SELECT r, doc_id, list_transform(regexp_extract_all(t, '\n({sentences})\n', 1), lambda x: element_at(MAP {{{names}}}, replace(x, chr(10) || chr(10), ' '))[1]) AS ids FROM n
 ), f AS (
   SELECT *, {found} AS found FROM k
 ), l AS (

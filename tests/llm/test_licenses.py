@@ -1,5 +1,8 @@
 import re
 
+import duckdb
+import pyarrow as pa
+
 from photonlake.llm import licenses
 
 from .helpers import AWKWARD, clashing, documents
@@ -115,3 +118,7 @@ def test_random_notices_against_brute_force(spark):
     got = licenses.license_scan(documents(spark, texts + AWKWARD)).orderBy("doc_id").collect()
     want = [brute(t) for t in texts + AWKWARD]
     assert [r.sentence_ids for r in got] == [",".join(w) for w in want] and sum(map(len, want)) > 300
+    with duckdb.connect() as con:
+        con.register("documents", pa.table({"doc_id": range(len(want)), "text": pa.array(texts + AWKWARD, pa.string())}))
+        by_sql = con.sql(licenses.ORACLE_SQL["op3_license_scan"]).order("doc_id")
+        assert by_sql.fetchall() == [tuple(r[c] for c in by_sql.columns) for r in got]
