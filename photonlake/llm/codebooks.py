@@ -186,15 +186,17 @@ def compress(embeddings: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     Vectors that are null or hold null or non-finite components go. Repeated rows count as often as they are there and
     have a row each; rows with a null vec_id are coded but start no codebook; of rows with one vec_id and different
     vectors the smallest vector starts. Fewer than 256 vec_ids give codebooks of that many entries; an entry that
-    gets no parts stays; equal entries keep their numbers, and the lowest wins. A null label is a label. An empty table
-    gives no rows; further columns are ignored. Vectors of different lengths, of a length that 4 doesn't divide, or
-    with only null vec_ids raise.
+    gets no parts stays; equal entries keep their numbers, and the lowest wins. A null label is a label. Where all vec_ids
+    are null there are no codebooks: code and errors are null, and the digest is that of no entries. An empty table
+    gives no rows; further columns are ignored. Vectors of different lengths, or of a length that 4 doesn't divide,
+    raise.
     """
     work = Workspace(embeddings.sparkSession, "codebooks")
     points = work.stage(quantised(embeddings, SCALE, "vec_id", "label"), "points")
-    n, length, largest = extent(points)
-    if not n:
-        return points.selectExpr("vec_id", "'' AS code", "0L AS error", "0L AS label_error", "'' AS codebooks_sha256", "label")
+    _, length, largest = extent(points)
+    if points.where("vec_id IS NOT NULL").isEmpty():
+        none = ("CAST(NULL AS STRING) AS code", "CAST(NULL AS LONG) AS error", "CAST(NULL AS LONG) AS label_error")
+        return points.selectExpr("vec_id", *none, f"'{digest([])}' AS codebooks_sha256", "label")
     if length % PARTS:
         raise ValueError(f"vectors of {length} components have no {PARTS} equal parts")
     books = fit(points, rounds, largest=largest)

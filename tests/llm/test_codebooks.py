@@ -69,11 +69,11 @@ def test_awkward_vectors(spark):
     got = sorted((tuple(r) for r in codebooks.compress(df).collect()), key=str)
     assert got == brute(rows) and len(got) == 46
     assert codebooks.compress(df.where("vec_id = 900")).count() == 0 and codebooks.compress(df.limit(0)).columns == ["vec_id", "code", "error", "label_error", "codebooks_sha256", "label"]
-    for bad in ([(1, [0.0] * 6, 1)], [(None, [0.0] * 8, 1)]):
+    unnamed = codebooks.compress(spark.createDataFrame([(None, [0.0] * 8, 1), (None, [1.0] * 8, None)], SCHEMA))
+    assert sorted(map(tuple, unnamed.collect()), key=str) == [(None, None, None, None, hashlib.sha256(b"").hexdigest(), k) for k in (1, None)]
+    for bad in ([(1, [0.0] * 6, 1)], [(1, [0.0] * 4, 1), (2, [0.0] * 8, 1)]):
         with pytest.raises(ValueError):
             codebooks.compress(spark.createDataFrame(bad, SCHEMA))
-    with pytest.raises(ValueError):
-        codebooks.compress(spark.createDataFrame([(1, [0.0] * 4, 1), (2, [0.0] * 8, 1)], SCHEMA))
 
 
 def test_large_components_are_searched_in_longs(spark):
