@@ -98,7 +98,7 @@ def rational(value: Column, kind: Column, order: Column, i: int = 0) -> Column:
 
 def quotient(r: Column) -> Column:
     """num / den, null where den is 0."""
-    return let(r, lambda x: F.when(x["den"] != 0, x["num"].cast("double") / x["den"].cast("double")))
+    return F.when(r["den"] != 0, r["num"].cast("double") / r["den"].cast("double"))
 
 
 def degrees(parts: list[Column], ref: Column, most: int, strict: bool = False) -> Column:
@@ -108,15 +108,18 @@ def degrees(parts: list[Column], ref: Column, most: int, strict: bool = False) -
     """
     own = [quotient(p) if strict else F.coalesce(quotient(p), F.lit(0.0)) for p in parts]
     at = own[0] + own[1] / 60 + own[2] / 3600
-    return let(at, lambda x: F.when(F.abs(x) <= most, F.when(F.upper(ref).isin("S", "W"), -x).otherwise(x)))
+    return F.when(F.abs(at) <= most, F.when(F.upper(ref).isin("S", "W"), -at).otherwise(at))
 
 
-def xmp_degrees(text: Column, most: int) -> Column:
-    """A coordinate in the form D,M.mR or D,M,SR; null if it isn't one or is out of range."""
-    parts = F.split(F.regexp_extract(text, r"^\s*([0-9.]+(?:,[0-9.]+){1,2})[NSEW]\s*$", 1), ",")
+def xmp_parts(text: Column) -> Column:
+    """The numbers of a coordinate in the form D,M.mR or D,M,SR, as texts; one empty text if it isn't one."""
+    return F.split(F.regexp_extract(text, r"^\s*([0-9.]+(?:,[0-9.]+){1,2})[NSEW]\s*$", 1), ",")
+
+
+def xmp_degrees(parts: Column, text: Column, most: int) -> Column:
+    """A coordinate from its numbers, which xmp_parts gives, and its text; null if it isn't one or is out of range."""
     at = F.try_element_at(parts, F.lit(1)).try_cast("double") + F.try_element_at(parts, F.lit(2)).try_cast("double") / 60 + F.coalesce(F.try_element_at(parts, F.lit(3)).try_cast("double"), F.lit(0.0)) / 3600
-    at = F.when(F.upper(F.substring(F.trim(text), -1, 1)).isin("S", "W"), -at).otherwise(at)
-    return F.when(F.abs(at) <= most, at)
+    return F.when(F.abs(at) <= most, F.when(F.upper(F.substring(F.trim(text), -1, 1)).isin("S", "W"), -at).otherwise(at))
 
 
 def exif_time(text: Column, offset: Column | None = None) -> Column:
@@ -157,4 +160,4 @@ def flash_fired(number: Column) -> Column:
 
 def exposure_text(r: Column) -> Column:
     """1/den for a unit numerator, else num/den; null where den is 0."""
-    return let(r, lambda x: F.when(x["den"] != 0, F.concat(x["num"].cast("string"), F.lit("/"), x["den"].cast("string"))))
+    return F.when(r["den"] != 0, F.concat(r["num"].cast("string"), F.lit("/"), r["den"].cast("string")))

@@ -307,9 +307,11 @@ def record_columns(strict_gps: bool = False) -> dict[str, Column]:
 def as_records(fields: DataFrame, columns: Sequence[str], strict_gps: bool = False) -> DataFrame:
     """Columns of records from the fields that they need."""
     if not {"latitude", "longitude"}.isdisjoint(columns):
-        xmp_place = F.struct(I.xmp_degrees(F.col("x_lat"), 90).alias("lat"), I.xmp_degrees(F.col("x_lon"), 180).alias("lon"))
-        exif_place = F.struct(_place("lat", 90, strict_gps).alias("lat"), _place("lon", 180, strict_gps).alias("lon"))
-        whole = [I.let(place, lambda p: F.when(p["lat"].isNotNull() & p["lon"].isNotNull(), p)) for place in (exif_place, xmp_place)]
+        fields = fields.select("*", *(I.xmp_parts(F.col(f"x_{c}")).alias(f"x_{c}_parts") for c in PLACES))
+        sides = (("lat", 90), ("lon", 180))
+        exif_place, xmp_place = ([_place(c, most, strict_gps) for c, most in sides], [I.xmp_degrees(F.col(f"x_{c}_parts"), F.col(f"x_{c}"), most) for c, most in sides])
+        fields = fields.select("*", *(x.alias(f"{source}_{c}_at") for source, place in (("exif", exif_place), ("xmp", xmp_place)) for c, x in zip(PLACES, place)))
+        whole = [F.when(F.col(f"{s}_lat_at").isNotNull() & F.col(f"{s}_lon_at").isNotNull(), F.struct(F.col(f"{s}_lat_at").alias("lat"), F.col(f"{s}_lon_at").alias("lon"))) for s in ("exif", "xmp")]
         fields = fields.withColumn("place", F.coalesce(*whole))
     own = record_columns(strict_gps)
     return fields.select(*(own[c].alias(c) for c in columns))

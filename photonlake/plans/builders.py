@@ -1,27 +1,28 @@
-"""Image bytes made of table columns, by expressions that share nothing with the readers."""
+"""Image bytes made of table columns, by expressions that share nothing with the readers.
+
+Sizes and offsets are sums over the parts, and no part is made by a function over arrays, so that Spark compiles the
+expressions. Containers name their parts more than once: parts that take work are columns of their own first.
+"""
 
 from __future__ import annotations
 
+import zlib
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 
 def raw(digits: str) -> Column:
     return F.unhex(F.lit(digits))
 
 
-def bound(value: Column, body) -> Column:
-    """body(value) with value computed once a row, so that expressions grow with their parts and not with their uses."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def number(n: Column | int, width: int, little: bool = False) -> Column:
     """A number of `width` bytes, big-endian unless `little`."""
     n = F.lit(n) if isinstance(n, int) else n
     digits = F.lpad(F.hex(n.cast("long")), 2 * width, "0")
-    if not little:
-        return F.unhex(digits)
-    return bound(digits, lambda d: F.unhex(F.concat(*[F.substring(d, 2 * k + 1, 2) for k in range(width - 1, -1, -1)])))
+    return F.unhex(F.concat(*[F.substring(digits, 2 * k + 1, 2) for k in range(width - 1, -1, -1)]) if little else digits)
 
 
 def text(c: Column) -> Column:
@@ -32,54 +33,62 @@ def join(*parts: Column) -> Column:
     return F.concat(*parts)
 
 
-Entry = tuple[int, int, Column, Column]  # tag, type, count, value
+Entry = tuple  # tag, type, count, value, and the value's size in bytes where it is the same in every row
 
 
 def ascii_entry(tag: int, value: Column) -> Entry:
-    data = join(text(value), raw("00"))
-    return tag, 2, F.octet_length(data), data
+    return tag, 2, F.octet_length(value) + 1, join(text(value), raw("00"))
 
 
 def short_entry(tag: int, value: Column | int, little: bool = False) -> Entry:
-    return tag, 3, F.lit(1), number(value, 2, little)
+    return tag, 3, F.lit(1), number(value, 2, little), 2
 
 
 def long_entry(tag: int, value: Column | int, little: bool = False) -> Entry:
-    return tag, 4, F.lit(1), number(value, 4, little)
+    return tag, 4, F.lit(1), number(value, 4, little), 4
 
 
 def rational_entry(tag: int, *pairs: tuple[Column | int, Column | int], little: bool = False) -> Entry:
-    return tag, 5, F.lit(len(pairs)), join(*[number(x, 4, little) for p in pairs for x in p])
+    return tag, 5, F.lit(len(pairs)), join(*[number(x, 4, little) for p in pairs for x in p]), 8 * len(pairs)
 
 
-def ifd(entries: list[Entry], at: Column | int, little: bool = False) -> Column:
-    """A directory at an offset, with the values that do not fit in its table after it."""
-    rows = F.array(*[F.struct(join(number(tag, 2, little), number(kind, 2, little), number(count, 4, little)).alias("head"), value.alias("value")) for tag, kind, count, value in sorted(entries, key=lambda e: e[0])])
-    free = (F.lit(at) if isinstance(at, int) else at) + 2 + 12 * len(entries) + 4
-    start = F.struct(raw("").alias("table"), raw("").alias("data"), free.cast("long").alias("free"))
+def outside(entry: Entry) -> Column | int:
+    """How many bytes of an entry's value stand outside the table: none if it fits in its field."""
+    if len(entry) > 4:
+        return entry[4] if entry[4] > 4 else 0
+    size = F.octet_length(entry[3])
+    return F.when(size <= 4, 0).otherwise(size)
 
-    def add(a: Column, e: Column) -> Column:
-        fits = F.octet_length(e["value"]) <= 4
-        field = F.when(fits, F.rpad(e["value"], 4, raw("00"))).otherwise(number(a["free"], 4, little))
-        return F.struct(
-            join(a["table"], e["head"], field).alias("table"), join(a["data"], F.when(fits, raw("")).otherwise(e["value"])).alias("data"),
-            (a["free"] + F.when(fits, 0).otherwise(F.octet_length(e["value"]))).cast("long").alias("free"),
-        )
 
-    return F.aggregate(rows, start, add, lambda a: join(number(len(entries), 2, little), a["table"], raw("00000000"), a["data"]))
+def ifd_size(entries: list[Entry]) -> Column | int:
+    return sum(map(outside, entries), 2 + 12 * len(entries) + 4)
 
 
-def exif(ifd0: list[Entry], exif_ifd: list[Entry] | None = None, gps: list[Entry] | None = None) -> Column:
-    """A big-endian TIFF block: the sub-directories stand first, so that their places need no other's length."""
+def ifd(entries: list[Entry], at: Column | int, little: bool = False) -> Column:
+    """A directory at an offset, with the values that do not fit in its table after it."""
+    free, table, data = at + 2 + 12 * len(entries) + 4, [], []
+    for entry in sorted(entries, key=lambda e: e[0]):
+        tag, kind, count, value = entry[:4]
+        more, place = outside(entry), number(free, 4, little)
+        if isinstance(more, int):
+            field, rest = (place, [value]) if more else (F.rpad(value, 4, raw("00")), [])
+        else:
+            field, rest = F.when(more == 0, F.rpad(value, 4, raw("00"))).otherwise(place), [F.when(more == 0, raw("")).otherwise(value)]
+        table += [number(tag, 2, little), number(kind, 2, little), number(count, 4, little), field]
+        data += rest
+        free = free + more
+    return join(number(len(entries), 2, little), *table, raw("00000000"), *data)
 
-    def after(body: Column, rest: list[tuple[int, list[Entry]]], top: list[Entry]) -> Column:
-        at = F.octet_length(body) + 8
-        if not rest:
-            return join(raw("4D4D002A"), number(at, 4), body, ifd(top, at))
-        (tag, entries), more = rest[0], rest[1:]
-        return bound(join(body, ifd(entries, at)), lambda b: after(b, more, [*top, long_entry(tag, at)]))
 
-    return after(raw(""), [(t, e) for t, e in ((0x8769, exif_ifd), (0x8825, gps)) if e], ifd0)
+def exif(ifd0: list[Entry], exif_ifd: list[Entry] | None = None, gps: list[Entry] | None = None) -> Column:
+    """A big-endian TIFF block: the sub-directories stand first, so that their places need no other's length."""
+    at, bodies, top = 8, [], list(ifd0)
+    for tag, entries in ((0x8769, exif_ifd), (0x8825, gps)):
+        if entries:
+            bodies.append(ifd(entries, at))
+            top.append(long_entry(tag, at))
+            at = at + ifd_size(entries)
+    return join(raw("4D4D002A"), number(at, 4), *bodies, ifd(top, at))
 
 
 def little_tiff(head: str, entries: list[Entry]) -> Column:
@@ -134,16 +143,10 @@ def chunk(kind: str, data: Column) -> Column:
     return join(number(F.octet_length(data), 4), body, number(F.crc32(body), 4))
 
 
-def stored_zlib(data: Column) -> Column:
-    """A zlib stream of one block that is stored as it is, for data of under 65,536 bytes."""
-
-    def stream(d: Column) -> Column:
-        n = F.octet_length(d)
-        each = F.transform(F.sequence(F.lit(1), n), lambda i: F.conv(F.hex(F.substring(d, i, 1)), 16, 10).cast("long"))
-        sums = F.aggregate(each, F.struct(F.lit(1).cast("long").alias("a"), F.lit(0).cast("long").alias("b")), lambda s, x: F.struct(((s["a"] + x) % 65521).alias("a"), ((s["b"] + s["a"] + x) % 65521).alias("b")))
-        return bound(sums, lambda s: join(raw("780101"), number(n, 2, True), number(65535 - n, 2, True), d, number(s["b"], 2), number(s["a"], 2)))
-
-    return bound(data, stream)
+@F.arrow_udf(BinaryType())
+def stored_zlib(data: pa.Array) -> pa.Array:
+    """Zlib streams that hold the data as they are; their checksums are over single bytes, for which SQL has no function."""
+    return pa.array([None if d is None else zlib.compress(d, 0) for d in data.to_pylist()], pa.binary())
 
 
 def png(exif_: Column | None = None, xmp_: Column | None = None, compressed: bool = False) -> Column:
@@ -168,10 +171,10 @@ def webp(exif_: Column | None = None, xmp_: Column | None = None) -> Column:
 
 def box(kind: str, *data: Column) -> Column:
     """A box of ISO media."""
-    return bound(join(*data), lambda d: join(number(F.octet_length(d) + 8, 4), text(F.lit(kind)), d))
+    return join(number(sum(map(F.octet_length, data), F.lit(8)), 4), text(F.lit(kind)), *data)
 
 
-def heif(items: list[tuple[int, str, Column]], primary: int, brand: str = "heic") -> Column:
+def heif(items: list[tuple[int, str, Column]], primary: Column | int, brand: Column | str = "heic") -> Column:
     """A HEIF file of Exif (type Exif) and XMP (type mime) items by number, one of them the primary."""
     names = {"Exif": b"\0", "mime": b"\0application/rdf+xml\0"}
     infe = [raw((len(names[t]) + 20).to_bytes(4).hex() + b"infe".hex() + "02000000" + i.to_bytes(2).hex() + "0000" + t.encode().hex() + names[t].hex()) for i, t, _ in items]

@@ -17,7 +17,7 @@ from ..operators.facts import facts
 from ..operators.iptc import dataset_names, iptc_datasets, iptc_text
 from ..operators.metadata import NO_DIRECTORY, NO_PROPERTIES, UNKNOWN, as_json, flat_metadata, read_metadata, validated
 from ..operators.xmp import xmp_properties, xmp_value
-from ..sources.images import read_images, segments, with_format
+from ..sources.images import read_images, segments, spread, with_format
 from ..sources.shared import shared_folder
 from ..sources.sink import save_images, save_stream, saved
 from ..streaming.images import capture_counts, catalogue, late_images, save_counts, stream_images
@@ -40,13 +40,19 @@ def fixture(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table whose rows are spread over tasks: images take far more time than the rows that they are made of."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def path(prefix: str, key: str, ending: str = "jpg") -> Column:
     return F.concat(F.lit(prefix), F.col(key).cast("string"), F.lit(f".{ending}")).alias("path")
 
 
+def with_parts(rows: DataFrame, **parts: Column) -> DataFrame:
+    """rows with the parts of images, which containers name more than once, as columns: each is made once a row."""
+    return rows.select("*", *(c.alias(n) for n, c in parts.items()))
+
+
 def part_exif(own: list | None = None) -> Column:
     """A camera's block: the brand is the make, the name the model, the type the lens, the price the f-number."""
     top = [B.ascii_entry(0x010F, F.col("p_brand")), B.ascii_entry(0x0110, F.col("p_name")), B.short_entry(0x0112, F.col("p_size") % 8 + 1), *(own or [])]
@@ -59,7 +65,7 @@ def part_exif(own: list | None = None) -> Column:
 
 @fixture
 def part_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(path("p", "p_partkey"), B.jpeg(part_exif()).alias("content"))
+    return with_parts(table(spark, sf_dir, "part"), exif=part_exif()).select(path("p", "p_partkey"), B.jpeg(F.col("exif")).alias("content"))
 
 
 def camera_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +88,8 @@ def tags_by_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
 @fixture
 def customer_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner = F.concat(B.element("tiff:Model", F.col("c_name")), B.listed("dc:creator", "Seq", F.col("c_name")), B.listed("dc:subject", "Bag", F.col("c_mktsegment"), F.col("c_nationkey").cast("string")))
-    return table(spark, sf_dir, "customer").select(path("c", "c_custkey", "png"), B.png(None, B.xmp(inner)).alias("content"), "c_mktsegment", "c_nationkey")
+    rows = with_parts(table(spark, sf_dir, "customer"), packet=B.xmp(inner))
+    return rows.select(path("c", "c_custkey", "png"), B.png(None, F.col("packet")).alias("content"), "c_mktsegment", "c_nationkey")
 
 
 def xmp_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +111,8 @@ def event_images(spark: SparkSession, sf_dir: str) -> DataFrame:
         B.ascii_entry(3, east), B.rational_entry(4, (F.col("event_id") % 180, 1), (third, 1), (F.col("event_id") % 60, 1)),
         (5, 1, F.lit(1), B.number(F.col("event_id") % 2, 1)), B.rational_entry(6, (F.col("user_id"), 4)),
     ]
-    return e.select(path("e", "event_id", "webp"), B.webp(B.exif([B.ascii_entry(0x010F, F.col("event_type"))], None, gps)).alias("content"))
+    rows = with_parts(e, exif=B.exif([B.ascii_entry(0x010F, F.col("event_type"))], None, gps))
+    return rows.select(path("e", "event_id", "webp"), B.webp(F.col("exif")).alias("content"))
 
 
 def gps_places(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +138,8 @@ def priority_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner = F.concat(B.listed("dc:description", "Alt", F.concat(F.lit("x "), "p_name")), B.listed("dc:rights", "Alt", F.concat(F.lit("x "), "p_brand")))
     xmp, iptc = B.xmp(inner), B.iptc((2, 120, B.text(F.concat(F.lit("i "), "p_name"))), (2, 116, B.text(F.concat(F.lit("i "), "p_brand"))))
     exif = part_exif([B.ascii_entry(0x010E, F.concat(F.lit("e "), "p_name")), B.ascii_entry(0x8298, F.concat(F.lit("e "), "p_brand"))])
-    return table(spark, sf_dir, "part").select(path("p", "p_partkey"), B.jpeg(exif, F.when(F.col("p_size") > 25, xmp), F.when(F.col("p_size") % 2 == 0, iptc)).alias("content"), "p_brand")
+    rows = with_parts(table(spark, sf_dir, "part"), exif=exif, packet=F.when(F.col("p_size") > 25, xmp), block=F.when(F.col("p_size") % 2 == 0, iptc))
+    return rows.select(path("p", "p_partkey"), B.jpeg(F.col("exif"), F.col("packet"), F.col("block")).alias("content"), "p_brand")
 
 
 def caption_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +154,8 @@ def segment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     taken = B.ascii_entry(0x9003, F.date_format("o_orderdate", "yyyy:MM:dd HH:mm:ss"))
-    return o.select(path("o", "o_orderkey", "png"), B.png(B.exif([B.ascii_entry(0x010F, F.col("o_orderpriority"))], [taken])).alias("content"))
+    rows = with_parts(o, exif=B.exif([B.ascii_entry(0x010F, F.col("o_orderpriority"))], [taken]))
+    return rows.select(path("o", "o_orderkey", "png"), B.png(F.col("exif")).alias("content"))
 
 
 def captured_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,8 +194,8 @@ def edit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @fixture
 def canon_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     note = B.ifd([B.short_entry(1, F.col("p_size")), B.short_entry(6, F.col("p_size") + 1)], 0)
-    exif = B.exif([B.ascii_entry(0x010F, F.lit("Canon"))], [(0x927C, 7, F.octet_length(note), note)])
-    return table(spark, sf_dir, "part").select(path("p", "p_partkey"), B.jpeg(exif).alias("content"))
+    rows = with_parts(with_parts(table(spark, sf_dir, "part"), note=note), exif=B.exif([B.ascii_entry(0x010F, F.lit("Canon"))], [(0x927C, 7, F.octet_length("note"), F.col("note"))]))
+    return rows.select(path("p", "p_partkey"), B.jpeg(F.col("exif")).alias("content"))
 
 
 def makernote_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,7 +267,7 @@ def maker_images(spark: SparkSession, sf_dir: str) -> DataFrame:
         content = F.when(k == n, note(head, at, little)).otherwise(content)
     rows = table(spark, sf_dir, "part").select("p_partkey", make.alias("make"), content.alias("note"))
     exif = B.exif([B.ascii_entry(0x010F, F.col("make"))], [(0x927C, 7, F.octet_length("note"), F.col("note"))])
-    return rows.select(path("p", "p_partkey"), B.jpeg(exif).alias("content"))
+    return with_parts(rows, exif=exif).select(path("p", "p_partkey"), B.jpeg(F.col("exif")).alias("content"))
 
 
 def makernote_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,12 +280,10 @@ def heif_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two Exif items of which the second is the primary for even parts, and an XMP item; AVIF for large parts."""
     decoy, inner = B.exif([B.ascii_entry(0x010F, F.lit("first"))]), B.listed("dc:description", "Alt", F.col("p_name"))
 
-    def file(primary: int, brand: str) -> Column:
-        return B.heif([(1, "Exif", decoy), (2, "Exif", part_exif()), (3, "mime", B.xmp(inner))], primary, brand)
-
-    even, large = F.col("p_partkey") % 2 == 0, F.col("p_size") > 25
-    content = F.when(even & large, file(2, "avif")).when(even, file(2, "heic")).when(large, file(3, "avis")).otherwise(file(3, "heic"))
-    return table(spark, sf_dir, "part").select(path("p", "p_partkey", "heic"), content.alias("content"), "p_type")
+    rows = with_parts(table(spark, sf_dir, "part"), decoy=decoy, exif=part_exif(), packet=B.xmp(inner))
+    primary, brand = F.when(F.col("p_partkey") % 2 == 0, 2).otherwise(3), F.when(F.col("p_size") <= 25, "heic").when(F.col("p_partkey") % 2 == 0, "avif").otherwise("avis")
+    content = B.heif([(1, "Exif", F.col("decoy")), (2, "Exif", F.col("exif")), (3, "mime", F.col("packet"))], primary, brand)
+    return rows.select(path("p", "p_partkey", "heic"), content.alias("content"), "p_type")
 
 
 def heif_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,8 +298,9 @@ def heif_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cr3_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = B.exif([B.ascii_entry(0x010F, F.lit("Canon")), B.ascii_entry(0x0110, F.col("p_name"))])
     second = B.exif([B.short_entry(0x8827, F.col("p_size")), B.ascii_entry(0xA434, F.col("p_type"))])
-    content = B.cr3(first, second, B.xmp(B.listed("dc:rights", "Alt", F.col("p_brand"))))
-    return table(spark, sf_dir, "part").select(path("p", "p_partkey", "cr3"), content.alias("content"), "p_type")
+    rows = with_parts(table(spark, sf_dir, "part"), first=first, second=second, packet=B.xmp(B.listed("dc:rights", "Alt", F.col("p_brand"))))
+    content = B.cr3(F.col("first"), F.col("second"), F.col("packet"))
+    return rows.select(path("p", "p_partkey", "cr3"), content.alias("content"), "p_type")
 
 
 def cr3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -331,8 +340,9 @@ def packed_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """XMP in WebP files and, as compressed text, in PNG files."""
     inner = F.concat(B.element("tiff:Model", F.col("c_name")), B.listed("dc:subject", "Bag", F.col("c_mktsegment"), F.col("c_phone")))
     even = F.col("c_custkey") % 2 == 0
-    content = F.when(even, B.webp(None, B.xmp(inner))).otherwise(B.png(None, B.xmp(inner), True))
-    return table(spark, sf_dir, "customer").withColumn("c_phone", F.col("c_nationkey").cast("string")).select(path("c", "c_custkey", "bin"), content.alias("content"), "c_mktsegment", "c_custkey")
+    rows = with_parts(table(spark, sf_dir, "customer").withColumn("c_phone", F.col("c_nationkey").cast("string")), packet=B.xmp(inner))
+    content = F.when(even, B.webp(None, F.col("packet"))).otherwise(B.png(None, F.col("packet"), True))
+    return rows.select(path("c", "c_custkey", "bin"), content.alias("content"), "c_mktsegment", "c_custkey")
 
 
 def packed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -494,7 +504,8 @@ def captured_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     root, day = _shared(spark, "windows"), F.date_format("o_orderdate", "yyyy:MM:dd HH:mm:ss")
     o = table(spark, sf_dir, "orders").withColumn("wave", F.when(F.year("o_orderdate") < 1994, 0).when(F.year("o_orderdate") < 1996, 1).otherwise(2) + (F.col("o_orderkey") % 10 == 0).cast("int"))
-    images = o.select("wave", "o_orderkey", path("o", "o_orderkey", "png"), B.png(B.exif([B.ascii_entry(0x010F, F.col("o_orderpriority"))], [B.ascii_entry(0x9003, day)])).alias("content"))
+    rows = with_parts(o, exif=B.exif([B.ascii_entry(0x010F, F.col("o_orderpriority"))], [B.ascii_entry(0x9003, day)]))
+    images = rows.select("wave", "o_orderkey", path("o", "o_orderkey", "png"), B.png(F.col("exif")).alias("content"))
     late = 0
     for wave in range(WAVES):
         arriving = images.where((F.col("wave") == wave) | (F.col("wave") == wave - 1) & (F.col("o_orderkey") % 7 == 0))
@@ -510,7 +521,7 @@ def captured_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def well_formed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images that can be read, the others dropped."""
     cut = F.when(F.col("p_partkey") % 5 == 0, F.substring(F.col("content"), 1, 20)).otherwise(F.col("content"))
-    images = table(spark, sf_dir, "part").select("p_partkey", path("p", "p_partkey", "png"), B.png(part_exif()).alias("content"))
+    images = with_parts(table(spark, sf_dir, "part"), exif=part_exif()).select("p_partkey", path("p", "p_partkey", "png"), B.png(F.col("exif")).alias("content"))
     return flat_metadata(images.select("path", cut.alias("content")), ("exif",), mode="DROPMALFORMED").select("path", "make", "error")
 
 
@@ -523,7 +534,7 @@ def setting_images(spark: SparkSession, sf_dir: str) -> DataFrame:
         B.rational_entry(0x829A, (1, k % 13)), B.rational_entry(0x920A, (k % 300, 10)), B.rational_entry(0x9206, (k % 50, 4)), B.rational_entry(0xA404, (k % 8, k % 5)),
         B.short_entry(0xA403, k % 2), B.short_entry(0xA402, k % 3), B.short_entry(0xA001, F.when(k % 2 == 0, 1).otherwise(65535)), (0xA301, 7, F.lit(1), B.number(k % 3, 1)),
     ]
-    return table(spark, sf_dir, "orders").select(path("o", "o_orderkey"), B.jpeg(B.exif(top, inner)).alias("content"))
+    return with_parts(table(spark, sf_dir, "orders"), exif=B.exif(top, inner)).select(path("o", "o_orderkey"), B.jpeg(F.col("exif")).alias("content"))
 
 
 SETTINGS = ("path", "software", "date_time", "exposure_time", "focal_length_mm", "white_balance", "exposure_mode", "color_space", "subject_distance", "digital_zoom_ratio", "scene_type")
@@ -541,14 +552,16 @@ def xmp_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     lat = F.concat((k % 90).cast("string"), F.lit(","), rest, F.when(k % 4 < 2, "N").otherwise("S"))
     lon = F.concat((k % 180).cast("string"), F.lit(","), rest, F.when(k % 3 == 0, "E").otherwise("W"))
     packet = B.xmp(F.concat(B.element("exif:GPSLatitude", lat), B.element("exif:GPSLongitude", lon)))
-    return flat_metadata(table(spark, sf_dir, "events").select(path("e", "event_id"), B.jpeg(None, packet).alias("content")), columns=("path", "latitude", "longitude"))
+    rows = with_parts(table(spark, sf_dir, "events"), packet=packet)
+    return flat_metadata(rows.select(path("e", "event_id"), B.jpeg(None, F.col("packet")).alias("content")), columns=("path", "latitude", "longitude"))
 
 
 def edited_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places, times, exposures and sizes set in EXIF for even orders and in XMP for odd ones, which hold the first two."""
     k, even = F.col("o_orderkey"), F.col("o_orderkey") % 2 == 0
     exif, packet = B.exif([B.ascii_entry(0x010F, F.lit("m"))], [B.short_entry(0x8827, F.lit(1))]), B.xmp(B.element("tiff:Model", F.lit("m")))
-    images = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", path("o", "o_orderkey"), B.jpeg(F.when(even, exif), F.when(~even, packet)).alias("content"))
+    rows = with_parts(table(spark, sf_dir, "orders"), exif=F.when(even, exif), packet=F.when(~even, packet))
+    images = rows.select("o_orderkey", "o_orderdate", path("o", "o_orderkey"), B.jpeg(F.col("exif"), F.col("packet")).alias("content"))
     fields = {
         "latitude": (k % 90) + F.lit(0.5), "longitude": -(k % 180) - F.lit(0.25), "captured_at": F.col("o_orderdate").cast("timestamp"), "exposure_num": F.lit(1), "exposure_den": k % 1000 + 1,
         "focal_length_mm": (k % 300) / F.lit(4.0), "width": k, "height": k % 9 + 1,
@@ -566,8 +579,8 @@ def raw_makernotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.lit(None).cast("binary")
     for n, (make, little) in enumerate(RAW_MAKERS):
         note = B.ifd([B.short_entry(3, size, little), B.long_entry(8, F.col("p_partkey"), little)], 0, little)
-        content = F.when(k == n, B.jpeg(B.exif([B.ascii_entry(0x010F, F.lit(make))], [(0x927C, 7, F.octet_length(note), note)]))).otherwise(content)
-    rows = facts(table(spark, sf_dir, "part").select(path("p", "p_partkey"), content.alias("content")), ("exif", "makernote")).where("kind = 'makernote'")
+        content = F.when(k == n, B.exif([B.ascii_entry(0x010F, F.lit(make))], [(0x927C, 7, F.octet_length(note), note)])).otherwise(content)
+    rows = facts(with_parts(table(spark, sf_dir, "part"), exif=content).select(path("p", "p_partkey"), B.jpeg(F.col("exif")).alias("content")), ("exif", "makernote")).where("kind = 'makernote'")
     order = F.when(F.col("space").isin([m for m, little in RAW_MAKERS if little]), "II").otherwise("MM")
     number = F.when(F.col("item") == 3, I.unsigned(F.col("value"), order, 0, 2)).otherwise(I.unsigned(F.col("value"), order, 0, 4))
     return rows.select("path", F.col("space").alias("make"), F.col("item").alias("tag"), number.alias("number"))
@@ -575,19 +588,21 @@ def raw_makernotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def legacy_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """XMP in the older text chunks of PNG files, plain and compressed; a newer chunk comes before either."""
-    head, packet = B.join(B.text(F.lit("XML:com.adobe.xmp")), B.raw("00")), B.xmp(B.element("tiff:Model", F.col("c_name")))
+    head, packet = B.join(B.text(F.lit("XML:com.adobe.xmp")), B.raw("00")), F.col("packet")
     plain, small = B.chunk("tEXt", B.join(head, packet)), B.chunk("zTXt", B.join(head, B.raw("00"), B.stored_zlib(packet)))
-    newer = B.chunk("iTXt", B.join(head, B.raw("00000000"), B.xmp(B.element("tiff:Model", F.lower("c_name")))))
+    newer = B.chunk("iTXt", B.join(head, B.raw("00000000"), F.col("newer")))
     k = F.col("c_custkey") % 4
     chunks = F.when(k == 0, plain).when(k == 1, small).when(k == 2, B.join(small, plain)).otherwise(B.join(plain, newer))
     content = B.join(B.raw("89504E470D0A1A0A"), B.chunk("IHDR", B.raw("00000001000000010802000000")), chunks, B.chunk("IEND", B.raw("")))
-    return flat_metadata(table(spark, sf_dir, "customer").select(path("c", "c_custkey", "png"), content.alias("content")), columns=("path", "format", "model", "error"))
+    rows = with_parts(table(spark, sf_dir, "customer"), packet=B.xmp(B.element("tiff:Model", F.col("c_name"))), newer=B.xmp(B.element("tiff:Model", F.lower("c_name"))))
+    return flat_metadata(rows.select(path("c", "c_custkey", "png"), content.alias("content")), columns=("path", "format", "model", "error"))
 
 
 def edited_thrice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images edited again and again, which grow with the first edit alone; TIFF files for even parts."""
     even = F.col("p_partkey") % 2 == 0
-    images = table(spark, sf_dir, "part").select(path("p", "p_partkey"), F.when(even, part_exif()).otherwise(B.jpeg(part_exif())).alias("content"))
+    rows = with_parts(table(spark, sf_dir, "part"), exif=part_exif())
+    images = rows.select(path("p", "p_partkey"), F.when(even, F.col("exif")).otherwise(B.jpeg(F.col("exif"))).alias("content"))
     sizes = []
     for n in range(3):
         images = edit_metadata(images, {"copyright": F.lit(f"edit {n}"), "iso": F.lit(100 + n)}).select("path", "content")

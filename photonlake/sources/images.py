@@ -39,6 +39,20 @@ def bounded(images: DataFrame) -> DataFrame:
     return images
 
 
+#: The rows that a task has at least where rows are spread, and the tasks for each core of the session.
+ROWS_A_TASK, TASKS_A_CORE = 1000, 4
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The same rows over as many tasks as keep the session's cores busy.
+
+    A file is read in pieces that hold a row group each, so a small file of many rows is one task's, whatever is done with
+    its rows. Tables of few rows are left as they are.
+    """
+    tasks = min(-(-rows.count() // ROWS_A_TASK), max(TASKS_A_CORE * rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()))
+    return rows.repartition(tasks) if tasks > 1 else rows
+
+
 def kept_errors(rows: DataFrame, mode: str) -> DataFrame:
     """PERMISSIVE keeps images with an error, DROPMALFORMED drops them, FAILFAST raises on the first."""
     if mode == "FAILFAST":
