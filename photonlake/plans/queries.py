@@ -474,12 +474,21 @@ def failed_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("path", "make", "model", one["component"].alias("component"), one["kind"].alias("kind"), F.hex(one["magic"]).alias("magic"))
 
 
+#: The fewest and the most files of a micro-batch, and the micro-batches of as many files as lie between.
+FEWEST_FILES, MOST_FILES, BATCHES = 40, 10_000, 8
+
+
+def files_a_batch(files: int) -> int:
+    """Files of a micro-batch of a stream that starts with so many: a micro-batch takes about a second, however few it has."""
+    return min(max(-(-files // BATCHES), FEWEST_FILES), MOST_FILES)
+
+
 def streamed_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that a stream takes in micro-batches, as the table that it leaves."""
     root = _shared(spark, "stream")
     images = table(spark, sf_dir, "supplier").select(path("s", "s_suppkey"), B.jpeg(B.exif([B.ascii_entry(0x010F, F.col("s_name"))], [B.short_entry(0x8827, F.col("s_nationkey"))])).alias("content"))
     save_images(images, f"{root}/files", "images")
-    catalogue(stream_images(spark, f"{root}/files", 40), f"{root}/table", f"{root}/checkpoint").awaitTermination()
+    catalogue(stream_images(spark, f"{root}/files", files_a_batch(saved(spark, f"{root}/files", "images").count())), f"{root}/table", f"{root}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{root}/table").select("format", "make", "iso")
 
 
@@ -488,7 +497,8 @@ def stream_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = _shared(spark, "edits")
     images = table(spark, sf_dir, "supplier").select(path("s", "s_suppkey"), B.jpeg(B.exif([B.ascii_entry(0x010F, F.col("s_name"))], [B.short_entry(0x8827, F.col("s_nationkey"))])).alias("content"))
     save_images(images, f"{root}/in", "images")
-    after = edit_metadata(stream_images(spark, f"{root}/in", 40), {"camera_model": F.lit("streamed"), "orientation": F.lit(6)})
+    stream = stream_images(spark, f"{root}/in", files_a_batch(saved(spark, f"{root}/in", "images").count()))
+    after = edit_metadata(stream, {"camera_model": F.lit("streamed"), "orientation": F.lit(6)})
     save_stream(after, f"{root}/out", f"{root}/checkpoint").awaitTermination()
     return read_metadata(spark, f"{root}/out", ("format", "make", "model", "iso", "orientation"))
 

@@ -7,13 +7,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.metadata import flat_metadata
+from ..sources.images import TASKS_A_CORE
 
+#: Files that wait in the driver's memory for later micro-batches.
+MOST_WAITING = 1_000_000
 IMAGES = "path string, modificationTime timestamp, length long, content binary"
 
 
 def stream_images(spark: SparkSession, path: str, files_a_batch: int = 10_000) -> DataFrame:
-    """A stream of the files that arrive below a path."""
-    return spark.readStream.format("binaryFile").schema(IMAGES).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_a_batch).load(path)
+    """A stream of the files that arrive below a path.
+
+    Files that a listing finds beyond a micro-batch's wait for the next ones, so that not each lists the path again. A
+    micro-batch looks up its own files in a task for each of them, but for a setting that is lowered for the session.
+    """
+    name, tasks = "spark.sql.sources.parallelPartitionDiscovery.parallelism", TASKS_A_CORE * spark.sparkContext.defaultParallelism
+    spark.conf.set(name, min(int(spark.conf.get(name)), tasks))
+    source = spark.readStream.format("binaryFile").schema(IMAGES).option("recursiveFileLookup", "true")
+    return source.option("maxFilesPerTrigger", files_a_batch).option("maxCachedFiles", MOST_WAITING).load(path)
 
 
 def catalogue(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:

@@ -48,3 +48,9 @@ def test_directories_have_their_values_where_they_say(spark):
     block = B.exif([B.ascii_entry(0x010F, F.col("t")), B.short_entry(0x0112, F.col("n"))], [B.short_entry(0x8827, F.col("n") * 7), B.ascii_entry(0xA434, F.col("t"))], [B.rational_entry(6, (F.col("n"), 2))])
     got = flat_metadata(rows.select(F.col("n").cast("string").alias("path"), B.jpeg(block).alias("content")), columns=("path", "make", "orientation", "iso", "lens", "altitude")).collect()
     assert {tuple(r) for r in got} == {(str(n), t or None, n, 7 * n, t or None, n / 2) if t is not None else (str(n), None, None, None, None, None) for t, n in (("abc", 1), ("abcd", 2), ("", 3), ("é" * 9, 4), (None, 5))}
+
+
+def test_micro_batches_do_not_grow_in_number_with_files():
+    assert [Q.files_a_batch(n) for n in (0, 40, 320, 321)] == [40, 40, 40, 41]
+    assert all(-(-n // Q.files_a_batch(n)) <= Q.BATCHES for n in (1_000, 60_000, Q.BATCHES * Q.MOST_FILES))
+    assert Q.files_a_batch(10_000_000) == Q.MOST_FILES
