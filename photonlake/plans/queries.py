@@ -15,7 +15,7 @@ from ..operators.edit import edit_metadata
 from ..operators.exif import exif_entries, named
 from ..operators.facts import facts
 from ..operators.iptc import dataset_names, iptc_datasets, iptc_text
-from ..operators.metadata import NO_DIRECTORY, NO_PROPERTIES, UNKNOWN, as_json, flat_metadata, read_metadata, validated
+from ..operators.metadata import NO_DIRECTORY, NO_PROPERTIES, UNKNOWN, as_json, files_metadata, flat_metadata, read_metadata, validated
 from ..operators.xmp import xmp_properties, xmp_value
 from ..sources.images import read_images, segments, spread, with_format
 from ..sources.shared import shared_folder
@@ -428,13 +428,13 @@ def _shared(spark: SparkSession, name: str) -> str:
 
 
 def files_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Images of two kinds written as one committed job, and read from the files."""
+    """Images of two kinds written as one committed job, and read from the files that its index names."""
     root = _shared(spark, "files")
     both = part_images(spark, sf_dir).unionByName(customer_images(spark, sf_dir).select("path", "content"))
     save_images(both, root, "images")
-    names = saved(spark, root, "images").select(F.col("path").alias("source"), F.substring_index("target", "/", -1).alias("name"))
-    rows = read_metadata(spark, root, ("path", "format", "make", "model", "iso"), ("jpg", "png")).withColumn("name", F.substring_index("path", "/", -1))
-    return rows.join(names, "name").select(F.col("source").alias("path"), "format", "make", "model", "iso")
+    files = saved(spark, root, "images").select(F.col("path").alias("source"), F.concat(F.lit(f"{root}/images/"), "target").alias("path"), F.col("bytes").alias("length"))
+    rows = files_metadata(spread(files), ("path", "format", "make", "model", "iso"))
+    return rows.join(files, "path").select(F.col("source").alias("path"), "format", "make", "model", "iso")
 
 
 #: Bytes of image data in the files of range_records.

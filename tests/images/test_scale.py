@@ -54,3 +54,13 @@ def test_micro_batches_do_not_grow_in_number_with_files():
     assert [Q.files_a_batch(n) for n in (0, 40, 320, 321)] == [40, 40, 40, 41]
     assert all(-(-n // Q.files_a_batch(n)) <= Q.BATCHES for n in (1_000, 60_000, Q.BATCHES * Q.MOST_FILES))
     assert Q.files_a_batch(10_000_000) == Q.MOST_FILES
+
+
+def test_files_are_read_back_without_a_listing(spark, monkeypatch):
+    def listing(*_):
+        raise AssertionError("files are listed by the driver")
+
+    monkeypatch.setattr(Q, "read_metadata", listing)
+    rows = Q.files_read_back(spark, SF)
+    assert rows.count() == sum(spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("part", "customer"))
+    assert rows.where("format IS NULL").count() == 0
