@@ -45,6 +45,7 @@ XMP_FIELDS = {
     "x_model": ("tiff", "Model"), "x_make": ("tiff", "Make"), "x_tool": ("xmp", "CreatorTool"), "x_lens": ("aux", "Lens"), "x_rights": ("dc", "rights"), "x_description": ("dc", "description"),
     "x_creator": ("dc", "creator"), "x_subject": ("dc", "subject"), "x_lat": ("exif", "GPSLatitude"), "x_lon": ("exif", "GPSLongitude"), "x_original": ("exif", "DateTimeOriginal"),
 }
+_XMP_KEYS = {n: (NAMESPACES[p], local) for n, (p, local) in XMP_FIELDS.items()}
 IPTC_FIELDS = {"i_caption": 120, "i_copyright": 116, "i_creator": 80}
 
 FAILURES = pa.list_(pa.struct([("component", pa.string()), ("kind", pa.string()), ("message", pa.string()), ("magic", pa.binary())]))
@@ -173,7 +174,7 @@ def iptc_fields(block: bytes) -> dict[str, object]:
 def xmp_fields(packet: bytes, fields: Sequence[str] = ()) -> dict[str, object]:
     own = properties(packet)
     every = {"x_all": [(ns + local, v) for (ns, local), v in own.items()]} if "x_all" in fields else {}
-    return every | {n: v for n, (p, local) in XMP_FIELDS.items() if (v := own.get((NAMESPACES[p], local)))}
+    return every | {n: v for n, key in _XMP_KEYS.items() if (v := own.get(key))}
 
 
 def failure(component: str, error: str, content: bytes | None) -> dict[str, object]:

@@ -33,11 +33,12 @@ def join(*parts: Column) -> Column:
     return F.concat(*parts)
 
 
-Entry = tuple  # tag, type, count, value, and the value's size in bytes where it is the same in every row
+Entry = tuple  # tag, type, count, value, and the value's size in bytes where it needs no look at the value
 
 
 def ascii_entry(tag: int, value: Column) -> Entry:
-    return tag, 2, F.octet_length(value) + 1, join(text(value), raw("00"))
+    size = F.octet_length(value) + 1
+    return tag, 2, size, join(text(value), raw("00")), size
 
 
 def short_entry(tag: int, value: Column | int, little: bool = False) -> Entry:
@@ -54,9 +55,9 @@ def rational_entry(tag: int, *pairs: tuple[Column | int, Column | int], little:
 
 def outside(entry: Entry) -> Column | int:
     """How many bytes of an entry's value stand outside the table: none if it fits in its field."""
-    if len(entry) > 4:
-        return entry[4] if entry[4] > 4 else 0
-    size = F.octet_length(entry[3])
+    size = entry[4] if len(entry) > 4 else F.octet_length(entry[3])
+    if isinstance(size, int):
+        return size if size > 4 else 0
     return F.when(size <= 4, 0).otherwise(size)
 
 

@@ -171,7 +171,7 @@ def stamped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keywords_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
     after = edit_metadata(customer_images(spark, sf_dir), {"keywords": F.array(F.lit("edited"), F.lower("c_mktsegment"))})
-    return flat_metadata(after, ("xmp",)).select("path", "creator", F.array_join("keywords", ";").alias("keywords"))
+    return flat_metadata(after, ("xmp",), columns=("path", "creator", "keywords")).withColumn("keywords", F.array_join("keywords", ";"))
 
 
 @fixture
@@ -287,12 +287,12 @@ def heif_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def heif_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat_metadata(heif_images(spark, sf_dir)).select("path", "format", "make", "model", "iso", "caption", "error")
+    return flat_metadata(heif_images(spark, sf_dir), columns=("path", "format", "make", "model", "iso", "caption", "error"))
 
 
 def heif_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
     after = edit_metadata(heif_images(spark, sf_dir), {"make": F.concat(F.lit("new "), "p_type"), "caption": F.col("p_type")})
-    return flat_metadata(after).select("path", "format", "make", "caption")
+    return flat_metadata(after, columns=("path", "format", "make", "caption"))
 
 
 def cr3_images(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -304,12 +304,12 @@ def cr3_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cr3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat_metadata(cr3_images(spark, sf_dir)).select("path", "format", "make", "model", "lens", "iso", "copyright")
+    return flat_metadata(cr3_images(spark, sf_dir), columns=("path", "format", "make", "model", "lens", "iso", "copyright"))
 
 
 def cr3_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
     after = edit_metadata(cr3_images(spark, sf_dir), {"iso": F.lit(3200), "copyright": F.concat(F.lit("(c) "), "p_type"), "creator": F.col("p_type")})
-    return flat_metadata(after).select("path", "format", "model", "iso", "copyright", "creator")
+    return flat_metadata(after, columns=("path", "format", "model", "iso", "copyright", "creator"))
 
 
 def raw_images(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -328,12 +328,12 @@ def raw_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat_metadata(raw_images(spark, sf_dir), ("exif",)).select("path", "format", "make", "model", "iso", "orientation")
+    return flat_metadata(raw_images(spark, sf_dir), ("exif",), columns=("path", "format", "make", "model", "iso", "orientation"))
 
 
 def raw_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
     after = edit_metadata(raw_images(spark, sf_dir), {"lens_model": F.col("p_type"), "orientation": F.lit(3)})
-    return flat_metadata(after, ("exif",)).select("path", "format", "model", "lens", "orientation")
+    return flat_metadata(after, ("exif",), columns=("path", "format", "model", "lens", "orientation"))
 
 
 def packed_images(spark: SparkSession, sf_dir: str) -> DataFrame:

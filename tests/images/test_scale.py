@@ -1,12 +1,16 @@
 """Work that grows no faster than its input: rows are spread over tasks, and images are made by compiled expressions."""
 
+import datetime as dt
 import zlib
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
-from photonlake.operators.metadata import flat_metadata
+from photonlake.operators import xmp as X
+from photonlake.operators.edit import edit_metadata
+from photonlake.operators.metadata import flat_metadata, fields_for
 from photonlake.plans import builders as B
 from photonlake.plans import queries as Q
 from photonlake.sources.images import ROWS_A_TASK, spread
@@ -64,3 +68,63 @@ def test_files_are_read_back_without_a_listing(spark, monkeypatch):
     rows = Q.files_read_back(spark, SF)
     assert rows.count() == sum(spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("part", "customer"))
     assert rows.where("format IS NULL").count() == 0
+
+
+RETURNED = {
+    "cr3_edited": ("path", "format", "model", "iso", "copyright", "creator"), "heif_edited": ("path", "format", "make", "caption"), "keywords_edited": ("path", "creator", "keywords"),
+    "heif_records": ("path", "format", "make", "model", "iso", "caption", "error"), "cr3_records": ("path", "format", "make", "model", "lens", "iso", "copyright"),
+    "raw_edited": ("path", "format", "model", "lens", "orientation"), "raw_records": ("path", "format", "make", "model", "iso", "orientation"),
+}
+
+
+@pytest.mark.parametrize("name", sorted(RETURNED))
+def test_no_field_is_read_that_the_query_does_not_return(spark, monkeypatch, name):
+    asked = []
+    monkeypatch.setattr(Q, "flat_metadata", lambda images, *args, **more: asked.append(more["columns"]) or flat_metadata(images, *args, **more))
+    assert sorted(Q.QUERIES[name](spark, SF).columns) == sorted(RETURNED[name])
+    assert [fields_for(c) for c in asked] == [fields_for(RETURNED[name])]
+
+
+HEAD = "<x:xmpmeta xmlns:x='adobe:ns:meta/'><rdf:RDF xmlns:rdf='http://www.w3.org/1999/02/22-rdf-syntax-ns#'><rdf:Description rdf:about='' xmlns:dc='http://purl.org/dc/elements/1.1/'{}>"
+PACKETS = (
+    HEAD.format("") + "<dc:a>{}</dc:a></rdf:Description></rdf:RDF></x:xmpmeta>", HEAD.format(" dc:own='x>y'") + "{}<dc:a>b</dc:a>", HEAD.format(" dc:open='") + "<dc:a>{}</dc:a>' dc:more='1'>",
+    "<!-- " + HEAD.format("") + "<dc:a>no</dc:a> -->" + HEAD.format("") + "<dc:a>{}</dc:a>", HEAD.format("/") + "<dc:a>{}</dc:a>", "<? " + HEAD.format("") + "<dc:a>{}</dc:a> ?>", "{}<rdf:Description", "<rdf:Description>{}",
+    HEAD.format("") + "<dc:s><rdf:Seq><rdf:li>{}</rdf:li><rdf:li xml:lang='de'>z</rdf:li></rdf:Seq></dc:s><rdf:Description dc:later='{}'/>",
+    HEAD.format("").replace("<rdf:Description", "<dc:s><rdf:Seq><rdf:li>first</rdf:li><rdf:Description") + "<dc:a>{}</dc:a>", "{}", "",
+)
+
+
+def test_what_packets_begin_with_is_read_once_and_changes_nothing():
+    def plainly(text):
+        reader = X.Reader()
+        reader.read(text)
+        while reader.stack:
+            reader.end()
+        return reader.found
+
+    X._begun.cache_clear()
+    for form in PACKETS:
+        for value in ("1", "", "a &amp; b", "two"):
+            text = form.replace("{}", value)
+            assert X.properties(text.encode()) == plainly(text), text
+    before = X._begun.cache_info()
+    for n in range(50):
+        assert X.properties(PACKETS[0].format(n).encode()) == {("http://purl.org/dc/elements/1.1/", "a"): str(n)}
+    assert X._begun.cache_info().misses == before.misses
+    deep = HEAD.format("").replace("<rdf:Description", "<a>" * 120 + "<rdf:Description")
+    for _ in range(2):
+        with pytest.raises(ValueError):
+            X.properties(deep.encode())
+
+
+def test_instants_are_written_in_utc_whatever_the_session_s_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        rows = spark.createDataFrame([("a", dt.datetime(2020, 7, 1, 12, 30, tzinfo=dt.timezone.utc)), ("b", None)], "path string, t timestamp")
+        exif = B.exif([B.ascii_entry(0x010F, F.lit("m"))], [B.ascii_entry(0x9003, F.lit("2000:01:01 00:00:00"))])
+        after = edit_metadata(rows.select("path", "t", B.jpeg(exif).alias("content")), {"captured_at": F.col("t")})
+        got = flat_metadata(after, columns=("path", "captured_at")).select("path", F.unix_timestamp("captured_at")).collect()
+        assert {tuple(r) for r in got} == {("a", 1593606600), ("b", 946684800)}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
