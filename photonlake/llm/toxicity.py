@@ -121,6 +121,8 @@ class Model:
     def offending(self, text: str | None, least: float = THRESHOLD) -> list[tuple[int, float, str]]:
         """(number, probability, sentence) of the sentences whose own probability is at least `least`."""
         text = text or ""
+        if least > 0 and not self.known(words(text.lower())):  # as in score(): none of its sentences has a known word
+            return []
         each = ((i, self.sentence_probability(low), s.strip()) for i, (s, low) in enumerate(zip(sentences(text), sentences(text.lower()))))
         return [x for x in each if x[1] >= least]
 

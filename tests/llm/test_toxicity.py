@@ -114,3 +114,14 @@ def test_sentences_by_brute_force(spark):
                 want.append((d, k, round(p, 9), s.strip()))
     got = [(r.doc_id, r.number, round(r.probability, 9), r.sentence) for r in toxicity.offending_sentences(docs, model).collect()]
     assert sorted(got) == sorted(want) and len(got) > 15
+
+
+def test_sentences_of_texts_without_a_known_word_are_not_looked_at(monkeypatch):
+    """They are most of all texts; what the others give stays the same."""
+    model = toxicity.Model({"^bad$": 3.0}, 0.0, 0.01)
+    looked = []
+    plain = toxicity.Model.sentence_probability
+    monkeypatch.setattr(toxicity.Model, "sentence_probability", lambda self, s: looked.append(s) or plain(self, s))
+    assert model.offending("A fine day. And a good one!") == [] and model.offending(None) == [] and not looked
+    assert [x[::2] for x in model.offending("Fine. BAD one!\nGood. bad")] == [(1, "BAD one"), (3, "bad")] and len(looked) == 4
+    assert len(model.offending("Fine. Good.", 0.0)) == 2
