@@ -8,14 +8,19 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from photonlake.operators import facts as FACTS
+from photonlake.operators import metadata as M
 from photonlake.operators import xmp as X
 from photonlake.operators.edit import edit_metadata
 from photonlake.operators.metadata import flat_metadata, fields_for
 from photonlake.plans import builders as B
 from photonlake.plans import queries as Q
-from photonlake.sources.images import ROWS_A_TASK, spread
+from photonlake.sources import containers as C
+from photonlake.sources.formats import BUILT_IN
+from photonlake.sources.images import ROWS_A_TASK, opened, spread
 
 SF = "/root/testdata/sf0.001"
+COMPONENTS = ("exif", "iptc", "xmp")
 
 
 def rows_by_task(rows):
@@ -128,3 +133,21 @@ def test_instants_are_written_in_utc_whatever_the_session_s_zone(spark):
         assert {tuple(r) for r in got} == {("a", 1593606600), ("b", 946684800)}
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_tables_of_items_are_read_once_a_worker(spark):
+    contents = [r.content for r in Q.heif_images(spark, SF).select("content").limit(50).collect()]
+    C._short_metadata_items.cache_clear()
+    for content in contents:
+        assert set(dict(C.heif(content))) == {"exif", "xmp"}
+    assert C._short_metadata_items.cache_info().misses == 1
+
+
+def test_items_of_one_kind_keep_their_order():
+    def infe(item, kind):
+        return b"\0\0\0\x16infe\x02\0\0\0" + item.to_bytes(2, "big") + b"\0\0" + kind + b"\0\0"
+
+    body = b"\0\0\0\0\0\4" + infe(7, b"Exif") + infe(2, b"hvc1") + infe(9, b"Exif") + infe(3, b"Exif")
+    assert C.metadata_items(body) == C._short_metadata_items(body) == ((9, "exif"), (7, "exif"), (3, "exif"))
+    many = b"\0\0\0\0\1\0" + b"".join(infe(k, b"Exif") for k in range(1, 256))
+    assert len(many) > C.MOST_KEPT and C.metadata_items(many)[-1] == (1, "exif")
