@@ -183,13 +183,15 @@ def failure(component: str, error: str, content: bytes | None) -> dict[str, obje
 
 
 @lru_cache(maxsize=64)
-def _record_plan(columns: frozenset[str], fields: tuple[str, ...], components: tuple[str, ...]) -> tuple[bool, frozenset[str], bool, list[str]]:
-    """Whether all components are read, the kinds of payloads that are, and what needs XMP: at once, or where EXIF lacks it."""
+def _record_plan(columns: frozenset[str], fields: tuple[str, ...], components: tuple[str, ...]) -> tuple[bool, frozenset[str], frozenset[str], bool, list[str]]:
+    """Whether all components are read, the kinds of payloads that are, the same with XMP where it is needed at once, and
+    what needs XMP: at once, or where EXIF lacks it."""
     every = not columns.isdisjoint(("error", "failures"))
     exif, iptc = (every or any(f in group for f in fields) for group in (TAGS_OF, (*IPTC_FIELDS, "i_keywords")))
     kinds = {k for c, on in (("exif", exif), ("iptc", iptc), ("xmp", every)) if on and c in components for k in KINDS if k.startswith(c)}
     in_xmp = [c for c in columns if "xmp" in components and any(f.startswith("x_") for f in NEEDS[c])]
-    return every, frozenset(kinds), any(c not in EXIF_FIRST for c in in_xmp), [c for c in in_xmp if c in EXIF_FIRST]
+    at_once = any(c not in EXIF_FIRST for c in in_xmp)
+    return every, frozenset(kinds), frozenset(kinds | {"xmp"} if at_once else kinds), at_once, [c for c in in_xmp if c in EXIF_FIRST]
 
 
 def record_of(content: bytes | None, form: str | None, columns: frozenset[str], fields: Sequence[str], components: Sequence[str], registry: Registry = BUILT_IN) -> dict[str, object]:
@@ -198,8 +200,11 @@ def record_of(content: bytes | None, form: str | None, columns: frozenset[str],
     A component that cannot be read leaves the others; the first failure is the error, and it names the component unless
     the container itself is damaged. Asking for error or failures reads every component.
     """
-    every, kinds, at_once, unless_filled = _record_plan(columns, tuple(fields), tuple(components))
-    found, error = opened(content, form, registry, kinds) if kinds or form is None else ({}, None)
+    every, kinds, walked, at_once, unless_filled = _record_plan(columns, tuple(fields), tuple(components))
+    found, error = opened(content, form, registry, walked) if walked or form is None else ({}, None)
+    if error and walked != kinds:  # damage in XMP leaves what is read without it
+        found, error = opened(content, form, registry, kinds) if kinds or form is None else ({}, None)
+        walked = kinds
     failures = [failure("container", error, content)] if error else []
     out: dict[str, object] = {}
 
@@ -215,7 +220,7 @@ def record_of(content: bytes | None, form: str | None, columns: frozenset[str],
         read("iptc", lambda: iptc_fields(found["iptc"]))
         read("iptc", lambda: checked(found["iptc"]) or {})
     lacking = at_once or any(out.get(c) is None for c in unless_filled)
-    if lacking and "xmp" not in kinds and form is not None and not error:
+    if lacking and "xmp" not in walked and form is not None and not error:
         found, late = opened(content, form, registry, frozenset(("xmp",)))
         failures += [failure("container", late, content)] if late else []
     if lacking and "xmp" in found or every and "xmp" in found:

@@ -135,6 +135,31 @@ def test_instants_are_written_in_utc_whatever_the_session_s_zone(spark):
         spark.conf.set("spark.sql.session.timeZone", zone)
 
 
+@pytest.mark.parametrize("name, columns", [("priority_images", ("path", "caption", "make")), ("heif_images", ("path", "make", "caption")), ("cr3_images", ("path", "make", "copyright"))])
+def test_images_whose_xmp_is_needed_are_walked_once(spark, monkeypatch, name, columns):
+    rows, walks = getattr(Q, name)(spark, SF).select("content").limit(20).collect(), []
+    monkeypatch.setattr(M, "opened", lambda *args: walks.append(args[0]) or opened(*args))
+    fields = fields_for(columns)
+    got = [M.record_of(r.content, BUILT_IN.format_of(r.content), frozenset(columns), fields, COMPONENTS) for r in rows]
+    assert len(walks) == len(rows) == 20
+    for own, r in zip(got, rows):
+        found, _ = opened(r.content, BUILT_IN.format_of(r.content))
+        assert own["make"] == M.exif_fields(found)["make"]
+        assert {k: v for k, v in own.items() if k.startswith("x_")} == (M.xmp_fields(found["xmp"]) if "xmp" in found else {})
+
+
+def test_damaged_xmp_leaves_what_is_read_without_it(spark):
+    def chunk(kind, data):
+        return len(data).to_bytes(4, "big") + kind + data + zlib.crc32(kind + data).to_bytes(4, "big")
+
+    exif = b"II*\0\x08\0\0\0\x01\0\x0f\x01\x02\0\x04\0\0\0abc\0\0\0\0\0"
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", bytes(13)) + chunk(b"eXIf", exif) + chunk(b"iTXt", b"XML:com.adobe.xmp\0\1\0\0\0no zlib") + chunk(b"IEND", b"")
+    columns = ("path", "make", "caption")
+    own = M.record_of(png, "PNG", frozenset(columns), fields_for(columns), COMPONENTS)
+    assert own["make"] == "abc" and own["failures"][0]["component"] == "container" and own["error"].startswith("Corrupt: compressed text")
+    assert M.record_of(b"GIF89a", None, frozenset(columns), fields_for(columns), COMPONENTS)["error"].startswith("UnsupportedFormat")
+
+
 def test_tables_of_items_are_read_once_a_worker(spark):
     contents = [r.content for r in Q.heif_images(spark, SF).select("content").limit(50).collect()]
     C._short_metadata_items.cache_clear()
