@@ -55,6 +55,8 @@ def facts(images: DataFrame, components: tuple[str, ...] = COMPONENTS, registry:
     A component that cannot be read leaves the facts of the others, and the error names it.
     """
 
+    parts = [(part, own) for part in COMPONENTS[:3] if (own := tuple(c for c in components if c == part or part == "exif" and c == "makernote"))]
+
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -63,9 +65,9 @@ def facts(images: DataFrame, components: tuple[str, ...] = COMPONENTS, registry:
                 form = registry.format_of(content)
                 found, error = opened(content, form, registry)
                 own = []
-                for component in COMPONENTS[:3]:
+                for component, asked in parts:
                     try:
-                        own += facts_of(found, tuple(c for c in components if c == component or component == "exif" and c == "makernote"), registry)
+                        own += facts_of(found, asked, registry)
                         if component == "iptc" and "iptc" in components:
                             checked(found.get("iptc", b""))
                     except ValueError as e:

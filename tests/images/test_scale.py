@@ -176,3 +176,44 @@ def test_items_of_one_kind_keep_their_order():
     assert C.metadata_items(body) == C._short_metadata_items(body) == ((9, "exif"), (7, "exif"), (3, "exif"))
     many = b"\0\0\0\0\1\0" + b"".join(infe(k, b"Exif") for k in range(1, 256))
     assert len(many) > C.MOST_KEPT and C.metadata_items(many)[-1] == (1, "exif")
+
+
+class TagsAtOnce:
+    """The pattern of tags, which looks for all of them at once and for no single one."""
+
+    findall = X._TAG.findall
+
+
+def test_tags_are_found_all_at_once_with_equal_properties(monkeypatch):
+    texts = [form.replace("{}", v) for form in PACKETS for v in ("1", "a &amp; b", "two")]
+    texts += [HEAD.format("") + f"<dc:a x='{'y>' * 3000}' z=\"{'w<' * 3000}\" {'v ' * 3000}>t</dc:a>", HEAD.format(" dc:q=\"never closed <dc:a>1</dc:a>")]
+
+    def properties_by(read):
+        reader = X.Reader()
+        read(reader)
+        while reader.stack:
+            reader.end()
+        return reader.found
+
+    singly = [properties_by(lambda reader: reader.read_until(t, len(t))) for t in texts]
+    monkeypatch.setattr(X, "MOST_AT_ONCE", 0)
+    assert [properties_by(lambda reader: reader.read(t)) for t in texts] == singly
+    monkeypatch.setattr(X, "MOST_AT_ONCE", 1 << 20)
+    monkeypatch.setattr(X, "_TAG", TagsAtOnce)
+    assert [properties_by(lambda reader: reader.read(t)) for t in texts] == singly
+
+
+def test_components_that_are_not_asked_for_are_not_looked_for(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(FACTS, "facts_of", lambda found, components, registry: asked.append(components) or iter(()))
+    monkeypatch.setattr(FACTS, "bounded", lambda images: images)
+
+    class Images:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, parse, _):
+            return list(parse(iter([pa.RecordBatch.from_arrays([pa.array(["p"]), pa.array([b"\xff\xd8\xff\xd9"], pa.binary())], ["path", "content"])])))
+
+    assert [b.num_rows for b in FACTS.facts(Images(), ("xmp",))] == [1]
+    assert asked == [("xmp",)]
