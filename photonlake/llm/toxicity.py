@@ -6,36 +6,42 @@ labelled. Training fits the weights to document labels through the noisy-or; the
 where a document offends. Texts are lower-cased as a whole before they are cut in sentences.
 
 Features are words and their character n-grams with word bounds. Those kept occur in several toxic documents and
-several times as often there as elsewhere, by counts over the training documents. The model is fitted on a sample of
-about MAX_TRAIN_DOCS labelled documents of at most about MAX_TRAIN_BYTES together, drawn by a hash of doc_id, and
-scoring is a narrow pass over whole texts.
+several times as often there as elsewhere. Counts, leak and weights are of all labelled documents that are not held out.
+They are staged once; one pass over the toxic ones counts features, one over the others those still open, and a third
+keeps only the numbers of its sentences' features of each document. Equal documents of that kind become one with a count,
+and each epoch of the fit is one sum over them, in tasks. Sums are of integers, so their order changes nothing. Scoring is
+a narrow pass over whole texts.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import re
-from array import array
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace, mapped
 
-#: The bounds of the sample that the classifier is fitted on.
-MAX_TRAIN_DOCS = 8000
-MAX_TRAIN_BYTES = 128 << 20
 THRESHOLD = 0.3
 LENGTHS = (3, 4, 5, 6, 7)
 LEAST_DOCS, LEAST_SHARE, LEAST_LIFT, LEAST_Z = 3, 0.01, 3.0, 5.0
 EPOCHS, RATE, DECAY = 150, 0.05, 1e-2
 MOST_CACHED = 150_000
+#: What a task holds while it counts: words with all of their features, and features before their counts go out.
+MOST_WORDS, MOST_COUNTED = 10_000, 200_000
+#: Entries of features in sentences that a task of the fit takes at least, and bits after the point of a slope at most.
+ENTRIES, MOST_BITS = 500_000, 40
 
 WORD = re.compile(r"[^\W\d_]+")
 BETWEEN = re.compile(r"[.!?\n]+")
@@ -127,51 +133,93 @@ class Model:
         return [x for x in each if x[1] >= least]
 
 
-class Instances:
-    """Sentences as numbers of words: `word` and the `sentence` of each entry, and the `doc` of each sentence."""
+class Numbers:
+    """The numbers of the features of words; an automaton looks all words of a text up that were not met yet."""
 
-    def __init__(self, texts: Iterable[str | None]):
-        number: dict[str, int] = {}
-        word, sentence, doc, k = array("i"), array("i"), array("i"), -1
-        for k, t in enumerate(texts):
-            for s in BETWEEN.split((t or "").lower()):
-                if own := words(s):
-                    word.extend(sorted(number.setdefault(w, len(number)) for w in own))
-                    sentence.extend([len(doc)] * len(own))
-                    doc.append(k)
-        self.n_docs, self.words = k + 1, list(number)
-        self.word, self.sentence, self.doc = (np.frombuffer(x, np.int32) if x else np.zeros(0, np.int32) for x in (word, sentence, doc))
+    def __init__(self, number: dict[str, int]):
+        self.finder, self.n = ahocorasick.Automaton(), len(number)
+        for f, i in number.items():
+            self.finder.add_word(f, i)
+        self.finder.make_automaton()
+        self.own: dict[str, np.ndarray | None] = {}
 
-    def words_of_docs(self) -> list[np.ndarray]:
-        """The numbers of the distinct words of each document."""
-        ends = np.searchsorted(self.doc[self.sentence], np.arange(self.n_docs + 1))
-        return [np.unique(self.word[a:b]) for a, b in zip(ends, ends[1:])]
+    def meet(self, new: list[str]) -> None:
+        if len(self.own) > MOST_CACHED:
+            self.own.clear()
+        self.own.update(dict.fromkeys(new))
+        found = np.fromiter(chain.from_iterable(self.finder.iter(f"^{'$^'.join(new)}$")), np.int64).reshape(-1, 2)
+        starts = np.cumsum([0] + [len(w) + 2 for w in new])
+        key = np.sort((np.searchsorted(starts, found[:, 0], side="right") - 1) * self.n + found[:, 1])
+        key = key[np.diff(key, prepend=-1) > 0]
+        number, a = (key % self.n).astype(np.int32), 0
+        for w, b in zip(new, np.searchsorted(key, np.arange(1, len(new) + 1) * self.n).tolist()):
+            if a < b:
+                self.own[w] = number[a:b]
+            a = b
+
+    def of(self, met: set[str]) -> list[np.ndarray]:
+        """The numbers of each word that has any; a word has each of its features once."""
+        if new := met.difference(self.own):
+            self.meet(list(new if len(self.own) <= MOST_CACHED else met))
+        return [x for w in met if (x := self.own[w]) is not None]
+
+
+def counted(toxic: DataFrame) -> DataFrame:
+    """feature, n: in how many of the texts each feature occurs."""
+
+    def counts(seen: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"feature": pa.array(seen.keys(), pa.string()), "n": pa.array(seen.values(), pa.int64())})
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, seen = lru_cache(MOST_WORDS)(features), Counter()
+        for batch in batches:
+            for t in batch.column("text"):
+                seen.update(set().union(*map(own, words((t.as_py() or "").lower()))))
+                if len(seen) > MOST_COUNTED:
+                    yield counts(seen)
+                    seen.clear()
+        yield counts(seen)
+
+    return mapped(toxic.select("text"), task, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
-def select_features(data: Instances, labels: np.ndarray) -> dict[str, int]:
-    """Numbers for the features that mark toxic documents, by the documents of either label that have them."""
-    n1, n0 = int(labels.sum()), int(len(labels) - labels.sum())
+def counted_of(texts: DataFrame, candidates: dict[str, int]) -> np.ndarray:
+    """In how many of the texts each candidate occurs."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, n = Numbers(candidates), np.zeros(len(candidates), np.int64)
+        last = np.zeros(len(candidates), np.int32)
+        for batch in batches:
+            for t in batch.column("text"):
+                if found := own.of(words((t.as_py() or "").lower())):
+                    each = np.concatenate(found)
+                    place = np.arange(len(each), dtype=np.int32)
+                    last[each] = place
+                    n[each[last[each] == place]] += 1  # each feature where it stands last
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_pydict({"number": some, "n": n[some]})
+
+    out = np.zeros(len(candidates), np.int64)
+    for r in mapped(texts.select("text"), task, "number long, n long").groupBy("number").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[r.number] = r.n
+    return out
+
+
+def select_features(rows: DataFrame, n1: int, n0: int) -> dict[str, int]:
+    """Numbers for the features that mark toxic documents, by the n1 toxic and n0 other documents that have them.
+
+    A candidate is in a hundredth of the toxic documents or more, so there are at most a hundred times as many as
+    features of a toxic document; these alone come to the driver.
+    """
     if not n1 or not n0:
         return {}
-    least = max(LEAST_DOCS, LEAST_SHARE * n1)
-    docs = data.words_of_docs()
-    toxic: Counter[str] = Counter()
-    for doc, y in zip(docs, labels):
-        if y:
-            toxic.update(set().union(*(features(data.words[w]) for w in doc)))
-    candidates = {f: i for i, f in enumerate(sorted(f for f, a in toxic.items() if a >= least))}
-    seen = np.array([toxic[f] for f in candidates])
-    del toxic
-    clean, known = np.zeros(len(candidates)), {}
-    for doc, y in zip(docs, labels):
-        if not y and len(doc):
-            for w in doc:
-                if w not in known:
-                    known[w] = np.array([candidates[f] for f in features(data.words[w]) if f in candidates], np.int32)
-            clean[np.unique(np.concatenate([known[w] for w in doc]))] += 1
+    own = counted(rows.where(F.col("toxic") != 0))
+    toxic = {r.feature: r.n for r in own.where(F.col("n") >= max(LEAST_DOCS, LEAST_SHARE * n1)).toLocalIterator()}
+    candidates = {f: i for i, f in enumerate(sorted(toxic))}
+    clean = counted_of(rows.where(F.col("toxic") == 0), candidates).tolist() if candidates else []
     out = {}
     for f, i in candidates.items():
-        a, c = seen[i], clean[i]
+        a, c = toxic[f], clean[i]
         lift = (a + 0.1) / (n1 + 0.2) * (n0 + 0.2) / (c + 0.1)
         z = (a / n1 - c / n0) / math.sqrt((a + c + 1) / (n1 + n0) / n1)
         if lift > LEAST_LIFT and z > LEAST_Z:
@@ -179,36 +227,113 @@ def select_features(data: Instances, labels: np.ndarray) -> dict[str, int]:
     return out
 
 
-def fit(texts: Iterable[str | None], labels: Iterable[int]) -> Model:
-    """The model of some labelled texts. Sentences without a kept feature have probability 0 and drop out.
+def patterns(rows: DataFrame, number: dict[str, int]) -> DataFrame:
+    """toxic, sizes, features, times: the documents by the features of their sentences.
 
-    The loss is the mean negative log-likelihood of the labels under the noisy-or, with a small decay of the weights.
+    `features` has those of one sentence after the other, `sizes` how many each has, and `times` is the number of such
+    documents. Sentences without a kept feature have probability 0 and drop out, and so do documents without others.
     """
-    y = np.array(list(labels), dtype=np.int64)
-    data = Instances(texts)
-    number = select_features(data, y)
-    own = [[number[f] for f in features(w) if f in number] for w in data.words]
-    n_own = np.array([len(x) for x in own], np.int64)
-    used = n_own[data.word] > 0
-    word, given = data.word[used], data.sentence[used]
-    feature = np.array([f for w in word for f in own[w]], np.int64)
-    kept, at = np.unique(np.repeat(given, n_own[word]), return_inverse=True)
-    sentence_doc, n = data.doc[kept], len(kept)
-    bare = np.setdiff1d(np.arange(len(y)), sentence_doc)
-    leak = min(0.25, (y[bare].sum() + 0.5) / (len(bare) + 1) if len(y) else 0.0)
-    if not n:
-        return Model({}, 0.0, float(leak))
-    theta = np.append(np.zeros(len(number)), -3.0)
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
-    for step in range(1, EPOCHS + 1):
-        z = np.clip(theta[-1] + np.bincount(at, theta[feature], minlength=n), -30, 30)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Numbers(number)
+        for batch in batches:
+            toxic, sizes, found = [], [], []
+            for t, y in zip(batch.column("text"), batch.column("toxic")):
+                low = (t.as_py() or "").lower()
+                if own.of(words(low)):
+                    each = sorted(np.sort(np.concatenate(x)).tolist() for s in BETWEEN.split(low) if (x := own.of(words(s))))
+                    toxic.append(int(y.as_py() != 0))
+                    sizes.append([len(x) for x in each])
+                    found.append([i for x in each for i in x])
+            ints = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_pydict({"toxic": pa.array(toxic, pa.int32()), "sizes": pa.array(sizes, ints), "features": pa.array(found, ints)})
+
+    return mapped(rows.select("text", "toxic"), task, "toxic int, sizes array<int>, features array<int>").groupBy("toxic", "sizes", "features").agg(F.count("*").alias("times"))
+
+
+@dataclass
+class Block:
+    """Some patterns: `toxic` and `times` of each, the `doc` of each sentence, `sentence` and `feature` of each entry."""
+
+    toxic: np.ndarray
+    times: np.ndarray
+    doc: np.ndarray
+    sentence: np.ndarray
+    feature: np.ndarray
+    #: The sentences of all entries by feature, the features there are, and where each one begins.
+    by_feature: np.ndarray
+    present: np.ndarray
+    starts: np.ndarray
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch) -> Block:
+        sizes, feature = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("sizes", "features"))
+        doc = np.repeat(np.arange(len(batch), dtype=np.int32), batch.column("sizes").value_lengths().to_numpy(zero_copy_only=False))
+        sentence = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        order = np.argsort(feature, kind="stable")
+        present, starts = np.unique(feature[order], return_index=True)
+        toxic, times = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("toxic", "times"))
+        return cls(toxic == 1, times.copy(), doc, sentence, feature.copy(), sentence[order], present, starts)
+
+    def slopes(self, theta: np.ndarray, leak: float, bits: int) -> np.ndarray:
+        """The slopes of the negative log-likelihood along each weight and the bias, as sums of integers of 1 / 2**bits."""
+        z = np.clip(theta[-1] + np.bincount(self.sentence, theta[self.feature], minlength=len(self.doc)), -30, 30)
         p = 1 / (1 + np.exp(-z))
-        clean = (1 - leak) * np.exp(np.bincount(sentence_doc, -np.logaddexp(0, z), minlength=len(y)))
+        clean = (1 - leak) * np.exp(np.bincount(self.doc, -np.logaddexp(0, z), minlength=len(self.toxic)))
         dirty = np.maximum(1 - clean, 1e-9)
-        slope = np.where(y[sentence_doc] == 1, -(clean / dirty)[sentence_doc] * p, p) / len(y)
-        grad = np.append(np.bincount(feature, slope[at], minlength=len(number)) + DECAY / len(y) * theta[:-1], slope.sum())
+        slope = np.where(self.toxic[self.doc], -(clean / dirty)[self.doc] * p, p)
+        whole = np.rint(slope * 2.0**bits).astype(np.int64) * self.times[self.doc]
+        out = np.zeros(len(theta), np.int64)
+        out[self.present] = np.add.reduceat(whole[self.by_feature], self.starts)
+        out[-1] = whole.sum()
+        return out
+
+
+def descend(slopes: Callable[[np.ndarray], np.ndarray], n_features: int, n_docs: int, bits: int) -> np.ndarray:
+    """Weights and bias of least mean negative log-likelihood, with a small decay of the weights."""
+    theta = np.append(np.zeros(n_features), -3.0)
+    m, v = np.zeros_like(theta), np.zeros_like(theta)
+    for step in range(1, EPOCHS + 1):
+        grad = slopes(theta) / 2.0**bits / n_docs + DECAY / n_docs * np.append(theta[:-1], 0.0)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         theta = theta - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return theta
+
+
+def fit(rows: DataFrame, work: Workspace) -> Model:
+    """The model of doc_id, text and toxic. Only counts, candidates and sums of slopes come to the driver.
+
+    Patterns of few entries are one task's, through all epochs; others are kept by the executors from epoch to epoch.
+    """
+    n, n1 = rows.agg(F.count("*"), F.count_if(F.col("toxic") != 0)).first()
+    number = select_features(rows, n1, n - n1)
+    own = work.stage(patterns(rows, number), "patterns") if number else None
+    size = F.size("features")
+    entries, weighted, with_any, toxic_any = own.agg(F.sum(size), F.sum(size * F.col("times")), F.sum("times"), F.sum(F.col("toxic") * F.col("times"))).first() if number else (0, 0, 0, 0)
+    leak = min(0.25, (n1 - toxic_any + 0.5) / (n - with_any + 1)) if n else 0.0
+    if not number:
+        return Model({}, 0.0, leak)
+    bits, n_features = min(MOST_BITS, 62 - weighted.bit_length()), len(number)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                yield pa.RecordBatch.from_pydict({"block": pa.array([pickle.dumps(Block.of(batch))], pa.binary())})
+
+    def total(blocks: Iterable[Block], theta: np.ndarray) -> np.ndarray:
+        return sum((b.slopes(theta, leak, bits) for b in blocks), np.zeros(n_features + 1, np.int64))
+
+    def alone(packed: Iterator[bytes]) -> Iterator[np.ndarray]:
+        blocks = [pickle.loads(b) for b in packed]
+        yield descend(lambda theta: total(blocks, theta), n_features, n, bits)
+
+    blocks = mapped(own, pack, "block binary").rdd.map(lambda r: bytes(r.block)).coalesce(1 + entries // ENTRIES)
+    if entries < ENTRIES:
+        theta = blocks.mapPartitions(alone).first()
+    else:
+        blocks.persist(StorageLevel.MEMORY_AND_DISK)
+        theta = descend(lambda theta: blocks.mapPartitions(lambda packed: [total(map(pickle.loads, packed), theta)]).reduce(np.add), n_features, n, bits)
+        blocks.unpersist()
     return Model({f: float(theta[i]) for f, i in number.items()}, float(theta[-1]), float(leak))
 
 
@@ -217,38 +342,29 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(True))
 
 
-def training_rows(documents: DataFrame, labels: DataFrame, work: Workspace, most: int = MAX_TRAIN_DOCS, most_bytes: int = MAX_TRAIN_BYTES) -> DataFrame:
-    """doc_id, text, toxic of about `most` labelled documents that are not held out, or of all of them if fewer.
+def training_rows(documents: DataFrame, labels: DataFrame, work: Workspace, most: int | None = None, most_bytes: int | None = None) -> DataFrame:
+    """doc_id, text, toxic of all labelled documents that are not held out, staged.
 
-    The labels are sampled by a hash first and are then few enough to broadcast. Of rows with one doc_id one is taken,
-    the one whose text has the least hash; if the texts are over `most_bytes` together, they are sampled again.
+    Of rows with one doc_id one is taken, the one whose text has the least hash. A caller may ask for a sample of about
+    `most` documents, or of about `most_bytes` of text, drawn by a hash of doc_id; no query does.
     """
     own = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n = own.count()
-    if n > most:
+    if most is not None and (n := own.count()) > most:
         own = own.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("train")), F.lit(1_000_000)) < int(1_000_000 * most / n))
-    rows = documents.select("doc_id", "text").join(F.broadcast(own), "doc_id")
-    rows = work.stage(rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic")), "training")
+    rows = documents.where(~held_out(F.col("doc_id"))).select("doc_id", "text").join(own, "doc_id")
+    rows = work.stage(rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic")), "training", compression="zstd")
+    if most_bytes is None:
+        return rows
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     return rows if size <= most_bytes else rows.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("bytes")), F.lit(1_000_000)) < int(1_000_000 * most_bytes / size))
 
 
-def train(documents: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_DOCS) -> Model:
-    """The model, fitted by one task, which the bound of the sample keeps small; only its weights come to the driver."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))), key=lambda r: (r[0], r[1] or ""))
-        model = fit((r[1] for r in rows), (int(r[2] != 0) for r in rows))
-        names = [*model.weights, None, None]
-        yield pa.RecordBatch.from_pydict({"feature": pa.array(names, pa.string()), "weight": [*model.weights.values(), model.bias, model.leak], "place": list(range(len(names)))})
-
+def train(documents: DataFrame, labels: DataFrame) -> Model:
+    """The model of all labelled documents that are not held out."""
     work = Workspace(documents.sparkSession, "toxicity")
-    rows = mapped(training_rows(documents, labels, work, most).repartition(1), task, "feature string, weight double, place long").collect()
+    model = fit(training_rows(documents, labels, work), work)
     work.clear()
-    if not rows:
-        return Model({}, 0.0, 0.0)
-    rows.sort(key=lambda r: r.place)
-    return Model({r.feature: r.weight for r in rows[:-2]}, rows[-2].weight, rows[-1].weight)
+    return model
 
 
 def scored(documents: DataFrame, model: Model) -> DataFrame:
@@ -263,23 +379,23 @@ def scored(documents: DataFrame, model: Model) -> DataFrame:
     return mapped(given, score, given.schema)
 
 
-def toxicity(documents: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_DOCS, threshold: float = THRESHOLD) -> DataFrame:
+def toxicity(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted of all documents.
 
     Null and empty texts score the leak; repeated rows score alike; without labels, or with labels of one kind, no
     feature is kept and every document scores the leak; an empty table gives no rows; further columns are ignored.
     """
-    model = train(documents, labels, most)
+    model = train(documents, labels)
     rows = scored(documents.select("doc_id", "text"), model)
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= threshold).cast("int").alias("predicted"))
 
 
-def clean_documents(documents: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_DOCS, threshold: float = THRESHOLD) -> DataFrame:
+def clean_documents(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents, in all their columns, that are not predicted toxic.
 
     Null and empty texts, repeated rows, missing labels and empty tables are as in toxicity(): clean texts stay.
     """
-    rows = scored(documents, train(documents, labels, most))
+    rows = scored(documents, train(documents, labels))
     return rows.where(F.col("__score") < threshold).drop("__score")
 
 
