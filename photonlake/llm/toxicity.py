@@ -8,7 +8,7 @@ where a document offends. Texts are lower-cased as a whole before they are cut i
 Features are words and their character n-grams with word bounds. Those kept occur in several toxic documents and
 several times as often there as elsewhere. Counts, leak and weights are of all labelled documents that are not held out.
 They are staged once; one pass over the toxic ones counts features, one over the others those still open, and a third
-keeps only the numbers of its sentences' features of each document. Equal documents of that kind become one with a count,
+keeps, of each document, only the numbers of its sentences' features. Documents equal in these become one with a count,
 and each epoch of the fit is one sum over them, in tasks. Sums are of integers, so their order changes nothing. Scoring is
 a narrow pass over whole texts.
 """
